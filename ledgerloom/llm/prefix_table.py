@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame
 from ledgerloom.llm.memo import Memo
 from ledgerloom.llm.runtime import arrow_map, id_and_text
 
+#: The model's mark for a space. Inside the codec spaces stand for themselves, and a mark in a text counts as one.
 SPACE = "▁"
-#: No piece has a space mark after another character, so merges never cross the end of one of these.
-CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: No piece has a space after another character, so merges never cross the end of one of these.
+CHUNK = re.compile(" *[^ ]+| +")
 #: Codes of characters that are no piece start here, above every id.
 UNKNOWN = 1 << 24
 
@@ -32,24 +33,27 @@ class PrefixTableCodec:
     table takes one pass; the ids are read from its end backwards.
     """
 
-    def __init__(self, model_path: str, memo: int = 150_000):
+    def __init__(self, model_path: str, memo: int = 400_000):
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         n = model.get_piece_size()
-        self.pieces = [model.id_to_piece(i) for i in range(n)]
+        self.pieces = [model.id_to_piece(i).replace(SPACE, " ") for i in range(n)]
         special = [model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i) for i in range(n)]
         self.byte_of = {i: int(self.pieces[i][3:5], 16) for i in range(n) if model.is_byte(i)}
         self.byte_id = {b: i for i, b in self.byte_of.items()}
         self.silent = {i for i in range(n) if model.is_control(i)}
         self.unk = model.unk_id()
+        self.plain = frozenset(i for i in range(n) if not special[i])
         self.score = {self.pieces[i]: model.get_score(i) for i in range(n) if not special[i]}
         self.id_of = {self.pieces[i]: i for i in range(n) if not special[i]}
-        if any(SPACE in p.lstrip(SPACE) for p in self.score):
+        if any(" " in p.lstrip(" ") for p in self.score):
             raise ValueError("pieces with an inner space mark are not supported")
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.id_of.items():
             if self._merge(piece) == [piece]:  # others never occur in an encoding
                 self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
+        self.alphabet = frozenset(p for p in self.id_of if len(p) == 1 and p in self.automaton)
+        self.size, self.decimal = [len(p) for p in self.pieces], [str(i) for i in range(n)]
         self.compatible: dict[int, bool] = {}
         self.chunks = Memo(self._encode_chunk, memo)
 
@@ -82,56 +86,71 @@ class PrefixTableCodec:
         return known
 
     def last_tokens(self, text: str) -> list[int]:
-        """For each non-empty prefix, the code of the last token of its encoding."""
-        last, filled = [-1] * (len(text) + 1), 0
+        """For each prefix, by the place of its last character, the code of the last token of its encoding."""
+        last = [-1] * len(text)
         compatible, pair = self.compatible, self._pair
+        unknown = [] if self.alphabet.issuperset(text) else [k for k, c in enumerate(text) if c not in self.alphabet]
+        waiting = iter(unknown)
+        hole = next(waiting, -1)
         for end, (token, size) in self.automaton.iter(text):
-            end += 1
-            while filled < end - 1:  # characters at which no token ended are unknown
-                filled += 1
-                if last[filled] < 0:
-                    last[filled] = UNKNOWN + ord(text[filled - 1])
-            if last[end] >= 0:
-                continue
-            start = end - size
-            if not start:
-                last[end] = token
-                continue
-            known = compatible.get(last[start] << 32 | token)
-            if known if known is not None else pair(last[start], token):
-                last[end] = token
-        while filled < len(text):
-            filled += 1
-            if last[filled] < 0:
-                last[filled] = UNKNOWN + ord(text[filled - 1])
+            while 0 <= hole < end:  # no token ended at an unknown character: it stands alone
+                if last[hole] < 0:
+                    last[hole] = UNKNOWN + ord(text[hole])
+                hole = next(waiting, -1)
+            if last[end] < 0:
+                before = end - size
+                if before < 0:
+                    last[end] = token
+                else:
+                    before = last[before]
+                    known = compatible.get(before << 32 | token)
+                    if known if known is not None else pair(before, token):
+                        last[end] = token
+        for k in unknown:
+            if last[k] < 0:
+                last[k] = UNKNOWN + ord(text[k])
         return last
 
     def encode_span(self, text: str) -> list[int]:
-        """Ids of a text whose spaces are marks already."""
-        last, at, out = self.last_tokens(text), len(text), []
-        while at:
+        """Ids of a text of one or more chunks, read from the table's end backwards."""
+        last, at, out = self.last_tokens(text), len(text) - 1, []
+        while at >= 0:
             code = last[at]
             if code >= UNKNOWN:
                 out.extend(self.byte_id[b] for b in reversed(chr(code - UNKNOWN).encode("utf-8")))
                 at -= 1
             else:
                 out.append(code)
-                at -= len(self.pieces[code])
-        return out[::-1]
+                at -= self.size[code]
+        out.reverse()
+        return out
 
-    def _encode_chunk(self, chunk: str) -> tuple[int, str, str]:
+    def _encode_chunk(self, chunk: str) -> str | tuple[str, str]:
+        """Decimal ids joined by commas; with what they decode to, where that is not the chunk itself."""
         ids = self.encode_span(chunk)
-        return len(ids), ",".join(map(str, ids)), self._join(ids)
-
-    def _chunks(self, text: str) -> list[tuple[int, str, str]]:
-        return list(map(self.chunks.__getitem__, CHUNK.findall(SPACE + text.replace(" ", SPACE)))) if text else []
+        listed, decoded = ",".join(map(self.decimal.__getitem__, ids)), self._join(ids)
+        return listed if decoded == chunk else (listed, decoded)
+
+    def _listed_and_decoded(self, text: str) -> tuple[str, str]:
+        if not text:
+            return "", ""
+        chunks = CHUNK.findall(" " + text.replace(SPACE, " "))
+        found = list(map(self.chunks.__getitem__, chunks))
+        try:
+            return ",".join(found), "".join(chunks)[1:]
+        except TypeError:
+            pairs = [(x, c) if isinstance(x, str) else x for x, c in zip(found, chunks, strict=True)]
+            return ",".join([x for x, _ in pairs]), "".join([c for _, c in pairs]).removeprefix(" ")
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for _, ids, _ in self._chunks(text) for x in ids.split(",")]
+        listed = self._listed_and_decoded(text)[0]
+        return [int(x) for x in listed.split(",")] if listed else []
 
     def _join(self, ids: list[int]) -> str:
+        if self.plain.issuperset(ids):
+            return "".join([self.pieces[i] for i in ids])
         out, run = [], bytearray()
-        for i in ids:
+        for i in [*ids, None]:
             if i in self.byte_of:
                 run.append(self.byte_of[i])
                 continue
@@ -139,11 +158,9 @@ class PrefixTableCodec:
                 out.append(run.decode("utf-8", "replace"))
                 run.clear()
             if i == self.unk:
-                out.append(" ⁇ ")
-            elif i not in self.silent:
-                out.append(self.pieces[i].replace(SPACE, " "))
-        if run:
-            out.append(run.decode("utf-8", "replace"))
+                out.append(" \u2047 ")
+            elif i is not None and i not in self.silent:
+                out.append(self.pieces[i])
         return "".join(out)
 
     def decode(self, ids: list[int]) -> str:
@@ -152,11 +169,9 @@ class PrefixTableCodec:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids and of the text decoded from them."""
-        parts = self._chunks(text)
-        count = sum(p[0] for p in parts)
-        ids = hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest()
-        decoded = "".join([p[2] for p in parts]).removeprefix(" ")
-        return count, ids, hashlib.sha256(decoded.encode()).hexdigest()
+        listed, decoded = self._listed_and_decoded(text)
+        sha = hashlib.sha256
+        return listed.count(",") + 1 if listed else 0, sha(listed.encode()).hexdigest(), sha(decoded.encode()).hexdigest()
 
 
 @functools.lru_cache(maxsize=2)
