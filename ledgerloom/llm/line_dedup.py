@@ -88,6 +88,7 @@ def remove_repeated_units(
     units = materialize(unit_digests(rows, unit, min_words), "units")
     place = F.struct("__id", "__key", "place")
     repeated = units.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select("hi", "lo", "first")
+    repeated = materialize(repeated, "repeated")  # a plain scan below the join lets a hot digest's partition be split
     span = F.when(F.col("first").isNotNull() & (place != F.col("first")), F.struct("start", "end"))
     found = (units.join(repeated, ["hi", "lo"], "left").groupBy("__id", "__key")
              .agg(F.max("units").alias("__units"), F.array_sort(F.collect_set(span)).alias("__spans")))
