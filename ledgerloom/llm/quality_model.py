@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from ledgerloom.llm.hashing import mix, word_hashes
 from ledgerloom.llm.labels import labelled_sample
-from ledgerloom.llm.runtime import arrow_map, id_and_text, utf8_bytes
+from ledgerloom.llm.runtime import arrow_map, arrow_score, utf8_bytes
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -134,8 +134,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str, *, id_col: str, text_c
 
 def score_quality(
     docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", limit: int = 4000, where=None, threshold: float = 0.7,
+    keep_columns: bool = False,
 ) -> DataFrame:
-    """Per row: ``id_col``, ``score`` (probability of label 1, double) and ``predicted`` (1 from ``threshold`` on).
+    """Per row: ``id_col``, ``score`` (probability of label 1, double) and ``predicted`` (1 from ``threshold`` on);
+    with ``keep_columns`` beside all columns of ``docs``.
 
     The model is fitted on at most ``limit`` rows of ``labels`` (doc_id, ``label``) that ``where`` admits, chosen by a hash of
     the id; it is a fixed 2**18 buckets, whatever the corpus. Every whole text is then scored in one pass without a shuffle.
@@ -149,16 +151,15 @@ def score_quality(
     gain, bias = model.projected()
     shared, features = docs.sparkSession.sparkContext.broadcast(gain), model.features
 
-    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def fn(texts: list[bytes | None]) -> list[pa.Array]:
         g = shared.value
-        z = np.full(batch.num_rows, bias)
-        for k, text in enumerate(utf8_bytes(batch.column("__text"))):
+        z = np.full(len(texts), bias)
+        for k, text in enumerate(texts):
             if text:
                 for part in (features.words(text), features.chars(text)):
                     if len(part):
                         z[k] += 0.5 * float(g[part].mean(dtype=np.float64))
         score = 1 / (1 + np.exp(-z))
-        return pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+        return [pa.array(score), pa.array((score >= threshold).astype(np.int32))]
 
-    rows = id_and_text(docs, id_col, text_col)
-    return arrow_map(rows, fn, f"doc_id {rows.schema['__id'].dataType.simpleString()}, score double, predicted int").withColumnRenamed("doc_id", id_col)
+    return arrow_score(docs, fn, [("score", "double"), ("predicted", "int")], id_col=id_col, text_col=text_col, keep_columns=keep_columns)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import adaptive_rules as rules
+from ledgerloom.llm.hmm_model import train_and_score
+from ledgerloom.llm.kmeans_tree import search
 from ledgerloom.llm.labels import crc_of_id
 from ledgerloom.llm.line_dedup import remove_repeated_units
 from ledgerloom.llm.minhash_dedup import near_duplicates
@@ -44,6 +46,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth row of ``embeddings``, against all others."""
+    return search(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 100 == 0, k=10)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.adaptive_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -58,6 +65,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary=public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return train_and_score(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece_counts(table(spark, sf_dir, "documents"), vocabulary=public_tokenizers.path("word_bpe_49k.json"))
 
@@ -67,9 +78,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_toxicity": op4_toxicity,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_quality_rules": op6_quality_rules,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_packing": op8_packing,
+    "op9_hmm_scores": op9_hmm_scores,
     "op10_token_counts": op10_token_counts,
 }
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import sys
 import tempfile
 import uuid
 import zipfile
@@ -11,7 +10,6 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +71,6 @@ def ship(spark: SparkSession) -> None:
         for p in sorted((ROOT / "ledgerloom").rglob("*.py")):
             z.write(p, p.relative_to(ROOT))
     sc.addPyFile(str(target))
-    _ = SparkFiles, sys
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -81,11 +78,6 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
 
 
-def with_results(docs: DataFrame, results: dict[str, F.Column]) -> DataFrame:
-    """``docs`` with result columns; a result replaces an input column of its name."""
-    return docs.withColumns(results)
-
-
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply ``fn`` to each Arrow batch; batches are bounded, partitions never are held whole."""
     ship(df.sparkSession)
@@ -98,6 +90,23 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
+def arrow_score(
+    docs: DataFrame, fn: Callable[[list[bytes | None]], list[pa.Array]], fields: list[tuple[str, str]], *, id_col: str, text_col: str, keep_columns: bool,
+) -> DataFrame:
+    """Columns ``fields`` (name, type) that ``fn`` makes of a batch's texts, beside the id or, on demand, beside all
+    columns of ``docs``, of which those named like a result are replaced. One pass, no shuffle."""
+    names = [n for n, _ in fields]
+    base = docs.drop(*(n for n in names if n not in (id_col, text_col))) if keep_columns else docs.select(id_col, text_col)
+    columns = base.columns if keep_columns else [id_col]
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = fn(utf8_bytes(batch.column(text_col)))
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made], names=[*columns, *names])
+
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name in columns), *(f"`{n}` {t}" for n, t in fields)])
+    return arrow_map(base, one, kinds)
+
+
 def utf8_bytes(column: pa.Array) -> list[bytes | None]:
     """A string column as raw UTF-8, without decoding it to Python strings."""
     return column.cast(pa.large_binary()).to_pylist()

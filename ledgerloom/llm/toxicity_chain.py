@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from ledgerloom.llm.hashing import mix, word_hashes
 from ledgerloom.llm.labels import labelled_sample
-from ledgerloom.llm.runtime import arrow_map, id_and_text, utf8_bytes
+from ledgerloom.llm.runtime import arrow_map, arrow_score, utf8_bytes
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -171,9 +171,10 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str, id_col: str, text_c
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", limit: int = 6000, where=None,
     threshold: float = 0.3, categories: tuple[tuple[str, tuple[str, ...]], ...] = CATEGORIES,
+    keep_columns: bool = False,
 ) -> DataFrame:
     """Per row: ``id_col``, a probability ``p_<category>`` for each category, ``score`` (the last one),
-    ``predicted`` (1 if it reaches ``threshold``) and ``kept`` (the opposite).
+    ``predicted`` (1 if it reaches ``threshold``) and ``kept`` (the opposite); with ``keep_columns`` beside all columns of ``docs``.
 
     The chain is fitted on at most ``limit`` rows of ``labels`` (doc_id, ``label``), chosen by a hash of the id; its tables have a
     fixed 2**20 buckets. Every whole text is then scored in one pass, without a shuffle. Only the text enters a score.
@@ -186,13 +187,10 @@ def score_toxicity(
     chain = train(docs, labels, label=label, id_col=id_col, text_col=text_col, limit=limit, where=where, categories=categories, features=features)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
-    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        p = shared.value.predict([features.of(t) for t in utf8_bytes(batch.column("__text"))])
+    def fn(texts: list[bytes | None]) -> list[pa.Array]:
+        p = shared.value.predict([features.of(t) for t in texts])
         hit = p[:, -1] >= threshold
-        return pa.RecordBatch.from_arrays(
-            [batch.column("__id"), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1]), pa.array(hit.astype(np.int32)), pa.array(~hit)],
-            names=["doc_id", *(f"p_{c}" for c, _ in categories), "score", "predicted", "kept"])
+        return [*(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1]), pa.array(hit.astype(np.int32)), pa.array(~hit)]
 
-    rows = id_and_text(docs, id_col, text_col)
-    columns = ", ".join(f"p_{c} double" for c, _ in categories)
-    return arrow_map(rows, fn, f"doc_id {rows.schema['__id'].dataType.simpleString()}, {columns}, score double, predicted int, kept boolean").withColumnRenamed("doc_id", id_col)
+    fields = [*((f"p_{c}", "double") for c, _ in categories), ("score", "double"), ("predicted", "int"), ("kept", "boolean")]
+    return arrow_score(docs, fn, fields, id_col=id_col, text_col=text_col, keep_columns=keep_columns)
