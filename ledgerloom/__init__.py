@@ -1,0 +1 @@
+"""Spark-native analytics over ledgers: transactions, documents, reconciliation, behaviour."""
