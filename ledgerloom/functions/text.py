@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with ``value`` computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def title(x: Column) -> Column:
     """Upper-case each letter after a non-letter and lower-case the rest (``O'NEIL`` gives ``O'Neil``)."""
     runs = F.regexp_extract_all(x, F.lit(r"([A-Za-z]+|[^A-Za-z]+)"), F.lit(1))
