@@ -143,6 +143,7 @@ def adaptive_rules(
     rows = materialize(rows, "measures")
     names = [r.name for r in rules]
     wide = fences(rows.where("not base_failed"), rules, least_rows).groupBy("lang", "source").agg(*(F.max(F.when(F.col("rule") == x, F.col("fence"))).alias(f"fence_{x}") for x in names))
+    wide = materialize(wide, "fences")  # with a known size, a small table is broadcast without dealing the rows out by source first
     broken = F.array_compact(F.array(*(F.when(F.col(x) > F.col(f"fence_{x}"), F.lit(x)) for x in names)))
     out = rows.join(wide, ["lang", "source"], "left").withColumn("broken", broken)
     return out.select(
