@@ -55,7 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "K4_alert_counts": lambda s, d: k.alert_counts(_events(s, d)),
     "K5_filter": lambda s, d: k.filter_transactions(transactions(s, d), "building", "1995-03", "coffee|amzn").select("transaction_id", "merchant_raw", "category"),
     "K6_filtered_summary": lambda s, d: k.filtered_summary(k.filter_transactions(transactions(s, d), category="building")),
-    "K6_amount_text": lambda s, d: transactions(s, d).where("ord % 50 = 0").select("transaction_id", k.amount_text(F.col("amount")).alias("amount_text")),
+    "K6_amount_text": lambda s, d: transactions(s, d).select("transaction_id", k.amount_text(F.col("amount")).alias("amount_text")),
     "K8_savings_line": lambda s, d: k.savings_line(transactions(s, d)),
     "K9_goals_partition": lambda s, d: k.goals_partition(b.budget_goals(_monthly(s, d), goals(s))),
     "K10_colours": lambda s, d: _events(s, d).groupBy("severity").agg(F.count("*").alias("n")).select("severity", "n", k.severity_colour(F.col("severity")).alias("colour"), k.score_colour(F.col("n") / 20).alias("score")),
@@ -150,7 +150,7 @@ ORACLE_SQL: dict[str, str] = {
     "K4_alert_counts": f"{_EVENTS} select event_type, count(*) as n from ev group by 1",
     "K5_filter": f"{_TX} select transaction_id, merchant_raw, category from tx where category = 'building' and strftime(date, '%Y-%m') = '1995-03' and regexp_matches(merchant_raw, '(?i)coffee|amzn')",
     "K6_filtered_summary": f"""{_TX} select transactions, expenses as spent, income, '-$' || format('{{:,.2f}}', expenses) as spent_text, '+$' || format('{{:,.2f}}', income) as income_text from ({_KPI} tx where category = 'building')""",
-    "K6_amount_text": f"{_TX} select transaction_id, '$' || case when amount < 0 then '-' else '+' end || format('{{:,.2f}}', cast(abs(amount) as double)) as amount_text from tx where ord % 50 = 0",
+    "K6_amount_text": f"{_TX} select transaction_id, '$' || case when amount < 0 then '-' else '+' end || format('{{:,.2f}}', cast(abs(amount) as double)) as amount_text from tx",
     "K8_savings_line": f"{_TX} select month, round_even(greatest(-100.0, least(100.0, coalesce((income - expenses) / nullif(income, 0) * 100, 0.0))), 4) as savings_pct from ({_KPI_BY_MONTH} tx group by 1)",
     "K9_goals_partition": f"""{_GRID} select goal_name, month, status, status = 'exceeded' as missed from (select *, row_number() over (partition by status = 'exceeded' order by month, goal_name) as r from ({_BUDGET}))
         where status = 'exceeded' or r <= 4""",
