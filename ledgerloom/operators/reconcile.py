@@ -241,9 +241,9 @@ def mismatch_summary(unsupported_: DataFrame, unreconciled_: DataFrame, matches:
 def markers(unsupported_: DataFrame, unreconciled_: DataFrame) -> DataFrame:
     """One note for each item without a counterpart."""
     money = lambda x: F.concat(F.lit("$"), F.format_string("%.2f", x.cast("double")))
-    a = unsupported_.select(F.lit("unsupported_spending").alias("type"), F.col("id").alias("transaction_id"), F.col("label").alias("user_label"), F.concat(money(F.col("amount")), F.lit(" at "), "merchant", F.lit(" — no receipt found")).alias("story_note"))
+    a = unsupported_.select(F.lit("unsupported_spending").alias("type"), F.col("id").alias("transaction_id"), F.col("label").alias("user_label"), F.concat(money(parse_amount(F.col("amount"))), F.lit(" at "), "merchant", F.lit(" — no receipt found")).alias("story_note"))
     who = F.coalesce(F.nullif(F.col("merchant"), F.lit("")), F.when(F.col("amount").isNull(), "unknown").otherwise("unknown merchant"))
-    note = F.concat(F.lit("Receipt from "), who, F.when(F.col("amount").isNull(), "").otherwise(F.concat(F.lit(" ("), money(F.col("amount")), F.lit(")"))), F.lit(" — no matching bank transaction"))
+    note = F.concat(F.lit("Receipt from "), who, F.when(F.col("amount").isNull(), "").otherwise(F.concat(F.lit(" ("), money(parse_amount(F.col("amount"))), F.lit(")"))), F.lit(" — no matching bank transaction"))
     b = unreconciled_.select(F.lit("unreconciled_receipt").alias("type"), F.col("id").alias("document_id"), F.col("label").alias("user_label"), note.alias("story_note"))
     return a.unionByName(b, allowMissingColumns=True)
 
