@@ -77,7 +77,7 @@ def drift(monthly: DataFrame, threshold_pct: float = 30.0, window: int = 3) -> D
         F.bround("c", 1).alias("change_pct"), F.when(F.col("c") > 50, "high").otherwise("medium").alias("severity"), F.least(F.lit(0.9), 0.6 + F.col("c") / 100).alias("confidence"))
 
 
-def anomalies(tx: DataFrame, multiplier: float = 1.5) -> DataFrame:
+def anomalies(tx: DataFrame, multiplier: float = 1.5, digits: int = 2) -> DataFrame:
     """Transactions beyond the upper quartile by more than ``multiplier`` interquartile ranges of their category (four rows at least).
 
     The bounds have a row per category; the planner broadcasts them when they are small.
@@ -89,7 +89,7 @@ def anomalies(tx: DataFrame, multiplier: float = 1.5) -> DataFrame:
     extreme = F.col("a") > F.col("q3") + 3 * F.col("iqr")
     return rows.select(
         F.lit("anomaly").alias("type"), "category", F.col("transaction_id"), F.date_format("date", "yyyy-MM-dd").alias("date"), F.date_format("date", "yyyy-MM").alias("month"),
-        money(F.col("a")).alias("amount"), F.col("merchant_raw").alias("merchant"), money(F.col("bound")).alias("upper_bound"),
+        money(F.col("a")).alias("amount"), F.col("merchant_raw").alias("merchant"), F.bround("bound", digits).alias("upper_bound"),
         F.when(F.col("bound") > 0, F.bround((F.col("a") - F.col("bound")) / F.nullif("bound", F.lit(0.0)) * 100, 1)).otherwise(0.0).alias("exceeds_by_pct"),
         F.when(extreme, "high").otherwise("medium").alias("severity"), F.when(extreme, 0.85).otherwise(0.75).alias("confidence"))
 

@@ -248,6 +248,10 @@ def payment_method(text: Column) -> Column:
     return out
 
 
+def count_of(column: str) -> Column:
+    return F.coalesce(F.size(column), F.lit(0))
+
+
 def _has(x: Column) -> Column:
     return F.coalesce(x.cast("string") != "", F.lit(False)) & F.coalesce(x.try_cast("double") != 0, F.lit(True))
 
@@ -262,12 +266,12 @@ def receipt_confidence(merchant, date, total, subtotal, tax, n_items: Column) ->
 
 def receipt_facts(docs: DataFrame, text: str = "raw_text") -> DataFrame:
     t = F.col("__t")
-    rows = docs.withColumn("__t", receipt_normalize(F.col(text)))
+    rows = docs.withColumn("__t", receipt_normalize(F.coalesce(F.col(text), F.lit(""))))
     rows = rows.withColumns({
         "merchant": receipt_merchant(t), "date": receipt_date(t), "total_amount": receipt_total(t), "subtotal": receipt_subtotal(t), "tax": receipt_tax(t), "tax_rate": percent_rate(t),
         "items": receipt_items(t), "payment_method": payment_method(t)}).drop("__t")
     c = F.col
-    return rows.withColumn("extraction_confidence", receipt_confidence(c("merchant"), c("date"), c("total_amount"), c("subtotal"), c("tax"), F.size("items")))
+    return rows.withColumn("extraction_confidence", receipt_confidence(c("merchant"), c("date"), c("total_amount"), c("subtotal"), c("tax"), count_of("items")))
 
 
 # statements -----------------------------------------------------------------
@@ -324,11 +328,11 @@ def statement_confidence(holder, period, begin, end, n: Column) -> Column:
 
 def statement_facts(docs: DataFrame, text: str = "raw_text") -> DataFrame:
     t = F.col("__t")
-    rows = docs.withColumn("__t", statement_normalize(F.col(text))).withColumns({
+    rows = docs.withColumn("__t", statement_normalize(F.coalesce(F.col(text), F.lit("")))).withColumns({
         "account_holder": account_holder(t), "statement_period": statement_period(t), "beginning_balance": beginning_balance(t), "ending_balance": ending_balance(t),
         "transactions": statement_transactions(t)}).drop("__t")
     c = F.col
-    return rows.withColumn("extraction_confidence", statement_confidence(c("account_holder"), c("statement_period"), c("beginning_balance"), c("ending_balance"), F.size("transactions")))
+    return rows.withColumn("extraction_confidence", statement_confidence(c("account_holder"), c("statement_period"), c("beginning_balance"), c("ending_balance"), count_of("transactions")))
 
 
 # invoices -------------------------------------------------------------------
@@ -383,12 +387,12 @@ def invoice_confidence(number_, vendor, date, due, n: Column, subtotal, total, t
 
 
 def invoice_facts(docs: DataFrame, text: str = "raw_text") -> DataFrame:
-    t, c = F.col(text), F.col
+    t, c = F.coalesce(F.col(text), F.lit("")), F.col
     rows = docs.withColumns({
         "invoice_number": invoice_number(t), "vendor": invoice_vendor(t), "client": invoice_client(t), "invoice_date": invoice_date(t), "due_date": due_date(t), "line_items": invoice_line_items(t),
         "subtotal": amount_after(t, r"Subtotal[:\s]*\$?" + AMOUNT), "tax": amount_after(t, r"Tax.*?\$" + AMOUNT), "tax_rate": percent_rate(t), "total_due": amount_after(t, r"Total\s+Due[:\s]*\$?" + AMOUNT),
         "payment_terms": payment_terms(t)})
-    return rows.withColumn("extraction_confidence", invoice_confidence(c("invoice_number"), c("vendor"), c("invoice_date"), c("due_date"), F.size("line_items"), c("subtotal"), c("total_due"), t))
+    return rows.withColumn("extraction_confidence", invoice_confidence(c("invoice_number"), c("vendor"), c("invoice_date"), c("due_date"), count_of("line_items"), c("subtotal"), c("total_due"), t))
 
 
 # transactions of documents --------------------------------------------------

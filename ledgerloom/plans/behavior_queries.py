@@ -37,7 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "B2_mom_change": lambda s, d: b.mom_changes(_monthly(s, d)).withColumn("change_pct", F.bround("change_pct", 4)),
     "B3_spikes": lambda s, d: b.spikes(_monthly(s, d), z=1.0, least_pct=10).withColumn("confidence", F.bround("confidence", 6)),
     "B4_drift": lambda s, d: b.drift(_monthly(s, d), threshold_pct=5.0).withColumn("confidence", F.bround("confidence", 6)),
-    "B5_anomalies": lambda s, d: b.anomalies(transactions(s, d), multiplier=0.5),
+    "B5_anomalies": lambda s, d: b.anomalies(transactions(s, d), multiplier=0.5, digits=6),
     "B6_savings_rate": lambda s, d: b.savings_rate(_monthly(s, d)).withColumn("savings_rate", F.bround("savings_rate", 6)).withColumn("savings", F.bround("savings", 2)),
     "B7_savings_drops": lambda s, d: b.savings_drops(b.savings_rate(_monthly(s, d))).withColumn("confidence", F.bround("confidence", 6)),
     "B8_budget_goals": lambda s, d: b.budget_goals(_monthly(s, d), goals(s)),
@@ -90,7 +90,7 @@ where c > {pct} and c0 > 0"""
 
 def _anomalies(multiplier: float) -> str:
     return f"""select 'anomaly' as type, category, transaction_id, strftime(date, '%Y-%m-%d') as date, strftime(date, '%Y-%m') as month, round_even(a, 2) as amount, merchant_raw as merchant,
-  round_even(bound, 2) as upper_bound, case when bound > 0 then round_even((a - bound) / bound * 100, 1) else 0.0 end as exceeds_by_pct,
+  round_even(bound, 6) as upper_bound, case when bound > 0 then round_even((a - bound) / bound * 100, 1) else 0.0 end as exceeds_by_pct,
   case when a > q3 + 3 * iqr then 'high' else 'medium' end as severity, cast(case when a > q3 + 3 * iqr then 0.85 else 0.75 end as double) as confidence
 from (select *, cast(abs(amount) as double) as a from tx) join
   (select category, quantile_cont(cast(abs(amount) as double), 0.75) as q3, quantile_cont(cast(abs(amount) as double), 0.75) - quantile_cont(cast(abs(amount) as double), 0.25) as iqr,

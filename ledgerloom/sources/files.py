@@ -102,7 +102,7 @@ def counts_by_type(files: DataFrame) -> DataFrame:
 def generate_transactions(spark: SparkSession, months: int = 6, per_month: int = 48, start: str = "2026-01-01", seed: int = 42) -> DataFrame:
     """A ledger of test transactions with planted patterns, from row numbers and hashes alone: any size, in parallel, the same each time.
 
-    Groceries rise by 10 % a month from April on, dining is 2.5 times as high in April, one purchase in 97 is 3.5
+    Groceries rise by 10 % a month from April on, dining is 2.5 times as high in April, one purchase in 89 is 3.5
     times too high, and in May a paycheck is missing. ``pattern_tag`` says which applies: anomaly, dining_spike, grocery_drift, savings_drop or baseline.
     """
     c = F.col
@@ -112,7 +112,7 @@ def generate_transactions(spark: SparkSession, months: int = 6, per_month: int =
     kinds = ("dining", "groceries", "shopping", "transportation", "utilities")
     category = F.when(c("i") < 2, "income").otherwise(F.element_at(F.array(*map(F.lit, kinds)), (c("i") % len(kinds) + 1).cast("int")))
     rows = rows.withColumn("category", category).withColumn("month_no", F.month("date"))
-    odd = (c("id") % 97 == 96) & (c("category") != "income")
+    odd = (c("id") % 89 == 50) & (c("category") != "income")
     tag = F.when(odd, "anomaly").when((c("category") == "dining") & (c("month_no") == 4), "dining_spike").when((c("category") == "groceries") & (c("month_no") >= 4), "grocery_drift").when(c("month_no") == 5, "savings_drop").otherwise("baseline")
     factor = F.when(odd, 3.5).when(tag == "dining_spike", 2.5).when(tag == "grocery_drift", 1 + 0.1 * (c("month_no") - 3)).otherwise(1.0)
     rows = rows.where(~((c("category") == "income") & (c("month_no") == 5) & (c("i") == 1)))
