@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.runtime import arrow_map, materialize, ship
 
-#: Rows of one block of a leaf, and queries of one block: what a task compares at once.
-BLOCK_ROWS, BLOCK_QUERIES = 256, 1024
+#: Rows and queries of one block: what a task compares at once. Neighbouring leaves share a block, a leaf of more rows has several.
+BLOCK_ROWS, BLOCK_QUERIES = 2048, 1024
 
 
 def lloyd(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +133,7 @@ def distances(m: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def search(
     vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", is_query=None, k: int = 10, sample_rows: int = 16_384,
-    leaf_rows: int = 256, recall: float = 0.985, calibration_queries: int = 96, branching: int = 8,
+    leaf_rows: int = 256, recall: float = 0.96, calibration_queries: int = 96, branching: int = 8,
 ) -> DataFrame:
     """The ``k`` nearest other rows of each query row: (query_id, rank, vec_id, score), score being the Euclidean distance in double precision.
 
@@ -142,8 +142,8 @@ def search(
     is calibrated: for ``calibration_queries`` rows the true neighbours are found by brute force, and the visits widen
     until a share of ``recall`` of them is covered.
 
-    Index rows and visiting queries meet by (leaf, block), with at most ``BLOCK_ROWS`` rows and about ``BLOCK_QUERIES`` queries a block, so
-    a vector that a third of all rows share spreads over many tasks. Each block returns its ``k`` best; they are merged per query.
+    Index rows and visiting queries meet in blocks of neighbouring leaves, of about ``BLOCK_ROWS`` rows and ``BLOCK_QUERIES`` queries; a larger leaf has
+    several blocks, so a vector that a third of all rows share spreads over many tasks. Each block returns a query's ``k`` best among its visited leaves; they are merged per query.
 
     Defined cases: vectors that are null, zero, of another length than most, or hold a null or non-finite component take
     no part; a null id takes no part; rows that share an id are one candidate, at its smallest distance; fewer candidates
@@ -190,28 +190,49 @@ def search(
         needed.append(order[r.leaf] + 1)
     visits = int(np.quantile(needed, recall, method="higher")) if needed else 1
 
+    # rows of each leaf: at most one row a leaf reaches the driver, and the sample bounds the leaves
+    sizes = np.zeros(tree.leaves, np.int64)
+    for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect():
+        sizes[r.leaf] = r.n
+    group, members_of, filled = np.zeros(tree.leaves, np.int64), [0], 0
+    for leaf, n in enumerate(sizes.tolist()):
+        if filled and filled + n > BLOCK_ROWS:
+            members_of.append(0)
+            filled = 0
+        group[leaf] = len(members_of) - 1
+        members_of[-1] += n
+        filled += n
+    grouping = spark.sparkContext.broadcast(group)
+
     def plan(batch: pa.RecordBatch) -> pa.RecordBatch:
-        t = shared.value
-        leaves = [t.visit(q, visits) for q in _matrix(batch.column("v"))]
-        return batch.select(["id", "v"]).append_column("leaves", pa.array(leaves, pa.list_(pa.int64())))
-
-    visiting = materialize(arrow_map(index.where("q"), plan, "id bigint, v array<double>, leaves array<bigint>"), "tree-visits")
-    # rows and visits of each leaf: at most one row a leaf, and the sample bounds the leaves
-    n_rows = index.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("rb"))
-    n_visits = visiting.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("qb"))
-    blocks = F.broadcast(materialize(n_rows.join(n_visits, "leaf"), "tree-blocks"))
+        t, of = shared.value, grouping.value
+        ids, vectors_, groups, leaves = batch.column("id").to_pylist(), batch.column("v"), [], []
+        row = []
+        for k, q in enumerate(_matrix(vectors_)):
+            seen = np.array(t.visit(q, visits))
+            for g in np.unique(of[seen]).tolist():
+                row.append(k)
+                groups.append(g)
+                leaves.append(seen[of[seen] == g])
+        return pa.RecordBatch.from_arrays([pa.array([ids[k] for k in row], pa.int64()), vectors_.take(pa.array(row, pa.int32())), pa.array(groups, pa.int64()), pa.array(leaves, pa.list_(pa.int64()))], names=["id", "v", "g", "leaves"])
+
+    visiting = materialize(arrow_map(index.where("q"), plan, "id bigint, v array<double>, g bigint, leaves array<bigint>"), "tree-visits")
+    asked = {r.g: r.n for r in visiting.groupBy("g").agg(F.count("*").alias("n")).collect()}  # at most a row a leaf
+    table = [(leaf, int(g), max(1, -(-members_of[g] // BLOCK_ROWS)), max(1, -(-asked[g] // BLOCK_QUERIES))) for leaf, g in enumerate(group.tolist()) if g in asked]
+    blocks = spark.createDataFrame(table, "leaf bigint, g bigint, rb int, qb int") if table else spark.createDataFrame([], "leaf bigint, g bigint, rb int, qb int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.col(n)).cast("int")
-    left = visiting.select("id", "v", F.explode("leaves").alias("leaf")).join(blocks, "leaf").withColumn("b", mine("qb")).withColumn("a", spread("rb"))
-    right = index.join(blocks, "leaf").withColumn("a", mine("rb")).withColumn("b", spread("qb"))
-    keys = ["leaf", "a", "b"]
+    left = visiting.join(F.broadcast(blocks.drop("leaf").distinct()), "g").withColumn("b", mine("qb")).withColumn("a", spread("rb"))
+    right = index.join(F.broadcast(blocks), "leaf").withColumn("a", mine("rb")).withColumn("b", spread("qb"))
+    keys = ["g", "a", "b"]
 
     def compare(queries: pa.Table, members: pa.Table) -> pa.Table:
         out_q, out_i, out_d = [], [], []
         if queries.num_rows and members.num_rows:
-            m, ids = _matrix(members["v"]), members["id"].to_numpy()
-            for own, q in zip(queries["id"].to_pylist(), _matrix(queries["v"]), strict=True):
-                i, d = _top(ids, distances(m, q), k, own)
+            m, ids, leaf = _matrix(members["v"]), members["id"].to_numpy(), members["leaf"].to_numpy()
+            for own, q, seen in zip(queries["id"].to_pylist(), _matrix(queries["v"]), queries["leaves"].to_pylist(), strict=True):
+                near = np.flatnonzero(np.isin(leaf, seen))
+                i, d = _top(ids[near], distances(m[near], q), k, own)
                 out_q.append(np.full(len(i), own))
                 out_i.append(i)
                 out_d.append(d)
@@ -219,7 +240,7 @@ def search(
         return pa.table({"query_id": flat(out_q, pa.int64()), "vec_id": flat(out_i, pa.int64()), "score": flat(out_d, pa.float64())})
 
     ship(spark)
-    found = left.select(*keys, "id", "v").groupBy(*keys).cogroup(right.select(*keys, "id", "v").groupBy(*keys)).applyInArrow(compare, "query_id bigint, vec_id bigint, score double")
+    found = left.select(*keys, "id", "v", "leaves").groupBy(*keys).cogroup(right.select(*keys, "id", "v", "leaf").groupBy(*keys)).applyInArrow(compare, "query_id bigint, vec_id bigint, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
