@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,47 +82,84 @@ def _similar(pairs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
     return arrow_map(joined, fn, "u bigint, v bigint")
 
 
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, as a product of 0/1 matrices over the shingles that two sets or more have, by column blocks."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]
+    keep = place >= 0
+    owner, place = owner[keep], place[keep]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    width = 2048
+    for first in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+        lo, hi = np.searchsorted(place, [first, first + width])
+        grid = np.zeros((len(sets), width), np.float32)
+        grid[owner[lo:hi], place[lo:hi] - first] = 1
+        total += grid @ grid.T
+    return total.astype(np.int64)
+
+
 def _explore(members: DataFrame, base: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links inside buckets that still hold several components, by blocks of members.
 
-    ``members``: (bucket, __id, root, n_blocks). A group is one pair of blocks of
-    one bucket, so at most ``2 * BLOCK_MEMBERS`` texts are in memory; it returns
+    ``members``: (bucket, band, __id, root, n_blocks). A group is one pair of blocks of
+    one bucket, so at most ``2 * BLOCK_MEMBERS`` texts are in memory. A pair is tested in the first band that it shares, on full
+    sets: many pairs at once as a matrix product, few one by one. A group returns
     only links that join two components, never more than its members.
     """
-    full = (members.join(base.select("__id", "sig"), "__id").join(texts, "__id")
+    full = (members.join(base.select("__id", "sig", "bands"), "__id").join(texts, "__id")
             .withColumn("mine", F.pmod(F.xxhash64("__id"), F.col("n_blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1)))
-            .select("bucket", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "mine", "__id", "root", "sig", "__text"))
-
-    def fn(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("__id", kind="stable").drop_duplicates(["__id", "__text"])
-        ids, mine = group["__id"].to_numpy(), group["mine"].to_numpy()
-        parent = {r: r for r in group["root"]}
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        roots = group["root"].to_numpy()
-        sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(len(ids), -1)
-        sets: dict[int, np.ndarray] = {}
-        get = lambda k: sets[k] if k in sets else sets.setdefault(k, shingle_hashes(words_of(group["__text"].iat[k].encode()), words))
-        two = group["b1"].iat[0] != group["b2"].iat[0]
+            .select("bucket", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "mine", "band", "__id", "root", "sig", "bands", "__text"))
+
+    def fn(group: pa.Table) -> pa.Table:
+        ids, roots, mine = (group[c].to_numpy() for c in ("__id", "root", "mine"))
+        order = np.argsort(ids, kind="stable")
+        order = order[np.unique(ids[order], return_index=True)[1]]
+        group, ids, roots, mine = group.take(pa.array(order)), ids[order], roots[order], mine[order]
+        m, band = len(ids), group["band"][0].as_py()
+        open_ = np.triu(roots[:, None] != roots[None, :], 1)
+        if group["b1"][0].as_py() != group["b2"][0].as_py():
+            open_ &= mine[:, None] != mine[None, :]
+        keys = np.array(group["bands"].to_pylist(), np.int64)
+        for k in range(band):
+            open_ &= keys[:, k][:, None] != keys[:, k][None, :]
+        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint16).reshape(m, -1)
+        for x in np.flatnonzero(open_.any(axis=1)):
+            ys = np.flatnonzero(open_[x])
+            open_[x, ys] = (sig[ys] == sig[x]).mean(axis=1) >= percent / 100 - SLACK
         out = []
-        for x in range(len(ids)):
-            near = (sig[x + 1 :] == sig[x]).mean(axis=1) >= percent / 100 - SLACK
-            if two:
-                near &= mine[x + 1 :] != mine[x]
-            for y in np.flatnonzero(near) + x + 1:
-                a, b = find(roots[x]), find(roots[y])
-                if a != b and _linked(get(x), get(int(y)), percent):
+        if open_.any():
+            raw = utf8_bytes(group["__text"].combine_chunks())
+            used = np.flatnonzero(open_.any(axis=0) | open_.any(axis=1))
+            sets = {int(k): shingle_hashes(words_of(raw[k]), words) for k in used}
+            if open_.sum() > 4 * len(used):
+                at = {int(k): n for n, k in enumerate(used)}
+                both, n = intersections([sets[int(k)] for k in used]), np.array([len(sets[int(k)]) for k in used])
+                xs, ys = np.nonzero(open_)
+                i, j = np.array([at[k] for k in xs.tolist()]), np.array([at[k] for k in ys.tolist()])
+                good = 100 * both[i, j] >= percent * (n[i] + n[j] - both[i, j])
+                linked = zip(xs[good].tolist(), ys[good].tolist(), strict=True)
+            else:
+                linked = ((x, y) for x, y in zip(*(z.tolist() for z in np.nonzero(open_)), strict=True) if _linked(sets[x], sets[y], percent))
+            parent = {r: r for r in roots.tolist()}
+
+            def find(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            for x, y in linked:
+                a, b = find(int(roots[x])), find(int(roots[y]))
+                if a != b:
                     parent[max(a, b)] = min(a, b)
-                    out.append((ids[y], ids[x]))
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+                    out.append((int(ids[y]), int(ids[x])))
+        return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
 
     ship(members.sparkSession)
-    return full.groupBy("bucket", "b1", "b2").applyInPandas(fn, "u bigint, v bigint")
+    return full.groupBy("bucket", "b1", "b2").applyInArrow(fn, "u bigint, v bigint")
 
 
 def near_duplicates(
@@ -162,7 +196,7 @@ def near_duplicates(
     classes = materialize(known.groupBy("digest").agg(F.min("__id").alias("rep"), F.count("*").alias("members")), "classes")
     reps = known.join(classes.select("digest", "rep"), "digest").where("__id = rep")
 
-    buckets = reps.select("__id", F.explode("bands").alias("bucket")).distinct()
+    buckets = reps.select("__id", F.posexplode("bands").alias("band", "bucket")).distinct()
     heads = buckets.groupBy("bucket").agg(F.min("__id").alias("head"), F.count("*").alias("size")).where("size > 1")
     shared = materialize(buckets.join(heads, "bucket"), "buckets")
     links = roots = None
@@ -189,13 +223,11 @@ def near_duplicates(
         roots = settle(_confirm(_similar(rest, base, percent), texts, shingle_words, percent))
 
     # every head was paired with its whole bucket, so only pairs without it are left to examine
-    others = rooted(shared.where("size > 2 and __id <> head").select("bucket", "__id"), "__id", "root")
-    prints = (others.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("__id")).alias("print"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-              .where("lo <> hi"))
-    mixed = materialize(prints.groupBy("print", "size", "lo", "hi").agg(F.min("bucket").alias("bucket")), "mixed")
+    others = rooted(shared.where("size > 2 and __id <> head").select("bucket", "band", "__id"), "__id", "root")
+    mixed = others.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    mixed = materialize(mixed.select("bucket", F.ceil(F.col("size") / BLOCK_MEMBERS).cast("bigint").alias("n_blocks")), "mixed")
     if mixed.head(1):
-        chosen = mixed.select("bucket", F.ceil(F.col("size") / BLOCK_MEMBERS).cast("bigint").alias("n_blocks"))
-        members = others.join(chosen, "bucket").select("bucket", "__id", "root", "n_blocks")
+        members = others.join(mixed, "bucket").select("bucket", "band", "__id", "root", "n_blocks")
         roots = settle(_explore(members, base, texts, shingle_words, percent))
 
     discard(texts)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -13,36 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = Path(__file__).resolve().parents[2]
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset and
-    the master is a single process (tests) is a local folder used instead.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
-    return sc.getCheckpointDir()
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends here.
+from ledgerloom.functions.storage import materialize, shared_dir
 
-    Unlike cached blocks the files survive the loss of an executor, and unlike
-    ``checkpoint()`` the plan runs once and keeps a columnar, prunable form.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["arrow_map", "arrow_score", "discard", "id_and_text", "materialize", "shared_dir", "ship", "utf8_bytes"]
+#: Rows that a function sees at once.
+SLICE_ROWS = 1024
+ROOT = Path(__file__).resolve().parents[2]
 
 
 def discard(df: DataFrame) -> None:
@@ -84,8 +59,8 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                yield fn(batch.slice(at, SLICE_ROWS))
 
     return df.mapInArrow(run, schema)
 

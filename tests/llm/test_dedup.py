@@ -3,11 +3,12 @@
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.line_dedup import remove_repeated_units
-from ledgerloom.llm.minhash_dedup import near_duplicates
+from ledgerloom.llm.minhash_dedup import intersections, near_duplicates
 
 DOCS = "/root/testdata/sf0.01/documents.parquet"
 
@@ -64,6 +65,32 @@ def test_chains_hot_groups_and_residual_buckets(spark):
     assert got == brute_components(rows, 2)
 
 
+def test_near_copies_around_the_threshold(spark):
+    """Most pairs of such copies are just under 0.8, so buckets hold many components and are examined in blocks."""
+    import random
+
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(146)]
+    rows = []
+    for n in range(420):
+        words = list(base)
+        for _ in range(rng.randint(1, 6)):
+            words[rng.randrange(len(words))] = f"e{n}_{rng.randrange(10**6)}"
+        rows.append((n, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows, 5)
+    assert len({c for _, c in got.values()}) > 5
+
+
+def test_intersections_by_matrix():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 4000)).astype(np.uint64)) for _ in range(20)] + [np.empty(0, np.uint64)]
+    got = intersections(sets)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert i == j or got[i, j] == len(np.intersect1d(a, b))
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(None, "a b c d e f", "x"), (5, "a b c d e f", "y"), (5, "a b c d e f", "y"), (7, "a b c d e f", None), (9, None, None)]
     df = spark.createDataFrame(rows, "doc_id int, text string, component_id string")
