@@ -56,7 +56,7 @@ def measures(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_
     df = docs.select(
         F.col(f"`{id_col}`").alias("__id"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("source"), text.alias("text"))
-    body = F.expr(f"trim(BOTH '{SPACE_CHARS.encode('unicode_escape').decode()}' FROM text)")
+    body = F.btrim("text", F.lit(SPACE_CHARS))
     lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != "")
     count = lambda chars: (F.length("text") - F.length(F.translate("text", chars, ""))).cast("bigint")
     df = df.withColumns({"words": F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SPACE_CLASS)), "lines": lines})
