@@ -14,9 +14,10 @@ from ledgerloom.functions.rules import CATEGORIES, KEYWORDS, MERCHANT_FIRST
 from ledgerloom.functions.storage import materialize
 from ledgerloom.functions.text import alnum_id, chain, let, name_similarity, squeeze, title
 
+#: Fixed value.
 TEMPLATE = "This bank transaction belongs to the {} spending category."
 _STATES = r"\b(NY|CA|TX|FL|MI|WA)\b"
-#: Prefix and noise rules of each cleaning variant, applied to upper-case text.
+#: Prefix and noise rules of each cleaning variant, in order.
 CLEANING = {
     "current": [(r"^SQ \*\s*", ""), (r"^TST\*\s*", ""), (r"^AMAZON\.COM\*", "AMAZON "), (r"^PAYPAL \*", ""), (r"^ONLINE PAYMENT\s*[-–]?\s*", ""), (r"#\d+", ""), (r"\d{8,}", ""), (_STATES, "")],
     "first": [(r"^SQ \*\s*", ""), (r"^TST\*\s*", ""), (r"^AMAZON\.COM\*", "AMAZON "), (r"^PAYPAL \*", ""), (r"#\d+", ""), (r"\d{8,}", ""), (r"\b(NY|CA|TX|FL|MI)\b", "")],

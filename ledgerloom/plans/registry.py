@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.functions.shipping import ship
 from ledgerloom.plans import behavior_queries, document_queries, enrich_queries, reconcile_queries, source_queries
 
 GROUPS = (behavior_queries, document_queries, enrich_queries, reconcile_queries, source_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: q for g in GROUPS for name, q in g.QUERIES.items()}
+    def sent(q):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return q(spark, sf_dir)
+
+        return run
+
+    return {name: sent(q) for g in GROUPS for name, q in g.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
