@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import documents as o
+from ledgerloom.operators import pixels as px
 from ledgerloom.operators import trust as t
 from ledgerloom.sources.tables import DOCUMENTS, documents
 
@@ -46,8 +47,17 @@ def _partial(s, d) -> DataFrame:
 def _words() -> Column:
     return F.array(F.struct(F.lit("TOTAL").alias("text"), (c("document_id") % 100).alias("conf")), F.struct(F.lit("12.50").alias("text"), F.lit(80).cast("bigint").alias("conf")))
 
+def _pixels(s, d) -> DataFrame:
+    """Images of 20 by 20 pixels: one shade, with a darker half where the key is odd."""
+    orders = s.read.parquet(f"{d}/orders.parquet").select(c("o_orderkey").alias("document_id"), (c("o_orderkey") % 200 + 56).alias("shade"))
+    tone = lambda x: F.lpad(F.hex(x), 2, "0")
+    data = F.unhex(F.concat(F.repeat(tone(c("shade")), 200), F.repeat(tone(F.when(c("document_id") % 2 == 1, 2).otherwise(c("shade"))), 200)))
+    return orders.select("document_id", px.measure(data, F.lit(20), F.lit(20)).alias("x")).select("document_id", "x.*").drop("content_box", "laplacian_variance")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "QS1_QS3_measures": lambda s, d: _pick(s, d, sharp=o.sharpness(c("width") * 1.0), clean=o.noise(c("noise") * 20, c("height")), contrast=F.bround(o.contrast(F.lit(10.0), c("width") / 4, c("contrast") / 4), 6)),
+    "QS1_QS3_O1b_pixels": _pixels,
     "QS4_quality_overall": lambda s, d: _pick(s, d, quality=o.quality_overall(c("sharpness"), c("noise"), c("contrast"), c("width") * c("height"))),
     "QS5_QS6_route": lambda s, d: documents(s, d).withColumn("q", o.quality_overall(c("sharpness"), c("noise"), c("contrast"), c("width") * c("height"))).select(
         "document_id", o.quality_route(c("q"), c("sharpness")).alias("route"), F.array_join(o.quality_recommendations(c("sharpness"), c("noise"), c("contrast"), c("width") / 1000), ",").alias("advice")),
@@ -114,6 +124,9 @@ _FP = r"""substr(md5(coalesce(nullif(array_to_string(list_sort(list_distinct(reg
 
 ORACLE_SQL: dict[str, str] = {
     "QS1_QS3_measures": f"{_D} select document_id, least(width * 1.0 / 500, 1.0)::double as sharp, case when height < 100 then 0.5 else 1 - least(noise * 20 / 20, 1.0) end as clean, round_even(case when contrast / 4 > 0.15 then 0.3 else greatest(0.1, least(1.0, (width / 4.0 - 10.0) / 150)) end::double, 6) as contrast from docs",
+    "QS1_QS3_O1b_pixels": """select o_orderkey as document_id, cast(case when o_orderkey % 2 = 0 or 4 * (shade - 2) < 50 then 400 else 360 end as bigint) as flat_pixels,
+        cast(case when o_orderkey % 2 = 0 then 0 else (shade - 2) / 2.0 end as double) as flat_deviation, cast(case when o_orderkey % 2 = 1 then 2 else shade end as int) as low, cast(shade as int) as high,
+        cast(case when o_orderkey % 2 = 1 then 0.5 else 0 end as double) as black_share from (select o_orderkey, o_orderkey % 200 + 56 as shade from orders)""",
     "QS4_quality_overall": f"{_D} select document_id, {_Q} as quality from docs",
     "QS5_QS6_route": f"""{_D} select document_id, case when {_Q} >= 0.7 and sharpness >= 0.6 then 'direct_ocr' when {_Q} >= 0.4 then 'enhance_then_ocr' else 'reject_or_manual' end as route,
         concat_ws(',', case when sharpness < 0.5 then 'sharpen' end, case when noise < 0.6 then 'denoise' end, case when contrast < 0.5 then 'contrast_enhance' end, case when width / 1000.0 < 0.3 then 'upscale' end) as advice from docs""",
