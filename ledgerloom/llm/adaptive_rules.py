@@ -35,7 +35,7 @@ class Rule:
 
 
 #: Shares count per 10,000.
-RULES = (Rule("symbol_share", 6, 300), Rule("repeat_share", 6, 1500), Rule("dup_line_share", 6, 2500), Rule("capital_share", 6, 1500), Rule("bang_share", 6, 1000))
+RULES = (Rule("symbol_share", 6, 300), Rule("repeat_share", 6, 2500), Rule("dup_line_share", 6, 5000), Rule("capital_share", 6, 1500), Rule("bang_share", 6, 1000))
 
 
 def _but_first(a: Column, step: int) -> Column:
@@ -181,7 +181,7 @@ q3 as (select rule, min(edge) filter (c3 * 100 >= a3 * 25) as q25, min(edge) fil
 pick as (select q1.lang, q1.source, q1.rule, case when q1.a >= 50 then q1.q25 when q2.a >= 50 then q2.q25 else q3.q25 end as q25,
                 case when q1.a >= 50 then q1.q50 when q2.a >= 50 then q2.q50 else q3.q50 end as q50
          from q1 join q2 using (lang, rule) join q3 using (rule)),
-fence as (select lang, source, rule, q50 + 6 * (q50 - q25) + case rule when 'symbol_share' then 300 when 'dup_line_share' then 2500 when 'bang_share' then 1000 else 1500 end as fence from pick),
+fence as (select lang, source, rule, q50 + 6 * (q50 - q25) + case rule when 'symbol_share' then 300 when 'dup_line_share' then 5000 when 'repeat_share' then 2500 when 'bang_share' then 1000 else 1500 end as fence from pick),
 bad as (select distinct f.r from f join fence using (lang, source)
         where case rule when 'symbol_share' then symbol_share when 'repeat_share' then repeat_share when 'dup_line_share' then dup_line_share
                         when 'capital_share' then capital_share else bang_share end > fence)
