@@ -18,7 +18,7 @@ from ledgerloom.llm.labels import crc_of_id
 from ledgerloom.llm.runtime import arrow_map, id_and_text, materialize, ship, utf8_bytes
 
 #: Tokens whose forward and backward values are in memory at once.
-BLOCK_TOKENS = 400_000
+BLOCK_TOKENS = 250_000
 #: Distinct words a task counts before it passes them on.
 COUNT_LIMIT = 250_000
 
@@ -53,7 +53,7 @@ class Sequences:
     def forward(self, m: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scaled forward recursion: normalised values, scales, and emissions of each token."""
         em = m.emit[self.symbols]
-        alpha, scale = np.empty_like(em), np.empty(len(em))
+        alpha, scale = np.empty_like(em), np.empty(len(em), em.dtype)
         for t, n in enumerate(self.active):
             a = self.at[t]
             prior = m.start if t == 0 else alpha[self.at[t - 1] : self.at[t - 1] + n] @ m.move
@@ -71,7 +71,7 @@ class Sequences:
     def expected(self, m: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Baum-Welch counts of starts, moves and (symbol, state) emissions."""
         alpha, scale, em = self.forward(m)
-        moves = np.zeros_like(m.move)
+        moves = np.zeros(m.move.shape)
         beta = np.ones_like(alpha)
         for t in range(len(self.active) - 2, -1, -1):
             a, b, n = self.at[t], self.at[t + 1], self.active[t + 1]
@@ -80,12 +80,13 @@ class Sequences:
             moves += alpha[a : a + n].T @ ahead
         alpha *= beta
         emits = np.stack([np.bincount(self.symbols, alpha[:, s], len(m.emit)) for s in range(alpha.shape[1])], axis=1)
-        return alpha[: self.active[0]].sum(axis=0), moves * m.move, emits
+        return alpha[: self.active[0]].sum(axis=0, dtype=np.float64), moves * m.move, emits
 
 
-def blocks(parts: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
+def blocks(parts: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Blocks of about ``BLOCK_TOKENS``; sequences of like length share one, so that few steps have few sequences."""
     held, size = [], 0
-    for p in parts:
+    for p in sorted(parts, key=len):
         held.append(p)
         size += len(p)
         if size >= BLOCK_TOKENS:
@@ -110,11 +111,18 @@ def first_model(parts: list[np.ndarray], base: np.ndarray, states: int, prior: f
     emit = base[:, None] * rng.uniform(0.3, 1.7, (len(base), states))
     m = Hmm(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
     for _ in range(rounds if parts else 0):
-        totals = [sum(x) for x in zip(*(Sequences(b).expected(m) for b in blocks(iter(parts))), strict=True)]
+        totals = [sum(x) for x in zip(*(Sequences(b).expected(m) for b in blocks(parts)), strict=True)]
         m = updated(*totals, base, prior)
     return m
 
 
+class Places(dict):
+    """Places of words in the dictionary, -1 for others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 @dataclass(frozen=True)
 class Symbols:
     """0 is the end; then ``top`` frequent words; then ``classes`` classes of all other words by their first and last two bytes."""
@@ -165,7 +173,7 @@ def train_and_score(
 
     1. Words of all training texts are counted: in tasks, then by word. N and V are exact.
     2. The ``dictionary`` most frequent words (of up to ``longest`` bytes, so of a bounded size) are broadcast. Each text becomes symbols of the
-       HMM; a word outside of the dictionary leaves a row, to be joined with the counts.
+       HMM; its words outside of the dictionary are joined with the counts.
     3. The HMM starts from Baum-Welch on ``sample_rows`` texts; then ``rounds`` rounds add
        up the expected counts of every training text, summed by (symbol, state) over all partitions.
     4. The scaled forward recursion gives each text's exact likelihood.
@@ -210,7 +218,7 @@ def train_and_score(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "index" not in cache:
-            cache["index"] = {w: k for k, w in enumerate(book.value[0])}
+            cache["index"] = Places((w, k) for k, w in enumerate(book.value[0]))
         index, (_, symbol, logs, shares) = cache["index"], book.value
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -218,29 +226,29 @@ def train_and_score(
             for i, text, h in zip(batch.column("__id").to_pylist(), utf8_bytes(batch.column("__text")), batch.column("held").to_pylist(), strict=True):
                 uid += 1
                 tokens = words_of(text)
-                at = np.fromiter((index.get(w, -1) for w in tokens), np.int64, len(tokens))
+                at = np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
                 seq = np.zeros(len(tokens) + 1, np.uint16)
                 hit = at >= 0
-                seq[:-1][hit] = symbol[at[hit]]
+                found = at[hit]
+                seq[:-1][hit] = symbol[found]
                 rare: Counter[bytes] = Counter()
-                if not hit.all():
+                if len(found) < len(tokens):
                     missing = np.flatnonzero(~hit)
                     lost = [tokens[k] for k in missing.tolist()]
                     seq[missing] = [symbols.of_class(w) for w in lost]
                     rare.update(lost)
-                found = at[hit]
-                out.append((uid, i, h, len(tokens) + 1, len(found) + end_known, float(logs[found].sum()) + end_log, float(shares[found].sum()), seq.tobytes(), None, None, None))
-                out.extend((uid, None, None, None, None, None, None, None, w, symbols.of_class(w) - 1 - top, n) for w, n in rare.items())
+                words = list(rare)
+                out.append((uid, i, h, len(tokens) + 1, len(found) + end_known, float(logs[found].sum()) + end_log, float(shares[found].sum()), seq.tobytes(), words, [symbols.of_class(w) - 1 - top for w in words], list(rare.values())))
             cols = list(zip(*out, strict=True))
-            kinds = [pa.int64(), batch.column("__id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
+            kinds = [pa.int64(), batch.column("__id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64())]
             arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
-            arrays[8] = arrays[8].cast(pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, names=["uid", "id", "held", "n_tokens", "n_known", "base", "share", "seq", "word", "class", "tf"])
+            arrays[8] = arrays[8].cast(pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays(arrays, names=["uid", "id", "held", "n_tokens", "n_known", "base", "share", "seq", "words", "classes", "tf"])
 
     ship(spark)
     kind = rows.schema["__id"].dataType.simpleString()
-    coded = materialize(rows.mapInArrow(encode, f"uid bigint, id {kind}, held boolean, n_tokens bigint, n_known bigint, base double, share double, seq binary, word string, class int, tf bigint"), "coded")
-    texts = coded.where("word is null").drop("word", "class", "tf")
+    coded = materialize(rows.mapInArrow(encode, f"uid bigint, id {kind}, held boolean, n_tokens bigint, n_known bigint, base double, share double, seq binary, words array<string>, classes array<int>, tf array<bigint>"), "coded")
+    texts = coded.drop("words", "classes", "tf")
     training = texts.where("not held").select("seq")
 
     sample = training.orderBy(F.xxhash64("seq")).limit(sample_rows).toArrow()["seq"].to_pylist()
@@ -253,14 +261,17 @@ def train_and_score(
 
     def likelihood(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = [np.frombuffer(s, np.uint16) for s in batch.column("seq").to_pylist()]
-        got = np.concatenate([Sequences(b).likelihoods(shared.value) for b in blocks(iter(parts))])
+        order = np.argsort([len(p) for p in parts], kind="stable")
+        got = np.empty(len(parts))
+        got[order] = np.concatenate([Sequences(b).likelihoods(shared.value) for b in blocks(parts)])
         rest = [c for c in batch.schema.names if c != "seq"]
         return batch.select(rest).append_column("forward", pa.array(got))
 
     scored = arrow_map(texts, likelihood, f"uid bigint, id {kind}, held boolean, n_tokens bigint, n_known bigint, base double, share double, forward double")
     class_totals = F.broadcast(spark.createDataFrame([(k, int(t)) for k, t in enumerate(totals)], "class int, total bigint"))
     c = F.coalesce("c", F.lit(0))
-    rare = (coded.where("word is not null").select("uid", "word", "class", "tf").join(counts.select("word", "c"), "word", "left").join(class_totals, "class")
+    each = coded.select("uid", F.inline(F.arrays_zip("words", "classes", "tf"))).toDF("uid", "word", "class", "tf")
+    rare = (each.join(counts.select("word", "c"), "word", "left").join(class_totals, "class")
             .groupBy("uid").agg(
                 F.sum(F.col("tf") * F.log10((c + 1) / F.lit(float(denominator)))).alias("rare_base"), F.sum(F.col("tf") * F.log10((c + 1) / F.col("total"))).alias("rare_share"),
                 F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("rare_known")))
@@ -279,13 +290,15 @@ def expected_counts(training: DataFrame, model: Hmm) -> tuple[np.ndarray, np.nda
     shared = training.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        # single precision is enough for counts; they are added up in double
+        m = Hmm(*(x.astype(np.float32) for x in (shared.value.start, shared.value.move, shared.value.emit)))
         total = np.zeros((1 + states + size, states))
-        for b in blocks(np.frombuffer(s, np.uint16) for batch in batches for s in batch.column("seq").to_pylist()):
-            start, moves, emits = Sequences(b).expected(m)
-            total[0] += start
-            total[1 : 1 + states] += moves
-            total[1 + states :] += emits
+        for batch in batches:
+            for b in blocks([np.frombuffer(s, np.uint16) for s in batch.column("seq").to_pylist()]):
+                start, moves, emits = Sequences(b).expected(m)
+                total[0] += start
+                total[1 : 1 + states] += moves
+                total[1 + states :] += emits
         flat = total.ravel()
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["at", "n"])
