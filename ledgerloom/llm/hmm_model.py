@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.hashing import words_of
 from ledgerloom.llm.labels import crc_of_id
-from ledgerloom.llm.runtime import arrow_map, id_and_text, materialize, ship, utf8_bytes
+from ledgerloom.llm.runtime import arrow_map, hash_sample, id_and_text, materialize, ship, utf8_bytes
 
 #: Tokens whose forward and backward values are in memory at once.
 BLOCK_TOKENS = 250_000
@@ -251,7 +251,7 @@ def train_and_score(
     texts = coded.drop("words", "classes", "tf")
     training = texts.where("not held").select("seq")
 
-    sample = training.orderBy(F.xxhash64("seq")).limit(sample_rows).toArrow()["seq"].to_pylist()
+    sample = hash_sample(training, sample_rows, ends, "seq").toArrow()["seq"].to_pylist()
     model = first_model([np.frombuffer(s, np.uint16) for s in sample], base, states, prior * min(1.0, len(sample) / max(ends, 1)), sample_rounds, seed)
     if ends:
         for _ in range(rounds):

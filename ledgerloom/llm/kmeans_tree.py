@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.runtime import arrow_map, materialize, ship
+from ledgerloom.llm.runtime import arrow_map, hash_sample, materialize, ship
 
 #: Rows and queries of one block: what a task compares at once. Neighbouring leaves share a block, a leaf of more rows has several.
 BLOCK_ROWS, BLOCK_QUERIES = 2048, 1024
@@ -159,7 +159,7 @@ def search(
     if length is None:
         return spark.createDataFrame([], schema)
     rows, total = rows.where(F.size("v") == length.n), length.c
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toArrow()
+    sample = hash_sample(rows.select("id", "v"), sample_rows, total, "id").toArrow()
     x = _matrix(sample["v"])
     tree = Tree.fit(x, max(1.0, leaf_rows * len(x) / total), branching)
     shared = spark.sparkContext.broadcast(tree)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.runtime import id_and_text
+from ledgerloom.llm.runtime import hash_sample, id_and_text
 
 
 def crc_of_id(col: str) -> Column:
@@ -23,6 +23,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, id_col: s
     if where is not None:
         known = known.where(where)
     known = known.groupBy(F.col("doc_id").cast("bigint").alias("__id")).agg((F.avg(label) >= 0.5).cast("int").alias("label"))
-    chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(limit)
+    chosen = hash_sample(known, limit, known.count(), "__id")
     rows = id_and_text(docs, id_col, text_col).withColumn("__id", F.col("__id").cast("bigint"))
     return rows.join(F.broadcast(chosen), "__id")

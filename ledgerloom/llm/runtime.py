@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.shipping import ship
 from ledgerloom.functions.storage import materialize, shared_dir
 
-__all__ = ["arrow_map", "arrow_score", "discard", "id_and_text", "materialize", "shared_dir", "ship", "utf8_bytes"]
+__all__ = ["arrow_map", "arrow_score", "discard", "hash_sample", "id_and_text", "materialize", "shared_dir", "ship", "utf8_bytes"]
 #: Rows that a function sees at once.
 SLICE_ROWS = 1024
 
@@ -31,6 +31,18 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
 
 
+def hash_sample(df: DataFrame, limit: int, total: int, *keys: str) -> DataFrame:
+    """The ``limit`` rows with the smallest hash of ``keys``, of about ``total``.
+
+    Rows whose hash cannot be among the smallest are filtered out first, so what is sorted and sent to one place
+    does not grow with the table.
+    """
+    h = F.xxhash64(*keys)
+    share = (limit + 8 * limit**0.5 + 32) / max(total, 1)
+    near = df.where(h < int(-(2**63) + share * 2**64)) if share < 0.5 else df
+    return near.orderBy(h, *keys).limit(limit)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply ``fn`` to each Arrow batch; batches are bounded, partitions never are held whole."""
     ship(df.sparkSession)
