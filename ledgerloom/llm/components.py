@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.runtime import discard, materialize
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node has one edge down at most and no node has edges both up and down: every component is a star around its smallest node."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+    each = ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return not each.agg(F.max((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0)))).first()[0]
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -18,15 +21,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each step is an aggregate that combines before the shuffle and a join that
     adaptive execution may split, so a node with very many neighbours is no
     single task. No step holds a node's neighbours as a list, and nothing but a
-    count and a checksum reaches the driver. Self-loops and nulls are ignored;
+    verdict reaches the driver. Self-loops and nulls are ignored;
     no edges give no rows.
     """
     live = materialize(
         edges.where("u is not null and v is not null and u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = _state(live)
     for _ in range(max_rounds):
-        if not before[0]:
+        if _settled(live):
             break
         both = live.union(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -35,13 +37,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select("u", F.col("m").alias("v"))).distinct())
-        done, live_next = live, materialize(small, "small-star")
+        done, live = live, materialize(small, "small-star")
         discard(done)
         discard(large)
-        live, after = live_next, _state(live_next)
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError("components did not settle")
     roots = live.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

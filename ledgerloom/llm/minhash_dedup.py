@@ -208,6 +208,8 @@ def near_duplicates(
     def settle(new: DataFrame) -> DataFrame:
         nonlocal links
         new = materialize(new, "links")
+        if links is not None and not new.head(1):
+            return roots
         links = new if links is None else links.union(new)
         return materialize(connected_components(links), "roots")
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.line_dedup import remove_repeated_units
 from ledgerloom.llm.minhash_dedup import intersections, near_duplicates
 
@@ -131,3 +132,24 @@ def test_repeated_units_odd_rows(spark):
     assert remove_repeated_units(df.limit(0)).count() == 0
     para = remove_repeated_units(spark.createDataFrame([(1, f"{long}\n\nq"), (2, f"r\n\n{long}\n\nt")], "doc_id long, text string"), unit="paragraph")
     assert {r.doc_id: r.text for r in para.collect()} == {1: f"{long}\n\nq", 2: "r\n\nt"}
+
+
+def test_components_of_random_graphs(spark):
+    import random
+
+    rng = random.Random(6)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(40)] + [(5, 5), (None, 3)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {n: find(n) for n in parent}
+    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
