@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
+from ledgerloom.llm.passages import add_repeated_passages
 from ledgerloom.llm.runtime import arrow_map, id_and_text, materialize
 
 #: A unit and the separator after it.
@@ -59,7 +60,7 @@ def unit_digests(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
 
 
 def remove_repeated_units(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = 5,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = 5, passage_words: int | None = None,
 ) -> DataFrame:
     """Keep each unit where it first occurs in the corpus and cut it everywhere else.
 
@@ -73,6 +74,9 @@ def remove_repeated_units(
     ``array<struct<start, end>>`` of character offsets in the original text,
     each including the separator after the unit.
 
+    With ``passage_words``, runs of so many words or more that stand earlier in what the units' pass leaves of the
+    corpus are cut as well, wherever in a line they start and end; cuts that overlap are one span.
+
     A digest's rows are reduced to their smallest place before the shuffle, and only
     digests that occur twice or more are joined back, by a join that adaptive execution
     may split; so a unit that stands in a third of all rows meets in no single task.
@@ -94,8 +98,11 @@ def remove_repeated_units(
              .agg(F.max("units").alias("__units"), F.array_sort(F.collect_set(span)).alias("__spans")))
 
     keyed = docs.withColumns({"__id": F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(2**63 - 1)), "__key": F.xxhash64(F.col(f"`{text_col}`"))})
-    both = keyed.join(found, ["__id", "__key"], "left").drop("__id", "__key")
+    both = keyed.join(found, ["__id", "__key"], "left")
     both = both.withColumns({"__spans": F.coalesce("__spans", F.array().cast("array<struct<start:int,end:int>>")), "n_units": F.coalesce("__units", F.lit(0).cast("bigint"))}).drop("__units")
+    if passage_words is not None:
+        both = add_repeated_passages(materialize(both, "lines"), text_col, passage_words)
+    both = both.drop("__id", "__key")
     text = F.col(f"`{text_col}`")
     # the text between cuts, by character offsets; what follows the last cut is everything to the end
     starts = F.concat(F.array(F.lit(0)), F.transform("__spans", lambda s: s["end"]))
