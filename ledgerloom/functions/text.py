@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -102,6 +102,35 @@ def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([max(indel(x, y), token_sort(x, y), token_set(x, y)) if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def forms(name: str) -> list[str]:
+    """What the three similarities compare where no word is shared: the name, its sorted words and its sorted distinct words."""
+    words = name.split()
+    return [name, " ".join(sorted(words)), " ".join(sorted(set(words)))]
+
+
+def pair_grams(text: str) -> list[str]:
+    """Neighbouring characters of a text with an end mark on both sides; a repeated pair has its number behind it, so that none is equal."""
+    seen: dict[str, int] = {}
+    marked, out = f"\0{text}\0", []
+    for k in range(len(text) + 1):
+        g = marked[k : k + 2]
+        seen[g] = seen.get(g, 0) + 1
+        out.append(f"{g}{seen[g]}")
+    return out
+
+
+@F.pandas_udf(ArrayType(StructType().add("form", IntegerType()).add("size", IntegerType()).add("grams", ArrayType(StringType()))))
+def name_grams(a: pd.Series) -> pd.Series:
+    """The pair grams of each form of a name."""
+    return pd.Series([[{"form": k, "size": len(f), "grams": pair_grams(f)} for k, f in enumerate(forms(x))] for x in a])
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def name_words(a: pd.Series) -> pd.Series:
+    """The distinct words of a name, parted as the similarities part them."""
+    return pd.Series([sorted(set(x.split())) for x in a])
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two numeric arrays, in double precision; null for a zero vector."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.rules import CATEGORIES, KEYWORDS, MERCHANT_FIRST
 from ledgerloom.functions.storage import materialize
-from ledgerloom.functions.text import alnum_id, chain, let, name_similarity, squeeze, title
+from ledgerloom.functions.text import alnum_id, chain, let, name_grams, name_similarity, name_words, squeeze, title
 
 #: Fixed value.
 TEMPLATE = "This bank transaction belongs to the {} spending category."
@@ -171,18 +171,41 @@ def pattern_counts(df: DataFrame, patterns: tuple[str, ...] = ("SQ *", "TST*", "
     return counts.select(F.explode(each).alias("x")).select("x.*")
 
 
+def _similar_candidates(distinct: DataFrame, threshold: float) -> DataFrame:
+    """(early, late): all pairs of names that may be similar at ``threshold``, and few others.
+
+    Pairs that share a word meet by it. Without one, a pair is similar only if the indel similarity of one of its forms (plain,
+    sorted words, sorted distinct words) is ``threshold`` or more. With lengths m and n and d <= (1 - threshold)(m + n) characters
+    that are not common, the texts share (m + n - d) / 2 + 1 - d pairs of neighbouring characters at least, end marks included, and
+    the shorter has threshold / (2 - threshold) of the longer's length. So each text is found by its rarest pairs, as many as leave
+    fewer than that number. Under a threshold of 2/3 no shared pair is certain and all names are compared.
+    """
+    below = lambda f: f.alias("a").join(f.alias("b"), F.expr("a.key = b.key and a.name < b.name"))
+    pick = (F.col("a.name").alias("early"), F.col("b.name").alias("late"))
+    if threshold < 2 / 3:
+        return below(distinct.select("name", F.lit(0).alias("key"))).select(*pick)
+    words = below(distinct.select("name", F.explode(name_words(F.lower("name"))).alias("key"))).select(*pick)
+    each = distinct.select("name", F.explode(name_grams(F.lower("name"))).alias("x")).select("name", "x.form", "x.size", F.explode("x.grams").alias("gram"))
+    each = materialize(each, "grams")
+    ranked = each.join(each.groupBy("form", "gram").agg(F.count("*").alias("n")), ["form", "gram"])
+    texts = ranked.groupBy("name", "form", "size").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("grams"))
+    shared = F.ceil(F.col("size") * (2 / (2 - threshold) * (1.5 * threshold - 1)) + (1 - 1e-9))
+    rare = F.slice("grams", F.lit(1), F.greatest(F.col("size") + 2 - shared, F.lit(1)).cast("int"))
+    keyed = texts.select("name", "size", F.explode(rare).alias("x"), "form").select("name", "size", F.struct("form", "x.gram").alias("key"))
+    alike = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * (threshold / (2 - threshold)) - 1e-9
+    return words.union(below(keyed).where(alike).select(*pick)).distinct()
+
+
 def cluster_merchants(names: DataFrame, threshold: float = 0.80, column: str = "merchant_normalized", max_rounds: int = 100) -> DataFrame:
     """(name, canonical, canonical_id): greedy star clusters of distinct names in alphabetical order.
 
     A name leads a cluster unless an earlier leader is similar to it; every other name joins its earliest similar leader. Rather than one pass
     in order, rounds of joins settle all names whose earlier similar names are settled. Similarity is the best of
-    plain, token-sort and token-set ratio. Pairs are compared within blocks of names that share a word or their first three letters; distinct names,
+    plain, token-sort and token-set ratio. All pairs that can reach the threshold are compared (``_similar_candidates``); distinct names,
     not rows, are compared. The shortest member is the cluster's name, ties to the first.
     """
     distinct = materialize(names.select(F.col(column).alias("name")).where("name is not null and name <> ''").distinct(), "names")
-    keys = F.array_distinct(F.concat(F.split(F.lower("name"), r"\s+"), F.array(F.substring(alnum_id(F.col("name")), 1, 3))))
-    keyed = distinct.select("name", F.explode(keys).alias("key")).where("key <> ''")
-    pairs = keyed.alias("a").join(keyed.alias("b"), F.expr("a.key = b.key and a.name < b.name")).select(F.col("a.name").alias("early"), F.col("b.name").alias("late")).distinct()
+    pairs = _similar_candidates(distinct, threshold)
     edges = materialize(pairs.where(name_similarity(F.lower("early"), F.lower("late")) >= threshold), "similar")
     leaders = distinct.join(edges.select(F.col("late").alias("name")), "name", "left_anti").withColumn("leads", F.lit(True))
     state = materialize(leaders, "leaders")  # (name, leads) of settled names

@@ -63,6 +63,23 @@ def test_clusters_are_the_sequential_ones(spark):
     assert got == sequential_clusters(names, 0.80)
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.8, 0.9])
+def test_clusters_without_a_shared_word_or_start(spark, threshold):
+    rng = random.Random(8)
+
+    def slip(name):
+        for _ in range(rng.randint(1, 4)):
+            k = rng.randrange(len(name) + 1)
+            name = rng.choice([name[:k] + rng.choice("abz ") + name[k:], name[:k] + name[k + 1 :], name[:k] + name[k + 1 : k + 2] + name[k : k + 1] + name[k + 2 :]])
+        return name
+
+    base = ["starbucks", "netflix", "Aaaaaa aaaa", "Shell Oil", "abcd", "Xyz", "pay pay pal", "walmart supercenter", "É\u00a0uber"]
+    names = {"starbucks", "sarbucks", "tarbucks", "ab", "ba", "a"} | {n for b in base for n in (slip(b) for _ in range(14)) if n}
+    got = {r.name: r.canonical for r in e.cluster_merchants(spark.createDataFrame([(n,) for n in names], "merchant_normalized string"), threshold).collect()}
+    assert got == sequential_clusters(names, threshold)
+    assert threshold != 0.8 or got["starbucks"] == got["sarbucks"]
+
+
 def test_recurrence(spark):
     day = dt.date(2026, 1, 1)
     rows = [("m", day + dt.timedelta(30 * k)) for k in range(4)] + [("b", day + dt.timedelta(14 * k)) for k in range(3)] + [("two", day), ("two", day + dt.timedelta(30))]
