@@ -34,16 +34,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, 0.8) the smallest id stays; of rows that share an id, one."""
+    """Of each group of near duplicates (five-word shingles, 0.8) the smallest id stays; of rows that share an id and a text, one."""
+    texts = F.xxhash64("text")
+    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("count"), (F.min(texts) != F.max(texts)).alias("differ")).where("count > 1")
+    twice = materialize(twice, "repeated-ids")
+    if twice.where("differ").head(1):
+        return _near_dedup_of_texts(docs)
     groups = near_duplicates(docs, shingle_words=5, percent=80)
     gone = materialize(groups.where("not kept").select("doc_id").distinct(), "near-duplicates")
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    twice = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     if not twice.head(1):
         return kept
     return kept.join(twice, "doc_id", "left_anti").select(docs.columns).union(kept.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
 
 
+def _near_dedup_of_texts(docs: DataFrame) -> DataFrame:
+    """Near dedup where rows share an id but differ in text: each id and text is a document of its own; of a group the smallest id's stays."""
+    nodes = materialize(docs.withColumn("__node", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))), "nodes")
+    groups = near_duplicates(nodes, id_col="__node", shingle_words=5, percent=80).select("__node", "component_id").distinct()
+    ids = nodes.where("__node is not null").select("__node", "doc_id").distinct()
+    first = groups.join(ids, "__node").groupBy("component_id").agg(F.min(F.struct("doc_id", "__node"))["__node"].alias("__node"))
+    kept = nodes.join(materialize(first, "kept-nodes"), "__node", "left_semi").dropDuplicates(["__node"])
+    return kept.select(docs.columns).union(nodes.where("__node is null").select(docs.columns))
+
+
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, passage_words: int | None = None) -> DataFrame:
     """Lines that an earlier document has are cut, with ``passage_words`` also such passages within lines; ``n_chars`` follows the text."""
     out = remove_repeated_units(docs, passage_words=passage_words)
