@@ -103,7 +103,7 @@ def generate_transactions(spark: SparkSession, months: int = 6, per_month: int =
     """A ledger of test transactions with planted patterns, from row numbers and hashes alone: any size, in parallel, the same each time.
 
     Groceries rise by 10 % a month from April on, dining is 2.5 times as high in April, one purchase in 89 is 3.5
-    times too high, and in May a paycheck is missing. ``pattern_tag`` says which applies: anomaly, dining_spike, grocery_drift, savings_drop or baseline.
+    times too high, and in May a paycheck is missing and there are 1.5 times as many dining and shopping rows. ``pattern_tag`` says which applies: anomaly, dining_spike, grocery_drift, savings_drop or baseline.
     """
     c = F.col
     u = lambda k: F.pmod(F.xxhash64(c("id"), F.lit(seed + k)), F.lit(10_000)) / 10_000.0
@@ -112,6 +112,10 @@ def generate_transactions(spark: SparkSession, months: int = 6, per_month: int =
     kinds = ("dining", "groceries", "shopping", "transportation", "utilities")
     category = F.when(c("i") < 2, "income").otherwise(F.element_at(F.array(*map(F.lit, kinds)), (c("i") % len(kinds) + 1).cast("int")))
     rows = rows.withColumn("category", category).withColumn("month_no", F.month("date"))
+    # dining is every fifth row from the sixth on and shopping from the third: every second of a month is doubled, rounded down
+    second = F.when(c("category") == "dining", 0).when(c("category") == "shopping", 1)
+    more = rows.where((c("month_no") == 5) & ((c("i") / len(kinds)).cast("int") % 2 == second))
+    rows = rows.union(more.withColumn("id", c("id") + months * per_month))
     odd = (c("id") % 89 == 50) & (c("category") != "income")
     tag = F.when(odd, "anomaly").when((c("category") == "dining") & (c("month_no") == 4), "dining_spike").when((c("category") == "groceries") & (c("month_no") >= 4), "grocery_drift").when(c("month_no") == 5, "savings_drop").otherwise("baseline")
     factor = F.when(odd, 3.5).when(tag == "dining_spike", 2.5).when(tag == "grocery_drift", 1 + 0.1 * (c("month_no") - 3)).otherwise(1.0)

@@ -41,6 +41,15 @@ def test_generator_plants_patterns(spark):
     assert df.exceptAll(f.generate_transactions(spark)).count() == 0
 
 
+def test_generator_adds_discretionary_rows_in_may(spark):
+    df = f.generate_transactions(spark)
+    n = {(r.category, r.m): r["count"] for r in df.groupBy("category", F.month("date").alias("m")).count().collect()}
+    for kind in ("dining", "shopping"):
+        assert n[kind, 5] == int(1.5 * n[kind, 4])
+    assert all(n[kind, 5] == n[kind, 4] for kind in ("groceries", "transportation", "utilities"))
+    assert df.select("transaction_id").distinct().count() == df.count()
+
+
 def run(query, name, spark, mode):
     q = query.writeStream.format("memory").queryName(name).outputMode(mode).start()
     q.processAllAvailable()
