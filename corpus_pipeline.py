@@ -7,8 +7,6 @@ unless their own score rejects them.
 
 from __future__ import annotations
 
-from functools import partial
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,9 +56,9 @@ def _near_dedup_of_texts(docs: DataFrame) -> DataFrame:
     return kept.select(docs.columns).union(nodes.where("__node is null").select(docs.columns))
 
 
-def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, passage_words: int | None = None) -> DataFrame:
-    """Lines that an earlier document has are cut, with ``passage_words`` also such passages within lines; ``n_chars`` follows the text."""
-    out = remove_repeated_units(docs, passage_words=passage_words)
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines and passages of over 50 words that stand earlier, by id and place, are cut; ``n_chars`` follows the text."""
+    out = remove_repeated_units(docs, min_words=51, passage_words=51)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
@@ -78,13 +76,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written as Parquet to the shared folder and reread by the next.
-
-    The substring stage alone cuts whole lines; here it also cuts passages of over 50 words within longer lines.
-    """
+    """All stages on ``documents``, each written as Parquet to the shared folder and reread by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        if stage is substring_dedup:
-            stage = partial(stage, passage_words=51)
         docs = materialize(stage(spark, docs, sf_dir), "stage")
     return STAGES[-1][1](spark, docs, sf_dir)

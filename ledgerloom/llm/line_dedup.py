@@ -8,10 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from xxhash import xxh3_128_digest
 
 from ledgerloom.llm.passages import add_repeated_passages
-from ledgerloom.llm.runtime import arrow_map, id_and_text, materialize
+from ledgerloom.llm.runtime import arrow_map, materialize
 
 #: A unit and the separator after it.
 SEPARATORS = {"line": re.compile("\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
@@ -33,19 +34,26 @@ def normal_form(unit: str) -> tuple[bytes, int]:
     return " ".join(words).encode("utf-8", "surrogatepass"), len(words)
 
 
-def unit_digests(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
-    """A row per unit of ``min_words`` words or more: document, row key, place, character span, 128-bit digest."""
+def unit_digests(docs: DataFrame, unit: str, min_words: int, whole_words: int | None = None) -> DataFrame:
+    """A row per unit of ``min_words`` words or more: document, row key, place, character span, 128-bit digest.
+
+    A text of several units and ``whole_words`` words or more is a unit as well, at place -1.
+    """
+    id_type = docs.schema["__id"].dataType.simpleString()
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, place, start, end, digest, units = [], [], [], [], [], np.zeros(batch.num_rows, np.int64)
         for k, text in enumerate(batch.column("__text").to_pylist()):
             if not text:
                 continue
-            for n, (a, b, after) in enumerate(units_of(text, unit)):
+            found = [(n, min_words, *x) for n, x in enumerate(units_of(text, unit))]
+            if whole_words is not None and len(found) > 1:
+                found.append((-1, whole_words, 0, len(text), len(text)))
+            for n, least, a, b, after in found:
                 form, words = normal_form(text[a:b])
-                if words >= min_words:
+                if words >= least:
                     row.append(k)
-                    units[k] += 1
+                    units[k] += n >= 0
                     place.append(n)
                     start.append(a)
                     end.append(after)
@@ -56,7 +64,7 @@ def unit_digests(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
             [batch.column("__id").take(pick), batch.column("__key").take(pick), *(pa.array(x, pa.int32()) for x in (place, start, end)), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(units).take(pick)],
             names=["__id", "__key", "place", "start", "end", "hi", "lo", "units"])
 
-    return arrow_map(docs, fn, "__id bigint, __key bigint, place int, start int, end int, hi bigint, lo bigint, units bigint")
+    return arrow_map(docs, fn, f"__id {id_type}, __key bigint, place int, start int, end int, hi bigint, lo bigint, units bigint")
 
 
 def remove_repeated_units(
@@ -74,22 +82,27 @@ def remove_repeated_units(
     ``array<struct<start, end>>`` of character offsets in the original text,
     each including the separator after the unit.
 
-    With ``passage_words``, runs of so many words or more that stand earlier in what the units' pass leaves of the
-    corpus are cut as well, wherever in a line they start and end; cuts that overlap are one span.
+    With ``passage_words``, runs of so many words or more whose equal stands earlier in the corpus are cut as well,
+    wherever in a line they start and end; cuts that overlap are one span.
 
     A digest's rows are reduced to their smallest place before the shuffle, and only
     digests that occur twice or more are joined back, by a join that adaptive execution
     may split; so a unit that stands in a third of all rows meets in no single task.
 
-    Defined cases: null and empty texts pass unchanged with 0 units; a null id
-    ranks after all others; rows of one id and one text count as a single
-    occurrence and are cut alike; columns named like a result are replaced;
+    Defined cases: ids are whole numbers or strings (others are compared as strings); null and empty texts pass unchanged with
+    0 units; a null id ranks after all others; rows of one id and one text count as a single
+    occurrence and are cut alike; of rows that share an id but differ in text, the smaller hash of the text ranks first; equal
+    units within a text: the first stays; texts are cut whole, however long; columns named like a result are replaced;
     no rows give no rows. A document of which nothing is left stays with an empty text.
     """
     if unit not in SEPARATORS:
         raise ValueError(f"unit must be one of {sorted(SEPARATORS)}")
-    rows = id_and_text(docs, id_col, text_col).withColumns({"__id": F.coalesce(F.col("__id").cast("bigint"), F.lit(2**63 - 1)), "__key": F.xxhash64("__text")})
-    units = materialize(unit_digests(rows, unit, min_words), "units")
+    whole_number = isinstance(docs.schema[id_col].dataType, IntegralType)
+    rank = F.col(f"`{id_col}`").cast("bigint" if whole_number else "string")
+    rank = F.coalesce(rank, F.lit(2**63 - 1 if whole_number else "\U0010ffff"))
+    keyed = docs.withColumns({"__id": rank, "__key": F.xxhash64(F.col(f"`{text_col}`"))})
+    rows = keyed.select("__id", "__key", F.col(f"`{text_col}`").alias("__text"))
+    units = materialize(unit_digests(rows, unit, min_words, passage_words), "units")
     place = F.struct("__id", "__key", "place")
     repeated = units.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select("hi", "lo", "first")
     repeated = materialize(repeated, "repeated")  # a plain scan below the join lets a hot digest's partition be split
@@ -97,7 +110,6 @@ def remove_repeated_units(
     found = (units.join(repeated, ["hi", "lo"], "left").groupBy("__id", "__key")
              .agg(F.max("units").alias("__units"), F.array_sort(F.collect_set(span)).alias("__spans")))
 
-    keyed = docs.withColumns({"__id": F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(2**63 - 1)), "__key": F.xxhash64(F.col(f"`{text_col}`"))})
     both = keyed.join(found, ["__id", "__key"], "left")
     both = both.withColumns({"__spans": F.coalesce("__spans", F.array().cast("array<struct<start:int,end:int>>")), "n_units": F.coalesce("__units", F.lit(0).cast("bigint"))}).drop("__units")
     if passage_words is not None:

@@ -56,29 +56,65 @@ def fingerprints(h: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     return at, prints[at]
 
 
-def kept_pieces(text: str, spans: list[dict] | None) -> list[tuple[int, str]]:
-    """(start, text) of what the spans leave."""
-    out, at = [], 0
-    for s in spans or []:
-        out.append((at, text[at : s["start"]]))
-        at = s["end"]
-    return [*out, (at, text[at:])]
+def hashes_of(text: str) -> np.ndarray:
+    """A hash of each lower-cased word."""
+    words = " ".join(text.lower().split()).encode("utf-8", "surrogatepass")
+    return word_hashes(words.split(b" ") if words else [])
 
 
-def hashes_of(pieces: list[tuple[int, str]]) -> np.ndarray:
-    words = " ".join(" ".join(p for _, p in pieces).lower().split()).encode("utf-8", "surrogatepass")
-    return word_hashes(words.split(b" ") if words else [])
+def open_windows(text: str, spans: list[dict] | None, windows: int, words: int) -> np.ndarray:
+    """Which windows of ``words`` words do not lie within one of the spans, which are cut already."""
+    step, at, place = np.zeros(windows + 1, np.int64), 0, 0
+    for s in sorted(spans or [], key=lambda s: (s["start"], -s["end"])):
+        if s["start"] < at:  # within the span before
+            continue
+        first = place + len(text[at : s["start"]].split())
+        place, at = first + len(text[s["start"] : s["end"]].split()), s["end"]
+        if place - first >= words:
+            step[first] += 1
+            step[place - words + 1] -= 1
+    return np.cumsum(step[:-1]) == 0
+
+
+def smallest_prints(h: np.ndarray, words: int) -> np.ndarray:
+    """Of each window of ``words`` words the smallest hash of ``PRINT`` words; equal windows have an equal one."""
+    return _sliding(mix(run_hashes(h, PRINT)), words - PRINT + 1, np.minimum)
+
+
+def fingerprints(h: np.ndarray, words: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The smallest prints of the ``wanted`` windows (all), one for each place that has one."""
+    if len(h) < words:
+        return np.empty(0, np.uint64)
+    prints, low, width = mix(run_hashes(h, PRINT)), smallest_prints(h, words), words - PRINT + 1
+    if wanted is not None:
+        low = np.where(wanted, low, np.uint64(0))
+    pad = np.zeros(width - 1, np.uint64)
+    return prints[prints == _sliding(np.concatenate([pad, low, pad]), width, np.maximum)]
+
 
+def spans_of(text: str, places: list[int], words: int, spans: list[dict] | None) -> list[dict]:
+    """Character spans of the windows that start at ``places``, and ``spans``; those that overlap are one.
 
-def places_of(text: str, pieces: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Characters where each word starts and where a cut that ends with it ends: after the blanks that part it from the line's next word."""
-    start = [at + m.start() for at, p in pieces for m in _WORD.finditer(p)]
-    end = []
-    for at, p in pieces:
-        for m in _WORD.finditer(p):
-            after = _BLANK.match(text, at + m.end()).end()
-            end.append(after if after < len(text) and text[after] != "\n" else at + m.end())
-    return np.array(start, np.int64), np.array(end, np.int64)
+    A span that ends within a line takes the blanks up to the next word with it.
+    """
+    found = [(s["start"], s["end"]) for s in spans or []]
+    if places:
+        at = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+        gone = np.zeros(len(at) + 2, np.int64)
+        np.add.at(gone, np.array(places) + 1, 1)
+        np.add.at(gone, np.array(places) + words + 1, -1)
+        edges = np.flatnonzero(np.diff((np.cumsum(gone) > 0).astype(np.int8)))
+        for first, after in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            end = at[after - 1][1]
+            blank = _BLANK.match(text, end).end()
+            found.append((at[first][0], blank if blank < len(text) and text[blank] != "\n" else end))
+    joined: list[dict] = []
+    for start, end in sorted(found):
+        if joined and start < joined[-1]["end"]:
+            joined[-1]["end"] = max(joined[-1]["end"], end)
+        else:
+            joined.append({"start": start, "end": end})
+    return joined
 
 
 def sieve(hashes: DataFrame, column: Column) -> DataFrame:
@@ -96,82 +132,74 @@ def sifted(df: DataFrame, column: Column, bits: DataFrame) -> DataFrame:
     return both.withColumn("__maybe", F.coalesce(F.col("bits").bitwiseAND(_bit(column)) != 0, F.lit(False))).drop("slot", "bits")
 
 
-def add_repeated_passages(lines: DataFrame, text_col: str, words: int) -> DataFrame:
-    """``lines`` (``__id``, ``__key``, the text and ``__spans``, the cut lines) with the repeated runs of ``words`` words or more in ``__spans``.
+def add_repeated_passages(rows: DataFrame, text_col: str, words: int) -> DataFrame:
+    """``rows`` (``__id``, ``__key``, the text and ``__spans``, units that are cut) with the repeated runs of ``words`` words or more in ``__spans``.
 
-    Runs are of lower-cased words and of what the line pass leaves of a text. A run of ``words`` words whose equal stands
-    earlier, in the rank of (id, place), is cut; overlapping ones make the longer run. Equal runs share a fingerprint, so
-    only runs that hold a repeated fingerprint are hashed in full (128 bits) and grouped, which leaves none out. Hot runs are
-    reduced to their first place before the shuffle; no pairs of texts are formed.
+    Runs are of lower-cased words of the whole text, line ends or not. A window of ``words`` words whose equal stands
+    earlier, in the rank of (id, key, place), is cut; overlapping ones make the longer run. Windows within a cut unit have their
+    equal in the unit's first occurrence, so they are neither looked up nor ever the first. Equal windows share their smallest
+    print, so only windows whose print occurs twice are hashed in full (128 bits) and grouped, which leaves none out. Hot
+    windows are reduced to their first place before the shuffle; no pairs of texts are formed.
     """
     if words < 2 * PRINT:
         raise ValueError(f"passages have {2 * PRINT} words or more")
-    kind = "array<struct<start:int,end:int>>"
-    text = lines.select("__id", "__key", F.col(f"`{text_col}`").alias("__text"), "__spans")
+    id_type = rows.schema["__id"].dataType.simpleString()
+    text = rows.select("__id", "__key", F.col(f"`{text_col}`").alias("__text"), "__spans")
 
     def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, place, value = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        row, value = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
         for k, (t, spans) in enumerate(zip(batch.column("__text").to_pylist(), batch.column("__spans").to_pylist(), strict=True)):
-            if t:
-                at, v = fingerprints(hashes_of(kept_pieces(t, spans)), words)
-                row.append(np.full(len(at), k))
-                place.append(at)
-                value.append(v)
+            if t and not any(s["start"] == 0 and s["end"] == len(t) for s in spans or ()):
+                h = hashes_of(t)
+                if len(h) >= words:
+                    v = fingerprints(h, words, open_windows(t, spans, len(h) - words + 1, words) if spans else None)
+                    row.append(np.full(len(v), k))
+                    value.append(v)
         pick = pa.array(np.concatenate(row))
-        return pa.RecordBatch.from_arrays([batch.column("__id").take(pick), batch.column("__key").take(pick), pa.array(np.concatenate(place), pa.int32()), pa.array(np.concatenate(value).view(np.int64))], names=["__id", "__key", "at", "print"])
+        return pa.RecordBatch.from_arrays([batch.column("__id").take(pick), batch.column("__key").take(pick), pa.array(np.concatenate(value).view(np.int64))], names=["__id", "__key", "print"])
 
-    found = materialize(arrow_map(text, prints, "__id bigint, __key bigint, at int, print bigint"), "prints")
+    found = materialize(arrow_map(text, prints, f"__id {id_type}, __key bigint, print bigint"), "prints")
     twice = materialize(found.groupBy("print").agg(F.count("*").alias("times")).where("times > 1").select("print"), "repeated-prints")
     near = sifted(found, F.col("print"), sieve(twice, F.col("print"))).where("__maybe").drop("__maybe")
-    marks = materialize(near.join(twice, "print").groupBy("__id", "__key").agg(F.collect_set("at").alias("__at")), "marks")
+    marks = materialize(near.join(twice, "print").groupBy("__id", "__key").agg(F.collect_set("print").alias("__prints")), "marks")
 
     name = F.xxhash64("__id", "__key")
-    split = sifted(lines, name, sieve(marks, name))
+    split = sifted(rows, name, sieve(marks, name))
     some = materialize(split.where("__maybe").drop("__maybe").join(marks, ["__id", "__key"], "left"), "candidates")
 
     def runs(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, parts = [np.empty(0, np.int64)], [[np.empty(0, np.int64)] for _ in range(5)]
-        columns = (batch.column(c).to_pylist() for c in ("__text", "__spans", "__at"))
+        row, parts = [np.empty(0, np.int64)], [[np.empty(0, np.int64)] for _ in range(3)]
+        columns = (batch.column(c).to_pylist() for c in ("__text", "__spans", "__prints"))
         for k, (t, spans, marked) in enumerate(zip(*columns, strict=True)):
-            pieces = kept_pieces(t, spans)
-            h = hashes_of(pieces)
-            n = len(h) - words + 1
-            step = np.zeros(n + 1, np.int64)  # runs that hold a marked fingerprint
-            marked = np.array(marked)
-            np.add.at(step, np.maximum(marked - (words - PRINT), 0), 1)
-            np.add.at(step, np.minimum(marked + 1, n), -1)
-            at = np.flatnonzero(np.cumsum(step[:-1]) > 0)
-            start, end = places_of(t, pieces)
+            h = hashes_of(t)
+            wanted = np.isin(smallest_prints(h, words), np.array(marked, np.int64).view(np.uint64))
+            at = np.flatnonzero(wanted & open_windows(t, spans, len(wanted), words))
             row.append(np.full(len(at), k))
-            made = (at, start[at], end[at + words - 1], *(mix(run_hashes(x, words))[at].view(np.int64) for x in (h, mix(h + _STEP))))
-            for part, x in zip(parts, made, strict=True):
+            for part, x in zip(parts, (at, *(mix(run_hashes(x, words))[at].view(np.int64) for x in (h, mix(h + _STEP)))), strict=True):
                 part.append(x)
         pick = pa.array(np.concatenate(row))
-        place, start, end, hi, lo = (np.concatenate(x) for x in parts)
-        return pa.RecordBatch.from_arrays([batch.column("__id").take(pick), batch.column("__key").take(pick), *(pa.array(x, pa.int32()) for x in (place, start, end)), pa.array(hi), pa.array(lo)], names=["__id", "__key", "place", "start", "end", "hi", "lo"])
+        place, hi, lo = (np.concatenate(x) for x in parts)
+        return pa.RecordBatch.from_arrays([batch.column("__id").take(pick), batch.column("__key").take(pick), pa.array(place, pa.int32()), pa.array(hi), pa.array(lo)], names=["__id", "__key", "place", "hi", "lo"])
 
-    asked = some.where("__at is not null").select("__id", "__key", F.col(f"`{text_col}`").alias("__text"), "__spans", "__at")
-    every = materialize(arrow_map(asked, runs, "__id bigint, __key bigint, place int, start int, end int, hi bigint, lo bigint"), "runs")
+    asked = some.where("__prints is not null").select("__id", "__key", F.col(f"`{text_col}`").alias("__text"), "__spans", "__prints")
+    every = materialize(arrow_map(asked, runs, f"__id {id_type}, __key bigint, place int, hi bigint, lo bigint"), "windows")
     place = F.struct("__id", "__key", "place")
-    first = every.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hi", "lo", "first")
-    first = materialize(first, "repeated-runs")
-    later = every.join(first, ["hi", "lo"]).where(place != F.col("first")).groupBy("__id", "__key").agg(F.collect_set(F.struct("start", "end")).alias("__runs"))
+    first = every.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select("hi", "lo", "first")
+    first = materialize(first, "repeated-windows")
+    later = every.join(first, ["hi", "lo"]).where(place != F.col("first")).groupBy("__id", "__key").agg(F.collect_set("place").alias("__places"))
+    both = some.drop("__prints").join(later, ["__id", "__key"], "left")
+
+    names = rows.columns
 
     def merged(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for found in batch.column("__runs").to_pylist():
-            joined: list[list[int]] = []
-            for s in sorted(found, key=lambda s: (s["start"], s["end"])):
-                if joined and s["start"] < joined[-1][1]:
-                    joined[-1][1] = max(joined[-1][1], s["end"])
-                else:
-                    joined.append([s["start"], s["end"]])
-            out.append([{"start": a, "end": b} for a, b in joined])
+        columns = (batch.column(c).to_pylist() for c in (text_col, "__spans", "__places"))
+        out = [spans_of(t or "", places or [], words, spans) for t, spans, places in zip(*columns, strict=True)]
         spans = pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-        return pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__key"), spans], names=["__id", "__key", "__all"])
-
-    cut = some.select("__id", "__key", "__spans").distinct().join(later, ["__id", "__key"]).select("__id", "__key", F.concat("__spans", "__runs").alias("__runs"))
-    cuts = arrow_map(cut, merged, f"__id bigint, __key bigint, __all {kind}")
-    changed = some.drop("__at").join(cuts, ["__id", "__key"], "left").withColumn("__spans", F.coalesce("__all", "__spans")).drop("__all")
-    rest = split.where(~F.col("__maybe")).drop("__maybe")
-    return rest.select(lines.columns).union(changed.select(lines.columns))
+        return pa.RecordBatch.from_arrays([spans if c == "__spans" else batch.column(c) for c in names], names=names)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    # outside of the candidates there are cut units alone, of which a whole text holds the others
+    rest = split.where(~F.col("__maybe")).select(rows.columns)
+    whole = F.filter("__spans", lambda s: (s["start"] == 0) & (s["end"] == F.length(F.col(f"`{text_col}`"))))
+    rest = rest.withColumn("__spans", F.when(F.size(whole) > 0, whole).otherwise(F.col("__spans")))
+    return rest.union(arrow_map(both.select(*rows.columns, "__places"), merged, kinds))

@@ -26,8 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of five words or more, and passages of over 50 words within longer lines, stay where they first occur in ``documents``."""
-    return remove_repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"), passage_words=51)
+    """Lines and passages of over 50 words stay where they first occur in ``documents``."""
+    return remove_repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=51, passage_words=51)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,17 +8,25 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from ledgerloom.llm.line_dedup import remove_repeated_units
-from ledgerloom.llm.passages import fingerprints, run_hashes
-from tests.llm.test_dedup import DOCS, brute_lines
+from ledgerloom.llm.queries import op1_substring_dedup
+from ledgerloom.llm.passages import fingerprints, open_windows, run_hashes, smallest_prints
+from tests.llm.test_dedup import DOCS
 
 WORDS = 51
 
 
-def brute_passages(rows, words=WORDS):
-    """Words that stay after lines and then runs are cut, by id."""
-    first, texts = {}, {i: (t or "").lower().split() for i, (t, _) in brute_lines(rows, 5).items()}
+def brute_passages(rows, words=WORDS, least=WORDS):
+    """Words that stay after repeated lines of ``least`` words and repeated windows are cut, by id."""
+    first, texts = {}, {i: (t or "").lower().split() for i, t in rows}
     gone = {i: np.zeros(len(w), bool) for i, w in texts.items()}
+    lines, given = {}, dict(rows)
     for i in sorted(texts):
+        at = 0
+        for n, line in enumerate((given[i] or "").lower().split("\n")):
+            form = line.split()
+            if len(form) >= least and lines.setdefault(tuple(form), (i, n)) != (i, n):
+                gone[i][at : at + len(form)] = True
+            at += len(form)
         for n in range(len(texts[i]) - words + 1):
             if first.setdefault(tuple(texts[i][n : n + words]), (i, n)) != (i, n):
                 gone[i][n : n + words] = True
@@ -41,10 +49,20 @@ def test_run_hashes_and_fingerprints(size):
     got = run_hashes(h, size)
     assert len(got) == 400 - size + 1
     assert len({tuple(h[i : i + size]) for i in range(len(got))}) == len(set(got.tolist()))
-    at, value = fingerprints(h, WORDS)
-    assert all(((at >= s) & (at <= s + WORDS - 20)).any() for s in range(400 - WORDS + 1))
-    assert set(at[(at >= 100) & (at < 140)] + 200) & set(at)
-    assert len(at) == len(value) < 60 and len(fingerprints(h[: WORDS - 1], WORDS)[0]) == 0
+    if size >= 20:
+        low = smallest_prints(h, WORDS)
+        assert np.array_equal(low[100:110], low[300:310])
+        assert set(fingerprints(h, WORDS).tolist()) == set(low.tolist())
+        open_ = np.arange(len(low)) < 90
+        assert set(fingerprints(h, WORDS, open_).tolist()) == set(low[open_].tolist())
+        assert len(fingerprints(h, WORDS)) < 60 and len(fingerprints(h[: WORDS - 1], WORDS)) == 0
+
+
+def test_windows_within_a_cut_unit_are_done():
+    text = "a b c\nd e f g\nh i"
+    spans = [{"start": 6, "end": 14}, {"start": 0, "end": 6}]
+    assert open_windows(text, spans, 7, 3).tolist() == [False, True, True, False, False, True, True]
+    assert open_windows(text, None, 7, 3).all()
 
 
 def test_passages_inside_lines(spark):
@@ -58,21 +76,31 @@ def test_passages_inside_lines(spark):
         text = " ".join(w.upper() if rng.random() < 0.1 else w for p in parts for w in p)
         rows.append((k, text if k % 3 else text.replace(" ", "\n", rng.randrange(4)).replace(" ", "  \t", 5)))
     rows += [(100, " ".join(["same"] * 200)), (101, None), (102, ""), (103, " ".join(run[4])), (104, "é " + " ".join(run[3]) + " ü\nlast")]
+    rows += [(105, rows[1][1]), (106, "x " + rows[1][1].replace("  ", " ") + "\ny"), (107, "\n".join(run[4][:30]) + "\n" + " ".join(run[4][30:]))]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("place", F.lit("x"))
-    got = {r.doc_id: r for r in remove_repeated_units(df, passage_words=WORDS).collect()}
-    assert {i: (r.text or "").lower().split() for i, r in got.items()} == brute_passages(rows)
-    for i, t in rows:
-        assert got[i].place == "x" and got[i].n_removed == len(got[i].removed)
-        assert (got[i].text or "").split() == cut_again(t or "", got[i].removed).split()
-    assert got[104].text == "é ü\nlast" and got[103].text == "" and got[101].text is None
+    for least in (WORDS, 5):
+        got = {r.doc_id: r for r in remove_repeated_units(df, min_words=least, passage_words=WORDS).collect()}
+        assert {i: (r.text or "").lower().split() for i, r in got.items()} == brute_passages(rows, least=least)
+        for i, t in rows:
+            assert got[i].place == "x" and got[i].n_removed == len(got[i].removed)
+            assert (got[i].text or "").split() == cut_again(t or "", got[i].removed).split()
+        assert got[104].text == "é ü\nlast" and got[103].text == "" and got[101].text is None and got[105].text == ""
 
 
 def test_passages_of_documents_match_brute_force(spark):
     docs = spark.read.parquet(DOCS)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    got = {r.doc_id: r.text for r in remove_repeated_units(docs, passage_words=WORDS).collect()}
+    got = {r.doc_id: r.text for r in op1_substring_dedup(spark, DOCS.rpartition("/")[0]).collect()}
     assert {i: (t or "").lower().split() for i, t in got.items()} == brute_passages(rows)
-    assert sum(len((got[i] or "").split()) < len((t or "").split()) for i, (t, _) in brute_lines(rows, 5).items()) == 54  # 26 of them within one document
+
+
+def test_very_long_texts_and_string_ids(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    rows = [("b", " ".join(words)), ("a", " ".join(words[20_000:50_000])), (None, " ".join([*words[:100], "end"])), ("c", "\n".join(words[59_000:]))]
+    df = spark.createDataFrame(rows, "name string, text string")
+    got = {r.name: r.text.split() for r in remove_repeated_units(df, id_col="name", min_words=WORDS, passage_words=WORDS).collect()}
+    assert got == {"a": words[20_000:50_000], "b": words[:20_000] + words[50_000:], "c": [], None: ["end"]}
 
 
 def test_no_rows_and_one_id(spark):

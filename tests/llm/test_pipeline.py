@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from tests.llm.test_dedup import brute_components, brute_lines
+from tests.llm.test_dedup import brute_components
 from tests.llm.test_packing import check
+from tests.llm.test_passages import brute_passages
 
 DIR = "/root/testdata/sf0.01"
 
@@ -43,7 +44,8 @@ def test_near_dedup_stage(outputs):
 def test_substring_stage(outputs):
     before = [(r.doc_id, r.text) for r in outputs[3].collect()]
     after = {r.doc_id: (r.text, r.n_chars) for r in outputs[4].collect()}
-    assert after == {i: (t, len(t)) for i, (t, _) in brute_lines(before, 5).items()}
+    assert {i: t.lower().split() for i, (t, _) in after.items()} == brute_passages(before)
+    assert all(n == len(t) for t, n in after.values())
 
 
 def test_packing_stage(outputs):
