@@ -1,12 +1,13 @@
 """Operator 6 against its SQL, a brute-force count, and on odd rows."""
 
+import random
 import re
 from collections import Counter
 
 import duckdb
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.adaptive_rules import ORACLE_SQL, adaptive_rules, bucket, upper_edge
+from ledgerloom.llm.adaptive_rules import ORACLE_SQL, RULES, adaptive_rules, bucket, upper_edge
 
 DIR = "/root/testdata/sf0.01"
 BASE = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -39,6 +40,43 @@ def test_clean_stay_and_junk_goes(spark):
     assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.05
 
 
+FENCES = [f"fence_{x}" for x in RULES]
+
+
+def _fences(df, **how):
+    return {(r.lang, r.source): tuple(r[x] for x in FENCES) for r in adaptive_rules(df, **how).join(df.select("doc_id", "lang", "source"), "doc_id").select("lang", "source", *FENCES).distinct().collect()}
+
+
+def test_fences_are_each_groups_own(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    before = _fences(docs)
+    for k in range(len(RULES)):
+        assert len({f[k] for f in before.values()}) > 10
+    lang, source = "en", "src3"
+    mine = (F.col("lang") == lang) & (F.col("source") == source)
+    louder = docs.withColumn("text", F.when(mine, F.regexp_replace("text", r"(\w) (\w)", "$1, $2")).otherwise(F.col("text")))
+    after = _fences(louder, spread=14, prior_rows=50)
+    assert after[lang, source][0] > 1.5 * before[lang, source][0]
+    moved = [(g, a[0] / before[g][0]) for g, a in after.items() if g != (lang, source) and a[0] != before[g][0]]
+    assert all(0.9 < x < 1.12 for _, x in moved)  # through the prior rows of the language alone
+
+
+def test_quantiles_shrink_without_a_jump(spark):
+    """One text more or less moves a small group's fence by little, and a group of equal texts keeps its language's width."""
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    line = lambda: " ".join(rng.choice(words) + rng.choice(["", "", "", ",", "."]) for _ in range(60))
+    rows = [(k, line(), "en", "big") for k in range(150)]
+    few = [(1000 + k, line() + " " + ", ".join(words[:9]), "en", "small") for k in range(60)]
+    same = [(2000 + k, few[0][1], "en", "copies") for k in range(80)]
+    make = lambda n: spark.createDataFrame(rows + few[:n] + same, "doc_id long, text string, lang string, source string")
+    got = {n: _fences(make(n)) for n in (48, 49, 50, 51)}
+    for k in range(len(RULES)):
+        sizes = [f["en", "small"][k] for f in got.values()]
+        assert max(sizes) <= 1.15 * min(sizes)
+    assert all(r.kept for r in adaptive_rules(make(50)).collect())
+
+
 def test_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(30))
     rows = [(1, None, "en", "a"), (2, "", None, None), (3, " \n\t\x0b", "en", "a"), (None, long, "en", "a"), (4, f"{long}\n{long}", "en", "a"), (4, f"{long}\n{long}", "en", "a"), (5, "é " * 20_000, "fr", "b"), (6, "a b c d e f g h a b c d e f g h", "en", "a"), (7, "0b x cab b0 x\\x0c", "en", "a"), (8, "\u00a0 x\u2003y", "en", "a")]
