@@ -13,7 +13,7 @@ from ledgerloom.llm.runtime import arrow_map, discard, id_and_text, materialize,
 
 #: Members of one block of a bucket that is examined pair by pair.
 BLOCK_MEMBERS = 256
-#: A signature estimate this far under the threshold (over five standard deviations) rules a pair out.
+#: A signature estimate this far under the threshold rules a pair out: with 128 minima, a pair at 0.8 with probability 8e-8.
 SLACK = 0.2
 
 
@@ -101,37 +101,56 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _explore(members: DataFrame, base: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _open_pairs(group: pa.Table, percent: int) -> np.ndarray:
+    """Which (home, away) pairs of a block are to be tested: of different roots, in the first band they share, not ruled out by
+    their signatures. A pair of which neither has the bucket's main root meets in two blocks and counts in one."""
+    ids, roots, home = (group[c].to_numpy(zero_copy_only=False) for c in ("__id", "root", "is_home"))
+    h, a = np.flatnonzero(home), np.flatnonzero(~home)
+    main, band = group["main"][0].as_py(), group["band"][0].as_py()
+    open_ = (roots[h][:, None] != roots[a][None, :]) & ((roots[h] == main)[:, None] | (ids[h][:, None] < ids[a][None, :]))
+    keys = np.array(group["bands"].to_pylist(), np.int64)
+    for k in range(band):
+        open_ &= keys[h, k][:, None] != keys[a, k][None, :]
+    sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint16).reshape(len(ids), -1)
+    sig_h, sig_a = sig[h], sig[a]
+    for y in np.flatnonzero(open_.any(axis=0)):
+        xs = np.flatnonzero(open_[:, y])
+        open_[xs, y] = (sig_h[xs] == sig_a[y]).mean(axis=1) >= percent / 100 - SLACK
+    full = np.zeros((len(ids), len(ids)), bool)
+    full[np.ix_(h, a)] = open_
+    return full
+
+
+def _explore(members: DataFrame, mixed: DataFrame, base: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links inside buckets that still hold several components, by blocks of members.
 
-    ``members``: (bucket, band, __id, root, n_blocks). A group is one pair of blocks of
-    one bucket, so at most ``2 * BLOCK_MEMBERS`` texts are in memory. A pair is tested in the first band that it shares, on full
-    sets: many pairs at once as a matrix product, few one by one. A group returns
-    only links that join two components, never more than its members.
+    ``members``: (bucket, band, __id, root); ``mixed``: (bucket, main, n_home, n_away). Only members outside of a bucket's most
+    frequent root (``main``) have partners to be sought, so each member has one home block, each of the others one away
+    block as well, and a group is one home block with one away block: ``2 * BLOCK_MEMBERS`` members or so. Members that are linked
+    already are never paired, and a bucket of which all but a few members are linked is not multiplied.
+
+    Ids, bands and signatures alone meet first; texts are fetched for members that some signature leaves a partner. A pair is
+    tested in the first band that it shares, on full sets: many pairs at once as a matrix product, few one by one. A
+    group returns only links that join two components, never more than its members.
     """
-    full = (members.join(base.select("__id", "sig", "bands"), "__id").join(texts, "__id")
-            .withColumn("mine", F.pmod(F.xxhash64("__id"), F.col("n_blocks")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1)))
-            .select("bucket", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "mine", "band", "__id", "root", "sig", "bands", "__text"))
-
-    def fn(group: pa.Table) -> pa.Table:
-        ids, roots, mine = (group[c].to_numpy() for c in ("__id", "root", "mine"))
-        order = np.argsort(ids, kind="stable")
-        order = order[np.unique(ids[order], return_index=True)[1]]
-        group, ids, roots, mine = group.take(pa.array(order)), ids[order], roots[order], mine[order]
-        m, band = len(ids), group["band"][0].as_py()
-        open_ = np.triu(roots[:, None] != roots[None, :], 1)
-        if group["b1"][0].as_py() != group["b2"][0].as_py():
-            open_ &= mine[:, None] != mine[None, :]
-        keys = np.array(group["bands"].to_pylist(), np.int64)
-        for k in range(band):
-            open_ &= keys[:, k][:, None] != keys[:, k][None, :]
-        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint16).reshape(m, -1)
-        for x in np.flatnonzero(open_.any(axis=1)):
-            ys = np.flatnonzero(open_[x])
-            open_[x, ys] = (sig[ys] == sig[x]).mean(axis=1) >= percent / 100 - SLACK
-        out = []
+    kinds = "bucket bigint, home int, away int, band int, main bigint, __id bigint, root bigint, is_home boolean"
+    names = [x.split()[0] for x in kinds.split(", ")]
+    every = members.join(mixed, "bucket")
+    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    mine = lambda n, seed: F.pmod(F.xxhash64("__id", F.lit(seed)), F.col(n)).cast("int")
+    homes = every.withColumns({"home": mine("n_home", 1), "is_home": F.lit(True)}).withColumn("away", blocks("n_away"))
+    aways = every.where("root <> main").withColumns({"away": mine("n_away", 2), "is_home": F.lit(False)}).withColumn("home", blocks("n_home"))
+    placed = homes.select(names).union(aways.select(names))
+    prints = base.select("__id", "sig", "bands")
+
+    def hopeful(group: pa.Table) -> pa.Table:
+        open_ = _open_pairs(group, percent)
+        return group.select(names).filter(pa.array(open_.any(axis=0) | open_.any(axis=1)))
+
+    def linked(group: pa.Table) -> pa.Table:
+        open_, out = _open_pairs(group, percent), []
         if open_.any():
+            ids, roots = group["__id"].to_pylist(), group["root"].to_pylist()
             raw = utf8_bytes(group["__text"].combine_chunks())
             used = np.flatnonzero(open_.any(axis=0) | open_.any(axis=1))
             sets = {int(k): shingle_hashes(words_of(raw[k]), words) for k in used}
@@ -141,25 +160,26 @@ def _explore(members: DataFrame, base: DataFrame, texts: DataFrame, words: int,
                 xs, ys = np.nonzero(open_)
                 i, j = np.array([at[k] for k in xs.tolist()]), np.array([at[k] for k in ys.tolist()])
                 good = 100 * both[i, j] >= percent * (n[i] + n[j] - both[i, j])
-                linked = zip(xs[good].tolist(), ys[good].tolist(), strict=True)
+                found = zip(xs[good].tolist(), ys[good].tolist(), strict=True)
             else:
-                linked = ((x, y) for x, y in zip(*(z.tolist() for z in np.nonzero(open_)), strict=True) if _linked(sets[x], sets[y], percent))
-            parent = {r: r for r in roots.tolist()}
+                found = ((x, y) for x, y in zip(*(z.tolist() for z in np.nonzero(open_)), strict=True) if _linked(sets[x], sets[y], percent))
+            parent = {r: r for r in roots}
 
             def find(x: int) -> int:
                 while parent[x] != x:
                     parent[x] = x = parent[parent[x]]
                 return x
 
-            for x, y in linked:
-                a, b = find(int(roots[x])), find(int(roots[y]))
+            for x, y in found:
+                a, b = find(roots[x]), find(roots[y])
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-                    out.append((int(ids[y]), int(ids[x])))
+                    out.append((ids[y], ids[x]))
         return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
 
     ship(members.sparkSession)
-    return full.groupBy("bucket", "b1", "b2").applyInArrow(fn, "u bigint, v bigint")
+    some = materialize(placed.join(prints, "__id").groupBy("bucket", "home", "away").applyInArrow(hopeful, kinds), "hopeful")
+    return some.join(prints, "__id").join(texts, "__id").groupBy("bucket", "home", "away").applyInArrow(linked, "u bigint, v bigint")
 
 
 def near_duplicates(
@@ -180,9 +200,10 @@ def near_duplicates(
        the exact test on full sets.
     3. Components come from alternating large-star and small-star.
     4. Buckets that still hold several components are examined in blocks, so no link that
-       banding proposes is lost; already connected members are not paired.
+       banding proposes is lost; already connected members are neither paired nor multiplied.
 
-    A pair exactly at 0.8 is missed with probability ``(1 - 0.8**4)**32``, 5e-8.
+    A pair exactly at 0.8 is missed with probability ``(1 - 0.8**4)**32``, 5e-8, by the bands and with 8e-8 by the
+    signatures, if nothing else links its ends.
 
     Defined cases: null and word-less texts have an empty set, ``n_shingles`` 0,
     and link with nothing; fewer words than a shingle make the whole sequence one shingle; a null id
@@ -226,11 +247,13 @@ def near_duplicates(
 
     # every head was paired with its whole bucket, so only pairs without it are left to examine
     others = rooted(shared.where("size > 2 and __id <> head").select("bucket", "band", "__id"), "__id", "root")
-    mixed = others.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    mixed = materialize(mixed.select("bucket", F.ceil(F.col("size") / BLOCK_MEMBERS).cast("bigint").alias("n_blocks")), "mixed")
+    sizes = others.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("size")).where("size > most.n")
+    in_blocks = lambda n: F.ceil(n / BLOCK_MEMBERS).cast("bigint")
+    mixed = materialize(sizes.select("bucket", F.col("most.root").alias("main"), in_blocks(F.col("size")).alias("n_home"),
+                                     in_blocks(F.col("size") - F.col("most.n")).alias("n_away")), "mixed")
     if mixed.head(1):
-        members = others.join(mixed, "bucket").select("bucket", "band", "__id", "root", "n_blocks")
-        roots = settle(_explore(members, base, texts, shingle_words, percent))
+        roots = settle(_explore(others, mixed, base, texts, shingle_words, percent))
 
     discard(texts)
     out = (base.join(classes.select("digest", "rep"), "digest", "left").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import minhash_dedup
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.line_dedup import remove_repeated_units
 from ledgerloom.llm.minhash_dedup import intersections, near_duplicates
@@ -153,3 +154,27 @@ def test_components_of_random_graphs(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {n: find(n) for n in parent}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_a_large_bucket_is_not_multiplied(spark, monkeypatch):
+    """50,000 members of which all but one are linked: each meets the odd one, and only texts that may match are fetched."""
+    n, words = 50_000, " ".join(f"w{i}" for i in range(30))
+    near = F.col("__id") % 1000 == 0
+    ids = spark.range(n).withColumnRenamed("id", "__id")
+    sig = F.when(near | (F.col("__id") == n - 1), F.unhex(F.lit("07" * 256))).otherwise(F.unhex(F.lit("01" * 256)))
+    base = ids.select("__id", sig.alias("sig"), F.array_repeat(F.lit(5).cast("bigint"), 32).alias("bands"))
+    texts = ids.select("__id", F.when(near | (F.col("__id") == n - 1), F.lit(words)).otherwise(F.lit("other")).alias("__text"))
+    members = ids.select(F.lit(9).cast("bigint").alias("bucket"), F.lit(0).alias("band"), "__id", F.when(F.col("__id") == n - 1, n - 1).otherwise(0).cast("bigint").alias("root"))
+    mixed = spark.createDataFrame([(9, 0, -(-n // 256), 1)], "bucket long, main long, n_home long, n_away long")
+    fetched = []
+
+    def spy(df, tag):
+        out = minhash_dedup.storage_materialize(df, tag)
+        fetched.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "storage_materialize", minhash_dedup.materialize, raising=False)
+    monkeypatch.setattr(minhash_dedup, "materialize", spy)
+    links = minhash_dedup._explore(members, mixed, base, texts, 5, 80).collect()
+    assert {(max(r.u, r.v), min(r.u, r.v) % 1000) for r in links} == {(n - 1, 0)}
+    assert len(fetched) == 1 and fetched[0][1] <= 2 * n // 1000  # 50 members and, in their blocks, the odd one
