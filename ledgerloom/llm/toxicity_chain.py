@@ -14,13 +14,8 @@ from ledgerloom.llm.runtime import arrow_map, arrow_score, utf8_bytes
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
-#: Categories in chain order. The labels mark a text as toxic or not; the
-#: finer ones hold for a toxic text with one of their seed words, the last is the label.
-CATEGORIES: tuple[tuple[str, tuple[str, ...]], ...] = (
-    ("insult", ("idiot", "moron", "clown", "loser", "scum", "fool", "imbecile")),
-    ("contempt", ("stupid", "pathetic", "worthless", "disgusting", "trash", "garbage", "useless")),
-    ("toxic", ()),
-)
+#: Kinds of toxic text that the chain predicts before it predicts toxicity.
+KINDS = 4
 
 
 @dataclass(frozen=True)
@@ -52,6 +47,65 @@ class Presence:
         return np.unique(np.concatenate(out)).astype(np.int32)
 
 
+def _pairs(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
+
+
+def informative(owner: np.ndarray, ids: np.ndarray, y: np.ndarray, width: int, most: int, least_g: float) -> np.ndarray:
+    """The buckets, at most ``most``, that tell the labels apart: by likelihood-ratio statistic, from ``least_g`` on, in four rows or more."""
+    n1 = int(y.sum())
+    n0 = len(y) - n1
+    c1 = np.bincount(ids[y[owner] == 1], minlength=width)
+    c0 = np.bincount(ids, minlength=width) - c1
+    g = np.zeros(width)
+    for part, whole in ((c1, n1), (c0, n0)):
+        expected = (c1 + c0) * (whole / len(y))
+        for seen, mean in ((part, expected), (whole - part, whole - expected)):
+            g += 2 * seen * np.log(np.where(seen > 0, seen, 1) / np.maximum(np.where(seen > 0, mean, 1), 1e-9))
+    g[c1 + c0 < 4] = 0
+    chosen = np.argsort(-g, kind="stable")[:most]
+    return np.sort(chosen[g[chosen] >= least_g])
+
+
+def kinds_of(rows: list[np.ndarray], y: np.ndarray, width: int, kinds: int, rounds: int = 20) -> np.ndarray:
+    """The kind of each row that ``y`` marks, -1 for others: spherical k-means over the buckets that tell the labels apart and
+    are commoner in marked rows, whatever the language. Centres start farthest first; larger kinds have smaller numbers."""
+    out = np.full(len(y), -1)
+    marked = np.flatnonzero(y == 1)
+    if not len(marked) or len(marked) == len(y):
+        out[marked] = 0
+        return out
+    owner, ids = _pairs(rows)
+    chosen = informative(owner, ids, y, width, 256, 12.0)
+    share = lambda k: np.bincount(ids[y[owner] == k], minlength=width)[chosen] / max((y == k).sum(), 1)
+    chosen = chosen[share(1) > share(0)]
+    place = np.full(width, -1)
+    place[chosen] = np.arange(len(chosen))
+    x = np.zeros((len(rows), len(chosen)))
+    hit = place[ids] >= 0
+    x[owner[hit], place[ids[hit]]] = 1
+    x = x[marked]
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    centres = x[[int(np.argmax(x @ x.mean(axis=0)))]] if len(chosen) else np.zeros((1, 0))
+    while len(centres) < kinds:
+        nearest = (x @ centres.T).max(axis=1)
+        far = int(np.argmin(np.where(x.any(axis=1), nearest, 2.0)))
+        if nearest[far] > 1 - 1e-9:
+            break
+        centres = np.vstack([centres, x[far]])
+    for _ in range(rounds):
+        kind = (x @ centres.T).argmax(axis=1)
+        sums = np.stack([x[kind == k].sum(axis=0) for k in range(len(centres))])
+        moved = np.where(sums.any(axis=1, keepdims=True), sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12), centres)
+        if np.allclose(moved, centres):
+            break
+        centres = moved
+    kind = (x @ centres.T).argmax(axis=1)
+    rank = np.argsort(np.argsort(-np.bincount(kind, minlength=len(centres)), kind="stable"), kind="stable")
+    out[marked] = rank[kind]
+    return out
+
+
 class LinearModel:
     """Logistic regression on the features that tell the classes apart, plus the chain's earlier probabilities."""
 
@@ -65,17 +119,8 @@ class LinearModel:
         n0 = len(y) - n1
         if not n1 or not n0:
             return cls(width, np.empty(0, np.int64), np.empty(0), np.zeros(extra.shape[1]), 8.0 if n1 else -8.0)
-        owner, ids = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
-        c1 = np.bincount(ids[y[owner] == 1], minlength=width)
-        c0 = np.bincount(ids, minlength=width) - c1
-        g = np.zeros(width)
-        for part, whole in ((c1, n1), (c0, n0)):
-            expected = (c1 + c0) * (whole / len(y))
-            for seen, mean in ((part, expected), (whole - part, whole - expected)):
-                g += 2 * seen * np.log(np.where(seen > 0, seen, 1) / np.maximum(np.where(seen > 0, mean, 1), 1e-9))
-        g[c1 + c0 < 4] = 0
-        chosen = np.argsort(-g, kind="stable")[:most]
-        chosen = np.sort(chosen[g[chosen] >= least_g])
+        owner, ids = _pairs(rows)
+        chosen = informative(owner, ids, y, width, most, least_g)
         place = np.full(width, -1)
         place[chosen] = np.arange(len(chosen))
         x = np.zeros((len(rows), len(chosen) + extra.shape[1] + 1))
@@ -146,37 +191,32 @@ class ClassifierChain:
         return p
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str, id_col: str, text_col: str, limit: int, where=None, categories=CATEGORIES, features: Presence = Presence()) -> ClassifierChain:  # noqa: B008
+def train(docs: DataFrame, labels: DataFrame, *, label: str, id_col: str, text_col: str, limit: int, where=None, kinds: int = KINDS, features: Presence = Presence()) -> ClassifierChain:  # noqa: B008
     """Fit the chain on at most ``limit`` labelled documents, whose features are made on the executors."""
-    seeds = [frozenset(s.encode() for s in words) for _, words in categories]
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = utf8_bytes(batch.column("__text"))
-        marks = []
-        for t in texts:
-            words = {w.strip(b".,;:!?\"'()#*$%&|<>") for w in (t or b"").lower().split()}
-            marks.append([not s or not s.isdisjoint(words) for s in seeds])
-        return pa.RecordBatch.from_arrays(
-            [batch.column("__id"), batch.column("label"), pa.array([features.of(t) for t in texts], pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.bool_()))],
-            names=["__id", "label", "ids", "marks"])
+        ids = pa.array([features.of(t) for t in utf8_bytes(batch.column("__text"))], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("label"), ids], names=["__id", "label", "ids"])
 
     sample = labelled_sample(docs, labels, label, id_col=id_col, text_col=text_col, limit=limit, where=where)
-    got = arrow_map(sample, fn, "__id bigint, label int, ids array<int>, marks array<boolean>").toArrow().sort_by("__id")
-    rows = [x.values.to_numpy() for x in got["ids"]]
-    marks = np.array(got["marks"].to_pylist(), bool).reshape(len(rows), len(seeds))
-    targets = (marks & (got["label"].to_numpy()[:, None] == 1)).astype(np.int64)
-    return ClassifierChain.fit(rows, targets, 1 << features.bits)
+    got = arrow_map(sample, fn, "__id bigint, label int, ids array<int>").toArrow().sort_by("__id")
+    rows, y = [x.values.to_numpy() for x in got["ids"]], got["label"].to_numpy().astype(np.int64)
+    width = 1 << features.bits
+    kind = kinds_of(rows, y, width, kinds) if rows else np.empty(0, np.int64)
+    targets = np.column_stack([*((kind == k).astype(np.int64) for k in range(kinds)), y])
+    return ClassifierChain.fit(rows, targets, width)
 
 
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", limit: int = 6000, where=None,
-    threshold: float = 0.3, categories: tuple[tuple[str, tuple[str, ...]], ...] = CATEGORIES,
-    keep_columns: bool = False,
+    threshold: float = 0.3, kinds: int = KINDS, keep_columns: bool = False,
 ) -> DataFrame:
-    """Per row: ``id_col``, a probability ``p_<category>`` for each category, ``score`` (the last one),
+    """Per row: ``id_col``, a probability ``p_kind_<k>`` for each kind of toxic text and ``p_toxic``, ``score`` (the last one),
     ``predicted`` (1 if it reaches ``threshold``) and ``kept`` (the opposite); with ``keep_columns`` beside all columns of ``docs``.
 
-    The chain is fitted on at most ``limit`` rows of ``labels`` (doc_id, ``label``), chosen by a hash of the id; its tables have a
+    The labels have one bit, so the finer categories come from the data: the toxic training texts fall into ``kinds`` kinds by
+    k-means of their telling features, in any language. The chain predicts kind after kind and then toxicity.
+    It is fitted on at most ``limit`` rows of ``labels`` (doc_id, ``label``), chosen by a hash of the id; its tables have a
     fixed 2**20 buckets. Every whole text is then scored in one pass, without a shuffle. Only the text enters a score.
 
     Defined cases: null and empty texts have no features and score the bias; a
@@ -184,7 +224,7 @@ def score_toxicity(
     kinds of training rows is constant; other columns are ignored; no rows give no rows.
     """
     features = Presence()
-    chain = train(docs, labels, label=label, id_col=id_col, text_col=text_col, limit=limit, where=where, categories=categories, features=features)
+    chain = train(docs, labels, label=label, id_col=id_col, text_col=text_col, limit=limit, where=where, kinds=kinds, features=features)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def fn(texts: list[bytes | None]) -> list[pa.Array]:
@@ -192,5 +232,5 @@ def score_toxicity(
         hit = p[:, -1] >= threshold
         return [*(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1]), pa.array(hit.astype(np.int32)), pa.array(~hit)]
 
-    fields = [*((f"p_{c}", "double") for c, _ in categories), ("score", "double"), ("predicted", "int"), ("kept", "boolean")]
+    fields = [*((f"p_kind_{k + 1}", "double") for k in range(kinds)), ("p_toxic", "double"), ("score", "double"), ("predicted", "int"), ("kept", "boolean")]
     return arrow_score(docs, fn, fields, id_col=id_col, text_col=text_col, keep_columns=keep_columns)
