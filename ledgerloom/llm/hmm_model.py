@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.hashing import words_of
@@ -162,6 +162,33 @@ def word_counts(rows: DataFrame, symbols: Symbols) -> DataFrame:
     return rows.mapInArrow(run, "word string, class int, c bigint").groupBy("word").agg(F.first("class").alias("class"), F.sum("c").alias("c"))
 
 
+def _level(count: Column) -> Column:
+    """A bucket of counts: exact below 64, then 32 to each power of two."""
+    shift = F.greatest(F.length(F.bin(count)) - 6, F.lit(0))
+    return (shift * 32 + F.call_function("shiftright", count, shift)).cast("int")
+
+
+def most_frequent(counts: DataFrame, limit: int) -> pa.Table:
+    """(word, c) of at most ``limit`` words, the most frequent first; of the words at the last level of counts, those of the smallest hash.
+
+    A histogram of the counts (under 2,000 rows) tells where to cut, so what is sorted and sent is no more than the result.
+    """
+    levels = counts.groupBy(_level(F.col("c")).alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()
+    above, cut, at_cut = 0, None, 0
+    for r in levels:
+        if above + r.n > limit:
+            cut, at_cut = r.level, r.n
+            break
+        above += r.n
+    if cut is None:
+        found = counts.select("word", "c").toArrow()
+    else:
+        level = _level(F.col("c"))
+        edge = hash_sample(counts.where(level == cut).select("word", "c"), limit - above, at_cut, "word")
+        found = counts.where(level > cut).select("word", "c").union(edge).toArrow()
+    return found.sort_by([("c", "descending"), ("word", "ascending")])
+
+
 def train_and_score(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out=None, states: int = 8, top: int = 8192, classes: int = 2048,
     dictionary: int = 200_000, longest: int = 64, sample_rows: int = 1500, sample_rounds: int = 15, rounds: int = 3, prior: float = 200.0, seed: int = 3,
@@ -172,9 +199,9 @@ def train_and_score(
     ``train_tokens`` (N), ``base_score`` (log10 of the add-one unigram probability) and ``score`` (log10 of the model's).
 
     1. Words of all training texts are counted: in tasks, then by word. N and V are exact.
-    2. The ``dictionary`` most frequent words (of up to ``longest`` bytes, so of a bounded size) are broadcast. Each text becomes symbols of the
+    2. The ``dictionary`` most frequent words (of up to ``longest`` bytes, so of a bounded size; found by a histogram of the counts) are broadcast. Each text becomes symbols of the
        HMM; its words outside of the dictionary are joined with the counts.
-    3. The HMM starts from Baum-Welch on ``sample_rows`` texts; then ``rounds`` rounds add
+    3. The HMM starts from Baum-Welch on ``sample_rows`` texts, by a hash of id and symbols; then ``rounds`` rounds add
        up the expected counts of every training text, summed by (symbol, state) over all partitions.
     4. The scaled forward recursion gives each text's exact likelihood.
 
@@ -194,7 +221,7 @@ def train_and_score(
     n_all, v_all = n_words + ends, v_words + (ends > 0)
     denominator = n_all + v_all + 1
 
-    frequent = counts.where(F.octet_length("word") <= longest).orderBy(F.desc("c"), "word").limit(dictionary).toArrow()
+    frequent = most_frequent(counts.where(F.octet_length("word") <= longest), dictionary)
     words = frequent["word"].cast(pa.large_binary()).to_pylist()
     known = frequent["c"].to_numpy().astype(np.int64)
     # a class's add-one total, over its words that are no symbols themselves, and one share for unseen words
@@ -251,7 +278,7 @@ def train_and_score(
     texts = coded.drop("words", "classes", "tf")
     training = texts.where("not held").select("seq")
 
-    sample = hash_sample(training, sample_rows, ends, "seq").toArrow()["seq"].to_pylist()
+    sample = hash_sample(texts.where("not held").select("id", "seq"), sample_rows, ends, "id", "seq").toArrow()["seq"].to_pylist()
     model = first_model([np.frombuffer(s, np.uint16) for s in sample], base, states, prior * min(1.0, len(sample) / max(ends, 1)), sample_rounds, seed)
     if ends:
         for _ in range(rounds):

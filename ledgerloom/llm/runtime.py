@@ -34,6 +34,7 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def hash_sample(df: DataFrame, limit: int, total: int, *keys: str) -> DataFrame:
     """The ``limit`` rows with the smallest hash of ``keys``, of about ``total``.
 
+    ``keys`` tell rows apart: rows equal in them have one hash, and where very many are equal, fewer than ``limit`` may be left.
     Rows whose hash cannot be among the smallest are filtered out first, so what is sorted and sent to one place
     does not grow with the table.
     """

@@ -8,8 +8,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerloom.llm.hmm_model import Hmm, Sequences, train_and_score
+from ledgerloom.llm.hmm_model import Hmm, Sequences, Symbols, most_frequent, train_and_score
 
 
 def model(rng, s, m):
@@ -68,15 +69,62 @@ def test_operator(spark, dictionary):
 
 
 def test_distribution_adds_up_to_one(spark):
+    """With one state tokens are independent, so a word's probability is its text's over the empty text's. All words, one unseen
+    word of each class, which has all that its class leaves to unseen words, and the end add up to 1."""
     rows = [(k, "a b c" if k % 2 else "x y z zz") for k in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    words = ["a", "b", "c", "x", "y", "z", "zz"]
-    asked = [(1000 + k, " ".join(w)) for k, w in enumerate([(w,) for w in words] + [()])]
-    both = df.union(spark.createDataFrame(asked, "doc_id long, text string"))
-    from pyspark.sql import functions as F
-    out = {r.doc_id: r.score for r in train_and_score(both, held_out=F.col("__id") >= 1000, top=3, classes=4, dictionary=5, states=3, sample_rounds=3, rounds=1).collect()}
-    total = sum(10 ** out[1000 + k] for k in range(len(asked)))
-    assert 0 < total < 1  # all one-token continuations followed by an end, and the bare end
+    classes, unseen = 4, {}
+    for k in range(200):
+        unseen.setdefault(Symbols(3, classes).of_class(b"q%d" % k), f"q{k}")
+    assert len(unseen) == classes
+    words = ["a", "b", "c", "x", "y", "z", "zz", *unseen.values(), ""]
+    both = df.union(spark.createDataFrame([(1000 + k, w) for k, w in enumerate(words)], "doc_id long, text string"))
+    for dictionary in (5, 0, 100):
+        out = train_and_score(both, held_out=F.col("__id") >= 1000, top=3, classes=classes, dictionary=dictionary, states=1, sample_rounds=3, rounds=1).collect()
+        p = {r.doc_id: 10**r.score for r in out}
+        end = p[999 + len(words)]
+        assert sum(p[1000 + k] / end for k in range(len(words) - 1)) + end == pytest.approx(1, abs=1e-6)
+
+
+def test_scores_with_rare_words_by_brute_force(spark):
+    """One state: the count of a symbol, with the prior, times a rare word's share of its class."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    top, classes, dictionary, prior = 40, 16, 64, 200.0
+    got = {r.doc_id: r for r in train_and_score(docs, top=top, classes=classes, dictionary=dictionary, states=1, sample_rounds=2, rounds=2).collect()}
+    words = lambda t: ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+    texts = {r.doc_id: words(r.text) for r in docs.collect()}
+    train = [t for i, t in texts.items() if not got[i].held_out]
+    c = Counter(w for t in train for w in t)
+    counts = spark.createDataFrame(list(c.items()), "word string, c long").where(F.octet_length("word") <= 64)
+    book = most_frequent(counts, dictionary)["word"].to_pylist()
+    symbols, place = Symbols(top, classes), {w: 1 + k for k, w in enumerate(book[:top])}
+    symbol = lambda w: place.get(w) or symbols.of_class(w.encode())
+    seen, total, base = Counter(), Counter(), Counter({0: len(train) + 1})
+    for w, n in c.items():
+        seen[symbol(w)] += n
+        base[symbol(w)] += n + 1
+        if w not in place:
+            total[symbol(w)] += n + 1
+    seen[0] = len(train)
+    for k in range(1 + top, symbols.size):
+        total[k] += 1
+        base[k] += 1
+    n, all_base = sum(seen.values()), sum(base.values())
+    p = lambda s: (seen[s] + prior * base[s] / all_base) / (n + prior)
+    for i, t in texts.items():
+        want = math.log10(p(0)) + sum(math.log10(p(symbol(w)) * (1 if w in place else (c[w] + 1) / total[symbol(w)])) for w in t)
+        assert got[i].score == pytest.approx(want, rel=1e-5)
+
+
+def test_most_frequent_words(spark):
+    counts = {f"w{k}": 1 + (k * k) % 97 + (5000 if k < 7 else 0) for k in range(3000)}
+    df = spark.createDataFrame(list(counts.items()), "word string, c long")
+    for limit in (0, 5, 200, 1500, 2999, 4000):
+        got = most_frequent(df, limit).to_pylist()
+        assert len(got) == min(limit, 3000) and all(counts[r["word"]] == r["c"] for r in got)
+        assert [r["c"] for r in got] == sorted((r["c"] for r in got), reverse=True)
+        if limit == 1500:  # the cut is below 64, where levels are exact
+            assert [r["c"] for r in got] == sorted(counts.values(), reverse=True)[:limit]
 
 
 def test_odd_rows(spark):
