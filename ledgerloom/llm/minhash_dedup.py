@@ -11,8 +11,8 @@ from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.hashing import MinHasher, set_digest, shingle_hashes, words_of
 from ledgerloom.llm.runtime import arrow_map, discard, id_and_text, materialize, ship, utf8_bytes
 
-#: Members of one block of a bucket that is examined pair by pair.
-BLOCK_MEMBERS = 256
+#: Members of one block of a bucket whose signatures are compared pair by pair, and of a part of it whose texts are.
+BLOCK_MEMBERS, TEXT_MEMBERS = 2048, 256
 #: A signature estimate this far under the threshold rules a pair out: with 128 minima, a pair at 0.8 with probability 8e-8.
 SLACK = 0.2
 
@@ -126,10 +126,11 @@ def _explore(members: DataFrame, mixed: DataFrame, base: DataFrame, texts: DataF
 
     ``members``: (bucket, band, __id, root); ``mixed``: (bucket, main, n_home, n_away). Only members outside of a bucket's most
     frequent root (``main``) have partners to be sought, so each member has one home block, each of the others one away
-    block as well, and a group is one home block with one away block: ``2 * BLOCK_MEMBERS`` members or so. Members that are linked
+    block as well, and a group is one home block with one away block: ``2 * BLOCK_MEMBERS`` members or so, some 600 bytes each. Members that are linked
     already are never paired, and a bucket of which all but a few members are linked is not multiplied.
 
-    Ids, bands and signatures alone meet first; texts are fetched for members that some signature leaves a partner. A pair is
+    Ids, bands and signatures alone meet first; texts are fetched for members that some signature leaves a partner, and meet
+    by parts of ``TEXT_MEMBERS`` of either block. A pair is
     tested in the first band that it shares, on full sets: many pairs at once as a matrix product, few one by one. A
     group returns only links that join two components, never more than its members.
     """
@@ -144,8 +145,16 @@ def _explore(members: DataFrame, mixed: DataFrame, base: DataFrame, texts: DataF
     prints = base.select("__id", "sig", "bands")
 
     def hopeful(group: pa.Table) -> pa.Table:
-        open_ = _open_pairs(group, percent)
-        return group.select(names).filter(pa.array(open_.any(axis=0) | open_.any(axis=1)))
+        open_, out, part = _open_pairs(group, percent), [], []
+        h, a = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+        for i in range(0, len(h), TEXT_MEMBERS):
+            for j in range(0, len(a), TEXT_MEMBERS):
+                some_h, some_a = h[i : i + TEXT_MEMBERS], a[j : j + TEXT_MEMBERS]
+                here = open_[np.ix_(some_h, some_a)]
+                out += [some_h[here.any(axis=1)], some_a[here.any(axis=0)]]
+                part += [(i << 16) + j] * (here.any(axis=1).sum() + here.any(axis=0).sum())
+        found = group.select(names).take(pa.array(np.concatenate([np.empty(0, np.int64), *out])))
+        return found.append_column("part", pa.array(part, pa.int64()))
 
     def linked(group: pa.Table) -> pa.Table:
         open_, out = _open_pairs(group, percent), []
@@ -178,8 +187,8 @@ def _explore(members: DataFrame, mixed: DataFrame, base: DataFrame, texts: DataF
         return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
 
     ship(members.sparkSession)
-    some = materialize(placed.join(prints, "__id").groupBy("bucket", "home", "away").applyInArrow(hopeful, kinds), "hopeful")
-    return some.join(prints, "__id").join(texts, "__id").groupBy("bucket", "home", "away").applyInArrow(linked, "u bigint, v bigint")
+    some = materialize(placed.join(prints, "__id").groupBy("bucket", "home", "away").applyInArrow(hopeful, f"{kinds}, part bigint"), "hopeful")
+    return some.join(prints, "__id").join(texts, "__id").groupBy("bucket", "home", "away", "part").applyInArrow(linked, "u bigint, v bigint")
 
 
 def near_duplicates(

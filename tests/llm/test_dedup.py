@@ -67,8 +67,10 @@ def test_chains_hot_groups_and_residual_buckets(spark):
     assert got == brute_components(rows, 2)
 
 
-def test_near_copies_around_the_threshold(spark):
+@pytest.mark.parametrize("block", [64, 2048])
+def test_near_copies_around_the_threshold(spark, monkeypatch, block):
     """Most pairs of such copies are just under 0.8, so buckets hold many components and are examined in blocks."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK_MEMBERS", block)
     import random
 
     rng = random.Random(9)
@@ -165,7 +167,7 @@ def test_a_large_bucket_is_not_multiplied(spark, monkeypatch):
     base = ids.select("__id", sig.alias("sig"), F.array_repeat(F.lit(5).cast("bigint"), 32).alias("bands"))
     texts = ids.select("__id", F.when(near | (F.col("__id") == n - 1), F.lit(words)).otherwise(F.lit("other")).alias("__text"))
     members = ids.select(F.lit(9).cast("bigint").alias("bucket"), F.lit(0).alias("band"), "__id", F.when(F.col("__id") == n - 1, n - 1).otherwise(0).cast("bigint").alias("root"))
-    mixed = spark.createDataFrame([(9, 0, -(-n // 256), 1)], "bucket long, main long, n_home long, n_away long")
+    mixed = spark.createDataFrame([(9, 0, -(-n // minhash_dedup.BLOCK_MEMBERS), 1)], "bucket long, main long, n_home long, n_away long")
     fetched = []
 
     def spy(df, tag):
