@@ -12,7 +12,7 @@ from pyspark.sql.types import IntegralType
 from xxhash import xxh3_128_digest
 
 from ledgerloom.llm.passages import add_repeated_passages
-from ledgerloom.llm.runtime import arrow_map, materialize
+from ledgerloom.llm.runtime import arrow_map, discard, materialize
 
 #: A unit and the separator after it.
 SEPARATORS = {"line": re.compile("\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
@@ -113,7 +113,10 @@ def remove_repeated_units(
     both = keyed.join(found, ["__id", "__key"], "left")
     both = both.withColumns({"__spans": F.coalesce("__spans", F.array().cast("array<struct<start:int,end:int>>")), "n_units": F.coalesce("__units", F.lit(0).cast("bigint"))}).drop("__units")
     if passage_words is not None:
-        both = add_repeated_passages(materialize(both, "lines"), text_col, passage_words)
+        both = materialize(both, "lines")
+        discard(units)
+        discard(repeated)
+        both = add_repeated_passages(both, text_col, passage_words)
     both = both.drop("__id", "__key")
     text = F.col(f"`{text_col}`")
     # the text between cuts, by character offsets; what follows the last cut is everything to the end

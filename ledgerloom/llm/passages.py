@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.hashing import _STEP, mix, word_hashes
-from ledgerloom.llm.runtime import arrow_map, materialize
+from ledgerloom.llm.runtime import arrow_map, discard, materialize
 
 #: Words of a fingerprint.
 PRINT = 20
@@ -163,6 +163,9 @@ def add_repeated_passages(rows: DataFrame, text_col: str, words: int) -> DataFra
     near = sifted(found, F.col("print"), sieve(twice, F.col("print"))).where("__maybe").drop("__maybe")
     marks = materialize(near.join(twice, "print").groupBy("__id", "__key").agg(F.collect_set("print").alias("__prints")), "marks")
 
+    discard(found)
+    discard(twice)
+
     name = F.xxhash64("__id", "__key")
     split = sifted(rows, name, sieve(marks, name))
     some = materialize(split.where("__maybe").drop("__maybe").join(marks, ["__id", "__key"], "left"), "candidates")
