@@ -96,6 +96,13 @@ def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set(x, y) if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(StructType().add("s1", DoubleType()).add("s2", DoubleType()).add("s3", DoubleType()))
+def name_ratios(t1: pd.Series, d1: pd.Series, t2: pd.Series, d2: pd.Series, t3: pd.Series, d3: pd.Series) -> pd.DataFrame:
+    """Indel ratio of the first pair of names, token-set ratio of the second, indel ratio of the third; null or empty on either side gives 0."""
+    each = lambda f, a, b: [f(x, y) if x and y else 0.0 for x, y in zip(a, b, strict=True)]
+    return pd.DataFrame({"s1": each(indel, t1, d1), "s2": each(token_set, t2, d2), "s3": each(indel, t3, d3)}, dtype="float64")
+
+
 @F.pandas_udf(DoubleType())
 def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """The best of plain, token-sort and token-set similarity, 0 to 1."""

@@ -1,19 +1,21 @@
 """Reconciliation of transactions and documents: candidates by buckets, three tiers, one-to-one assignment, mismatches.
 
 A transaction and a document can only match within five days and within 5 or 5 % of the amount, so candidates
-meet by an equality of (day bucket, amount bucket): no pair outside of those bounds is formed.
+meet by an equality of (day bucket, amount bucket): no pair outside of those bounds is formed. Candidates carry ids and numbers;
+names stand in a table of distinct merchants, and each pair of names that some candidate needs is compared once.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.storage import materialize
-from ledgerloom.functions.text import chain, contains_any, indel_ratio, let, squeeze, token_set_ratio
+from ledgerloom.functions.storage import discard, materialize
+from ledgerloom.functions.text import chain, contains_any, let, name_ratios, squeeze
 
 #: Processor prefixes that each tier strips, and words that the last one spells out.
 EXACT_PREFIXES = ("sq *", "tst *", "tse *", "sp *", "square ", "paypal *")
@@ -75,35 +77,55 @@ def _amount_place(a: Column) -> Column:
     return F.when(a < 100, a / 5.5).otherwise(100 / 5.5 + F.ln(F.greatest(a, F.lit(100.0)) / 100) / math.log(1.06))
 
 
-def _prepared(df: DataFrame, side: str) -> DataFrame:
-    """id, ord, amount (size), day and names of either side; rows without an amount or a date have no candidates."""
+def merchant_names(*sides: DataFrame) -> DataFrame:
+    """(merchant, name, m1, m2, m3, x3): a number and the normal forms of each distinct merchant, a table in the shared folder."""
+    merchants = [df.select(F.coalesce("merchant", F.lit("")).alias("merchant")) for df in sides]
+    distinct = reduce(DataFrame.union, merchants).distinct()
+    c = F.col("merchant")
+    forms = {"m1": merchant_exact(c), "m2": merchant_fuzzy(c), "m3": merchant_semantic(c)}
+    forms = distinct.withColumn("name", F.monotonically_increasing_id()).withColumns(forms)
+    return materialize(forms.withColumn("x3", expand_abbreviation(F.col("m3"))), "names")
+
+
+def _prepared(df: DataFrame, names: DataFrame, side: str) -> DataFrame:
+    """id, ord, amount (size), day and number of the merchant of either side; rows without an amount or a date have no candidates."""
     c = F.col
-    keep = {"trust": F.coalesce(c("trust_score"), F.lit(1.0))} if side == "d" else {}
+    keep = [F.coalesce(c("trust_score"), F.lit(1.0)).alias("trust")] if side == "d" else []
     rows = df.select(
-        c("id").alias(f"{side}_id"), c("ord").alias(f"{side}_ord"), F.abs(parse_amount(c("amount"))).alias(f"{side}_amount"), parse_date(c("date")).alias(f"{side}_date"),
-        merchant_exact(c("merchant")).alias(f"{side}_m1"), merchant_fuzzy(c("merchant")).alias(f"{side}_m2"), merchant_semantic(c("merchant")).alias(f"{side}_m3"), *(v.alias(k) for k, v in keep.items()))
-    rows = rows.where(f"{side}_amount is not null and {side}_date is not null").withColumn(f"{side}_x3", expand_abbreviation(c(f"{side}_m3")))
-    return rows.withColumns({"db": F.floor(F.datediff(f"{side}_date", F.lit("1970-01-01").cast("date")) / 6).cast("int"), "ab": F.floor(_amount_place(c(f"{side}_amount").cast("double"))).cast("int")})
+        c("id").alias(f"{side}_id"), c("ord").alias(f"{side}_ord"), F.abs(parse_amount(c("amount"))).alias(f"{side}_amount"),
+        parse_date(c("date")).alias(f"{side}_date"), F.coalesce("merchant", F.lit("")).alias("merchant"), *keep)
+    rows = rows.where(f"{side}_amount is not null and {side}_date is not null")
+    rows = rows.join(names.select("merchant", c("name").alias(f"{side}_name")), "merchant").drop("merchant")
+    day = F.floor(F.datediff(f"{side}_date", F.lit("1970-01-01").cast("date")) / 6).cast("int")
+    return rows.withColumns({"db": day, "ab": F.floor(_amount_place(c(f"{side}_amount").cast("double"))).cast("int")})
 
 
-def candidates(tx: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs within five days and within 5 or 5 % of the amount. ``tx`` and ``docs``: id, ord, amount, date, merchant; docs also trust_score."""
+def candidates(tx: DataFrame, docs: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Pairs within five days and within 5 or 5 % of the amount: ids, numbers, and numbers of both merchants in ``names``.
+
+    ``tx`` and ``docs``: id, ord, amount, date, merchant; docs also trust_score.
+    """
+    names = merchant_names(tx, docs) if names is None else names
     near = lambda n: F.explode(F.sequence(F.col(n) - 1, F.col(n) + 1)).alias(n)
-    left = _prepared(tx, "t")
+    left = _prepared(tx, names, "t")
     left = left.select(*[x for x in left.columns if x not in ("db", "ab")], near("db"), "ab")
     left = left.select(*[x for x in left.columns if x != "ab"], near("ab"))
-    pairs = left.join(_prepared(docs, "d"), ["db", "ab"]).drop("db", "ab")
+    pairs = left.join(_prepared(docs, names, "d"), ["db", "ab"]).drop("db", "ab")
     diff = F.abs(F.col("t_amount") - F.col("d_amount"))
-    larger = F.greatest("t_amount", "d_amount")
-    return pairs.withColumns({"diff": diff.cast("double"), "pct": F.coalesce(F.try_divide(diff.cast("double"), larger.cast("double")), F.lit(0.0)), "days": day_gap(F.col("t_date"), F.col("d_date"))}).where(
-        "days <= 5 and (diff <= 5 or pct <= 0.05)")
+    pct = F.coalesce(F.try_divide(diff.cast("double"), F.greatest("t_amount", "d_amount").cast("double")), F.lit(0.0))
+    numbers = {"diff": diff.cast("double"), "pct": pct, "days": day_gap(F.col("t_date"), F.col("d_date"))}
+    return pairs.withColumns(numbers).where("days <= 5 and (diff <= 5 or pct <= 0.05)").drop("t_date", "d_date")
 
 
-def exact_tier(pairs: DataFrame, similarity: float = 0.90) -> Column:
-    c = F.col
-    cents = lambda x: F.bround(x, 2)
-    s = F.when((F.abs(cents(c("t_amount")) - cents(c("d_amount"))) <= 0.01) & (c("days") <= 1), indel_ratio(c("t_m1"), c("d_m1")))
-    return F.when(s >= similarity, _match("EXACT", s, F.lit(1.0), F.lit(1.0), F.lit("SUPPORTED"), F.lit(None), F.lit(None)))
+def exact_gate() -> Column:
+    """Whether amount and date allow an exact match."""
+    cents = lambda x: F.bround(F.col(x), 2)
+    return (F.abs(cents("t_amount") - cents("d_amount")) <= 0.01) & (F.col("days") <= 1)
+
+
+def exact_tier(similarity: float = 0.90) -> Column:
+    match = _match("EXACT", F.col("s1"), F.lit(1.0), F.lit(1.0), F.lit("SUPPORTED"), F.lit(None), F.lit(None))
+    return F.when(exact_gate() & (F.col("s1") >= similarity), match)
 
 
 def _match(tier: str, string, amount, date, status, reason, discrepancy) -> Column:
@@ -119,33 +141,67 @@ def fuzzy_amount(diff: Column, pct: Column, either_zero: Column) -> Column:
     return F.struct(score.alias("score"), reason.alias("reason"))
 
 
-def fuzzy_tier(similarity: float = 0.85) -> Column:
+def _either_zero() -> Column:
+    return (F.col("t_amount") == 0) | (F.col("d_amount") == 0)
+
+
+def _fuzzy_parts() -> tuple[Column, Column, Column]:
+    """Amount (score, reason), date score, and whether they allow a fuzzy match."""
     c = F.col
-    zero = (c("t_amount") == 0) | (c("d_amount") == 0)
-    amount, date = fuzzy_amount(c("diff"), c("pct"), zero), F.when(c("days") <= 3, 1 - c("days") * 0.1).otherwise(0.0)
-    s = F.when((amount["score"] >= 0.7) & (c("days") <= 3), token_set_ratio(c("t_m2"), c("d_m2")))
+    amount = fuzzy_amount(c("diff"), c("pct"), _either_zero())
+    return amount, F.when(c("days") <= 3, 1 - c("days") * 0.1).otherwise(0.0), (amount["score"] >= 0.7) & (c("days") <= 3)
+
+
+def fuzzy_tier(similarity: float = 0.85) -> Column:
+    amount, date, gate = _fuzzy_parts()
     status = F.when(amount["score"] == 1, "SUPPORTED").otherwise("PARTIAL")
-    return F.when(s >= similarity, _match("FUZZY", s, amount["score"], date, status, amount["reason"], F.when(amount["score"] < 1, c("diff"))))
+    discrepancy = F.when(amount["score"] < 1, F.col("diff"))
+    return F.when(gate & (F.col("s2") >= similarity), _match("FUZZY", F.col("s2"), amount["score"], date, status, amount["reason"], discrepancy))
 
 
-def semantic_tier(similarity: float = 0.65, cosine: Column | None = None) -> Column:
-    """Expanded names by indel ratio from 0.75 on, else by the embedding column ``cosine`` if there is one, else by the ratio again."""
+def _semantic_parts() -> tuple[Column, Column, Column]:
+    """Amount score, date score, and whether they allow a semantic match."""
     c = F.col
-    zero = (c("t_amount") == 0) | (c("d_amount") == 0)
-    amount = F.when(zero, F.when(c("diff") == 0, 1.0).otherwise(0.0)).when(c("pct") <= 0.05, 1 - c("pct") / 0.05 * 0.4).otherwise(0.0)
+    amount = F.when(_either_zero(), F.when(c("diff") == 0, 1.0).otherwise(0.0)).when(c("pct") <= 0.05, 1 - c("pct") / 0.05 * 0.4).otherwise(0.0)
     date = 1 - c("days") * 0.08
-    ratio = F.when((amount >= 0.6) & (date >= 0.6), indel_ratio(c("t_x3"), c("d_x3")))
+    return amount, date, (amount >= 0.6) & (date >= 0.6)
+
+
+def semantic_tier(similarity: float = 0.65, cosine: Column | None = None) -> Column:
+    """Expanded names by indel ratio from 0.75 on, else by the embedding column ``cosine`` if there is one, else by the ratio again."""
+    amount, date, gate = _semantic_parts()
+    ratio = F.col("s3")
     s = F.when(ratio >= 0.75, ratio).otherwise(F.coalesce(cosine, ratio) if cosine is not None else ratio)
+    kind = F.when(F.col("digits"), "ocr_correction").when(F.col("spelled"), "abbreviation")
+    kind = kind.when(ratio >= 0.75, "rapidfuzz_fallback").otherwise("semantic_similarity")
+    status = F.when(amount >= 0.9, "SUPPORTED").otherwise("PARTIAL")
+    return F.when(gate & (s >= similarity), _match("SEMANTIC", s, amount, date, status, kind, F.when(amount < 1, F.col("diff"))))
+
+
+def name_scores(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """(t_name, d_name, s1, s2, s3, digits, spelled) of the distinct pairs of names that a candidate's amount and date allow, a table in the shared folder."""
+    c = F.col
+    gates = {"g1": exact_gate(), "g2": _fuzzy_parts()[2], "g3": _semantic_parts()[2]}
+    wanted = pairs.groupBy("t_name", "d_name").agg(*(F.max(g).alias(k) for k, g in gates.items())).where("g1 or g2 or g3")
+    side = lambda p: names.select(*(c(x).alias(f"{p}_{x}") for x in ("name", "m1", "m2", "m3", "x3")))
+    named = wanted.join(side("t"), "t_name").join(side("d"), "d_name")
+    asked = [F.when(c(g), c(f"{p}_{x}")) for g, x in (("g1", "m1"), ("g2", "m2"), ("g3", "x3")) for p in ("t", "d")]
     spelled = (c("t_x3") != c("t_m3")) | (c("d_x3") != c("d_m3"))
     digits = F.rlike(F.concat("t_m3", "d_m3"), F.lit(r"\d"))
-    kind = F.when(digits, "ocr_correction").when(spelled, "abbreviation").when(ratio >= 0.75, "rapidfuzz_fallback").otherwise("semantic_similarity")
-    status = F.when(amount >= 0.9, "SUPPORTED").otherwise("PARTIAL")
-    return F.when(s >= similarity, _match("SEMANTIC", s, amount, date, status, kind, F.when(amount < 1, c("diff"))))
+    scored = named.select("t_name", "d_name", name_ratios(*asked).alias("s"), digits.alias("digits"), spelled.alias("spelled"))
+    return materialize(scored.select("t_name", "d_name", "s.*", "digits", "spelled"), "name-scores")
+
 
+def tiers(tx: DataFrame, docs: DataFrame, cosine: Column | None = None) -> DataFrame:
+    """Candidates that amount and date allow in some tier, with a struct (or null) of each tier.
 
-def tiers(pairs: DataFrame, cosine: Column | None = None) -> DataFrame:
-    """Candidates with a struct (or null) of each tier. The costly similarities run only where amount and date allow."""
-    return pairs.withColumn("exact", exact_tier(pairs)).withColumn("fuzzy", fuzzy_tier()).withColumn("semantic", semantic_tier(cosine=cosine))
+    Similarities run on the distinct pairs of names alone, in one Python step; the rest are columns.
+    """
+    names = merchant_names(tx, docs)
+    pairs = candidates(tx, docs, names).where(exact_gate() | _fuzzy_parts()[2] | _semantic_parts()[2])
+    pairs = materialize(pairs, "candidates")
+    scored = pairs.join(name_scores(pairs, names), ["t_name", "d_name"])
+    return scored.withColumn("exact", exact_tier()).withColumn("fuzzy", fuzzy_tier()).withColumn("semantic", semantic_tier(cosine=cosine))
 
 
 def _flat(pairs: DataFrame, match: Column) -> DataFrame:
@@ -173,21 +229,31 @@ def best_match(scored: DataFrame) -> DataFrame:
     return e.groupBy("t_id").agg(F.min_by(F.struct(*[x for x in e.columns if x != "t_id"]), F.struct(-F.col("confidence"), F.col("d_ord"))).alias("m")).select("t_id", "m.*")
 
 
-def assign(scored: DataFrame, least: float = 0.6, max_rounds: int = 1000) -> DataFrame:
+def assign(scored: DataFrame, least: float = 0.6) -> DataFrame:
     """One-to-one matches: in order, each transaction takes its best remaining document of confidence ``least`` or more.
 
     That is the only stable matching in which all documents prefer earlier transactions, so it is found in rounds: every
-    transaction proposes to its best document left, every document keeps the earliest, and strikes all later ones. Lineage is cut each round.
+    transaction proposes to its best document, every document keeps the earliest, and those it strikes propose to
+    their best document that no earlier transaction holds, until none is struck. A round writes who holds what; of the
+    pairs it reads those of the struck transactions.
     """
     pool = materialize(edges(scored, least), "edges")
-    live = pool
-    for _ in range(max_rounds):
-        asked = live.groupBy("t_ord").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "d_ord")).alias("b")).select("t_ord", F.col("b.d_ord").alias("d_ord"))
-        held = materialize(asked.groupBy("d_ord").agg(F.min("t_ord").alias("holder"), F.count("*").alias("n")), "held")
-        if not held.where("n > 1").head(1):
-            return pool.join(held.select(F.col("holder").alias("t_ord"), "d_ord"), ["t_ord", "d_ord"])
-        live = materialize(live.join(held.select("d_ord", "holder"), "d_ord", "left").where("holder is null or t_ord <= holder").drop("holder"), "live")
-    raise RuntimeError("assignment did not settle")
+    wish = pool.select("t_ord", "d_ord", F.struct((-F.col("confidence")).alias("c"), "d_ord").alias("wish"))
+    best = lambda df: df.groupBy("t_ord").agg(F.min("wish").alias("wish")).select("t_ord", "wish.d_ord")
+    asked, held = best(wish), None
+    while True:
+        offers = asked if held is None else held.union(asked)
+        last = held
+        offers = materialize(offers, "offers")
+        held = materialize(offers.groupBy("d_ord").agg(F.min("t_ord").alias("t_ord")).select("t_ord", "d_ord"), "held")
+        struck = materialize(offers.join(held, ["t_ord", "d_ord"], "left_anti").select("t_ord"), "struck")
+        if last is not None:
+            discard(last)
+        discard(offers)
+        if not struck.head(1):
+            return pool.join(held, ["t_ord", "d_ord"])
+        open_ = wish.join(struck, "t_ord").join(held.select("d_ord", F.col("t_ord").alias("holder")), "d_ord", "left")
+        asked = best(open_.where("holder is null or t_ord < holder"))
 
 
 def tier_stats(matches: DataFrame, processed: Column) -> DataFrame:

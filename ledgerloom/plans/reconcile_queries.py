@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as x
+from ledgerloom.functions.storage import materialize
 from ledgerloom.operators import dashboard, explain
 from ledgerloom.operators import reconcile as r
 from ledgerloom.sources.tables import MERCHANTS, RECON_DOCUMENTS, RECON_TRANSACTIONS, TRANSACTIONS, recon_inputs, transactions
@@ -16,7 +17,7 @@ c = F.col
 
 
 def _tiers(s, d) -> DataFrame:
-    return r.tiers(r.candidates(*recon_inputs(s, d)))
+    return r.tiers(*recon_inputs(s, d))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def _best(s, d) -> DataFrame:
 
 def _open(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     tx, docs = recon_inputs(s, d)
-    m = _best(s, d)
+    m = materialize(r.best_match(r.tiers(tx, docs)), "matches")
     return r.unsupported(tx, m), r.unreconciled(docs, m), m
 
 

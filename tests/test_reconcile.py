@@ -23,7 +23,7 @@ def docs(spark, *rows):
 def golden(spark):
     left = tx(spark, ("txn_001", "45.67", "2026-02-01", "SQ * COFFEE SHOP"), ("txn_002", "120.00", "2026-02-02", "Whole Foods"), ("txn_003", "55.00", "2026-02-03", "John's Coffee"), ("txn_004", "67.89", "2026-02-04", "AMZN MKTP"))
     right = docs(spark, ("doc_001", "$45.67", "2026-02-01", "Coffee Shop", 0.95), ("doc_002", "120.00", "02/02/2026", "Whole Foods Market", 0.90), ("doc_003", "50.00", "2026-02-03", "John's Coffee", 0.88), ("doc_004", "67.89", "2026-02-04", "Amazon Marketplace", 0.85))
-    return left, right, r.assign(r.tiers(r.candidates(left, right))).cache()
+    return left, right, r.assign(r.tiers(left, right)).cache()
 
 
 def test_golden_case(golden):
@@ -39,14 +39,14 @@ def test_golden_case(golden):
     (("45.67", "45.67"), 0, ("AMZN MKTP", "Amazon Marketplace"), 0.9, "SEMANTIC", 0.99)])
 def test_tier_cases(spark, amounts, days, names, trust, tier, confidence):
     left, right = tx(spark, ("t", amounts[0], "2026-03-10", names[0])), docs(spark, ("d", amounts[1], f"2026-03-{10 + days}", names[1], trust))
-    m = r.cascade(r.tiers(r.candidates(left, right))).first()
+    m = r.cascade(r.tiers(left, right)).first()
     assert m.match_type == tier and m.confidence == pytest.approx(confidence, abs=1e-4)
 
 
 @pytest.mark.parametrize(("a", "b", "days", "names"), [("50.00", "45.00", 0, ("Alpha", "Zulu Kilo")), ("50.00", "60.00", 0, ("Same", "Same")), ("50.00", "50.00", 6, ("Same", "Same")), ("50.00", None, 0, ("Same", "Same")), (None, "50", 0, ("Same", "Same")), ("x", "50", 0, ("Same", "Same"))])
 def test_rejects(spark, a, b, days, names):
     left, right = tx(spark, ("t", a, "2026-03-10", names[0])), docs(spark, ("d", b, f"2026-03-{10 + days}", names[1], 0.9))
-    assert r.cascade(r.tiers(r.candidates(left, right))).count() == 0
+    assert r.cascade(r.tiers(left, right)).count() == 0
 
 
 def test_candidates_are_the_predicates(spark):
@@ -80,6 +80,19 @@ def test_assignment_is_the_sequential_one(spark):
     assert got == sequential([(t, d, c) for (t, d), c in edges])
 
 
+def test_names_are_compared_once(spark, monkeypatch):
+    """300 pairs of 3 by 2 distinct names, compared in one Python step over the distinct pairs that a gate admits."""
+    left = tx(spark, *((f"t{k}", "50.00", "2026-03-10", ["Alpha Shop", "Beta Cafe", "Gamma"][k % 3]) for k in range(30)))
+    right = docs(spark, *((f"d{k}", "50.00", "2026-03-10", ["Alpha Shop", "Beta Cafe"][k % 2], 0.9) for k in range(10)))
+    seen = []
+    monkeypatch.setattr(r, "materialize", lambda df, tag, real=r.materialize: seen.append((tag, df)) or real(df, tag))
+    assert r.best_match(r.tiers(left, right)).count() == 20
+    scores = [df for tag, df in seen if tag == "name-scores"]
+    assert len(scores) == 1 and scores[0].count() == 6
+    plans = [df._jdf.queryExecution().executedPlan().toString() for _, df in seen]
+    assert sum("ArrowEvalPython" in p for p in plans) == 1
+
+
 def test_mismatches(spark, golden):
     left = spark.createDataFrame([(1, "txn_001", "1", "2026-01-01", "x", "y"), (2, "txn_n", "9.99", "2026-01-01", "NETFLIX", "subscriptions"), (3, "txn_i", "100", "2026-01-01", "ACME", "income"), (4, "txn_c", "1", "2026-01-01", "CORNER", None)], TX)
     u = {x.id: (x.reason, x.label) for x in r.unsupported(left, golden[2]).collect()}
