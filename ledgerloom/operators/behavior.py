@@ -19,7 +19,7 @@ INCOME = "income"
 EVENT_COLUMNS = (
     "event_type", "type", "category", "month", "severity", "confidence", "current_amount", "baseline_amount", "change_pct", "z_score", "rolling_avg_current", "rolling_avg_previous",
     "transaction_id", "amount", "merchant", "upper_bound", "exceeds_by_pct", "savings_rate_previous", "savings_rate_current", "drop_pct", "goal_name", "status", "budget_limit", "amount_spent",
-    "remaining", "pct_used", "target_rate_pct", "actual_rate_pct", "gap_pct",
+    "remaining", "pct_used", "target_rate_pct", "actual_rate_pct", "gap_pct", "date", "income", "expenses",
 )
 #: The order in which detectors are listed breaks ties of priority.
 EVENT_ORDER = ("spikes", "drifts", "anomalies", "savings_drops", "goals")
@@ -164,13 +164,17 @@ def priority_score(months: float = 6.0) -> Column:
     return F.bround(size * 0.4 + F.coalesce("confidence", F.lit(0.7)) * 0.3 + severity * 0.2 + recent * 0.1, 3)
 
 
-def prioritize(events: DataFrame, top_n: int = 10) -> DataFrame:
-    """The ``top_n`` events by priority; ties keep the detectors' order, then category, month, goal and transaction."""
+def _tie_order() -> list[Column]:
     seq = F.lit(len(EVENT_ORDER))
     for k, name in enumerate(EVENT_ORDER):
         seq = F.when(F.col("event_type") == name, k).otherwise(seq)
+    return [seq, F.col("category"), F.col("month"), F.col("goal_name").asc_nulls_first(), F.col("transaction_id").asc_nulls_first()]
+
+
+def prioritize(events: DataFrame, top_n: int = 10) -> DataFrame:
+    """The ``top_n`` events by priority; ties keep the detectors' order, then category, month, goal and transaction."""
     scored = events.withColumn("priority_score", priority_score())
-    return scored.orderBy(F.desc("priority_score"), seq, "category", "month", F.col("goal_name").asc_nulls_first(), F.col("transaction_id").asc_nulls_first()).limit(top_n)
+    return scored.orderBy(F.desc("priority_score"), *_tie_order()).limit(top_n)
 
 
 def events_by(events: DataFrame, category: str | None = None, month: str | None = None) -> DataFrame:
@@ -187,3 +191,25 @@ def summary(tx: DataFrame, events: DataFrame) -> DataFrame:
     basics = tx.agg(F.count("*").alias("total_transactions"), F.min("date").cast("string").alias("start"), F.max("date").cast("string").alias("end"), F.count_distinct("category").alias("categories"))
     counts = events.agg(*(F.count_if(F.col("event_type") == k).alias(k) for k in EVENT_ORDER))
     return basics.crossJoin(counts)  # one row each
+
+
+def export_sections(tx: DataFrame, events: DataFrame, top_n: int = 10) -> dict[str, DataFrame]:
+    """The parts of a complete report, as tables that stay distributed: ``summary`` (one row, with the number of all events),
+    ``all_events`` of each detector with their priority, ``top_priorities`` with their rank, ``categories_affected``."""
+    scored = events.withColumn("priority_score", priority_score())
+    top = prioritize(events, top_n)
+    rank = F.row_number().over(Window.orderBy(F.desc("priority_score"), *_tie_order()))  # of ``top_n`` rows
+    total = sum((F.col(k) for k in EVENT_ORDER), F.lit(0)).cast("bigint")
+    return {
+        "summary": summary(tx, events).withColumn("total_events", total), "all_events": scored, "top_priorities": top.withColumn("rank", rank),
+        "categories_affected": events.select("category").where("category is not null and category <> ''").distinct(),
+    }
+
+
+def export_results(tx: DataFrame, events: DataFrame, path: str, top_n: int = 10) -> dict[str, DataFrame]:
+    """Write the report's parts as JSON below ``path``, a folder each, the events by detector; returns the parts."""
+    parts = export_sections(tx, events, top_n)
+    for name, df in parts.items():
+        out = df.write.mode("overwrite")
+        (out.partitionBy("event_type") if name == "all_events" else out).json(f"{path.rstrip('/')}/{name}")
+    return parts

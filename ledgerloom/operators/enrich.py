@@ -164,7 +164,11 @@ def hint_accuracy(df: DataFrame, found: str = "category", hint: str = "category_
     return df.agg(F.bround(F.avg(F.coalesce(F.col(found) == F.col(hint), F.lit(False)).cast("int")), 4).alias("accuracy"))
 
 
-def pattern_counts(df: DataFrame, patterns: tuple[str, ...] = ("SQ *", "TST*", "PAYPAL", "AMAZON", r"#\d+", "ONLINE PAYMENT"), column: str = "merchant_raw") -> DataFrame:
+#: The patterns that are looked for in raw names, regular expressions, in order.
+PATTERNS = ("SQ *", "TST*", "AMAZON", "UBER", "PAYPAL", "ONLINE PAYMENT")
+
+
+def pattern_counts(df: DataFrame, patterns: tuple[str, ...] = PATTERNS, column: str = "merchant_raw") -> DataFrame:
     """Rows that each pattern, a regular expression, occurs in; case does not count."""
     counts = df.agg(*(F.count_if(F.rlike(column, F.lit(f"(?i){p}"))).alias(f"p{k}") for k, p in enumerate(patterns)))
     each = F.array(*(F.struct(F.lit(p).alias("pattern"), F.col(f"p{k}").alias("n")) for k, p in enumerate(patterns)))

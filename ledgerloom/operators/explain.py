@@ -1,49 +1,131 @@
-"""Explanations of events and matches: headline, evidence, confidence and action by template.
+"""Explanations of events and matches: headline, body, evidence, confidence and action by template.
 
-The body is a language model's; its text comes in as a column, and a fixed sentence stands in without one.
+Where the body is a language model's, its text comes in as a column, and a fixed sentence stands in without one.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import title
+
 NO_MODEL = "AI explanation unavailable. Check the evidence below."
 
 
-def _money(c: str) -> Column:
-    return F.concat(F.lit("$"), F.format_string("%.2f", F.coalesce(F.col(c), F.lit(0.0))))
+@dataclass(frozen=True)
+class Texts:
+    """Templates of one case; ``{name}`` is a field as text, ``{name|title}`` with capitals, ``{name:,.2f}`` a number. Without a body the model writes it."""
 
+    headline: str
+    evidence: str
+    action: str
+    confidence: float
+    body: str | None = None
 
-def _number(c: str, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f", F.coalesce(F.col(c), F.lit(0.0)))
 
+_GOAL = "Goal: {goal_name} | Period: {month} | Status: {status}"
+#: The texts of each kind of event, goals by their state.
+TEXTS = {
+    "spending_spike": Texts(
+        "🔺 {category|title} spending up {abs_change:.0f}% in {month}",
+        "Method: Z-score vs 3-month rolling average | Z-score: {z_score:.2f} | Baseline: ${baseline_amount:,.2f} | Current: ${current_amount:,.2f}",
+        "Review {category} transactions for {month}", 0.85),
+    "category_drift": Texts(
+        "📊 {category|title} spending gradually increasing",
+        "Method: 3-month rolling average | Previous avg: ${rolling_avg_previous:,.2f} | Current avg: ${rolling_avg_current:,.2f} | Change: +{change_pct:.0f}%",
+        "Set a monthly budget for {category}", 0.80),
+    "anomaly": Texts(
+        "⚠️ Unusual {category} transaction — ${amount:,.2f} at {merchant}",
+        "Method: IQR outlier detection | Amount: ${amount:,.2f} | Normal upper bound: ${upper_bound:,.2f} | Exceeds by: {exceeds_by_pct:.0f}%",
+        "Verify this transaction in your bank statement", 0.85),
+    "savings_drop": Texts(
+        "💰 Savings rate dropped {drop_pct:.0f}% in {month}",
+        "Previous rate: {savings_rate_previous:.1f}% | Current rate: {savings_rate_current:.1f}% | Income: ${income:,.2f} | Expenses: ${expenses:,.2f}",
+        "Review your highest expense categories this month", 0.90),
+    "savings_met": Texts(
+        "✅ Savings goal met in {month}", _GOAL, "Keep it up", 0.90,
+        "Savings rate of {actual_rate_pct:.1f}% meets the {target_rate_pct:.0f}% target. Well done!"),
+    "savings_missed": Texts("🎯 Savings goal missed in {month}", _GOAL, "Cut one discretionary category this month", 0.90),
+    "budget_exceeded": Texts("🚨 {category|title} budget exceeded in {month}", _GOAL, "Lower {category} spending next month", 0.90),
+    "budget_almost_full": Texts(
+        "⚡ {category|title} budget almost full in {month}", _GOAL, "Slow down {category} spending", 0.90,
+        "${amount_spent:.2f} of ${budget_limit:.2f} used ({pct_used:.0f}%). Only ${remaining:.2f} remaining."),
+    "budget_on_track": Texts(
+        "✅ {category|title} budget on track in {month}", _GOAL, "No action needed", 0.90,
+        "${amount_spent:.2f} of ${budget_limit:.2f} used ({pct_used:.0f}%). ${remaining:.2f} remaining."),
+}
+#: A budget is almost full above this share; what stands for missing fields; the texts of other events.
+ALMOST_FULL_PCT = 80
+DEFAULTS = {"category": "spending", "merchant": "Unknown", "goal_name": "goal", "status": "unknown", "month": ""}
+OTHER = {"evidence": "See raw data", "action": "Review manually", "confidence": "N/A"}
+_FIELD = re.compile(r"\{(\w+)(\|title)?(?::(,?)\.(\d)f)?\}")
 
-def explain_events(events: DataFrame, body: Column | None = None) -> DataFrame:
-    """``events`` (of the detectors' common columns) with headline, body, evidence, confidence_text and action."""
+
+def render(template: str, text: Callable[[str], Column], number: Callable[[str], Column]) -> Column:
+    """A template with its fields filled in; numbers are rounded half to even."""
+    parts, at = [], 0
+    for m in _FIELD.finditer(template):
+        name, titled, comma, digits = m.groups()
+        if digits is not None:
+            filled = F.format_string(f"%{comma}.{digits}f", F.bround(number(name), int(digits)))
+        else:
+            filled = title(text(name)) if titled else text(name)
+        parts += [F.lit(template[at : m.start()]), filled]
+        at = m.end()
+    return F.concat(*parts, F.lit(template[at:]))
+
+
+def case_of(events: DataFrame) -> Column:
+    """The key of ``TEXTS`` that an event's texts come from, null for other events."""
     c = F.col
-    kind = c("type")
-    what = F.initcap(F.coalesce("category", F.lit("")))
-    headline = (
-        F.when(kind == "spending_spike", F.concat(what, F.lit(" spending changed by "), _number("change_pct"), F.lit("% in "), c("month")))
-        .when(kind == "category_drift", F.concat(what, F.lit(" spending is drifting up: "), _number("change_pct"), F.lit("%")))
-        .when(kind == "anomaly", F.concat(F.lit("Unusual "), F.coalesce("category", F.lit("")), F.lit(" transaction: "), _money("amount"), F.lit(" at "), F.coalesce("merchant", F.lit("unknown"))))
-        .when(kind == "savings_drop", F.concat(F.lit("Savings rate fell from "), _number("savings_rate_previous"), F.lit("% to "), _number("savings_rate_current"), F.lit("%")))
-        .otherwise(F.concat(c("goal_name"), F.lit(": "), F.replace(F.coalesce("status", F.lit("")), F.lit("_"), F.lit(" ")))))
-    evidence = (
-        F.when(kind == "spending_spike", F.concat(F.lit("Current "), _money("current_amount"), F.lit(", baseline "), _money("baseline_amount"), F.lit(", z "), _number("z_score", 2)))
-        .when(kind == "category_drift", F.concat(F.lit("Rolling average "), _money("rolling_avg_previous"), F.lit(" to "), _money("rolling_avg_current")))
-        .when(kind == "anomaly", F.concat(F.lit("Upper bound "), _money("upper_bound"), F.lit(", exceeded by "), _number("exceeds_by_pct"), F.lit("%")))
-        .when(kind == "savings_drop", F.concat(F.lit("Drop of "), _number("drop_pct"), F.lit("%")))
-        .when(c("budget_limit").isNotNull(), F.concat(F.lit("Spent "), _money("amount_spent"), F.lit(" of "), _money("budget_limit")))
-        .otherwise(F.concat(F.lit("Rate "), _number("actual_rate_pct"), F.lit("%, target "), _number("target_rate_pct"), F.lit("%"))))
-    action = (
-        F.when(kind == "spending_spike", "Review recent transactions in this category").when(kind == "category_drift", "Consider a budget for this category")
-        .when(kind == "anomaly", "Verify this transaction").when(kind == "savings_drop", "Review income and expenses of this month")
-        .when(c("status") == "on_track", "Keep going").otherwise("Adjust spending or the goal"))
-    fine = (kind == "goal_status") & (c("status") == "on_track")
-    text = F.when(fine, "You are on track.").otherwise(F.coalesce(body, F.lit(NO_MODEL)) if body is not None else F.lit(NO_MODEL))
-    return events.withColumns({"headline": headline, "body": text, "evidence": evidence, "confidence_text": F.concat(F.bround(F.coalesce("confidence", F.lit(0.7)) * 100, 0).cast("int").cast("string"), F.lit("%")), "action": action})
+    kind, used = c("type"), F.coalesce("pct_used", F.lit(0.0))
+    saving = F.when(c("status") == "on_track", "savings_met").otherwise("savings_missed")
+    budget = F.when(c("status") == "exceeded", "budget_exceeded").when(used > ALMOST_FULL_PCT, "budget_almost_full").otherwise("budget_on_track")
+    goal = F.when(F.contains(F.coalesce("goal_name", F.lit("")), F.lit("savings_rate")), saving).otherwise(budget)
+    return F.when(kind == "goal_status", goal).when(kind.isin(*(k for k in TEXTS if "_met" not in k and "_missed" not in k and "budget" not in k)), kind)
+
+
+def explain_events(events: DataFrame, body: Column | None = None) -> DataFrame:
+    """``events`` (of the detectors' common columns) with headline, body, evidence, confidence_text and action.
+
+    ``body`` is a model's text, used where the templates have none. Missing numbers are 0, other missing fields as in ``DEFAULTS``.
+    """
+    case, goal = case_of(events), F.col("type") == "goal_status"
+
+    def text(name: str) -> Column:
+        if name == "category":
+            of_goal = F.replace(F.coalesce("goal_name", F.lit(DEFAULTS["goal_name"])), F.lit("_budget"), F.lit(""))
+            return F.coalesce("category", F.when(goal, of_goal), F.lit(DEFAULTS["category"]))
+        return F.coalesce(F.col(name).cast("string"), F.lit(DEFAULTS[name]))
+
+    def number(name: str) -> Column:
+        if name == "abs_change":
+            return F.abs(number("change_pct"))
+        return F.coalesce(F.col(name).cast("double"), F.lit(20.0 if name == "target_rate_pct" else 0.0))
+
+    def pick(part: str, otherwise: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for key, texts in TEXTS.items():
+            template = getattr(texts, part)
+            if template is not None:
+                out = out.when(F.col("__case") == key, render(template, text, number))
+        return out.otherwise(otherwise)
+
+    sure = F.when(F.lit(False), F.lit(None).cast("double"))
+    for key, texts in TEXTS.items():
+        sure = sure.when(F.col("__case") == key, F.coalesce("confidence", F.lit(texts.confidence)))
+    percent = F.concat(F.format_string("%.0f", F.bround(sure * 100, 0)), F.lit("%"))
+    model = F.coalesce(body, F.lit(NO_MODEL)) if body is not None else F.lit(NO_MODEL)
+    return events.withColumn("__case", case).withColumns({
+        "headline": pick("headline", title(F.replace(F.coalesce("type", F.lit("Event")), F.lit("_"), F.lit(" ")))),
+        "body": pick("body", model), "evidence": pick("evidence", F.lit(OTHER["evidence"])), "action": pick("action", F.lit(OTHER["action"])),
+        "confidence_text": F.when(F.col("__case").isNotNull(), percent).otherwise(F.coalesce(F.col("confidence").cast("string"), F.lit(OTHER["confidence"]))),
+    }).drop("__case")
 
 
 def explain_match(transaction: Column, document: Column, kind: Column, confidence: Column) -> Column:

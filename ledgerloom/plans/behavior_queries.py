@@ -31,6 +31,19 @@ def _events(spark, d):
     return b.detect_all(transactions(spark, d), goals(spark))
 
 
+def _export(spark, d) -> DataFrame:
+    """The report's parts under one another: events of each detector, ranked ones, categories and the total."""
+    parts = b.export_sections(transactions(spark, d), _events(spark, d))
+    c = F.col
+    row = lambda df, section, *columns: df.select(F.lit(section).alias("section"), *columns)
+    every = row(parts["all_events"], "all_events", "event_type", "category", "month", "goal_name", "transaction_id", "priority_score")
+    top = row(parts["top_priorities"], "top_priorities", c("rank").cast("bigint").alias("n"), "event_type", "category", "month", "goal_name", "transaction_id", "priority_score")
+    names = row(parts["categories_affected"], "categories_affected", "category")
+    total = row(parts["summary"], "total_events", c("total_events").alias("n"))
+    join = lambda x, y: x.unionByName(y, allowMissingColumns=True)
+    return join(join(join(every, top), names), total)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "B0_month": lambda s, d: b.with_month(transactions(s, d)).groupBy("month").agg(F.count("*").alias("n")),
     "B1_monthly_totals": _monthly,
@@ -48,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "B12_top_events": lambda s, d: b.prioritize(_events(s, d), 10).select("event_type", "category", "month", "goal_name", "transaction_id", "priority_score"),
     "B13_events_by": lambda s, d: b.events_by(_events(s, d), category="automobile", month="1995-03").select("event_type", "category", "month", "goal_name", "transaction_id"),
     "B14_summary": lambda s, d: b.summary(transactions(s, d), _events(s, d)),
+    "B15_export": _export,
     "K1_kpis": lambda s, d: k.kpis(transactions(s, d)),
     "K2_spend_trend": lambda s, d: k.spend_trend(transactions(s, d)),
     "K2_spend_trend_wide": lambda s, d: k.spend_trend_wide(transactions(s, d), ["automobile", "building", "furniture", "household", "machinery"]),
@@ -140,6 +154,12 @@ ORACLE_SQL: dict[str, str] = {
     "B14_summary": f"""{_EVENTS} select * from (select count(*) as total_transactions, cast(min(date) as varchar) as start, cast(max(date) as varchar) as "end", count(distinct category) as categories from tx),
         (select count(*) filter (event_type = 'spikes') as spikes, count(*) filter (event_type = 'drifts') as drifts, count(*) filter (event_type = 'anomalies') as anomalies,
          count(*) filter (event_type = 'savings_drops') as savings_drops, count(*) filter (event_type = 'goals') as goals from ev)""",
+    "B15_export": f"""{_EVENTS}, top as (select *, row_number() over (order by priority_score desc, list_position(['spikes', 'drifts', 'anomalies', 'savings_drops', 'goals'], event_type),
+        category nulls first, month, goal_name nulls first, transaction_id nulls first) as n from scored)
+        select 'all_events' as section, null::bigint as n, event_type, category, month, goal_name, transaction_id, priority_score from scored
+        union all select 'top_priorities', n, event_type, category, month, goal_name, transaction_id, priority_score from top where n <= 10
+        union all select distinct 'categories_affected', null, null, category, null, null, null, null from ev where category is not null
+        union all select 'total_events', count(*), null, null, null, null, null, null from ev""",
     "K1_kpis": f"{_TX} select *, income - expenses as net, case when income > 0 then round_even((income - expenses) / income * 100, 1) else 0.0 end as savings_pct from ({_KPI} tx)",
     "K2_spend_trend": f"""{_TX}, s as (select strftime(date, '%Y-%m') as month, category, cast(abs(sum(amount)) as double) as spent from tx where amount < 0 group by all)
         select month, category, coalesce(spent, 0.0) as spent from (select distinct month from s) cross join (select distinct category from s) left join s using (month, category)""",

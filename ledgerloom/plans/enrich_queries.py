@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,11 +49,16 @@ def _monthly_by_customer(s, d) -> DataFrame:
         (c("k") * 10 + c("i")).alias("transaction_id"), c("k").cast("string").alias("canonical_id"), F.date_add(F.lit("2024-01-01").cast("date"), (c("i") * c("step")).cast("int")).alias("date"))
 
 
+def _slices(parts: dict[str, DataFrame]) -> DataFrame:
+    rows = [df.select(F.lit(k).alias("slice"), "transaction_id", "category", "confidence") for k, df in parts.items()]
+    return reduce(DataFrame.union, rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "A1_clean_merchant": lambda s, d: transactions(s, d).select("transaction_id", e.clean_merchant(c("merchant_raw")).alias("merchant_clean")),
     "A1b_clean_first": lambda s, d: transactions(s, d).select("transaction_id", e.clean_merchant(c("merchant_raw"), "first").alias("merchant_clean")),
     "A1c_clean_draft": lambda s, d: transactions(s, d).select("transaction_id", e.clean_merchant(c("merchant_raw"), "draft").alias("merchant_clean")),
-    "A2_extract_entity": lambda s, d: transactions(s, d).select("transaction_id", e.extract_entity(c("merchant_raw"), F.when(c("ord") % 2 == 0, F.lit("Acme"))).alias("merchant_extracted")),
+    "A2_extract_entity": lambda s, d: transactions(s, d).select("transaction_id", e.extract_entity(c("merchant_raw"), F.when(c("ord") % 2 == 0, c("category"))).alias("merchant_extracted")),
     "A2b_first_words": lambda s, d: transactions(s, d).select("transaction_id", e.first_words(c("merchant_raw")).alias("merchant_extracted")),
     "A3_A4_normalize": lambda s, d: _scored(s, d).withColumn("n", e.normalize_merchant(c("merchant_clean"), c("merchant_clean"))).select("transaction_id", c("n").alias("merchant_normalized"), alnum_id(c("n")).alias("normalized_id")),
     "A5_cluster_merchants": lambda s, d: e.cluster_merchants(_scored(s, d), column="merchant_clean"),
@@ -77,7 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "A17_process": lambda s, d: e.process(transactions(s, d)).select("transaction_id", "merchant_canonical", "category", "status", "fingerprint", "transaction_type"),
     "E1_baseline_report": lambda s, d: v.baseline_report(_report_input(s, d)),
     "E1_low_categories": lambda s, d: v.low_confidence_categories(_report_input(s, d)),
-    "E2_error_slices": lambda s, d: v.error_slices(_report_input(s, d))["low"].select("transaction_id", "category", "confidence"),
+    "E2_error_slices": lambda s, d: _slices(v.error_slices(_report_input(s, d))),
 }
 
 
@@ -137,13 +143,13 @@ _RULED = f"{_TX}, {_ruled(True)}"
 _DECIDED = f"{_RULED}, {_decision(0.7, 0.5, None)}"
 _REPORT = f"""{_DECIDED}, src as (select transaction_id, date, category as category_hint, cast(ord % 37 as varchar) as canonical_id from tx),
 rep as (select * from ({_recurring('src', ((25, 35), (13, 15)))}) join (select transaction_id, category_hint from src) using (transaction_id) join decided using (transaction_id))"""
-_PATTERNS = ("SQ *", "TST*", "PAYPAL", "AMAZON", r"#\d+", "ONLINE PAYMENT")
+_PATTERNS = ("SQ *", "TST*", "AMAZON", "UBER", "PAYPAL", "ONLINE PAYMENT")
 
 ORACLE_SQL: dict[str, str] = {
     "A1_clean_merchant": f"{_TX} select transaction_id, merchant_clean from clean",
     "A1b_clean_first": f"{_TX} select transaction_id, {_clean('first')} as merchant_clean from tx",
     "A1c_clean_draft": f"{_TX} select transaction_id, {_squeeze(_sub('trim(merchant_raw)', e.CLEANING['draft']))} as merchant_clean from tx",
-    "A2_extract_entity": f"{_TX} select transaction_id, case when ord % 2 = 0 then 'Acme' else merchant_raw end as merchant_extracted from tx",
+    "A2_extract_entity": f"{_TX} select transaction_id, case when ord % 2 = 0 then category else merchant_raw end as merchant_extracted from tx",
     "A2b_first_words": f"{_TX} select transaction_id, array_to_string(string_split({_squeeze('merchant_raw')}, ' ')[1:2], ' ') as merchant_extracted from tx",
     "A3_A4_normalize": f"""{_TX}, n as (select *, {_title(_squeeze("regexp_replace(merchant_clean, '[^a-zA-Z0-9 ]', ' ', 'g')"))} as t from clean), m as (select transaction_id, case when length(merchant_clean) > 3 and length(t) > 2 then t else merchant_clean end as merchant_normalized from n)
         select *, regexp_replace(lower(merchant_normalized), '[^a-z0-9]', '', 'g') as normalized_id from m""",
@@ -171,5 +177,6 @@ ORACLE_SQL: dict[str, str] = {
         count(*) filter (confidence_level = 'high') as high, count(*) filter (transaction_type = 'recurring') as recurring, count(*) filter (transaction_type = 'repeat') as repeat,
         count(*) filter (transaction_type = 'one-time') as one_time from rep""",
     "E1_low_categories": f"{_REPORT} select category, count(*) as n from rep where confidence_level = 'low' group by 1 order by n desc, category nulls first limit 5",
-    "E2_error_slices": f"{_REPORT} select transaction_id, category, confidence from rep where confidence_level = 'low'",
+    "E2_error_slices": f"""{_REPORT} select confidence_level as slice, transaction_id, category, confidence from rep where confidence_level in ('high', 'low')
+        union all select 'transfer', transaction_id, category, confidence from rep where category = 'transfer'""",
 }

@@ -11,7 +11,7 @@ from ledgerloom.functions import text as x
 from ledgerloom.functions.storage import materialize
 from ledgerloom.operators import dashboard, explain
 from ledgerloom.operators import reconcile as r
-from ledgerloom.sources.tables import MERCHANTS, RECON_DOCUMENTS, RECON_TRANSACTIONS, TRANSACTIONS, recon_inputs, transactions
+from ledgerloom.sources.tables import RECON_DOCUMENTS, RECON_TRANSACTIONS, TRANSACTIONS, recon_inputs, transactions
 
 c = F.col
 
@@ -34,10 +34,10 @@ def _open(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     return r.unsupported(tx, m), r.unreconciled(docs, m), m
 
 
-def _names(s: SparkSession) -> DataFrame:
-    """All pairs of the twenty fixed merchant names."""
-    n = s.createDataFrame([(m,) for m in MERCHANTS], "a string")
-    return n.crossJoin(n.toDF("b"))
+def _names(s: SparkSession, d: str) -> DataFrame:
+    """The distinct pairs of merchants of a transaction and the document of the same order."""
+    tx, docs = recon_inputs(s, d)
+    return tx.select("ord", c("merchant").alias("a")).join(docs.select("ord", c("merchant").alias("b")), "ord").select("a", "b").distinct()
 
 
 def _total(s, d):
@@ -45,9 +45,9 @@ def _total(s, d):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "F1_indel_ratio": lambda s, d: _names(s).select("a", "b", F.bround(x.indel_ratio(c("a"), c("b")), 6).alias("ratio")),
-    "F2_token_set_ratio": lambda s, d: _names(s).select("a", "b", F.bround(x.token_set_ratio(c("a"), c("b")), 6).alias("ratio")),
-    "F3_name_similarity": lambda s, d: _names(s).select("a", "b", F.bround(x.name_similarity(c("a"), c("b")), 6).alias("ratio")),
+    "F1_indel_ratio": lambda s, d: _names(s, d).select("a", "b", F.bround(x.indel_ratio(c("a"), c("b")), 6).alias("ratio")),
+    "F2_token_set_ratio": lambda s, d: _names(s, d).select("a", "b", F.bround(x.token_set_ratio(c("a"), c("b")), 6).alias("ratio")),
+    "F3_name_similarity": lambda s, d: _names(s, d).select("a", "b", F.bround(x.name_similarity(c("a"), c("b")), 6).alias("ratio")),
     "F4_cosine": lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.bround(x.cosine(c("embedding"), F.reverse("embedding")), 6).alias("cosine")),
     "J1_J2_parse": lambda s, d: recon_inputs(s, d)[0].select("id", r.parse_amount(c("amount")).cast("double").alias("amount"), r.parse_date(c("date")).cast("date").cast("string").alias("date")),
     "J3_J6_names": lambda s, d: recon_inputs(s, d)[1].select("id", r.merchant_exact(c("merchant")).alias("m1"), r.merchant_fuzzy(c("merchant")).alias("m2"), r.merchant_semantic(c("merchant")).alias("m3"), r.expand_abbreviation(r.merchant_semantic(c("merchant"))).alias("x3")),
@@ -115,7 +115,7 @@ def _set_ratio(src: str) -> tuple[str, str]:
     return todo, ratio
 
 
-_FIXED = "(select a.m as a, b.m as b from (select unnest([" + ", ".join(f"'{m}'" for m in MERCHANTS) + "]) as m) a, (select unnest([" + ", ".join(f"'{m}'" for m in MERCHANTS) + "]) as m) b)"
+_FIXED = f"(select distinct x.merchant as a, y.merchant as b from ({RECON_TRANSACTIONS}) x join ({RECON_DOCUMENTS}) y using (ord))"
 _SORTED = f"(select a as a0, b as b0, array_to_string(list_sort(string_split(a, ' ')), ' ') as a, array_to_string(list_sort(string_split(b, ' ')), ' ') as b from {_FIXED})"
 _FIXED_TODO, _FIXED_SET = _set_ratio(_FIXED)
 _PAIR_TODO, _PAIR_SET = _set_ratio("(select distinct t2 as a, d2 as b from cand)")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import explain, reconcile
 from ledgerloom.plans.behavior_queries import _EVENTS, _events
+from ledgerloom.plans.enrich_queries import _title
 from ledgerloom.sources import files as f
 from ledgerloom.sources.tables import TRANSACTIONS, transactions
 from ledgerloom.streaming import live
@@ -40,11 +41,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "S8b_summary": lambda s, d: _files(s, d).select("path", f.document_summary(c("path"), c("extension"), c("size"), c("width"), c("height"), F.lit(1), c("error").isNull()).alias("summary")),
     "S9_counts_by_type": lambda s, d: f.counts_by_type(_files(s, d)),
     "S10_generate": lambda s, d: f.generate_transactions(s).groupBy("category", "pattern_tag").agg(F.count("*").alias("n")),
-    "B16_explain_events": lambda s, d: explain.explain_events(_events(s, d)).select("event_type", "category", "month", "goal_name", "transaction_id", "headline", "evidence", "confidence_text", "action"),
+    "B16_explain_events": lambda s, d: explain.explain_events(_events(s, d)).select("event_type", "category", "month", "goal_name", "transaction_id", "headline", "body", "evidence", "confidence_text", "action"),
     "W1_windowed_spending": lambda s, d: live.spending(_parquet_events(s, d)).withColumn("total", F.bround("total", 2)),
     "W2_sessions": lambda s, d: live.sessions(_parquet_events(s, d)),
 }
 
+_CATEGORY = "coalesce(category, case when type = 'goal_status' then replace(coalesce(goal_name, 'goal'), '_budget', '') end, 'spending')"
+
+
+def _filled(template: str) -> str:
+    """SQL of a text template."""
+    parts, at = [], 0
+    for m in explain._FIELD.finditer(template):
+        name, titled, comma, digits = m.groups()
+        parts.append("'" + template[at : m.start()].replace("'", "''") + "'")
+        at = m.end()
+        if digits is not None:
+            value = {"abs_change": "abs(coalesce(change_pct, 0.0))", "target_rate_pct": "coalesce(target_rate_pct, 20.0)"}.get(name, f"coalesce({name}, 0.0)")
+            parts.append(f"format('{{:{comma}.{digits}f}}', cast({value} as double))")
+        else:
+            value = _CATEGORY if name == "category" else f"coalesce({name}, '{explain.DEFAULTS[name]}')"
+            parts.append(_title(value) if titled else value)
+    return " || ".join([*parts, "'" + template[at:].replace("'", "''") + "'"])
+
+
+def _explained() -> str:
+    pick = lambda part, other: "case kind " + " ".join(f"when '{k}' then {_filled(getattr(t, part))}" for k, t in explain.TEXTS.items() if getattr(t, part)) + f" else {other} end"
+    return f"""{_EVENTS}, k as (select *, case when type <> 'goal_status' then type when goal_name like '%savings_rate%' then case when status = 'on_track' then 'savings_met' else 'savings_missed' end
+        when status = 'exceeded' then 'budget_exceeded' when pct_used > 80 then 'budget_almost_full' else 'budget_on_track' end as kind from ev)
+        select event_type, category, month, goal_name, transaction_id, {pick("headline", "null")} as headline, {pick("body", f"'{explain.NO_MODEL}'")} as body, {pick("evidence", "null")} as evidence,
+        {pick("action", "null")} as action, format('{{:.0f}}', confidence * 100) || '%' as confidence_text from k"""
+
+
 _FILES = """with f as (select *, lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) as extension from (select '/in/doc' || o_orderkey || '.' || ['png', 'PDF', 'docx', 'jpg'][o_orderkey % 4 + 1] as path, o_orderkey * 1000 as size, cast(100 + o_orderkey % 500 as int) as width, 400 as height,
   case when o_orderkey % 5 = 0 then 'CMYK' else 'RGB' end as mode from orders)),
 e as (select *, case when extension not in ('png', 'jpg', 'jpeg', 'tiff', 'bmp', 'pdf') then 'unsupported' when size > 10485760 then 'large' end as error from f)"""
@@ -55,6 +83,7 @@ ORACLE_SQL: dict[str, str] = {
     "S7_S8_files": f"{_FILES} select path, extension from e where error is null and width >= 200 and height >= 200 and mode in ('RGB', 'L')",
     "S8b_summary": f"{_FILES} select path, 'File: ' || path || chr(10) || 'Format: ' || extension || chr(10) || 'Size: ' || size || ' bytes' || chr(10) || 'Dimensions: ' || width || 'x' || height || chr(10) || 'Pages: 1' || chr(10) || 'Valid: ' || (error is null) as summary from e",
     "S9_counts_by_type": f"{_FILES} select extension, count(*) as files, count(*) filter (error is null) as loaded from e group by 1",
+    "B16_explain_events": _explained(),
     "W1_windowed_spending": "select date_trunc('day', ts)::timestamp as start, event_type, count(*) as n, round_even(sum(value), 2) as total from events group by 1, 2",
     "W2_sessions": """select min(ts) as start, max(ts) + interval 30 minutes as "end", user_id, count(*) as n from (select *, sum(g) over (partition by user_id order by ts rows unbounded preceding) as k
         from (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as g from events)) group by user_id, k""",
