@@ -104,8 +104,8 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 def _open_pairs(group: pa.Table, percent: int) -> np.ndarray:
     """Which (home, away) pairs of a block are to be tested: of different roots, in the first band they share, not ruled out by
     their signatures. A pair of which neither has the bucket's main root meets in two blocks and counts in one."""
-    ids, roots, home = (group[c].to_numpy(zero_copy_only=False) for c in ("__id", "root", "is_home"))
-    h, a = np.flatnonzero(home), np.flatnonzero(~home)
+    ids, roots, home, away = (group[c].to_numpy(zero_copy_only=False) for c in ("__id", "root", "is_home", "is_away"))
+    h, a = np.flatnonzero(home), np.flatnonzero(away)
     main, band = group["main"][0].as_py(), group["band"][0].as_py()
     open_ = (roots[h][:, None] != roots[a][None, :]) & ((roots[h] == main)[:, None] | (ids[h][:, None] < ids[a][None, :]))
     keys = np.array(group["bands"].to_pylist(), np.int64)
@@ -134,14 +134,16 @@ def _explore(members: DataFrame, mixed: DataFrame, base: DataFrame, texts: DataF
     tested in the first band that it shares, on full sets: many pairs at once as a matrix product, few one by one. A
     group returns only links that join two components, never more than its members.
     """
-    kinds = "bucket bigint, home int, away int, band int, main bigint, __id bigint, root bigint, is_home boolean"
+    kinds = "bucket bigint, home int, away int, band int, main bigint, __id bigint, root bigint, is_home boolean, is_away boolean"
     names = [x.split()[0] for x in kinds.split(", ")]
-    every = members.join(mixed, "bucket")
+    every = members.join(mixed, "bucket").withColumn("sought", F.col("root") != F.col("main"))
     blocks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
     mine = lambda n, seed: F.pmod(F.xxhash64("__id", F.lit(seed)), F.col(n)).cast("int")
-    homes = every.withColumns({"home": mine("n_home", 1), "is_home": F.lit(True)}).withColumn("away", blocks("n_away"))
-    aways = every.where("root <> main").withColumns({"away": mine("n_away", 2), "is_home": F.lit(False)}).withColumn("home", blocks("n_home"))
-    placed = homes.select(names).union(aways.select(names))
+    small, large = every.where("n_home = 1"), every.where("n_home > 1")  # in one block a member meets all others as it is
+    single = small.withColumns({"home": F.lit(0), "away": F.lit(0), "is_home": F.lit(True), "is_away": F.col("sought")})
+    homes = large.withColumns({"home": mine("n_home", 1), "is_home": F.lit(True), "is_away": F.lit(False)}).withColumn("away", blocks("n_away"))
+    aways = large.where("sought").withColumns({"away": mine("n_away", 2), "is_home": F.lit(False), "is_away": F.lit(True)}).withColumn("home", blocks("n_home"))
+    placed = single.select(names).union(homes.select(names)).union(aways.select(names))
     prints = base.select("__id", "sig", "bands")
 
     def hopeful(group: pa.Table) -> pa.Table:
@@ -151,8 +153,9 @@ def _explore(members: DataFrame, mixed: DataFrame, base: DataFrame, texts: DataF
             for j in range(0, len(a), TEXT_MEMBERS):
                 some_h, some_a = h[i : i + TEXT_MEMBERS], a[j : j + TEXT_MEMBERS]
                 here = open_[np.ix_(some_h, some_a)]
-                out += [some_h[here.any(axis=1)], some_a[here.any(axis=0)]]
-                part += [(i << 16) + j] * (here.any(axis=1).sum() + here.any(axis=0).sum())
+                here = np.union1d(some_h[here.any(axis=1)], some_a[here.any(axis=0)])
+                out.append(here)
+                part += [(i << 16) + j] * len(here)
         found = group.select(names).take(pa.array(np.concatenate([np.empty(0, np.int64), *out])))
         return found.append_column("part", pa.array(part, pa.int64()))
 
