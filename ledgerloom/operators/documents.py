@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from ledgerloom.functions.storage import materialize
 from ledgerloom.functions.text import chain, contains_any, first_match, let, squeeze, title
 from ledgerloom.operators import trust
 
@@ -264,6 +265,11 @@ def receipt_confidence(merchant, date, total, subtotal, tax, n_items: Column) ->
     return F.bround(F.least(F.lit(1.0), _points((merchant, 0.15), (date, 0.15), (total, 0.2), (subtotal, 0.1), (tax, 0.1)) + F.least(n_items * 0.05, F.lit(0.1))), 4)
 
 
+def receipt_record() -> Column:
+    """A receipt's facts as one nested record, items included."""
+    return F.struct("merchant", "date", "total_amount", "subtotal", "tax", "tax_rate", "items", "payment_method", "extraction_confidence")
+
+
 def receipt_facts(docs: DataFrame, text: str = "raw_text") -> DataFrame:
     t = F.col("__t")
     rows = docs.withColumn("__t", receipt_normalize(F.coalesce(F.col(text), F.lit(""))))
@@ -449,21 +455,75 @@ def process_documents(docs: DataFrame) -> DataFrame:
 
 
 def preprocess(docs: DataFrame) -> DataFrame:
-    """Load checks, quality gate, type and route of documents with their measured columns; what fails says so in ``error``."""
+    """All stages before extraction: load checks, quality gate, geometry, recognition's output, type and route, text structure.
+
+    ``docs``: document_id, raw_text, ocr_confidence, width, height, sharpness, noise, contrast, and if there are such:
+    ``load_error`` (a file that could not be loaded), ``turn`` (detected orientation), ``skew_angle`` (measured) and ``cropped``.
+    What fails says so in ``error`` and ``status`` and has no later stage: ``load_failed``, ``validation_failed``, ``quality_too_low``.
+    Adds quality_score, resolution, route, preprocessing_applied, orientation_angle, skew_angle, doc_type, type_confidence,
+    type_status, strategy, structure.
+    """
     c = F.col
-    rows = docs.withColumn("quality_score", quality_overall(c("sharpness"), c("noise"), c("contrast"), c("width") * c("height")))
+    given = lambda name, kind: c(name).cast(kind) if name in docs.columns else F.lit(None).cast(kind)
+    rows = docs.withColumns({
+        "resolution": F.least(c("width") * c("height") / 1e6, F.lit(1.0)),
+        "quality_score": quality_overall(c("sharpness"), c("noise"), c("contrast"), c("width") * c("height"))})
     rows = rows.withColumn("route", quality_route(c("quality_score"), c("sharpness")))
-    error = F.when((c("width") < 200) | (c("height") < 200), "validation_failed").when((c("quality_score") < 0.3) | (c("route") == "reject_or_manual"), "quality_too_low")
-    rows = rows.withColumn("error", error).withColumn("t", F.when(c("error").isNull(), doc_type(c("raw_text"), c("width"), c("height"))))
-    return rows.withColumns({"doc_type": c("t.type"), "type_confidence": c("t.confidence"), "strategy": routing_decision(c("t.type"), c("t.confidence"))}).drop("t")
+    poor = (c("quality_score") < 0.3) | (c("route") == "reject_or_manual")
+    error = F.when(given("load_error", "string").isNotNull(), "load_failed").when((c("width") < 200) | (c("height") < 200), "validation_failed").when(poor, "quality_too_low")
+    rows = rows.withColumn("error", error)
+    fine = lambda x: F.when(c("error").isNull(), x)
+    rows = rows.withColumns({
+        "orientation_angle": fine(F.coalesce(given("turn", "int"), orientation(c("width"), c("height")))),
+        "skew_angle": fine(deskew_angle(F.coalesce(given("skew_angle", "double"), F.lit(0.0)))), "t": fine(doc_type(c("raw_text"), c("width"), c("height")))})
+    advice = quality_recommendations(c("sharpness"), c("noise"), c("contrast"), c("resolution"))
+    steps = F.concat(advice, geometry_steps(c("orientation_angle"), c("skew_angle"), F.coalesce(given("cropped", "boolean"), F.lit(False))))
+    return rows.withColumns({
+        "preprocessing_applied": fine(F.array_distinct(steps)), "doc_type": c("t.type"), "type_confidence": c("t.confidence"), "type_status": c("t.status"),
+        "strategy": routing_decision(c("t.type"), c("t.confidence")), "structure": fine(text_structure(F.coalesce("raw_text", F.lit("")))),
+        "status": F.when(c("error").isNull(), "success").otherwise("error")}).drop("t")
 
 
 def enhanced(docs: DataFrame, today: Column) -> DataFrame:
-    """Preprocessed documents without duplicates, with type, facts of receipts, trust and partial-match flags; unknown types count as receipts."""
-    rows = trust.duplicates(docs, "document_id", "raw_text").where("not is_duplicate")
-    rows = receipt_facts(rows.withColumn("doc_type", F.when(F.col("doc_type") == "unknown", "receipt").otherwise(F.col("doc_type"))))
+    """Transactions of preprocessed documents without duplicates, each with trust, partial-match flag and evidence chain; unknown types count as receipts.
+
+    A receipt or an invoice with amount and date gives one row, a statement a row for each of its transactions, all with the
+    document's trust. Columns: document_id, doc_type, merchant, description, date, amount, completeness, consistency,
+    confidence (the trust score), status, partial (null for statements' rows), chain. Documents are typed and freed of duplicates once,
+    before the three kinds of extraction.
+    """
     c = F.col
-    filled = lambda *xs: [F.col(x).isNotNull() for x in xs]
-    complete = trust.completeness(c("doc_type"), filled("merchant", "date", "total_amount"), [F.lit(False)], [F.lit(False)])
-    score = trust.trust_score(c("quality_score"), c("ocr_confidence"), complete, trust.consistency(F.to_date("date"), c("total_amount"), c("subtotal"), c("tax"), today))
-    return rows.withColumns({"trust": score, "partial": trust.partial_match_flag(c("raw_text"), c("subtotal"), c("tax"), c("total_amount"))})
+    rows = trust.duplicates(docs, "document_id", "raw_text").where("not is_duplicate")
+    kind = F.when(c("doc_type") == "unknown", "receipt").otherwise(c("doc_type"))
+    rows = materialize(rows.select("document_id", "raw_text", "quality_score", "ocr_confidence", kind.alias("doc_type")), "typed")
+    of = lambda k: rows.where(c("doc_type") == k)
+    nothing = F.lit(None).cast("double")
+    filled = lambda *xs: [c(x).isNotNull() for x in xs]
+
+    def scored(facts: DataFrame, complete: list[Column], date: Column, total: Column, subtotal: Column, tax: Column, zero_is_wrong: bool = False) -> DataFrame:
+        share = sum((F.coalesce(x, F.lit(False)).cast("int") for x in complete), F.lit(0)) / float(len(complete))
+        out = facts.withColumns({"completeness": share, "consistency": trust.consistency(F.to_date(date), total, subtotal, tax, today, zero_is_wrong)})
+        out = out.withColumn("trust", trust.trust_score(c("quality_score"), c("ocr_confidence"), c("completeness"), c("consistency")))
+        evidence = trust.composite_confidence(trust.unit(c("ocr_confidence")), c("extraction_confidence"), trust.unit(c("quality_score")))
+        return out.withColumns({"partial": trust.partial_match_flag(c("raw_text"), subtotal, tax, total), "evidence": evidence})
+
+    def made(facts: DataFrame, merchant: Column, description: Column, date: Column, amount: Column, fact: str, value: Column, partial: Column) -> DataFrame:
+        chain_ = trust.build_chain(F.to_json(value), F.lit(fact), c("raw_text"), c("evidence"), 0.6).withField("status", c("trust.status"))
+        return facts.select(
+            "document_id", "doc_type", merchant.alias("merchant"), description.alias("description"), date.alias("date"), amount.alias("amount"), "completeness", "consistency",
+            c("trust.trust_score").alias("confidence"), c("trust.status").alias("status"), partial.alias("partial"), chain_.alias("chain"))
+
+    def single(facts: DataFrame, merchant: str, date: str, amount: str, fact: str) -> DataFrame:
+        value = F.struct(c(merchant).alias("merchant"), c(amount).alias("amount"), c(date).alias("date"))
+        return made(facts.where(c(amount).isNotNull() & c(date).isNotNull()), c(merchant), F.lit(None).cast("string"), c(date), c(amount), fact, value, c("partial"))
+
+    receipts = scored(receipt_facts(of("receipt")), filled("merchant", "date", "total_amount"), c("date"), c("total_amount"), c("subtotal"), c("tax"))
+    invoices = scored(invoice_facts(of("invoice")), filled("vendor", "invoice_date", "total_due"), c("invoice_date"), c("total_due"), c("subtotal"), c("tax"), True)
+    statements = scored(statement_facts(of("statement")), [*filled("account_holder", "statement_period"), F.size("transactions") > 0], F.lit(None).cast("string"), nothing, nothing, nothing)
+    lines = statements.withColumn("t", F.explode("transactions"))
+    words = F.slice(F.split(F.trim("t.description"), r"\s+"), 1, 2)
+    name = F.when(F.coalesce("t.description", F.lit("")) == "", "Unknown").otherwise(F.array_join(words, " "))
+    value = F.struct(c("t.description").alias("desc"), c("t.amount").alias("amount"))
+    none = F.lit(None).cast(receipts.schema["partial"].dataType)
+    each = made(lines, name, c("t.description"), c("t.date"), c("t.amount"), "statement_transaction", value, none)
+    return single(receipts, "merchant", "date", "total_amount", "receipt").unionByName(each).unionByName(single(invoices, "vendor", "invoice_date", "total_due", "invoice"))

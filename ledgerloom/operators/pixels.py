@@ -73,3 +73,48 @@ def crop(data: pd.Series, width: pd.Series, height: pd.Series, box: pd.Series) -
         return np.frombuffer(d, np.uint8).reshape(h, w)[y : y + bh, x : x + bw].tobytes()
 
     return pd.Series([one(*x) for x in zip(data, width, height, box, strict=True)])
+
+
+def turned(g: np.ndarray, degrees: float) -> np.ndarray:
+    """The image turned counter-clockwise about its centre by a small angle, of the same size; between pixels bilinear, beyond the border the border's."""
+    h, w = g.shape
+    a = np.deg2rad(degrees)
+    y, x = np.mgrid[:h, :w].astype(np.float64)
+    cy, cx = (h - 1) / 2, (w - 1) / 2
+    dy, dx = y - cy, x - cx
+    sy = np.clip(cy + dy * np.cos(a) + dx * np.sin(a), 0, h - 1)
+    sx = np.clip(cx + dx * np.cos(a) - dy * np.sin(a), 0, w - 1)
+    y0, x0 = np.minimum(sy.astype(int), max(h - 2, 0)), np.minimum(sx.astype(int), max(w - 2, 0))
+    fy, fx = sy - y0, sx - x0
+    y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
+    top, bottom = g[y0, x0] * (1 - fx) + g[y0, x1] * fx, g[y1, x0] * (1 - fx) + g[y1, x1] * fx
+    return np.rint(top * (1 - fy) + bottom * fy).astype(np.uint8)
+
+
+def skew_of(g: np.ndarray, limit: float = 5.0, step: float = 0.25, dark: int = 128) -> float:
+    """The angle by which lines of text rise to the right, in degrees: the one whose projection of dark pixels is the most uneven."""
+    y, x = np.nonzero(g < dark)
+    if len(y) < 20:
+        return 0.0
+    best, angle = -1.0, 0.0
+    for a in sorted(np.arange(-limit, limit + step / 2, step), key=abs):
+        rows = np.rint(y + x * np.tan(np.deg2rad(a))).astype(int)
+        unevenness = float((np.bincount(rows - rows.min()).astype(float) ** 2).sum())
+        if unevenness > best * 1.0001:
+            best, angle = unevenness, float(a)
+    return angle
+
+
+@F.pandas_udf(DoubleType())
+def skew(data: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+    """The measured angle of text lines; null where the bytes are not an image of that size."""
+    return pd.Series([skew_of(np.frombuffer(d, np.uint8).reshape(h, w)) if d and len(d) == w * h else None for d, w, h in zip(data, width, height, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(BinaryType())
+def deskew(data: pd.Series, width: pd.Series, height: pd.Series, angle: pd.Series) -> pd.Series:
+    """The image with lines that rise by ``angle`` degrees made level; as it is for an angle of 0 or null."""
+    def one(d, w, h, a):
+        return turned(np.frombuffer(d, np.uint8).reshape(h, w), -a).tobytes() if d and a == a and a else d
+
+    return pd.Series([one(*x) for x in zip(data, width, height, angle, strict=True)])

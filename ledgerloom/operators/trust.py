@@ -52,22 +52,28 @@ def _present(x: Column) -> Column:
     return x.isNotNull() & (x != 0)
 
 
-def consistency(date: Column, total: Column, subtotal: Column, tax: Column, today: Column) -> Column:
-    """1, less 0.3 for a future date, 0.3 for a total of 0 or less and 0.2 where subtotal and tax do not make the total; a missing or zero part is not checked."""
-    score = F.lit(1.0) - F.when(date > today, 0.3).otherwise(0.0) - F.when(total < 0, 0.3).otherwise(0.0)
+def consistency(date: Column, total: Column, subtotal: Column, tax: Column, today: Column, zero_is_wrong: Column | bool = False) -> Column:
+    """1, less 0.3 for a future date, 0.3 for a total below 0 and 0.2 where subtotal and tax do not make the total; a missing or zero part is not checked.
+
+    ``zero_is_wrong``: a total of 0 costs 0.3 as well, as it does for an invoice; a receipt's counts as missing.
+    """
+    zero = F.lit(zero_is_wrong) if isinstance(zero_is_wrong, bool) else zero_is_wrong
+    bad = (total < 0) | ((total == 0) & zero)
+    score = F.lit(1.0) - F.when(date > today, 0.3).otherwise(0.0) - F.when(bad, 0.3).otherwise(0.0)
     checked = _present(subtotal) & _present(tax) & _present(total)
     return F.greatest(score - F.when(checked & (F.abs(total - (subtotal + tax)) > 0.01), 0.2).otherwise(0.0), F.lit(0.0))
 
 
-def _unit(x: Column) -> Column:
+def unit(x: Column) -> Column:
+    """A share between 0 and 1; over 1 it counts as percent, a missing one as 0."""
     x = F.coalesce(x, F.lit(0.0))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(x > 1, x / 100).otherwise(x)))
 
 
 def trust_score(quality: Column, ocr: Column, complete: Column, consistent: Column) -> Column:
     """Struct (trust_score, image_quality, ocr_confidence, status); inputs over 1 count as percent."""
-    q, o = _unit(quality), _unit(ocr)
-    raw = q * 0.3 + o * 0.3 + complete * 0.2 + consistent * 0.2
+    q, o = unit(quality), unit(ocr)
+    raw = F.bround(q * 0.3 + o * 0.3 + complete * 0.2 + consistent * 0.2, 10)  # so that the order of the sum decides no tie
     return F.struct(F.bround(raw, 4).alias("trust_score"), F.bround(q, 4).alias("image_quality"), F.bround(o, 4).alias("ocr_confidence"), trust_status(raw).alias("status"))
 
 

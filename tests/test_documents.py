@@ -96,3 +96,21 @@ def test_duplicates(spark):
     rows = [(1, "Shop A\n$1.00\n1/2/2026"), (2, "shop a\n $1.00 1/2/2026"), (3, "Shop B\n$1.00"), (4, ""), (5, None), (6, "Shop B\n$1.00 ")]
     got = {r.k: r.is_duplicate for r in t.duplicates(spark.createDataFrame(rows, "k int, x string"), "k", "x").collect()}
     assert got == {1: False, 2: True, 3: False, 4: False, 5: True, 6: True}
+
+
+def test_zero_totals_and_missing_fields(spark):
+    """A receipt's total of 0 counts as missing, an invoice's is wrong; rows without amount or date give no transaction."""
+    lit = lambda *x: [F.lit(v).cast("double") for v in x]
+    day = F.lit("2024-01-01").cast("date")
+    got = spark.range(1).select(*(t.consistency(day, *lit(total, 5, 1), day, wrong).alias(f"c{k}") for k, (total, wrong) in enumerate([(0, False), (0, True), (-2, False), (6, True), (9, False)]))).first()
+    assert [round(x, 6) for x in got] == [1.0, 0.7, 0.5, 1.0, 0.8]
+    invoice = "ACME LTD\nInvoice #INV-1\nDate: 1/5/2024\nBill To:\nclient\nTotal Due: $0.00\nPayment Terms: Net 30"
+    statement = "FIRST BANK STATEMENT\nJOHN DOE\nStatement Period: 1/1/2024 to 1/31/2024\n1/5/2024 COFFEE 3.00 97.00\n1/6/2024 DIRECT DEPOSIT 50.00 147.00"
+    receipt = "CORNER SHOP\n1/5/2024\nTea $2.00\nTOTAL $2.00\nTIP"
+    rows = [(1, "invoice", invoice), (2, "statement", statement), (3, "unknown", receipt), (4, "receipt", "nothing here"), (5, "receipt", receipt)]
+    docs = spark.createDataFrame(rows, "document_id long, doc_type string, raw_text string").withColumns({"quality_score": F.lit(0.9), "ocr_confidence": F.lit(90.0)})
+    out = sorted(o.enhanced(docs, F.lit("2025-01-01").cast("date")).collect(), key=lambda r: (r.document_id, r.amount))
+    assert [(r.document_id, r.doc_type, r.amount) for r in out] == [(1, "invoice", 0.0), (2, "statement", 3.0), (2, "statement", 50.0), (3, "receipt", 2.0)]
+    assert [round(r.consistency, 6) for r in out] == [0.7, 1.0, 1.0, 1.0]
+    assert out[3].partial.reason == "tip_detected" and out[1].merchant == "COFFEE" and out[1].partial is None
+    assert all(r.chain.status == r.status for r in out) and out[1].chain.field == "statement_transaction"

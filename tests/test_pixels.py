@@ -36,3 +36,26 @@ def test_measure_turn_and_crop(spark):
     assert got[2].flat_pixels is None and got[3].low is None
     one = df.where("k = 1").select(px.turn("d", "w", "h", F.lit(90)).alias("t"), px.crop("d", "w", "h", "m.content_box").alias("c")).first()
     assert bytes(one.t) == np.rot90(page).tobytes() and bytes(one.c) == page[5:30, 2:40].tobytes()
+
+
+def test_turned_by_loops_and_deskew(spark):
+    g = np.random.default_rng(1).integers(0, 256, (9, 12)).astype(np.uint8)
+    a, out = np.deg2rad(3.0), np.zeros_like(g)
+    for y in range(9):
+        for x in range(12):
+            dy, dx = y - 4.0, x - 5.5
+            sy = min(max(4.0 + dy * np.cos(a) + dx * np.sin(a), 0), 8)
+            sx = min(max(5.5 + dx * np.cos(a) - dy * np.sin(a), 0), 11)
+            value = sum(g[min(int(sy) + i, 8), min(int(sx) + j, 11)] * (abs(1 - i - sy % 1)) * (abs(1 - j - sx % 1)) for i in (0, 1) for j in (0, 1))
+            out[y, x] = np.rint(value)
+    assert np.abs(px.turned(g, 3.0).astype(int) - out).max() <= 1
+    page = np.full((120, 160), 255, np.uint8)
+    for y in range(15, 110, 12):
+        page[y : y + 3, 15:145] = 0
+    assert px.skew_of(page) == 0.0 and px.skew_of(np.full((5, 5), 255, np.uint8)) == 0.0
+    tilted = px.turned(page, 3.0)
+    assert abs(px.skew_of(tilted) - 3.0) <= 0.5
+    df = spark.createDataFrame([(1, tilted.tobytes()), (2, None), (3, b"x")], "k int, d binary").select("k", "d", px.skew("d", F.lit(160), F.lit(120)).alias("a"))
+    got = {r.k: (r.a, r.level) for r in df.withColumn("level", px.deskew("d", F.lit(160), F.lit(120), "a")).collect()}
+    level = np.frombuffer(got[1][1], np.uint8).reshape(120, 160)
+    assert abs(px.skew_of(level)) <= 0.5 and got[2] == (None, None) and got[3][0] is None and bytes(got[3][1]) == b"x"
