@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.functions.shipping import ship
-from ledgerloom.plans import behavior_queries, document_queries, enrich_queries, reconcile_queries, source_queries
+from ledgerloom.plans import behavior_queries, document_queries, enrich_queries, reconcile_queries, sequential_sql, source_queries
 
-GROUPS = (behavior_queries, document_queries, enrich_queries, reconcile_queries, source_queries)
+GROUPS = (behavior_queries, document_queries, enrich_queries, reconcile_queries, sequential_sql, source_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
