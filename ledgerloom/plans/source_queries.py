@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.storage import shared_dir
 from ledgerloom.operators import explain, reconcile
 from ledgerloom.plans.behavior_queries import _EVENTS, _events
 from ledgerloom.plans.enrich_queries import _title
@@ -15,6 +17,8 @@ from ledgerloom.sources.tables import TRANSACTIONS, transactions
 from ledgerloom.streaming import live
 
 c = F.col
+#: The tables of a data folder, a file each.
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def _upload(s, d) -> DataFrame:
@@ -34,7 +38,44 @@ def _parquet_events(s, d) -> DataFrame:
     return s.read.parquet(f"{d}/events.parquet")
 
 
+def _written(spark, df: DataFrame, write) -> str:
+    """Write ``df`` to a new place in the shared folder; returns the place."""
+    path = f"{shared_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    write(df, path)
+    return path
+
+
+def _csv(s, d) -> DataFrame:
+    """Raw bank rows, written as CSV and read again with the fixed schema."""
+    tx = transactions(s, d)
+    raw = tx.select("transaction_id", "date", c("amount").cast("double").alias("amount"), "merchant_raw", F.when(c("ord") % 3 == 0, 'a "quoted", text').alias("description"), c("category").alias("category_hint"))
+    return f.read_csv(s, _written(s, raw, f.write_csv))
+
+
+def _goals_file(s, d) -> DataFrame:
+    """Goals of a JSON file, one per market segment."""
+    segments = s.read.parquet(f"{d}/customer.parquet").groupBy(F.lower("c_mktsegment").alias("name")).agg(F.count("*").alias("n"))
+    entry = F.concat(F.lit('"'), "name", F.lit('_budget": {"limit": '), c("n").cast("string"), F.lit(', "period": "monthly"}'))
+    text = segments.agg(F.concat(F.lit('{"user_goals": {'), F.array_join(F.sort_array(F.collect_list(entry)), ", "), F.lit(', "savings_rate": {"target": 0.25}}}')).alias("value"))
+    return f.read_goals(s, _written(s, text, lambda df, path: df.write.text(path)))
+
+
+def _json(s, d) -> DataFrame:
+    events = _events(s, d).groupBy("event_type", "severity").agg(F.count("*").alias("n"))
+    return s.read.schema("event_type string, severity string, n bigint").json(_written(s, events, f.write_json))
+
+
+def _folder(s, d) -> DataFrame:
+    """The files of the tables' own folder, without reading their content."""
+    return f.read_documents(s, d, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "extension", "error").where("name rlike '^[a-z]+[.]parquet$'")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "S1_S2_csv": lambda s, d: _csv(s, d).withColumn("date", c("date").cast("string")),
+    "S3_goals": _goals_file,
+    "E3_json": _json,
+    "S7_read_documents": _folder,
+    "S10_documents": lambda s, d: f.generate_documents(s, 300).groupBy("doc_type").agg(F.count("*").alias("n")),
     "S4_report": lambda s, d: f.as_report(_events(s, d).groupBy("event_type").agg(F.count("*").alias("n")), "events"),
     "S5_normalize_upload": lambda s, d: f.normalize_upload(_upload(s, d)).select("transaction_id", c("date").cast("string").alias("date"), "amount", "merchant_raw", "category"),
     "S7_S8_files": lambda s, d: f.valid_documents(_files(s, d)).select("path", "extension"),
@@ -78,6 +119,11 @@ _FILES = """with f as (select *, lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$'
 e as (select *, case when extension not in ('png', 'jpg', 'jpeg', 'tiff', 'bmp', 'pdf') then 'unsupported' when size > 10485760 then 'large' end as error from f)"""
 
 ORACLE_SQL: dict[str, str] = {
+    "S1_S2_csv": f"""with tx as ({TRANSACTIONS}) select transaction_id, cast(date as varchar) as date, cast(amount as double) as amount, merchant_raw, case when ord % 3 = 0 then 'a "quoted", text' end as description, category as category_hint from tx""",
+    "S3_goals": """select lower(c_mktsegment) || '_budget' as goal_name, count(*)::double as "limit", null::double as target from customer group by 1 union all select 'savings_rate', null, 0.25""",
+    "E3_json": f"{_EVENTS} select event_type, severity, count(*) as n from ev group by 1, 2",
+    "S7_read_documents": "select unnest(['" + "', '".join(f"{t}.parquet" for t in TABLES) + "']) as name, 'parquet' as extension, 'unsupported format: parquet' as error",
+    "S10_documents": "select unnest(['receipt', 'statement', 'invoice']) as doc_type, 300::bigint as n",
     "S4_report": f"""{_EVENTS} select '{{"events":[' || string_agg('{{"event_type":"' || event_type || '","n":' || n || '}}', ',' order by event_type) || ']}}' as json from (select event_type, count(*) as n from ev group by 1)""",
     "S5_normalize_upload": f"with tx as ({TRANSACTIONS}) select transaction_id, cast(date as varchar) as date, cast(amount as double) as amount, merchant_raw, 'uncategorized' as category from tx",
     "S7_S8_files": f"{_FILES} select path, extension from e where error is null and width >= 200 and height >= 200 and mode in ('RGB', 'L')",

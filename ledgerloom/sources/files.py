@@ -124,3 +124,40 @@ def generate_transactions(spark: SparkSession, months: int = 6, per_month: int =
     return rows.select(
         F.format_string("txn_%04d", c("id") + 1).alias("transaction_id"), "date", F.bround(amount, 2).cast("decimal(18,2)").alias("amount"), F.concat(F.upper("category"), F.lit(" MERCHANT #"), F.pmod(F.xxhash64("id"), F.lit(20)).cast("string")).alias("merchant_raw"),
         "category", odd.alias("is_anomaly"), (c("category").isin("income", "utilities")).alias("is_recurring"), tag.alias("pattern_tag"))
+
+
+#: Merchants, bank customers and vendors of generated documents.
+STORES, HOLDERS, VENDORS = ("CORNER MARKET", "GREEN GROCER", "CITY HARDWARE"), ("MARY MAJOR", "RICHARD ROE"), ("NORTHWIND SUPPLIES LTD", "LAKESIDE CONSULTING LLC")
+#: Degradations of generated documents, with what they leave of sharpness, noise and contrast.
+DEGRADATIONS = {"clean": (0.9, 0.9, 0.9), "blur": (0.35, 0.85, 0.8), "noise": (0.7, 0.3, 0.75), "faded": (0.75, 0.8, 0.2)}
+
+
+def generate_documents(spark: SparkSession, per_type: int = 10, start: str = "2026-01-01", seed: int = 42) -> DataFrame:
+    """Test documents of the three types as recognised text, with their true values, from row numbers and hashes alone: any size, in parallel.
+
+    Columns: document_id, doc_type, raw_text, degradation, sharpness, noise, contrast, width, height, ocr_confidence, and the truth: merchant,
+    date, amount (a statement's ending balance).
+    """
+    c, line = F.col, lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64(c("id"), F.lit(seed + k)), F.lit(len(values))) + 1).cast("int"))
+    cents = lambda k, least, most: F.lit(least) + F.pmod(F.xxhash64(c("id"), F.lit(seed + k)), F.lit(most - least))
+    money = lambda x: F.format_string("%.2f", x / 100.0)
+    rows = spark.range(3 * per_type).withColumn("doc_type", F.element_at(F.array(*map(F.lit, ("receipt", "statement", "invoice"))), (c("id") % 3 + 1).cast("int")))
+    rows = rows.withColumns({
+        "one": cents(1, 200, 4000), "two": cents(2, 200, 4000), "store": pick(STORES, 3), "holder": pick(HOLDERS, 4), "vendor": pick(VENDORS, 5), "degradation": pick(tuple(DEGRADATIONS), 6),
+        "day": F.date_add(F.lit(start).cast("date"), F.pmod(F.xxhash64(c("id"), F.lit(seed + 7)), F.lit(28)).cast("int"))})
+    rows = rows.withColumns({"sub": c("one") + c("two"), "slashes": F.date_format("day", "M/d/yyyy")}).withColumn("tax", F.floor(c("sub") * 6 / 100))
+    receipt = line(c("store"), "\n", c("slashes"), "\n", "2x Green Tea $", money(c("one")), "\n", "Brown Bread $", money(c("two")), "\n",
+                   "SUBTOTAL $", money(c("sub")), "\n", "TAX 6.0% $", money(c("tax")), "\n", "TOTAL $", money(c("sub") + c("tax")), "\nPaid: VISA")
+    statement = line("SECOND NATIONAL BANK STATEMENT\n", c("holder"), "\n", "Statement Period: 1/1/2026 to 1/31/2026\n", "Beginning Balance: $", money(c("sub")), "\n",
+                     c("slashes"), " ", c("store"), " ", money(c("one")), " ", money(c("two")), "\n", c("slashes"), " DIRECT DEPOSIT ", money(c("sub")), " ", money(c("sub") + c("two")), "\n",
+                     "Ending Balance: $", money(c("sub") + c("two")))
+    invoice = line(c("vendor"), "\n", "Invoice #INV-", (c("id") + 1000).cast("string"), "\n", "Date: ", c("slashes"), "\n", "Due Date: 12/31/2026\nBill To:\nsample client\n", "Item | Qty | Price | Amount\n",
+                   "Consulting | 1 | $", money(c("sub")), " | $", money(c("sub")), "\n", "Subtotal: $", money(c("sub")), "\n", "Tax (6%): $", money(c("tax")), "\n",
+                   "Total Due: $", money(c("sub") + c("tax")), "\nPayment Terms: Net 30")
+    kind = lambda r, s, i: F.when(c("doc_type") == "receipt", r).when(c("doc_type") == "statement", s).otherwise(i)
+    left = lambda k: F.element_at(F.create_map(*(F.lit(x) for d, v in DEGRADATIONS.items() for x in (d, v[k]))), c("degradation"))
+    return rows.select(
+        F.format_string("doc_%04d", c("id") + 1).alias("document_id"), "doc_type", kind(receipt, statement, invoice).alias("raw_text"), "degradation",
+        left(0).alias("sharpness"), left(1).alias("noise"), left(2).alias("contrast"), F.lit(800).alias("width"), F.lit(1200).alias("height"), (60 + 39 * left(0)).alias("ocr_confidence"),
+        kind(c("store"), c("holder"), c("vendor")).alias("merchant"), "day", (kind(c("sub") + c("tax"), c("sub") + c("two"), c("sub") + c("tax")) / 100.0).alias("amount")).withColumnRenamed("day", "date")

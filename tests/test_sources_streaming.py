@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import documents as o
 from ledgerloom.sources import files as f
 from ledgerloom.streaming import live
 
@@ -50,6 +51,20 @@ def test_generator_adds_discretionary_rows_in_may(spark):
     assert df.select("transaction_id").distinct().count() == df.count()
 
 
+def test_generated_documents_give_their_truth(spark):
+    docs = f.generate_documents(spark, 20)
+    assert docs.exceptAll(f.generate_documents(spark, 20)).count() == 0
+    truth = {r.document_id: r for r in docs.collect()}
+    assert {r.degradation for r in truth.values()} == set(f.DEGRADATIONS)
+    for kind, facts, name, amount, day in (("receipt", o.receipt_facts, "merchant", "total_amount", "date"), ("invoice", o.invoice_facts, "vendor", "total_due", "invoice_date"), ("statement", o.statement_facts, "account_holder", "ending_balance", None)):
+        rows = facts(docs.where(F.col("doc_type") == kind).select("document_id", "raw_text")).collect()
+        assert len(rows) == 20
+        for r in rows:
+            t = truth[r.document_id]
+            assert r[name].upper() == t.merchant and abs(r[amount] - t.amount) < 0.005 and (day is None or r[day] == str(t.date))
+            assert kind != "statement" or {x.date for x in r.transactions} == {str(t.date)}
+
+
 def run(query, name, spark, mode):
     q = query.writeStream.format("memory").queryName(name).outputMode(mode).start()
     q.processAllAvailable()
