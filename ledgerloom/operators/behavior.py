@@ -34,9 +34,12 @@ def with_month(tx: DataFrame) -> DataFrame:
 
 
 def monthly_totals(tx: DataFrame) -> DataFrame:
-    """Dense grid of month by category with the sum of amounts; a cell without rows is 0. Null keys are left out."""
+    """Dense grid of month by category with the sum of amounts; a cell without rows is 0. Null keys are left out.
+
+    Every cell is a row of the result, so it has months times categories rows: small for a list of categories, large where ``category`` is free text.
+    """
     sums = with_month(tx).where("category is not null and date is not null").groupBy("month", "category").agg(F.sum("amount").cast("double").alias("total"))
-    grid = sums.select("month").distinct().crossJoin(sums.select("category").distinct())  # months times categories, both small by nature
+    grid = sums.select("month").distinct().crossJoin(sums.select("category").distinct())
     return grid.join(sums, ["month", "category"], "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
 
 

@@ -177,9 +177,12 @@ def receipt_normalize(text: Column) -> Column:
     return F.trim(chain(text, [(r"(\d)x([A-Za-z])", "$1x $2"), (r"(\d)\s(\d{2})(?=\s|$|\n)", "$1.$2")]))
 
 
+#: Lines with these words are no merchant's name.
+NOT_MERCHANTS = ("receipt", "invoice", "statement", "date", "time", "trans", "welcome", "thank", "customer", "copy", "store")
+
+
 def receipt_merchant(text: Column) -> Column:
-    skip = ("receipt", "invoice", "statement", "date", "time", "trans", "welcome", "thank", "customer", "copy", "store")
-    heads = F.transform(F.filter(F.slice(nonblank_lines(text), 1, 5), lambda x: ~contains_any(F.lower(x), skip)), lambda x: F.trim(F.regexp_replace(x, r"#\d+", "")))
+    heads = F.transform(F.filter(F.slice(nonblank_lines(text), 1, 5), lambda x: ~contains_any(F.lower(x), NOT_MERCHANTS)), lambda x: F.trim(F.regexp_replace(x, r"#\d+", "")))
     good = F.filter(heads, lambda x: (F.length(x) >= 3) & ~F.rlike(x, F.lit(r"^\d+$")) & (F.length(F.regexp_replace(x, r"[^A-Za-z]", "")) / F.length(x) > 0.6))
     return F.replace(title(F.get(good, F.lit(0))), F.lit("'S"), F.lit("'s"))
 
@@ -215,6 +218,7 @@ ITEM_FORMS = (
     (re.compile(r"(\d+)\s*x\s*([^\n$]+?)\s*\$?(\d+\.\d{2})", re.I), (1, 2, 3)), (re.compile(r"([^\n$]+?)\s*x\s*(\d+)\s*\$?(\d+\.\d{2})", re.I), (2, 1, 3)),
     (re.compile(r"([^\n$]+?)\s+(\d+)\s*\$?(\d+\.\d{2})", re.I), (2, 1, 3)), (re.compile(r"([A-Za-z][^\n$]*?)\s*\$?(\d+\.\d{2})", re.I), (0, 1, 2)),
 )
+#: Lines with these words are no items.
 NOT_ITEMS = ("SUBTOTAL", "TOTAL", "TAX", "BALANCE", "AMOUNT DUE")
 
 
@@ -242,9 +246,13 @@ def receipt_items(text: pd.Series) -> pd.Series:
     return text.map(items_of)
 
 
+#: Ways to pay, the first of which that occurs counts.
+PAYMENT_METHODS = ("CASH", "CREDIT", "DEBIT", "MOBILE PAY", "CHECK", "GIFT CARD")
+
+
 def payment_method(text: Column) -> Column:
     out = F.upper(first_match(text, r"(?i)Paid[:\s]*(\w+)"))
-    for m in reversed(("CASH", "CREDIT", "DEBIT", "MOBILE PAY", "CHECK", "GIFT CARD")):
+    for m in reversed(PAYMENT_METHODS):
         out = F.when(F.contains(F.upper(text), F.lit(m)), m).otherwise(out)
     return out
 
@@ -288,8 +296,12 @@ def statement_normalize(text: Column) -> Column:
     return F.trim(chain(text, [(r"(\d{2})\s+(\d{2})\s+(\d{4})", "$1/$2/$3"), (r"(?<!#\d{0,12})(\d)\s(\d{3}\.\d{2})", "$1$2"), (r"[ \t]+", " ")]))
 
 
+#: Words of a statement's head that are no holder's name.
+NOT_HOLDERS = ("STATEMENT", "ACCOUNT", "BALANCE", "PERIOD")
+
+
 def account_holder(text: Column) -> Column:
-    heads = F.filter(F.slice(nonblank_lines(text), 1, 5), lambda x: F.rlike(x, F.lit(r"^[A-Z]{2,20}\s+[A-Z]{2,20}$")) & ~contains_any(x, ("STATEMENT", "ACCOUNT", "BALANCE", "PERIOD")))
+    heads = F.filter(F.slice(nonblank_lines(text), 1, 5), lambda x: F.rlike(x, F.lit(r"^[A-Z]{2,20}\s+[A-Z]{2,20}$")) & ~contains_any(x, NOT_HOLDERS))
     return title(F.get(heads, F.lit(0)))
 
 
@@ -386,8 +398,12 @@ def payment_terms(text: Column) -> Column:
     return F.trim(first_match(text, r"(?i)(?:Payment\s+Terms|Terms)[:\s]+([^\n]+)"))
 
 
+#: Words that make an invoice more certain.
+INVOICE_WORDS = ("invoice", "total", "payment", "subtotal")
+
+
 def invoice_confidence(number_, vendor, date, due, n: Column, subtotal, total, text: Column) -> Column:
-    hits = sum((F.contains(F.lower(text), F.lit(w)).cast("int") for w in ("invoice", "total", "payment", "subtotal")), F.lit(0))
+    hits = sum((F.contains(F.lower(text), F.lit(w)).cast("int") for w in INVOICE_WORDS), F.lit(0))
     base = _points((number_, 0.15), (vendor, 0.15), (date, 0.15), (due, 0.1), (subtotal, 0.1), (total, 0.1))
     return F.bround(F.least(F.lit(1.0), base + F.least(n * 0.05, F.lit(0.15)) + F.least(hits * 0.02, F.lit(0.1))), 4)
 

@@ -200,7 +200,7 @@ def _similar_candidates(distinct: DataFrame, threshold: float) -> DataFrame:
     return words.union(below(keyed).where(alike).select(*pick)).distinct()
 
 
-def cluster_merchants(names: DataFrame, threshold: float = 0.80, column: str = "merchant_normalized", max_rounds: int = 100) -> DataFrame:
+def cluster_merchants(names: DataFrame, threshold: float = 0.80, column: str = "merchant_normalized") -> DataFrame:
     """(name, canonical, canonical_id): greedy star clusters of distinct names in alphabetical order.
 
     A name leads a cluster unless an earlier leader is similar to it; every other name joins its earliest similar leader. Rather than one pass
@@ -213,7 +213,7 @@ def cluster_merchants(names: DataFrame, threshold: float = 0.80, column: str = "
     edges = materialize(pairs.where(name_similarity(F.lower("early"), F.lower("late")) >= threshold), "similar")
     leaders = distinct.join(edges.select(F.col("late").alias("name")), "name", "left_anti").withColumn("leads", F.lit(True))
     state = materialize(leaders, "leaders")  # (name, leads) of settled names
-    for _ in range(max_rounds):
+    while True:
         open_ = edges.join(state.select(F.col("name").alias("late")), "late", "left_anti")
         known = open_.join(state.select(F.col("name").alias("early"), "leads"), "early", "left")
         # joins: some earlier neighbour leads; leads itself: all are settled and none leads
@@ -222,8 +222,6 @@ def cluster_merchants(names: DataFrame, threshold: float = 0.80, column: str = "
         if not fresh.head(1):
             break
         state = materialize(state.union(fresh), "settled")
-    else:
-        raise RuntimeError("clusters did not settle")
     follows = edges.join(state.where("leads").select(F.col("name").alias("early")), "early").groupBy(F.col("late").alias("name")).agg(F.min("early").alias("leader"))
     placed = state.join(follows, "name", "left").select("name", F.when(F.col("leads"), F.col("name")).otherwise(F.col("leader")).alias("leader"))
     canonical = placed.groupBy("leader").agg(F.min(F.struct(F.length("name").alias("n"), "name"))["name"].alias("canonical"))
@@ -231,16 +229,27 @@ def cluster_merchants(names: DataFrame, threshold: float = 0.80, column: str = "
 
 
 def process(tx: DataFrame, scores: Column | None = None, entity: Column | None = None) -> DataFrame:
-    """The whole chain. Without a model's ``scores`` (a map column) the rules decide; without ``entity`` names are their own."""
-    rows = tx.withColumn("merchant_clean", clean_merchant(F.col("merchant_raw")))
-    rows = rows.withColumn("merchant_extracted", extract_entity(F.col("merchant_clean"), entity))
-    rows = rows.withColumn("merchant_normalized", normalize_merchant(F.col("merchant_extracted"), F.col("merchant_clean")))
-    rows = rows.withColumn("normalized_id", alnum_id(F.col("merchant_normalized")))
-    clusters = cluster_merchants(rows).select(F.col("name").alias("merchant_normalized"), F.col("canonical").alias("merchant_canonical"), "canonical_id")
-    rows = rows.join(clusters, "merchant_normalized", "left")
-    rows = rows.withColumn("ruled", rule_classify(F.col("merchant_raw"), F.col("merchant_clean"), F.col("description")))
+    """The whole chain. Without a model's ``scores`` (a map column) the rules decide; without ``entity`` names are their own.
+
+    Names are cleaned, clustered and ruled once for each distinct (raw name, description, entity), of which a ledger has far fewer
+    than rows, in a table in the shared folder that is joined back.
+    """
+    c = F.col
+    found = entity if entity is not None else F.lit(None).cast("string")
+    keys = ["merchant_raw", "description", "__entity"]
+    rows = tx.withColumn("__entity", found)
+    names = rows.select(*keys).distinct().withColumn("merchant_clean", clean_merchant(c("merchant_raw")))
+    names = names.withColumn("merchant_extracted", extract_entity(c("merchant_clean"), c("__entity")))
+    names = names.withColumn("merchant_normalized", normalize_merchant(c("merchant_extracted"), c("merchant_clean")))
+    names = names.withColumns({"normalized_id": alnum_id(c("merchant_normalized")), "ruled": rule_classify(c("merchant_raw"), c("merchant_clean"), c("description"))})
+    names = materialize(names, "merchants")
+    clusters = cluster_merchants(names).select(c("name").alias("merchant_normalized"), c("canonical").alias("merchant_canonical"), "canonical_id")
+    known = materialize(names.join(clusters, "merchant_normalized", "left"), "known-merchants")
+    known = known.select(*(c(k).alias(f"__k{n}") for n, k in enumerate(keys)), *(x for x in known.columns if x not in keys))
+    same = [rows[k].eqNullSafe(known[f"__k{n}"]) for n, k in enumerate(keys)]
+    rows = rows.join(known, reduce(lambda a, b: a & b, same)).drop("__entity", *(f"__k{n}" for n in range(len(keys))))
     given = scores if scores is not None else F.create_map().cast("map<string,double>")
-    rows = rows.withColumn("decision", categorize(given, F.col("ruled"))).drop("ruled")
-    rows = rows.withColumn("fingerprint", fingerprint(F.col("amount"), F.col("date"), F.col("canonical_id")))
-    keep = [c for c in rows.columns if c not in ("decision", "category")]
+    rows = rows.withColumn("decision", categorize(given, c("ruled"))).drop("ruled")
+    rows = rows.withColumn("fingerprint", fingerprint(c("amount"), c("date"), c("canonical_id")))
+    keep = [x for x in rows.columns if x not in ("decision", "category")]
     return recurrence(rows.select(*keep, "decision.*"))

@@ -276,16 +276,28 @@ def unreconciled(docs: DataFrame, matches: DataFrame, least: float = 0.6) -> Dat
     return rows.withColumns({"reason": unreconciled_reason(F.col("doc_type"), F.col("trust_score")), "label": unreconciled_label(F.col("doc_type"), F.col("trust_score"))})
 
 
+#: Words and categories that explain a transaction without a document, and its label, in the order in which they apply.
+DIGITAL = ("amazon", "uber", "netflix", "spotify", "paypal", "apple")
+RECURRING_CATEGORIES, TRANSFER_CATEGORIES = ("subscriptions", "utilities", "rent"), ("transfer", "fees", "atm")
+CASH = ("atm", "cash")
+SUBSCRIPTIONS, ONLINE = ("netflix", "spotify", "adobe", "github", "apple"), ("amazon", "uber", "paypal", "doordash")
+LABEL_TRANSFERS = ("transfer", "fees")
+
+
+def _lowered(merchant: Column, category: Column) -> tuple[Column, Column]:
+    return F.lower(F.coalesce(merchant, F.lit(""))), F.lower(F.coalesce(category, F.lit("")))
+
+
 def unsupported_reason(merchant: Column, category: Column) -> Column:
-    m, k = F.lower(F.coalesce(merchant, F.lit(""))), F.lower(F.coalesce(category, F.lit("")))
-    return (F.when(contains_any(m, ("amazon", "uber", "netflix", "spotify", "paypal", "apple")), "digital_purchase_no_receipt").when(k.isin("subscriptions", "utilities", "rent"), "recurring_payment_no_receipt")
-            .when(k == "income", "income_deposit").when(k.isin("transfer", "fees", "atm"), "transfer_or_fee").when(contains_any(m, ("atm", "cash")), "cash_withdrawal").otherwise("no_document_found"))
+    m, k = _lowered(merchant, category)
+    return (F.when(contains_any(m, DIGITAL), "digital_purchase_no_receipt").when(k.isin(*RECURRING_CATEGORIES), "recurring_payment_no_receipt").when(k == "income", "income_deposit")
+            .when(k.isin(*TRANSFER_CATEGORIES), "transfer_or_fee").when(contains_any(m, CASH), "cash_withdrawal").otherwise("no_document_found"))
 
 
 def unsupported_label(merchant: Column, category: Column) -> Column:
-    m, k = F.lower(F.coalesce(merchant, F.lit(""))), F.lower(F.coalesce(category, F.lit("")))
-    return (F.when(k == "income", "Direct deposit").when(k.isin("transfer", "fees"), "Bank transfer or fee").when(contains_any(m, ("atm", "cash")), "Cash withdrawal")
-            .when(contains_any(m, ("netflix", "spotify", "adobe", "github", "apple")), "Digital subscription").when(contains_any(m, ("amazon", "uber", "paypal", "doordash")), "Online purchase").otherwise("Card transaction"))
+    m, k = _lowered(merchant, category)
+    return (F.when(k == "income", "Direct deposit").when(k.isin(*LABEL_TRANSFERS), "Bank transfer or fee").when(contains_any(m, CASH), "Cash withdrawal")
+            .when(contains_any(m, SUBSCRIPTIONS), "Digital subscription").when(contains_any(m, ONLINE), "Online purchase").otherwise("Card transaction"))
 
 
 def unreconciled_reason(doc_type: Column, trust: Column) -> Column:
@@ -294,7 +306,8 @@ def unreconciled_reason(doc_type: Column, trust: Column) -> Column:
 
 
 def unreconciled_label(doc_type: Column, trust: Column) -> Column:
-    return F.when(doc_type == "invoice", "Unpaid invoice").when(doc_type == "statement", "Unmatched statement").when(F.coalesce(trust, F.lit(0.0)) < 0.5, "Unverified document").otherwise("Possible cash purchase")
+    poor = F.coalesce(trust, F.lit(0.0)) < 0.5
+    return F.when(doc_type == "invoice", "Unpaid invoice").when(doc_type == "statement", "Unmatched statement").when(poor, "Unverified document").otherwise("Possible cash purchase")
 
 
 def mismatch_summary(unsupported_: DataFrame, unreconciled_: DataFrame, matches: DataFrame, least: float = 0.6) -> DataFrame:

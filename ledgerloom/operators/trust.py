@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.storage import materialize
 from ledgerloom.functions.text import contains_any
 
 #: Words that mark a tip, a currency conversion or a refund.
@@ -90,16 +91,23 @@ def content_fingerprint(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", "empty_text").otherwise(F.substring(F.md5(content), 1, 16))
 
 
-def duplicates(docs: DataFrame, order: str, text: str, phash: Column | None = None) -> DataFrame:
-    """``docs`` with ``fingerprint`` and ``is_duplicate``: an earlier row, by ``order``, has the same image hash and fingerprint.
+def duplicate_flags(docs: DataFrame, order: str, text: str, phash: Column | None = None) -> DataFrame:
+    """(``order``, phash, fingerprint, is_duplicate): an earlier row, by ``order``, has the same image hash and fingerprint.
 
-    The first of each key is found by an aggregate and joined back, so a key with very many copies is no single task.
+    Fingerprints are made once and written without their texts. The first of each key is found by an aggregate and joined back, so
+    a key with very many copies is no single task.
     """
-    keyed = docs.withColumns({"phash": phash if phash is not None else F.lit("invalid_image"), "fingerprint": content_fingerprint(F.col(text))})
+    keyed = docs.select(order, (phash if phash is not None else F.lit("invalid_image")).alias("phash"), content_fingerprint(F.col(text)).alias("fingerprint"))
+    keyed = materialize(keyed, "fingerprints")
     first = keyed.groupBy("phash", "fingerprint").agg(F.min(order).alias("__first"))
     return keyed.join(first, ["phash", "fingerprint"]).withColumn("is_duplicate", F.col(order) != F.col("__first")).drop("__first")
 
 
+def duplicates(docs: DataFrame, order: str, text: str, phash: Column | None = None) -> DataFrame:
+    """``docs``, in which ``order`` is unique, with the columns of ``duplicate_flags``."""
+    return docs.join(duplicate_flags(docs, order, text, phash), order)
+
+
 def seen_count(docs: DataFrame, text: str) -> DataFrame:
     return docs.agg(F.count_distinct(content_fingerprint(F.col(text))).alias("seen"))
 

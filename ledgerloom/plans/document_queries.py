@@ -102,8 +102,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "V6_evidence_report": lambda s, d: t.evidence_report(_chain(s, d)),
     "T1_T4_trust": _trusted,
     "D1_fingerprint": lambda s, d: _pick(s, d, fingerprint=t.content_fingerprint(c("raw_text"))),
-    "D2_duplicates": lambda s, d: t.duplicates(documents(s, d), "document_id", "raw_text").select("document_id", "is_duplicate"),
-    "D2_duplicates_texts": lambda s, d: t.duplicates(s.read.parquet(f"{d}/documents.parquet"), "doc_id", "text").select("doc_id", "fingerprint", "is_duplicate"),
+    "D2_duplicates": lambda s, d: t.duplicate_flags(documents(s, d), "document_id", "raw_text").select("document_id", "is_duplicate"),
+    "D2_duplicates_texts": lambda s, d: t.duplicate_flags(s.read.parquet(f"{d}/documents.parquet"), "doc_id", "text").select("doc_id", "fingerprint", "is_duplicate"),
     "D3_seen_count": lambda s, d: t.seen_count(documents(s, d), "raw_text"),
     "M1_partial_match": lambda s, d: _partial(s, d).select("document_id", "x.*"),
     "M2_explanation": lambda s, d: _partial(s, d).select("document_id", t.partial_explanation(c("x")).alias("explanation")),

@@ -147,10 +147,14 @@ def _any(column: str, words: tuple[str, ...]) -> str:
     return "(" + " or ".join(f"contains(lower({column}), '{w}')" for w in words) + ")"
 
 
-_UNS = f"""select id, amount, merchant, case when {_any('merchant', ('amazon', 'uber', 'netflix', 'spotify', 'paypal', 'apple'))} then 'digital_purchase_no_receipt' when category in ('subscriptions', 'utilities', 'rent') then 'recurring_payment_no_receipt'
-  when category = 'income' then 'income_deposit' when category in ('transfer', 'fees', 'atm') then 'transfer_or_fee' when {_any('merchant', ('atm', 'cash'))} then 'cash_withdrawal' else 'no_document_found' end as reason,
-  case when category = 'income' then 'Direct deposit' when category in ('transfer', 'fees') then 'Bank transfer or fee' when {_any('merchant', ('atm', 'cash'))} then 'Cash withdrawal' when {_any('merchant', ('netflix', 'spotify', 'adobe', 'github', 'apple'))} then 'Digital subscription'
-  when {_any('merchant', ('amazon', 'uber', 'paypal', 'doordash'))} then 'Online purchase' else 'Card transaction' end as label from t0 where id not in (select t_id from best where confidence >= 0.6)"""
+def _in(values: tuple[str, ...]) -> str:
+    return "category in (" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+_UNS = f"""select id, amount, merchant, case when {_any('merchant', r.DIGITAL)} then 'digital_purchase_no_receipt' when {_in(r.RECURRING_CATEGORIES)} then 'recurring_payment_no_receipt'
+  when category = 'income' then 'income_deposit' when {_in(r.TRANSFER_CATEGORIES)} then 'transfer_or_fee' when {_any('merchant', r.CASH)} then 'cash_withdrawal' else 'no_document_found' end as reason,
+  case when category = 'income' then 'Direct deposit' when {_in(r.LABEL_TRANSFERS)} then 'Bank transfer or fee' when {_any('merchant', r.CASH)} then 'Cash withdrawal' when {_any('merchant', r.SUBSCRIPTIONS)} then 'Digital subscription'
+  when {_any('merchant', r.ONLINE)} then 'Online purchase' else 'Card transaction' end as label from t0 where id not in (select t_id from best where confidence >= 0.6)"""
 _UNR = """select id, amount, merchant, case when trust_score < 0.5 then 'low_trust_document' when trust_score >= 0.8 then 'likely_cash_purchase' when doc_type = 'invoice' then 'unpaid_invoice' else 'no_transaction_found' end as reason,
   case when doc_type = 'invoice' then 'Unpaid invoice' when doc_type = 'statement' then 'Unmatched statement' when trust_score < 0.5 then 'Unverified document' else 'Possible cash purchase' end as label from d0 where id not in (select d_id from best where confidence >= 0.6)"""
 
