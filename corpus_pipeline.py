@@ -1,12 +1,18 @@
 """A corpus pipeline of five of the training-data operators.
 
 ``STAGES`` lists (name, function). Each function takes (spark, docs, sf_dir) and works on all that its
-predecessor kept; all but the last return the columns of documents. Null ids and texts pass the filters
-unless their own score rejects them.
+predecessor kept; all but the last return the columns of documents.
+
+Defined cases, of all stages: null ids and texts, empty and very long texts pass the filters unless their own score rejects
+them, and are never duplicates of anything; texts are read whole. Repeated rows are scored alike; near dedup leaves one row of
+those that share id and text. Among equals the smallest id, and within a text the earliest place, stays. Further columns pass
+unchanged, whatever their names, to the last stage, which replaces them by its own. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,16 +25,23 @@ from ledgerloom.llm.runtime import materialize
 from ledgerloom.llm.toxicity_chain import score_toxicity
 
 
+def _guarded(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on ``docs`` whose columns but id and text have names that no operator's result has, and back under their own names."""
+    safe = {n: n if n in ("doc_id", "text") else f"__column_{k}" for k, n in enumerate(docs.columns)}
+    out = work(docs.select(*(F.col(f"`{n}`").alias(x) for n, x in safe.items())))
+    return out.select(*(F.col(x).alias(n) for n, x in safe.items()))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain calls toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score_toxicity(docs, labels, keep_columns=True).where("kept").select(docs.columns)
+    return _guarded(docs, lambda d: score_toxicity(d, labels, keep_columns=True).where("kept"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.7 go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score_quality(docs, labels, keep_columns=True).where("predicted = 1").select(docs.columns)
+    return _guarded(docs, lambda d: score_quality(d, labels, keep_columns=True).where("predicted = 1"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +71,10 @@ def _near_dedup_of_texts(docs: DataFrame) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines and passages of over 50 words that stand earlier, by id and place, are cut; ``n_chars`` follows the text."""
-    out = remove_repeated_units(docs, min_words=51, passage_words=51)
+    out = _guarded(docs, lambda d: remove_repeated_units(d, min_words=51, passage_words=51))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,8 +35,8 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all ``documents``; labels of the held-out quarter are never read into training."""
-    held_out = F.pmod(crc_of_id("doc_id"), F.lit(4)) == 2
+    """Scores of all ``documents``; labels of the held-out quarter are never read into training. A null id is not held out."""
+    held_out = F.coalesce(F.pmod(crc_of_id("doc_id"), F.lit(4)) == 2, F.lit(False))
     docs = table(spark, sf_dir, "documents")
     scored = score_quality(docs, table(spark, sf_dir, "labels"), where=~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")

@@ -9,21 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.shipping import ship
-from ledgerloom.functions.storage import materialize, shared_dir
+from ledgerloom.functions.storage import discard, materialize, shared_dir
 
 __all__ = ["arrow_map", "arrow_score", "discard", "hash_sample", "id_and_text", "materialize", "shared_dir", "ship", "utf8_bytes"]
-#: Rows that a function sees at once.
-SLICE_ROWS = 1024
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a ``materialize``d frame that is no longer read."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+#: Rows, and bytes as far as rows are no longer, that a function sees at once.
+SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -50,8 +40,9 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                yield fn(batch.slice(at, SLICE_ROWS))
+            step = max(1, min(SLICE_ROWS, SLICE_BYTES * batch.num_rows // max(batch.nbytes, 1)))
+            for at in range(0, batch.num_rows, step):
+                yield fn(batch.slice(at, step))
 
     return df.mapInArrow(run, schema)
 

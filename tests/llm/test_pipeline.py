@@ -64,3 +64,24 @@ def test_odd_rows(spark, tmp_path):
     assert docs.join(pipeline.near_dedup(spark, docs, str(tmp_path)), "doc_id", "left_semi").where("doc_id < 0").count() == 2
     got = pipeline.near_dedup(spark, docs, str(tmp_path)).groupBy("doc_id").count().where("count > 1").count()
     assert got == 0
+
+
+def test_empty_table_and_very_long_text(spark, tmp_path):
+    """No rows give no rows; a text of 20,000 words goes through every stage whole."""
+    spark.read.parquet(f"{DIR}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    fine = spark.read.parquet(f"{DIR}/documents.parquet")
+    empty = fine.limit(0)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+    words = " ".join(r.text for r in fine.where("lang = 'en'").orderBy("doc_id").limit(400).collect() if r.text).split()
+    long = " ".join(f"{w}" if k % 7 else f"{w}{k}" for k, w in enumerate((words * (1 + 20_000 // len(words)))[:20_000]))
+    docs = fine.limit(20).union(spark.createDataFrame([(10**9, long, "en", "s", len(long))], "doc_id long, text string, lang string, source string, n_chars long").selectExpr(*(f"cast({f.name} as {f.dataType.simpleString()}) {f.name}" for f in fine.schema)))
+    docs = docs.withColumn("start", F.lit("mine")).withColumn("score", F.lit("mine")).withColumn("component_id", F.lit("mine"))
+    kept = docs
+    for name, stage in pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns, name
+        assert {(r.start, r.score, r.component_id) for r in kept.collect()} == {("mine", "mine", "mine")}
+    assert kept.where(f"doc_id = {10**9}").first().text == long
+    pieces = pipeline.packing(spark, kept, str(tmp_path)).where(f"doc_id = {10**9}").collect()
+    assert sum(r.length for r in pieces) == pieces[0].doc_tokens > 20_000
