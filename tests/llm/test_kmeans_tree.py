@@ -1,9 +1,11 @@
 """Operator 5 against brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.kmeans_tree import Tree, search
+from ledgerloom.llm.queries import op5_nearest_neighbours
 
 
 def brute(ids, x, queries, k):
@@ -15,12 +17,15 @@ def brute(ids, x, queries, k):
     return out
 
 
-def test_recall_and_exact_scores(spark):
+@pytest.mark.parametrize("registered", [False, True])
+def test_recall_and_exact_scores(spark, registered):
+    """Small leaves, and the registered query with its own parameters."""
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = df.collect()
     ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], np.float64)
     got = {}
-    for r in search(df, leaf_rows=64).collect():
+    found = op5_nearest_neighbours(spark, "/root/testdata/sf0.1") if registered else search(df, leaf_rows=64)
+    for r in found.collect():
         got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
     want = brute(ids, x, [i for i in ids if i % 100 == 0], 10)
     assert set(got) == set(want)
