@@ -97,16 +97,19 @@ def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(StructType().add("s1", DoubleType()).add("s2", DoubleType()).add("s3", DoubleType()))
-def name_ratios(t1: pd.Series, d1: pd.Series, t2: pd.Series, d2: pd.Series, t3: pd.Series, d3: pd.Series) -> pd.DataFrame:
+def name_ratios(t1: pd.Series, d1: pd.Series, t2: pd.Series, d2: pd.Series, t3: pd.Series,
+    d3: pd.Series) -> pd.DataFrame:
     """Indel ratio of the first pair of names, token-set ratio of the second, indel ratio of the third; null or empty on either side gives 0."""
     each = lambda f, a, b: [f(x, y) if x and y else 0.0 for x, y in zip(a, b, strict=True)]
-    return pd.DataFrame({"s1": each(indel, t1, d1), "s2": each(token_set, t2, d2), "s3": each(indel, t3, d3)}, dtype="float64")
+    return pd.DataFrame({"s1": each(indel, t1, d1), "s2": each(token_set, t2, d2), "s3": each(indel, t3, d3)},
+        dtype="float64")
 
 
 @F.pandas_udf(DoubleType())
 def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """The best of plain, token-sort and token-set similarity, 0 to 1."""
-    return pd.Series([max(indel(x, y), token_sort(x, y), token_set(x, y)) if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([max(indel(x, y), token_sort(x, y), token_set(x, y)) if x and y
+        else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def forms(name: str) -> list[str]:
@@ -126,7 +129,8 @@ def pair_grams(text: str) -> list[str]:
     return out
 
 
-@F.pandas_udf(ArrayType(StructType().add("form", IntegerType()).add("size", IntegerType()).add("grams", ArrayType(StringType()))))
+@F.pandas_udf(ArrayType(StructType().add("form", IntegerType()).add("size", IntegerType())
+    .add("grams", ArrayType(StringType()))))
 def name_grams(a: pd.Series) -> pd.Series:
     """The pair grams of each form of a name."""
     return pd.Series([[{"form": k, "size": len(f), "grams": pair_grams(f)} for k, f in enumerate(forms(x))] for x in a])
@@ -140,5 +144,6 @@ def name_words(a: pd.Series) -> pd.Series:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two numeric arrays, in double precision; null for a zero vector."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0),
+        lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

@@ -19,8 +19,10 @@ TEMPLATE = "This bank transaction belongs to the {} spending category."
 _STATES = r"\b(NY|CA|TX|FL|MI|WA)\b"
 #: Prefix and noise rules of each cleaning variant, in order.
 CLEANING = {
-    "current": [(r"^SQ \*\s*", ""), (r"^TST\*\s*", ""), (r"^AMAZON\.COM\*", "AMAZON "), (r"^PAYPAL \*", ""), (r"^ONLINE PAYMENT\s*[-–]?\s*", ""), (r"#\d+", ""), (r"\d{8,}", ""), (_STATES, "")],
-    "first": [(r"^SQ \*\s*", ""), (r"^TST\*\s*", ""), (r"^AMAZON\.COM\*", "AMAZON "), (r"^PAYPAL \*", ""), (r"#\d+", ""), (r"\d{8,}", ""), (r"\b(NY|CA|TX|FL|MI)\b", "")],
+    "current": [(r"^SQ \*\s*", ""), (r"^TST\*\s*", ""), (r"^AMAZON\.COM\*", "AMAZON "), (r"^PAYPAL \*", ""),
+        (r"^ONLINE PAYMENT\s*[-–]?\s*", ""), (r"#\d+", ""), (r"\d{8,}", ""), (_STATES, "")],
+    "first": [(r"^SQ \*\s*", ""), (r"^TST\*\s*", ""), (r"^AMAZON\.COM\*", "AMAZON "), (r"^PAYPAL \*", ""),
+        (r"#\d+", ""), (r"\d{8,}", ""), (r"\b(NY|CA|TX|FL|MI)\b", "")],
     "draft": [(r"^(SQ \*)+", ""), (r"^PAYPAL \*", "PAYPAL "), (r"#\d+", ""), (r"\d{5,}", "")],
 }
 
@@ -57,16 +59,24 @@ def _ladder(text: Column, rules: dict[str, str], value) -> Column:
     return out
 
 
-def rule_classify(raw: Column, clean: Column, description: Column, merchants: dict[str, str] | None = None, keywords: dict[str, tuple[str, ...]] | None = None) -> Column:
+def rule_classify(raw: Column, clean: Column, description: Column, merchants: dict[str, str] | None = None,
+    keywords: dict[str, tuple[str, ...]] | None = None) -> Column:
     """Struct (category, confidence, rule): the first merchant rule that applies, else the category with most keywords, else nulls with confidence 0."""
     merchants = MERCHANT_FIRST if merchants is None else merchants
     keywords = KEYWORDS if keywords is None else keywords
     text = F.lower(F.concat_ws(" ", *(F.coalesce(x, F.lit("")) for x in (raw, clean, description))))
-    made = lambda c, p, r: F.struct(c.cast("string").alias("category"), p.cast("double").alias("confidence"), r.cast("string").alias("rule"))
+    made = lambda c, p, r: F.struct(c.cast("string").alias("category"), p.cast("double").alias("confidence"),
+        r.cast("string").alias("rule"))
     def decide(t: Column) -> Column:
-        counts = F.array(*(F.struct(reduce(lambda a, b: a + b, (F.contains(t, F.lit(w)).cast("int") for w in words)).alias("n"), F.lit(-k).alias("first"), F.lit(c).alias("category")) for k, (c, words) in enumerate(keywords.items())))
-        by_keyword = let(F.array_max(counts), lambda x: F.when(x["n"] > 0, made(x["category"], F.bround(F.least(0.6 + x["n"] * 0.1, F.lit(0.85)), 3), F.concat(F.lit("keyword_match:"), x["category"]))))
-        by_merchant = _ladder(t, merchants, lambda k, c: made(F.lit(c), F.lit(0.75), F.lit(f"merchant_first:{k}"))) if merchants else F.lit(None)
+        counts = F.array(*(F.struct(reduce(lambda a, b: a + b, (F.contains(t, F.lit(w)).cast("int") for w in words))
+            .alias("n"), F.lit(-k).alias("first"),
+            F.lit(c).alias("category")) for k, (c, words) in enumerate(keywords.items())))
+        by_keyword = let(F.array_max(counts),
+            lambda x: F.when(x["n"] > 0,
+                made(x["category"], F.bround(F.least(0.6 + x["n"] * 0.1, F.lit(0.85)), 3),
+                    F.concat(F.lit("keyword_match:"), x["category"]))))
+        by_merchant = _ladder(t, merchants,
+            lambda k, c: made(F.lit(c), F.lit(0.75), F.lit(f"merchant_first:{k}"))) if merchants else F.lit(None)
         return F.coalesce(by_merchant, by_keyword, made(F.lit(None), F.lit(0.0), F.lit(None)))
 
     return let(text, decide)
@@ -74,24 +84,31 @@ def rule_classify(raw: Column, clean: Column, description: Column, merchants: di
 
 def top_scores(scores: Column) -> Column:
     """A score map as an array of (category, score), best first, ties by name."""
-    entries = F.transform(F.map_entries(scores), lambda e: F.struct((-e["value"]).alias("key"), e["key"].alias("category"), e["value"].alias("score")))
-    return F.transform(F.array_sort(entries), lambda e: F.struct(e["category"].alias("category"), e["score"].alias("score")))
+    entries = F.transform(F.map_entries(scores),
+        lambda e: F.struct((-e["value"]).alias("key"), e["key"].alias("category"), e["value"].alias("score")))
+    return F.transform(F.array_sort(entries),
+        lambda e: F.struct(e["category"].alias("category"), e["score"].alias("score")))
 
 
-def categorize(scores: Column, fallback: Column, auto: float = 0.7, suggested: float = 0.5, weak: float | None = None, allowed: tuple[str, ...] = CATEGORIES) -> Column:
+def categorize(scores: Column, fallback: Column, auto: float = 0.7, suggested: float = 0.5, weak: float | None = None,
+    allowed: tuple[str, ...] = CATEGORIES) -> Column:
     """Struct (category, confidence, confidence_level, status, method) from a model's scores and the rules' answer.
 
     Above ``auto`` the model's category is accepted, from ``suggested`` on it is suggested; below, the rules decide if they
     have an allowed category. With ``weak``, scores from there to ``suggested`` stay suggestions of low confidence and only lower ones fall back.
     """
-    made = lambda c, p, level, status, method: F.struct(c.alias("category"), F.bround(p, 4).alias("confidence"), F.lit(level).alias("confidence_level"), F.lit(status).alias("status"), F.lit(method).alias("method"))
+    made = lambda c, p, level, status, method: F.struct(c.alias("category"), F.bround(p, 4).alias("confidence"),
+        F.lit(level).alias("confidence_level"), F.lit(status).alias("status"),
+        F.lit(method).alias("method"))
 
     def decide(z: Column) -> Column:
         top, score, ruled = z["best"]["category"], F.coalesce(z["best"]["score"], F.lit(0.0)), z["ruled"]
-        out = F.when(score > auto, made(top, score, "high", "auto-accepted", "zero-shot")).when(score >= suggested, made(top, score, "medium", "suggested", "zero-shot"))
+        out = F.when(score > auto, made(top, score, "high", "auto-accepted", "zero-shot")).when(score >= suggested,
+            made(top, score, "medium", "suggested", "zero-shot"))
         if weak is not None:
             out = out.when(score >= weak, made(top, score, "low", "suggested", "zero-shot-weak"))
-        return (out.when(ruled["category"].isin(*allowed), made(ruled["category"], ruled["confidence"], "medium", "fallback", "fallback-rules"))
+        return (out.when(ruled["category"].isin(*allowed),
+            made(ruled["category"], ruled["confidence"], "medium", "fallback", "fallback-rules"))
                 .otherwise(made(top, score, "low", "uncategorized", "zero-shot-failed")))
 
     return let(F.struct(F.get(top_scores(scores), F.lit(0)).alias("best"), fallback.alias("ruled")), decide)
@@ -105,10 +122,13 @@ def category_evidence(text: Column, scores: Column) -> Column:
     """What a category rests on: input, template, scores to 4 places, the best three and the margin of the first."""
 
     def describe(ranked: Column) -> Column:
-        rounded = F.transform(ranked, lambda e: F.struct(e["category"].alias("category"), F.bround(e["score"], 4).alias("score")))
-        margin = F.when(F.size(ranked) > 1, F.bround(F.get(ranked, F.lit(0))["score"] - F.get(ranked, F.lit(1))["score"], 4)).otherwise(1.0)
+        rounded = F.transform(ranked,
+            lambda e: F.struct(e["category"].alias("category"), F.bround(e["score"], 4).alias("score")))
+        margin = F.when(F.size(ranked) > 1,
+            F.bround(F.get(ranked, F.lit(0))["score"] - F.get(ranked, F.lit(1))["score"], 4)).otherwise(1.0)
         return F.struct(
-            text.alias("input_text"), F.lit(TEMPLATE).alias("hypothesis_template"), F.transform_values(scores, lambda k, v: F.bround(v, 4)).alias("all_scores"),
+            text.alias("input_text"), F.lit(TEMPLATE).alias("hypothesis_template"),
+            F.transform_values(scores, lambda k, v: F.bround(v, 4)).alias("all_scores"),
             F.slice(rounded, 1, 3).alias("top_3"), margin.alias("margin_to_second"))
 
     return let(top_scores(scores), describe)
@@ -116,12 +136,14 @@ def category_evidence(text: Column, scores: Column) -> Column:
 
 def fingerprint(amount: Column, date: Column, merchant_id: Column) -> Column:
     """``12.50_20260131_merchant``: size of the amount, day, id."""
-    return F.concat_ws("_", F.format_string("%.2f", F.abs(amount).cast("double")), F.date_format(date, "yyyyMMdd"), alnum_id(merchant_id))
+    return F.concat_ws("_", F.format_string("%.2f", F.abs(amount).cast("double")), F.date_format(date, "yyyyMMdd"),
+        alnum_id(merchant_id))
 
 
 def fingerprint_draft(amount: Column, date: Column, merchant_id: Column) -> Column:
     """The draft variant, with the amount as it is."""
-    return F.concat_ws("_", F.abs(amount).cast("string"), F.replace(date.cast("string"), F.lit("-"), F.lit("")), merchant_id)
+    return F.concat_ws("_", F.abs(amount).cast("string"), F.replace(date.cast("string"), F.lit("-"), F.lit("")),
+        merchant_id)
 
 
 def exact_duplicates(tx: DataFrame, key: str = "fingerprint") -> DataFrame:
@@ -133,7 +155,8 @@ def exact_duplicates(tx: DataFrame, key: str = "fingerprint") -> DataFrame:
     return tx.join(twice, key)
 
 
-def recurrence(tx: DataFrame, by: str = "canonical_id", bands: tuple[tuple[int, int], ...] = ((25, 35), (13, 15)), least: int = 3) -> DataFrame:
+def recurrence(tx: DataFrame, by: str = "canonical_id", bands: tuple[tuple[int, int], ...] = ((25, 35), (13, 15)),
+    least: int = 3) -> DataFrame:
     """``tx`` with ``transaction_type``: recurring where all day gaps of a merchant lie in one band, repeat from two rows on, else one-time.
 
     A row of a null merchant is one-time. Days are reduced to distinct (merchant, day) with counts before they are
@@ -143,17 +166,21 @@ def recurrence(tx: DataFrame, by: str = "canonical_id", bands: tuple[tuple[int,
     gap = F.datediff("date", F.lag("date").over(Window.partitionBy(by).orderBy("date")))
     days = days.withColumn("gap", gap)
     # several rows on one day are gaps of 0, which lie in no band
-    inside = [F.min(F.when(F.col("n") > 1, F.lit(lo <= 0 <= hi)).otherwise(F.coalesce(F.col("gap").between(lo, hi), F.lit(True)))) for lo, hi in bands]
+    inside = [F.min(F.when(F.col("n") > 1, F.lit(lo <= 0 <= hi))
+        .otherwise(F.coalesce(F.col("gap").between(lo, hi), F.lit(True)))) for lo, hi in bands]
     each = days.groupBy(by).agg(F.sum("n").alias("rows"), *(x.alias(f"b{k}") for k, x in enumerate(inside)))
     steady = reduce(lambda a, b: a | b, (F.col(f"b{k}") for k in range(len(bands))))
-    label = F.when(steady & (F.col("rows") >= least), "recurring").when(F.col("rows") > 1, "repeat").otherwise("one-time")
-    return tx.join(each.select(by, label.alias("__t")), by, "left").withColumn("transaction_type", F.coalesce("__t", F.lit("one-time"))).drop("__t")
+    label = F.when(steady & (F.col("rows") >= least), "recurring").when(F.col("rows") > 1,
+        "repeat").otherwise("one-time")
+    return tx.join(each.select(by, label.alias("__t")), by, "left").withColumn("transaction_type",
+        F.coalesce("__t", F.lit("one-time"))).drop("__t")
 
 
 def frequency_label(tx: DataFrame, by: str = "canonical_id") -> DataFrame:
     """A merchant's label by its number of rows: over three recurring, over one repeat."""
     n = tx.groupBy(by).agg(F.count("*").alias("n"))
-    return n.withColumn("frequency", F.when(F.col("n") > 3, "recurring").when(F.col("n") > 1, "repeat").otherwise("one-time"))
+    return n.withColumn("frequency",
+        F.when(F.col("n") > 3, "recurring").when(F.col("n") > 1, "repeat").otherwise("one-time"))
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
@@ -161,7 +188,8 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
 
 
 def hint_accuracy(df: DataFrame, found: str = "category", hint: str = "category_hint") -> DataFrame:
-    return df.agg(F.bround(F.avg(F.coalesce(F.col(found) == F.col(hint), F.lit(False)).cast("int")), 4).alias("accuracy"))
+    return df.agg(F.bround(F.avg(F.coalesce(F.col(found) == F.col(hint), F.lit(False)).cast("int")), 4)
+        .alias("accuracy"))
 
 
 #: The patterns that are looked for in raw names, regular expressions, in order.
@@ -189,13 +217,16 @@ def _similar_candidates(distinct: DataFrame, threshold: float) -> DataFrame:
     if threshold < 2 / 3:
         return below(distinct.select("name", F.lit(0).alias("key"))).select(*pick)
     words = below(distinct.select("name", F.explode(name_words(F.lower("name"))).alias("key"))).select(*pick)
-    each = distinct.select("name", F.explode(name_grams(F.lower("name"))).alias("x")).select("name", "x.form", "x.size", F.explode("x.grams").alias("gram"))
+    each = distinct.select("name", F.explode(name_grams(F.lower("name"))).alias("x")).select("name", "x.form",
+        "x.size", F.explode("x.grams").alias("gram"))
     each = materialize(each, "grams")
     ranked = each.join(each.groupBy("form", "gram").agg(F.count("*").alias("n")), ["form", "gram"])
-    texts = ranked.groupBy("name", "form", "size").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("grams"))
+    texts = ranked.groupBy("name", "form",
+        "size").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("grams"))
     shared = F.ceil(F.col("size") * (2 / (2 - threshold) * (1.5 * threshold - 1)) + (1 - 1e-9))
     rare = F.slice("grams", F.lit(1), F.greatest(F.col("size") + 2 - shared, F.lit(1)).cast("int"))
-    keyed = texts.select("name", "size", F.explode(rare).alias("x"), "form").select("name", "size", F.struct("form", "x.gram").alias("key"))
+    keyed = texts.select("name", "size", F.explode(rare).alias("x"), "form").select("name", "size",
+        F.struct("form", "x.gram").alias("key"))
     alike = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * (threshold / (2 - threshold)) - 1e-9
     return words.union(below(keyed).where(alike).select(*pick)).distinct()
 
@@ -208,24 +239,31 @@ def cluster_merchants(names: DataFrame, threshold: float = 0.80, column: str = "
     plain, token-sort and token-set ratio. All pairs that can reach the threshold are compared (``_similar_candidates``); distinct names,
     not rows, are compared. The shortest member is the cluster's name, ties to the first.
     """
-    distinct = materialize(names.select(F.col(column).alias("name")).where("name is not null and name <> ''").distinct(), "names")
+    distinct = materialize(names.select(F.col(column).alias("name")).where("name is not null and name <> ''")
+        .distinct(), "names")
     pairs = _similar_candidates(distinct, threshold)
     edges = materialize(pairs.where(name_similarity(F.lower("early"), F.lower("late")) >= threshold), "similar")
-    leaders = distinct.join(edges.select(F.col("late").alias("name")), "name", "left_anti").withColumn("leads", F.lit(True))
+    leaders = distinct.join(edges.select(F.col("late").alias("name")), "name", "left_anti").withColumn("leads",
+        F.lit(True))
     state = materialize(leaders, "leaders")  # (name, leads) of settled names
     while True:
         open_ = edges.join(state.select(F.col("name").alias("late")), "late", "left_anti")
         known = open_.join(state.select(F.col("name").alias("early"), "leads"), "early", "left")
         # joins: some earlier neighbour leads; leads itself: all are settled and none leads
-        verdict = known.groupBy(F.col("late").alias("name")).agg(F.max(F.coalesce("leads", F.lit(False))).alias("led"), F.min(F.col("leads").isNotNull()).alias("all"))
+        verdict = known.groupBy(F.col("late").alias("name")).agg(F.max(F.coalesce("leads", F.lit(False)))
+            .alias("led"), F.min(F.col("leads").isNotNull()).alias("all"))
         fresh = materialize(verdict.where("led or all").select("name", (~F.col("led")).alias("leads")), "round")
         if not fresh.head(1):
             break
         state = materialize(state.union(fresh), "settled")
-    follows = edges.join(state.where("leads").select(F.col("name").alias("early")), "early").groupBy(F.col("late").alias("name")).agg(F.min("early").alias("leader"))
-    placed = state.join(follows, "name", "left").select("name", F.when(F.col("leads"), F.col("name")).otherwise(F.col("leader")).alias("leader"))
-    canonical = placed.groupBy("leader").agg(F.min(F.struct(F.length("name").alias("n"), "name"))["name"].alias("canonical"))
-    return placed.join(canonical, "leader").select("name", "canonical", alnum_id(F.col("canonical")).alias("canonical_id"))
+    follows = edges.join(state.where("leads").select(F.col("name").alias("early")),
+        "early").groupBy(F.col("late").alias("name")).agg(F.min("early").alias("leader"))
+    placed = state.join(follows, "name", "left").select("name",
+        F.when(F.col("leads"), F.col("name")).otherwise(F.col("leader")).alias("leader"))
+    canonical = placed.groupBy("leader").agg(F.min(F.struct(F.length("name").alias("n"), "name"))["name"]
+        .alias("canonical"))
+    return placed.join(canonical, "leader").select("name", "canonical",
+        alnum_id(F.col("canonical")).alias("canonical_id"))
 
 
 def process(tx: DataFrame, scores: Column | None = None, entity: Column | None = None) -> DataFrame:
@@ -241,11 +279,15 @@ def process(tx: DataFrame, scores: Column | None = None, entity: Column | None =
     names = rows.select(*keys).distinct().withColumn("merchant_clean", clean_merchant(c("merchant_raw")))
     names = names.withColumn("merchant_extracted", extract_entity(c("merchant_clean"), c("__entity")))
     names = names.withColumn("merchant_normalized", normalize_merchant(c("merchant_extracted"), c("merchant_clean")))
-    names = names.withColumns({"normalized_id": alnum_id(c("merchant_normalized")), "ruled": rule_classify(c("merchant_raw"), c("merchant_clean"), c("description"))})
+    names = names.withColumns(
+        {"normalized_id": alnum_id(c("merchant_normalized")),
+            "ruled": rule_classify(c("merchant_raw"), c("merchant_clean"), c("description"))})
     names = materialize(names, "merchants")
-    clusters = cluster_merchants(names).select(c("name").alias("merchant_normalized"), c("canonical").alias("merchant_canonical"), "canonical_id")
+    clusters = cluster_merchants(names).select(c("name").alias("merchant_normalized"),
+        c("canonical").alias("merchant_canonical"), "canonical_id")
     known = materialize(names.join(clusters, "merchant_normalized", "left"), "known-merchants")
-    known = known.select(*(c(k).alias(f"__k{n}") for n, k in enumerate(keys)), *(x for x in known.columns if x not in keys))
+    known = known.select(*(c(k).alias(f"__k{n}") for n, k in enumerate(keys)),
+        *(x for x in known.columns if x not in keys))
     same = [rows[k].eqNullSafe(known[f"__k{n}"]) for n, k in enumerate(keys)]
     rows = rows.join(known, reduce(lambda a, b: a & b, same)).drop("__entity", *(f"__k{n}" for n in range(len(keys))))
     given = scores if scores is not None else F.create_map().cast("map<string,double>")

@@ -10,17 +10,21 @@ def baseline_report(df: DataFrame) -> DataFrame:
     """One row: rows, mean confidence, accuracy against the hint, misses, rows of each level and type."""
     right = F.coalesce(F.col("category") == F.col("category_hint"), F.lit(False))
     levels = [F.count_if(F.col("confidence_level") == x).alias(x) for x in ("low", "medium", "high")]
-    types = [F.count_if(F.col("transaction_type") == x).alias(x.replace("-", "_")) for x in ("recurring", "repeat", "one-time")]
+    types = [F.count_if(F.col("transaction_type") == x)
+        .alias(x.replace("-", "_")) for x in ("recurring", "repeat", "one-time")]
     return df.agg(
-        F.count("*").alias("total"), F.bround(F.avg("confidence"), 4).alias("mean_confidence"), F.bround(F.avg(right.cast("int")), 3).alias("accuracy"),
+        F.count("*").alias("total"), F.bround(F.avg("confidence"), 4).alias("mean_confidence"),
+        F.bround(F.avg(right.cast("int")), 3).alias("accuracy"),
         F.count_if(~right).alias("misclassified"), *levels, *types)
 
 
 def low_confidence_categories(df: DataFrame, n: int = 5) -> DataFrame:
     """The categories most frequent among rows of low confidence; null counts as one."""
-    return df.where("confidence_level = 'low'").groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.col("category").asc_nulls_first()).limit(n)
+    return df.where("confidence_level = 'low'").groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"),
+        F.col("category").asc_nulls_first()).limit(n)
 
 
 def error_slices(df: DataFrame) -> dict[str, DataFrame]:
     """Rows of high and of low confidence, and transfers."""
-    return {"high": df.where("confidence_level = 'high'"), "low": df.where("confidence_level = 'low'"), "transfer": df.where("category = 'transfer'")}
+    return {"high": df.where("confidence_level = 'high'"), "low": df.where("confidence_level = 'low'"),
+        "transfer": df.where("category = 'transfer'")}

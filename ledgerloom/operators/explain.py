@@ -50,8 +50,10 @@ TEXTS = {
     "savings_met": Texts(
         "✅ Savings goal met in {month}", _GOAL, "Keep it up", 0.90,
         "Savings rate of {actual_rate_pct:.1f}% meets the {target_rate_pct:.0f}% target. Well done!"),
-    "savings_missed": Texts("🎯 Savings goal missed in {month}", _GOAL, "Cut one discretionary category this month", 0.90),
-    "budget_exceeded": Texts("🚨 {category|title} budget exceeded in {month}", _GOAL, "Lower {category} spending next month", 0.90),
+    "savings_missed": Texts("🎯 Savings goal missed in {month}", _GOAL, "Cut one discretionary category this month",
+        0.90),
+    "budget_exceeded": Texts("🚨 {category|title} budget exceeded in {month}", _GOAL,
+        "Lower {category} spending next month", 0.90),
     "budget_almost_full": Texts(
         "⚡ {category|title} budget almost full in {month}", _GOAL, "Slow down {category} spending", 0.90,
         "${amount_spent:.2f} of ${budget_limit:.2f} used ({pct_used:.0f}%). Only ${remaining:.2f} remaining."),
@@ -85,9 +87,11 @@ def case_of(events: DataFrame) -> Column:
     c = F.col
     kind, used = c("type"), F.coalesce("pct_used", F.lit(0.0))
     saving = F.when(c("status") == "on_track", "savings_met").otherwise("savings_missed")
-    budget = F.when(c("status") == "exceeded", "budget_exceeded").when(used > ALMOST_FULL_PCT, "budget_almost_full").otherwise("budget_on_track")
+    budget = F.when(c("status") == "exceeded", "budget_exceeded").when(used > ALMOST_FULL_PCT,
+        "budget_almost_full").otherwise("budget_on_track")
     goal = F.when(F.contains(F.coalesce("goal_name", F.lit("")), F.lit("savings_rate")), saving).otherwise(budget)
-    return F.when(kind == "goal_status", goal).when(kind.isin(*(k for k in TEXTS if "_met" not in k and "_missed" not in k and "budget" not in k)), kind)
+    return F.when(kind == "goal_status",
+        goal).when(kind.isin(*(k for k in TEXTS if "_met" not in k and "_missed" not in k and "budget" not in k)), kind)
 
 
 def explain_events(events: DataFrame, body: Column | None = None) -> DataFrame:
@@ -123,11 +127,14 @@ def explain_events(events: DataFrame, body: Column | None = None) -> DataFrame:
     model = F.coalesce(body, F.lit(NO_MODEL)) if body is not None else F.lit(NO_MODEL)
     return events.withColumn("__case", case).withColumns({
         "headline": pick("headline", title(F.replace(F.coalesce("type", F.lit("Event")), F.lit("_"), F.lit(" ")))),
-        "body": pick("body", model), "evidence": pick("evidence", F.lit(OTHER["evidence"])), "action": pick("action", F.lit(OTHER["action"])),
-        "confidence_text": F.when(F.col("__case").isNotNull(), percent).otherwise(F.coalesce(F.col("confidence").cast("string"), F.lit(OTHER["confidence"]))),
+        "body": pick("body", model), "evidence": pick("evidence", F.lit(OTHER["evidence"])),
+        "action": pick("action", F.lit(OTHER["action"])),
+        "confidence_text": F.when(F.col("__case").isNotNull(), percent)
+        .otherwise(F.coalesce(F.col("confidence").cast("string"), F.lit(OTHER["confidence"]))),
     }).drop("__case")
 
 
 def explain_match(transaction: Column, document: Column, kind: Column, confidence: Column) -> Column:
     """The request for a model's explanation of a match."""
-    return F.concat(F.lit("Explain why transaction "), transaction, F.lit(" matches document "), document, F.lit(": "), F.lower(kind), F.lit(" match, confidence "), F.format_string("%.2f", confidence), F.lit("."))
+    return F.concat(F.lit("Explain why transaction "), transaction, F.lit(" matches document "), document,
+        F.lit(": "), F.lower(kind), F.lit(" match, confidence "), F.format_string("%.2f", confidence), F.lit("."))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 MEASURES = StructType([
-    StructField("laplacian_variance", DoubleType()), StructField("flat_pixels", LongType()), StructField("flat_deviation", DoubleType()), StructField("low", IntegerType()), StructField("high", IntegerType()),
+    StructField("laplacian_variance", DoubleType()), StructField("flat_pixels", LongType()),
+    StructField("flat_deviation", DoubleType()), StructField("low", IntegerType()), StructField("high", IntegerType()),
     StructField("black_share", DoubleType()), StructField("content_box", ArrayType(IntegerType())),
 ])
 
@@ -46,8 +47,10 @@ def measure_one(data: bytes | None, width: int, height: int) -> dict | None:
     flat = g[gradient(g) < 50]
     share = np.cumsum(np.bincount(raw.ravel(), minlength=256)) / raw.size
     return {
-        "laplacian_variance": float(laplacian(g).var()), "flat_pixels": len(flat), "flat_deviation": float(np.median(np.abs(flat - np.median(flat)))) if len(flat) else 0.0,
-        "low": int(np.argmax(share > 0.025)), "high": int(np.argmax(share > 0.975)), "black_share": float(share[4]), "content_box": content_box(raw)}
+        "laplacian_variance": float(laplacian(g).var()), "flat_pixels": len(flat),
+        "flat_deviation": float(np.median(np.abs(flat - np.median(flat)))) if len(flat) else 0.0,
+        "low": int(np.argmax(share > 0.025)), "high": int(np.argmax(share > 0.975)), "black_share": float(share[4]),
+        "content_box": content_box(raw)}
 
 
 @F.pandas_udf(MEASURES)
@@ -60,7 +63,8 @@ def measure(data: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFram
 @F.pandas_udf(BinaryType())
 def turn(data: pd.Series, width: pd.Series, height: pd.Series, degrees: pd.Series) -> pd.Series:
     """The image turned counter-clockwise by a multiple of 90 degrees."""
-    return pd.Series([np.rot90(np.frombuffer(d, np.uint8).reshape(h, w), int(a) // 90 % 4).tobytes() if d else None for d, w, h, a in zip(data, width, height, degrees, strict=True)])
+    return pd.Series([np.rot90(np.frombuffer(d, np.uint8).reshape(h, w), int(a) // 90 % 4)
+        .tobytes() if d else None for d, w, h, a in zip(data, width, height, degrees, strict=True)])
 
 
 @F.pandas_udf(BinaryType())
@@ -108,7 +112,8 @@ def skew_of(g: np.ndarray, limit: float = 5.0, step: float = 0.25, dark: int = 1
 @F.pandas_udf(DoubleType())
 def skew(data: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
     """The measured angle of text lines; null where the bytes are not an image of that size."""
-    return pd.Series([skew_of(np.frombuffer(d, np.uint8).reshape(h, w)) if d and len(d) == w * h else None for d, w, h in zip(data, width, height, strict=True)], dtype="float64")
+    return pd.Series([skew_of(np.frombuffer(d, np.uint8).reshape(h, w)) if d and len(d) == w * h
+        else None for d, w, h in zip(data, width, height, strict=True)], dtype="float64")
 
 
 @F.pandas_udf(BinaryType())

@@ -33,7 +33,8 @@ def parse_amount(x: Column) -> Column:
 def parse_date(x: Column) -> Column:
     """A timestamp from ISO text, ``m/d/Y`` or ``d/m/Y``, in this order; null where none fits."""
     s = x.cast("string")
-    return F.coalesce(s.try_cast("timestamp_ntz"), *(F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz") for f in ("M/d/yyyy", "d/M/yyyy")))
+    return F.coalesce(s.try_cast("timestamp_ntz"),
+        *(F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz") for f in ("M/d/yyyy", "d/M/yyyy")))
 
 
 def _strip(x: Column, prefixes: tuple[str, ...]) -> Column:
@@ -58,7 +59,8 @@ def merchant_semantic(x: Column) -> Column:
 
 def expand_abbreviation(x: Column) -> Column:
     book = F.create_map(*(F.lit(v) for kv in EXPANSIONS.items() for v in kv))
-    return F.array_join(F.transform(F.split(squeeze(F.lower(x)), " "), lambda w: F.coalesce(F.try_element_at(book, F.regexp_replace(w, r"[*-]", "")), w)), " ")
+    return F.array_join(F.transform(F.split(squeeze(F.lower(x)), " "),
+        lambda w: F.coalesce(F.try_element_at(book, F.regexp_replace(w, r"[*-]", "")), w)), " ")
 
 
 def match_confidence(string: Column, amount: Column, date: Column, trust: Column) -> Column:
@@ -92,7 +94,8 @@ def _prepared(df: DataFrame, names: DataFrame, side: str) -> DataFrame:
     c = F.col
     keep = [F.coalesce(c("trust_score"), F.lit(1.0)).alias("trust")] if side == "d" else []
     rows = df.select(
-        c("id").alias(f"{side}_id"), c("ord").alias(f"{side}_ord"), F.abs(parse_amount(c("amount"))).alias(f"{side}_amount"),
+        c("id").alias(f"{side}_id"), c("ord").alias(f"{side}_ord"),
+        F.abs(parse_amount(c("amount"))).alias(f"{side}_amount"),
         parse_date(c("date")).alias(f"{side}_date"), F.coalesce("merchant", F.lit("")).alias("merchant"), *keep)
     rows = rows.where(f"{side}_amount is not null and {side}_date is not null")
     rows = rows.join(names.select("merchant", c("name").alias(f"{side}_name")), "merchant").drop("merchant")
@@ -130,14 +133,18 @@ def exact_tier(similarity: float = 0.90) -> Column:
 
 def _match(tier: str, string, amount, date, status, reason, discrepancy) -> Column:
     return F.struct(
-        match_confidence(string, amount, date, F.col("trust")).alias("confidence"), F.lit(tier).alias("match_type"), status.alias("status"), reason.cast("string").alias("reason"), string.alias("string_similarity"),
-        amount.cast("double").alias("amount_match"), date.cast("double").alias("date_proximity"), discrepancy.cast("double").alias("amount_discrepancy"))
+        match_confidence(string, amount, date, F.col("trust")).alias("confidence"), F.lit(tier).alias("match_type"),
+        status.alias("status"), reason.cast("string").alias("reason"), string.alias("string_similarity"),
+        amount.cast("double").alias("amount_match"), date.cast("double").alias("date_proximity"),
+        discrepancy.cast("double").alias("amount_discrepancy"))
 
 
 def fuzzy_amount(diff: Column, pct: Column, either_zero: Column) -> Column:
     """Struct (score, reason): 1 for equal amounts, falling to 0.7 at one percent and staying there up to a difference of 5; else 0."""
-    score = F.when(either_zero, F.when(diff == 0, 1.0).otherwise(0.0)).when((diff <= 5) | (pct <= 0.01), 1 - F.least(pct / 0.01, F.lit(1.0)) * 0.3).otherwise(0.0)
-    reason = F.when(diff <= 0.01, F.lit(None)).when((diff <= 5) & (pct > 0.01), "tip_adjustment").when(pct <= 0.01, "currency_or_fee")
+    score = F.when(either_zero, F.when(diff == 0, 1.0).otherwise(0.0)).when((diff <= 5) | (pct <= 0.01),
+        1 - F.least(pct / 0.01, F.lit(1.0)) * 0.3).otherwise(0.0)
+    reason = F.when(diff <= 0.01, F.lit(None)).when((diff <= 5) & (pct > 0.01), "tip_adjustment").when(pct <= 0.01,
+        "currency_or_fee")
     return F.struct(score.alias("score"), reason.alias("reason"))
 
 
@@ -149,20 +156,23 @@ def _fuzzy_parts() -> tuple[Column, Column, Column]:
     """Amount (score, reason), date score, and whether they allow a fuzzy match."""
     c = F.col
     amount = fuzzy_amount(c("diff"), c("pct"), _either_zero())
-    return amount, F.when(c("days") <= 3, 1 - c("days") * 0.1).otherwise(0.0), (amount["score"] >= 0.7) & (c("days") <= 3)
+    return amount, F.when(c("days") <= 3,
+        1 - c("days") * 0.1).otherwise(0.0), (amount["score"] >= 0.7) & (c("days") <= 3)
 
 
 def fuzzy_tier(similarity: float = 0.85) -> Column:
     amount, date, gate = _fuzzy_parts()
     status = F.when(amount["score"] == 1, "SUPPORTED").otherwise("PARTIAL")
     discrepancy = F.when(amount["score"] < 1, F.col("diff"))
-    return F.when(gate & (F.col("s2") >= similarity), _match("FUZZY", F.col("s2"), amount["score"], date, status, amount["reason"], discrepancy))
+    return F.when(gate & (F.col("s2") >= similarity),
+        _match("FUZZY", F.col("s2"), amount["score"], date, status, amount["reason"], discrepancy))
 
 
 def _semantic_parts() -> tuple[Column, Column, Column]:
     """Amount score, date score, and whether they allow a semantic match."""
     c = F.col
-    amount = F.when(_either_zero(), F.when(c("diff") == 0, 1.0).otherwise(0.0)).when(c("pct") <= 0.05, 1 - c("pct") / 0.05 * 0.4).otherwise(0.0)
+    amount = F.when(_either_zero(), F.when(c("diff") == 0, 1.0).otherwise(0.0)).when(c("pct") <= 0.05,
+        1 - c("pct") / 0.05 * 0.4).otherwise(0.0)
     date = 1 - c("days") * 0.08
     return amount, date, (amount >= 0.6) & (date >= 0.6)
 
@@ -175,20 +185,23 @@ def semantic_tier(similarity: float = 0.65, cosine: Column | None = None) -> Col
     kind = F.when(F.col("digits"), "ocr_correction").when(F.col("spelled"), "abbreviation")
     kind = kind.when(ratio >= 0.75, "rapidfuzz_fallback").otherwise("semantic_similarity")
     status = F.when(amount >= 0.9, "SUPPORTED").otherwise("PARTIAL")
-    return F.when(gate & (s >= similarity), _match("SEMANTIC", s, amount, date, status, kind, F.when(amount < 1, F.col("diff"))))
+    return F.when(gate & (s >= similarity),
+        _match("SEMANTIC", s, amount, date, status, kind, F.when(amount < 1, F.col("diff"))))
 
 
 def name_scores(pairs: DataFrame, names: DataFrame) -> DataFrame:
     """(t_name, d_name, s1, s2, s3, digits, spelled) of the distinct pairs of names that a candidate's amount and date allow, a table in the shared folder."""
     c = F.col
     gates = {"g1": exact_gate(), "g2": _fuzzy_parts()[2], "g3": _semantic_parts()[2]}
-    wanted = pairs.groupBy("t_name", "d_name").agg(*(F.max(g).alias(k) for k, g in gates.items())).where("g1 or g2 or g3")
+    wanted = pairs.groupBy("t_name",
+        "d_name").agg(*(F.max(g).alias(k) for k, g in gates.items())).where("g1 or g2 or g3")
     side = lambda p: names.select(*(c(x).alias(f"{p}_{x}") for x in ("name", "m1", "m2", "m3", "x3")))
     named = wanted.join(side("t"), "t_name").join(side("d"), "d_name")
     asked = [F.when(c(g), c(f"{p}_{x}")) for g, x in (("g1", "m1"), ("g2", "m2"), ("g3", "x3")) for p in ("t", "d")]
     spelled = (c("t_x3") != c("t_m3")) | (c("d_x3") != c("d_m3"))
     digits = F.rlike(F.concat("t_m3", "d_m3"), F.lit(r"\d"))
-    scored = named.select("t_name", "d_name", name_ratios(*asked).alias("s"), digits.alias("digits"), spelled.alias("spelled"))
+    scored = named.select("t_name", "d_name", name_ratios(*asked).alias("s"), digits.alias("digits"),
+        spelled.alias("spelled"))
     return materialize(scored.select("t_name", "d_name", "s.*", "digits", "spelled"), "name-scores")
 
 
@@ -201,7 +214,8 @@ def tiers(tx: DataFrame, docs: DataFrame, cosine: Column | None = None) -> DataF
     pairs = candidates(tx, docs, names).where(exact_gate() | _fuzzy_parts()[2] | _semantic_parts()[2])
     pairs = materialize(pairs, "candidates")
     scored = pairs.join(name_scores(pairs, names), ["t_name", "d_name"])
-    return scored.withColumn("exact", exact_tier()).withColumn("fuzzy", fuzzy_tier()).withColumn("semantic", semantic_tier(cosine=cosine))
+    return scored.withColumn("exact", exact_tier()).withColumn("fuzzy", fuzzy_tier()).withColumn("semantic",
+        semantic_tier(cosine=cosine))
 
 
 def _flat(pairs: DataFrame, match: Column) -> DataFrame:
@@ -219,14 +233,18 @@ def tier_matches(scored: DataFrame, tier: str) -> DataFrame:
 
 def edges(scored: DataFrame, least: float = 0.0) -> DataFrame:
     """Each pair at its best tier, the earlier one at equal confidence, from ``least`` on."""
-    ranked = F.array_max(F.array(*(F.struct(F.col(n)["confidence"].alias("c"), F.lit(-k).alias("k"), F.col(n).alias("m")) for k, n in enumerate(("exact", "fuzzy", "semantic")))))
+    ranked = F.array_max(F.array(
+        *(F.struct(F.col(n)["confidence"].alias("c"), F.lit(-k).alias("k"),
+            F.col(n).alias("m")) for k, n in enumerate(("exact", "fuzzy", "semantic")))))
     return _flat(scored, let(ranked, lambda r: F.when(r["c"].isNotNull(), r["m"]))).where(F.col("confidence") >= least)
 
 
 def best_match(scored: DataFrame) -> DataFrame:
     """Each transaction's best document; ties go to the earlier document."""
     e = edges(scored)
-    return e.groupBy("t_id").agg(F.min_by(F.struct(*[x for x in e.columns if x != "t_id"]), F.struct(-F.col("confidence"), F.col("d_ord"))).alias("m")).select("t_id", "m.*")
+    return e.groupBy("t_id").agg(
+        F.min_by(F.struct(*[x for x in e.columns if x != "t_id"]), F.struct(-F.col("confidence"), F.col("d_ord")))
+        .alias("m")).select("t_id", "m.*")
 
 
 def assign(scored: DataFrame, least: float = 0.6) -> DataFrame:
@@ -260,20 +278,26 @@ def tier_stats(matches: DataFrame, processed: Column) -> DataFrame:
     n = lambda x: F.count_if(x)
     c = F.col
     stats = matches.agg(
-        F.count("*").alias("matched"), n(c("reason") == "tip_adjustment").alias("tip_adjustments"), n(c("reason") == "currency_or_fee").alias("currency_matches"),
-        n(c("reason") == "abbreviation").alias("abbreviation_matches"), n(c("reason") == "ocr_correction").alias("ocr_error_matches"))
-    return stats.withColumns({"rejected": processed - c("matched"), "match_rate": F.coalesce(F.try_divide(c("matched").cast("double"), processed), F.lit(0.0))})
+        F.count("*").alias("matched"), n(c("reason") == "tip_adjustment").alias("tip_adjustments"),
+        n(c("reason") == "currency_or_fee").alias("currency_matches"),
+        n(c("reason") == "abbreviation").alias("abbreviation_matches"),
+        n(c("reason") == "ocr_correction").alias("ocr_error_matches"))
+    return stats.withColumns(
+        {"rejected": processed - c("matched"),
+            "match_rate": F.coalesce(F.try_divide(c("matched").cast("double"), processed), F.lit(0.0))})
 
 
 def unsupported(tx: DataFrame, matches: DataFrame, least: float = 0.6) -> DataFrame:
     """Transactions without a match of confidence ``least``, with reason and label."""
     rows = tx.join(matches.where(F.col("confidence") >= least).select(F.col("t_id").alias("id")), "id", "left_anti")
-    return rows.withColumns({"reason": unsupported_reason(F.col("merchant"), F.col("category")), "label": unsupported_label(F.col("merchant"), F.col("category"))})
+    return rows.withColumns({"reason": unsupported_reason(F.col("merchant"), F.col("category")),
+        "label": unsupported_label(F.col("merchant"), F.col("category"))})
 
 
 def unreconciled(docs: DataFrame, matches: DataFrame, least: float = 0.6) -> DataFrame:
     rows = docs.join(matches.where(F.col("confidence") >= least).select(F.col("d_id").alias("id")), "id", "left_anti")
-    return rows.withColumns({"reason": unreconciled_reason(F.col("doc_type"), F.col("trust_score")), "label": unreconciled_label(F.col("doc_type"), F.col("trust_score"))})
+    return rows.withColumns({"reason": unreconciled_reason(F.col("doc_type"), F.col("trust_score")),
+        "label": unreconciled_label(F.col("doc_type"), F.col("trust_score"))})
 
 
 #: Words and categories that explain a transaction without a document, and its label, in the order in which they apply.
@@ -290,62 +314,86 @@ def _lowered(merchant: Column, category: Column) -> tuple[Column, Column]:
 
 def unsupported_reason(merchant: Column, category: Column) -> Column:
     m, k = _lowered(merchant, category)
-    return (F.when(contains_any(m, DIGITAL), "digital_purchase_no_receipt").when(k.isin(*RECURRING_CATEGORIES), "recurring_payment_no_receipt").when(k == "income", "income_deposit")
-            .when(k.isin(*TRANSFER_CATEGORIES), "transfer_or_fee").when(contains_any(m, CASH), "cash_withdrawal").otherwise("no_document_found"))
+    return (F.when(contains_any(m, DIGITAL), "digital_purchase_no_receipt")
+        .when(k.isin(*RECURRING_CATEGORIES), "recurring_payment_no_receipt").when(k == "income", "income_deposit")
+            .when(k.isin(*TRANSFER_CATEGORIES), "transfer_or_fee").when(contains_any(m, CASH), "cash_withdrawal")
+            .otherwise("no_document_found"))
 
 
 def unsupported_label(merchant: Column, category: Column) -> Column:
     m, k = _lowered(merchant, category)
-    return (F.when(k == "income", "Direct deposit").when(k.isin(*LABEL_TRANSFERS), "Bank transfer or fee").when(contains_any(m, CASH), "Cash withdrawal")
-            .when(contains_any(m, SUBSCRIPTIONS), "Digital subscription").when(contains_any(m, ONLINE), "Online purchase").otherwise("Card transaction"))
+    return (F.when(k == "income", "Direct deposit").when(k.isin(*LABEL_TRANSFERS), "Bank transfer or fee")
+        .when(contains_any(m, CASH), "Cash withdrawal")
+            .when(contains_any(m, SUBSCRIPTIONS), "Digital subscription")
+            .when(contains_any(m, ONLINE), "Online purchase").otherwise("Card transaction"))
 
 
 def unreconciled_reason(doc_type: Column, trust: Column) -> Column:
     t = F.coalesce(trust, F.lit(0.0))
-    return F.when(t < 0.5, "low_trust_document").when(t >= 0.8, "likely_cash_purchase").when(doc_type == "invoice", "unpaid_invoice").otherwise("no_transaction_found")
+    return F.when(t < 0.5, "low_trust_document").when(t >= 0.8, "likely_cash_purchase").when(doc_type == "invoice",
+        "unpaid_invoice").otherwise("no_transaction_found")
 
 
 def unreconciled_label(doc_type: Column, trust: Column) -> Column:
     poor = F.coalesce(trust, F.lit(0.0)) < 0.5
-    return F.when(doc_type == "invoice", "Unpaid invoice").when(doc_type == "statement", "Unmatched statement").when(poor, "Unverified document").otherwise("Possible cash purchase")
+    return F.when(doc_type == "invoice", "Unpaid invoice").when(doc_type == "statement",
+        "Unmatched statement").when(poor, "Unverified document").otherwise("Possible cash purchase")
 
 
-def mismatch_summary(unsupported_: DataFrame, unreconciled_: DataFrame, matches: DataFrame, least: float = 0.6) -> DataFrame:
+def mismatch_summary(unsupported_: DataFrame, unreconciled_: DataFrame, matches: DataFrame,
+    least: float = 0.6) -> DataFrame:
     """(kind, reason, n): reasons of both kinds, and matches supported and of low confidence."""
-    kind = lambda df, k: df.groupBy("reason").agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "reason", "n")
+    kind = lambda df, k: df.groupBy("reason").agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "reason",
+        "n")
     ok = matches.select(F.when(F.col("confidence") >= least, "supported").otherwise("low_confidence").alias("reason"))
-    return kind(unsupported_, "unsupported").unionByName(kind(unreconciled_, "unreconciled")).unionByName(kind(ok, "matches"))
+    return kind(unsupported_,
+        "unsupported").unionByName(kind(unreconciled_, "unreconciled")).unionByName(kind(ok, "matches"))
 
 
 def markers(unsupported_: DataFrame, unreconciled_: DataFrame) -> DataFrame:
     """One note for each item without a counterpart."""
     money = lambda x: F.concat(F.lit("$"), F.format_string("%.2f", x.cast("double")))
-    a = unsupported_.select(F.lit("unsupported_spending").alias("type"), F.col("id").alias("transaction_id"), F.col("label").alias("user_label"), F.concat(money(parse_amount(F.col("amount"))), F.lit(" at "), "merchant", F.lit(" — no receipt found")).alias("story_note"))
-    who = F.coalesce(F.nullif(F.col("merchant"), F.lit("")), F.when(F.col("amount").isNull(), "unknown").otherwise("unknown merchant"))
-    note = F.concat(F.lit("Receipt from "), who, F.when(F.col("amount").isNull(), "").otherwise(F.concat(F.lit(" ("), money(parse_amount(F.col("amount"))), F.lit(")"))), F.lit(" — no matching bank transaction"))
-    b = unreconciled_.select(F.lit("unreconciled_receipt").alias("type"), F.col("id").alias("document_id"), F.col("label").alias("user_label"), note.alias("story_note"))
+    a = unsupported_.select(F.lit("unsupported_spending").alias("type"), F.col("id").alias("transaction_id"),
+        F.col("label").alias("user_label"),
+        F.concat(money(parse_amount(F.col("amount"))), F.lit(" at "), "merchant", F.lit(" — no receipt found"))
+        .alias("story_note"))
+    who = F.coalesce(F.nullif(F.col("merchant"), F.lit("")),
+        F.when(F.col("amount").isNull(), "unknown").otherwise("unknown merchant"))
+    note = F.concat(F.lit("Receipt from "), who,
+        F.when(F.col("amount").isNull(), "")
+        .otherwise(F.concat(F.lit(" ("), money(parse_amount(F.col("amount"))), F.lit(")"))),
+        F.lit(" — no matching bank transaction"))
+    b = unreconciled_.select(F.lit("unreconciled_receipt").alias("type"), F.col("id").alias("document_id"),
+        F.col("label").alias("user_label"), note.alias("story_note"))
     return a.unionByName(b, allowMissingColumns=True)
 
 
 def coverage(n_supported: Column, n_unsupported: Column, n_unreconciled: Column) -> dict[str, Column]:
-    share = lambda rest: F.coalesce(F.try_divide(n_supported.cast("double"), n_supported + rest), F.lit(0.0))
-    return {"match_rate": share(n_unsupported), "transaction_coverage": share(n_unsupported), "document_coverage": share(n_unreconciled)}
+    share = lambda rest: F.coalesce(F.try_divide(n_supported.cast("double"), n_supported + rest),
+        F.lit(0.0))
+    return {"match_rate": share(n_unsupported), "transaction_coverage": share(n_unsupported),
+        "document_coverage": share(n_unreconciled)}
 
 
 def coverage_stats(matches: DataFrame, unsupported_: DataFrame, unreconciled_: DataFrame) -> DataFrame:
     one = lambda df, n: df.agg(F.count("*").alias(n))
-    counts = one(matches, "supported").crossJoin(one(unsupported_, "unsupported")).crossJoin(one(unreconciled_, "unreconciled"))  # a row each
+    counts = one(matches, "supported").crossJoin(one(unsupported_, "unsupported")).crossJoin(
+        one(unreconciled_, "unreconciled"))  # a row each
     return counts.withColumns(coverage(F.col("supported"), F.col("unsupported"), F.col("unreconciled")))
 
 
 def evidence_chains(matches: DataFrame) -> DataFrame:
     """A match's components and stages, under an id that depends on the pair only."""
     return matches.select(
-        F.substring(F.sha2(F.concat_ws(":", "t_id", "d_id"), 256), 1, 16).alias("match_id"), F.col("t_id").alias("transaction_id"), F.col("d_id").alias("document_id"), "confidence",
-        F.struct("string_similarity", "amount_match", "date_proximity").alias("components"), F.array(F.concat(F.lit("reconcile_"), F.lower("match_type"))).alias("stages"))
+        F.substring(F.sha2(F.concat_ws(":", "t_id", "d_id"), 256), 1, 16).alias("match_id"),
+        F.col("t_id").alias("transaction_id"), F.col("d_id").alias("document_id"), "confidence",
+        F.struct("string_similarity", "amount_match", "date_proximity").alias("components"),
+        F.array(F.concat(F.lit("reconcile_"), F.lower("match_type"))).alias("stages"))
 
 
 def load_transactions(df: DataFrame) -> DataFrame:
     """Bank rows as reconciliation takes them: size of the amount as text, canonical name or else the raw one."""
     name = F.coalesce(*(F.col(c) for c in ("merchant_canonical", "merchant_raw") if c in df.columns), F.lit("Unknown"))
-    return df.select("ord", F.col("transaction_id").alias("id"), F.abs("amount").cast("string").alias("amount"), F.col("date").cast("string").alias("date"), name.alias("merchant"), F.coalesce("category", F.lit("")).alias("category"))
+    return df.select("ord", F.col("transaction_id").alias("id"), F.abs("amount").cast("string").alias("amount"),
+        F.col("date").cast("string").alias("date"), name.alias("merchant"),
+        F.coalesce("category", F.lit("")).alias("category"))

@@ -22,11 +22,16 @@ def first_documents(stream: DataFrame, text: str, time: str, keep: str = "7 days
     return _timed(keyed, time, keep).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
-def spending(stream: DataFrame, time: str = "ts", value: str = "value", by: str = "event_type", window: str = "1 day", late: str = "2 hours") -> DataFrame:
+def spending(stream: DataFrame, time: str = "ts", value: str = "value", by: str = "event_type", window: str = "1 day",
+    late: str = "2 hours") -> DataFrame:
     """Sum and count by window and category; rows later than ``late`` are left out."""
-    return _timed(stream, time, late).groupBy(F.window(time, window).alias("w"), by).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), by, "n", "total")
+    return _timed(stream, time, late).groupBy(F.window(time, window).alias("w"), by).agg(F.count("*").alias("n"),
+        F.sum(value).alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), by, "n", "total")
 
 
-def sessions(stream: DataFrame, time: str = "ts", by: str = "user_id", gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+def sessions(stream: DataFrame, time: str = "ts", by: str = "user_id", gap: str = "30 minutes",
+    late: str = "2 hours") -> DataFrame:
     """Rows of each user and session; a session ends after a gap."""
-    return _timed(stream, time, late).groupBy(F.session_window(time, gap).alias("s"), by).agg(F.count("*").alias("n")).select(F.col("s.start").cast("timestamp_ntz").alias("start"), F.col("s.end").cast("timestamp_ntz").alias("end"), by, "n")
+    return _timed(stream, time, late).groupBy(F.session_window(time, gap).alias("s"),
+        by).agg(F.count("*").alias("n")).select(F.col("s.start").cast("timestamp_ntz").alias("start"),
+        F.col("s.end").cast("timestamp_ntz").alias("end"), by, "n")
