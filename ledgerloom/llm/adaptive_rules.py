@@ -48,22 +48,29 @@ def measures(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_
     body = F.btrim("text", F.lit(SPACE_CHARS))
     lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != "")
     count = lambda chars: (F.length("text") - F.length(F.translate("text", chars, ""))).cast("bigint")
-    df = df.withColumns({"words": F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SPACE_CLASS)), "lines": lines})
+    df = df.withColumns({"words": F.when(body == "", F.array().cast("array<string>"))
+        .otherwise(F.split(body, SPACE_CLASS)), "lines": lines})
     df = df.select(
-        "__id", "lang", "source", F.size("words").cast("bigint").alias("n_words"), F.length(F.translate("text", SPACE_CHARS, "")).cast("bigint").alias("word_chars"),
+        "__id", "lang", "source", F.size("words").cast("bigint").alias("n_words"),
+        F.length(F.translate("text", SPACE_CHARS, "")).cast("bigint").alias("word_chars"),
         count(SYMBOLS).alias("n_symbols"), count(CAPITALS).alias("n_capitals"), count(MARKS).alias("n_marks"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     df = df.withColumn("n_distinct", F.size(F.array_distinct("h")).cast("bigint"))
     for step in (1, 2, 4):
-        df = df.withColumn("h", F.zip_with(_but_last(F.col("h"), step), _but_first(F.col("h"), step), lambda a, b: F.xxhash64(a, b)))
-    placed = F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("p")))))
+        df = df.withColumn("h", F.zip_with(_but_last(F.col("h"), step), _but_first(F.col("h"), step),
+            lambda a, b: F.xxhash64(a, b)))
+    placed = F.when(F.size(F.array_distinct("h")) < F.size("h"),
+        F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("p")))))
     df = df.withColumn("s", placed).drop("h")
     same = lambda x, at: F.coalesce(F.get(F.col("s"), at)["h"] == x["h"], F.lit(False))
     again = F.filter("s", lambda x, i: same(x, i - 1) | same(x, i + 1))
-    df = df.withColumn("at", F.when(F.col("s").isNotNull() & (F.size("s") > 0), F.sort_array(F.transform(again, lambda x: x["p"]))))
+    df = df.withColumn("at",
+        F.when(F.col("s").isNotNull() & (F.size("s") > 0), F.sort_array(F.transform(again, lambda x: x["p"]))))
     covered = F.aggregate(
         "at", F.struct(F.lit(-8).alias("last"), F.lit(0).alias("n")),
-        lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(8), p - acc["last"])).alias("n")), lambda acc: acc["n"])
+        lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(8), p - acc["last"])).alias("n")),
+        lambda acc: acc["n"])
     return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("bigint")).drop("s", "at")
 
 
@@ -100,22 +107,26 @@ def fences(rows: DataFrame, rules: tuple[str, ...], spread: int, prior_rows: int
         cum = F.sum("n").over(group.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
         run = merged.withColumns({"cum": cum, "all": F.sum("n").over(group)})
         at = lambda q: upper_edge(F.min(F.when(F.col("cum") * 100 >= F.col("all") * q, F.col("b"))))
-        return run.groupBy(*keys, "rule").agg(F.max("all").alias(f"n_{tag}"), at(25).alias(f"low_{tag}"), at(50).alias(f"mid_{tag}"))
+        return run.groupBy(*keys, "rule").agg(F.max("all").alias(f"n_{tag}"), at(25).alias(f"low_{tag}"),
+            at(50).alias(f"mid_{tag}"))
 
     def merged(quantile: str, tag: str, other: str) -> Column:
         total = F.col(f"n_{tag}") * F.col(f"{quantile}_{tag}") + prior_rows * F.col(f"{quantile}_{other}")
         return F.call_function("div", total, F.col(f"n_{tag}") + prior_rows)
 
     langs = quantiles(["lang"], "l").join(quantiles([], "a"), "rule")
-    langs = langs.withColumns({"low_l": merged("low", "l", "a"), "mid_l": merged("mid", "l", "a")}).select("lang", "rule", "low_l", "mid_l")
+    langs = langs.withColumns({"low_l": merged("low", "l", "a"), "mid_l": merged("mid", "l", "a")}).select("lang",
+        "rule", "low_l", "mid_l")
     both = quantiles(["lang", "source"], "s").join(langs, ["lang", "rule"])
     both = both.withColumns({"low_s": merged("low", "s", "l"), "mid_s": merged("mid", "s", "l")})
-    width = F.greatest(F.col("mid_s") - F.col("low_s"), F.col("mid_l") - F.col("low_l"), F.call_function("div", "mid_s", F.lit(1 << SUB_BITS)))
+    width = F.greatest(F.col("mid_s") - F.col("low_s"), F.col("mid_l") - F.col("low_l"),
+        F.call_function("div", "mid_s", F.lit(1 << SUB_BITS)))
     return both.select("lang", "source", "rule", (F.col("mid_s") + spread * width).alias("fence"))
 
 
 def adaptive_rules(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    source_col: str = "source",
     rules: tuple[str, ...] = RULES, spread: int = SPREAD, prior_rows: int = PRIOR_ROWS,
 ) -> DataFrame:
     """Judge every document by base rules and by its group's adaptive fences.
@@ -137,17 +148,22 @@ def adaptive_rules(
     richness = F.ln(F.greatest("n_distinct", F.lit(1))) / F.ln(F.greatest("n_words", F.lit(2)))
     rows = measures(docs, id_col, text_col, lang_col, source_col).withColumns({
         "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
-        "mark_share": share("n_marks", 10000, chars), "monotony": F.lit(10000) - F.round(10000 * richness).cast("bigint"),
+        "mark_share": share("n_marks", 10000, chars),
+        "monotony": F.lit(10000) - F.round(10000 * richness).cast("bigint"),
         "word_length": share("word_chars", 100, n), "capital_share": share("n_capitals", 10000, chars)})
     rows = materialize(rows, "measures")
     limits = fences(rows.where("not base_failed"), rules, spread, prior_rows)
-    wide = limits.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rule") == x, F.col("fence"))).alias(f"fence_{x}") for x in rules))
-    wide = materialize(wide, "fences")  # with a known size, a small table is broadcast without dealing the rows out by source first
+    wide = limits.groupBy("lang",
+        "source").agg(*(F.max(F.when(F.col("rule") == x, F.col("fence"))).alias(f"fence_{x}") for x in rules))
+    wide = materialize(wide,
+        "fences")  # with a known size, a small table is broadcast without dealing the rows out by source first
     broken = F.array_compact(F.array(*(F.when(F.col(x) > F.col(f"fence_{x}"), F.lit(x)) for x in rules)))
     out = rows.join(wide, ["lang", "source"], "left").withColumn("broken", broken)
     return out.select(
-        F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"), *rules, *(f"fence_{x}" for x in rules), "broken")
+        F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed",
+        (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"), *rules, *(f"fence_{x}" for x in rules),
+        "broken")
 
 
 #: The same in DuckDB SQL, for the tables of the driver.

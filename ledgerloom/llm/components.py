@@ -10,7 +10,8 @@ from ledgerloom.llm.runtime import discard, materialize
 
 def _settled(edges: DataFrame) -> bool:
     """Whether each node has one edge down at most and no node has edges both up and down: every component is a star around its smallest node."""
-    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("down"),
+        F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
     each = ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
     return not each.agg(F.max((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0)))).first()[0]
 

@@ -99,7 +99,8 @@ def blocks(parts: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
 def updated(start: np.ndarray, moves: np.ndarray, emits: np.ndarray, base: np.ndarray, prior: float) -> Hmm:
     """The model of expected counts; emissions lean on the unigram distribution ``base`` by ``prior`` counts."""
     s = len(start)
-    return Hmm((start + 0.1) / (start.sum() + 0.1 * s), (moves + 0.1) / (moves.sum(axis=1, keepdims=True) + 0.1 * s), (emits + prior * base[:, None]) / (emits.sum(axis=0) + prior))
+    return Hmm((start + 0.1) / (start.sum() + 0.1 * s), (moves + 0.1) / (moves.sum(axis=1, keepdims=True) + 0.1 * s),
+        (emits + prior * base[:, None]) / (emits.sum(axis=0) + prior))
 
 
 def first_model(parts: list[np.ndarray], base: np.ndarray, states: int, prior: float, rounds: int, seed: int) -> Hmm:
@@ -148,7 +149,10 @@ def word_counts(rows: DataFrame, symbols: Symbols) -> DataFrame:
             words = list(counts)
             for a in range(0, len(words), 50_000):
                 w = words[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()).cast(pa.string()), pa.array([symbols.of_class(x) for x in w], pa.int32()), pa.array([counts[x] for x in w], pa.int64())], names=["word", "class", "c"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(w, pa.binary()).cast(pa.string()),
+                        pa.array([symbols.of_class(x) for x in w], pa.int32()),
+                        pa.array([counts[x] for x in w], pa.int64())], names=["word", "class", "c"])
             counts.clear()
 
         for batch in batches:
@@ -159,7 +163,8 @@ def word_counts(rows: DataFrame, symbols: Symbols) -> DataFrame:
         yield from flush()
 
     ship(rows.sparkSession)
-    return rows.mapInArrow(run, "word string, class int, c bigint").groupBy("word").agg(F.first("class").alias("class"), F.sum("c").alias("c"))
+    return rows.mapInArrow(run,
+        "word string, class int, c bigint").groupBy("word").agg(F.first("class").alias("class"), F.sum("c").alias("c"))
 
 
 def _level(count: Column) -> Column:
@@ -173,7 +178,8 @@ def most_frequent(counts: DataFrame, limit: int) -> pa.Table:
 
     A histogram of the counts (under 2,000 rows) tells where to cut, so what is sorted and sent is no more than the result.
     """
-    levels = counts.groupBy(_level(F.col("c")).alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()
+    levels = counts.groupBy(_level(F.col("c")).alias("level")).agg(F.count("*")
+        .alias("n")).orderBy(F.desc("level")).collect()
     above, cut, at_cut = 0, None, 0
     for r in levels:
         if above + r.n > limit:
@@ -190,8 +196,10 @@ def most_frequent(counts: DataFrame, limit: int) -> pa.Table:
 
 
 def train_and_score(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out=None, states: int = 8, top: int = 8192, classes: int = 2048,
-    dictionary: int = 200_000, longest: int = 64, sample_rows: int = 1500, sample_rounds: int = 15, rounds: int = 3, prior: float = 200.0, seed: int = 3,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out=None, states: int = 8,
+    top: int = 8192, classes: int = 2048,
+    dictionary: int = 200_000, longest: int = 64, sample_rows: int = 1500, sample_rounds: int = 15, rounds: int = 3,
+    prior: float = 200.0, seed: int = 3,
 ) -> DataFrame:
     """Score whole texts by a word HMM learned from those that are not ``held_out``.
 
@@ -238,7 +246,8 @@ def train_and_score(
     symbol_of = own_class.copy()
     symbol_of[:top] = 1 + np.arange(len(words[:top]))
     base_log = np.log10((known + 1) / denominator)
-    share_log = np.where(np.arange(len(words)) < top, 0.0, np.log10((known + 1) / np.maximum(totals[own_class - 1 - top], 1)))
+    share_log = np.where(np.arange(len(words)) < top, 0.0,
+        np.log10((known + 1) / np.maximum(totals[own_class - 1 - top], 1)))
     book = spark.sparkContext.broadcast((words, symbol_of.astype(np.uint16), base_log, share_log))
     end_log, end_known = float(np.log10((ends + 1) / denominator)), int(ends > 0)
     cache: dict = {}
@@ -250,7 +259,8 @@ def train_and_score(
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             out = []
-            for i, text, h in zip(batch.column("__id").to_pylist(), utf8_bytes(batch.column("__text")), batch.column("held").to_pylist(), strict=True):
+            for i, text, h in zip(batch.column("__id").to_pylist(), utf8_bytes(batch.column("__text")),
+                batch.column("held").to_pylist(), strict=True):
                 uid += 1
                 tokens = words_of(text)
                 at = np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
@@ -265,21 +275,28 @@ def train_and_score(
                     seq[missing] = [symbols.of_class(w) for w in lost]
                     rare.update(lost)
                 words = list(rare)
-                out.append((uid, i, h, len(tokens) + 1, len(found) + end_known, float(logs[found].sum()) + end_log, float(shares[found].sum()), seq.tobytes(), words, [symbols.of_class(w) - 1 - top for w in words], list(rare.values())))
+                out.append((uid, i, h, len(tokens) + 1, len(found) + end_known, float(logs[found].sum()) + end_log,
+                    float(shares[found].sum()), seq.tobytes(), words, [symbols.of_class(w) - 1 - top for w in words],
+                    list(rare.values())))
             cols = list(zip(*out, strict=True))
-            kinds = [pa.int64(), batch.column("__id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            kinds = [pa.int64(), batch.column("__id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(),
+                pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64())]
             arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
             arrays[8] = arrays[8].cast(pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays(arrays, names=["uid", "id", "held", "n_tokens", "n_known", "base", "share", "seq", "words", "classes", "tf"])
+            yield pa.RecordBatch.from_arrays(arrays,
+                names=["uid", "id", "held", "n_tokens", "n_known", "base", "share", "seq", "words", "classes", "tf"])
 
     ship(spark)
     kind = rows.schema["__id"].dataType.simpleString()
-    coded = materialize(rows.mapInArrow(encode, f"uid bigint, id {kind}, held boolean, n_tokens bigint, n_known bigint, base double, share double, seq binary, words array<string>, classes array<int>, tf array<bigint>"), "coded")
+    coded = materialize(rows.mapInArrow(encode,
+        f"uid bigint, id {kind}, held boolean, n_tokens bigint, n_known bigint, base double, share double, seq binary, words array<string>, classes array<int>, tf array<bigint>"), "coded")
     texts = coded.drop("words", "classes", "tf")
     training = texts.where("not held").select("seq")
 
-    sample = hash_sample(texts.where("not held").select("id", "seq"), sample_rows, ends, "id", "seq").toArrow()["seq"].to_pylist()
-    model = first_model([np.frombuffer(s, np.uint16) for s in sample], base, states, prior * min(1.0, len(sample) / max(ends, 1)), sample_rounds, seed)
+    sample = hash_sample(texts.where("not held").select("id", "seq"), sample_rows, ends, "id",
+        "seq").toArrow()["seq"].to_pylist()
+    model = first_model([np.frombuffer(s, np.uint16) for s in sample], base, states,
+        prior * min(1.0, len(sample) / max(ends, 1)), sample_rounds, seed)
     if ends:
         for _ in range(rounds):
             model = updated(*expected_counts(training, model), base, prior)
@@ -294,18 +311,23 @@ def train_and_score(
         rest = [c for c in batch.schema.names if c != "seq"]
         return batch.select(rest).append_column("forward", pa.array(got))
 
-    scored = arrow_map(texts, likelihood, f"uid bigint, id {kind}, held boolean, n_tokens bigint, n_known bigint, base double, share double, forward double")
-    class_totals = F.broadcast(spark.createDataFrame([(k, int(t)) for k, t in enumerate(totals)], "class int, total bigint"))
+    scored = arrow_map(texts, likelihood,
+        f"uid bigint, id {kind}, held boolean, n_tokens bigint, n_known bigint, base double, share double, forward double")
+    class_totals = F.broadcast(
+        spark.createDataFrame([(k, int(t)) for k, t in enumerate(totals)], "class int, total bigint"))
     c = F.coalesce("c", F.lit(0))
     each = coded.select("uid", F.inline(F.arrays_zip("words", "classes", "tf"))).toDF("uid", "word", "class", "tf")
     rare = (each.join(counts.select("word", "c"), "word", "left").join(class_totals, "class")
             .groupBy("uid").agg(
-                F.sum(F.col("tf") * F.log10((c + 1) / F.lit(float(denominator)))).alias("rare_base"), F.sum(F.col("tf") * F.log10((c + 1) / F.col("total"))).alias("rare_share"),
+                F.sum(F.col("tf") * F.log10((c + 1) / F.lit(float(denominator)))).alias("rare_base"),
+                F.sum(F.col("tf") * F.log10((c + 1) / F.col("total"))).alias("rare_share"),
                 F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("rare_known")))
     zero = lambda x: F.coalesce(x, F.lit(0))
     return scored.join(rare, "uid", "left").select(
-        F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", (F.col("n_known") + zero("rare_known")).alias("n_known"), F.lit(n_all).cast("bigint").alias("train_tokens"),
-        (F.col("base") + zero("rare_base")).alias("base_score"), (F.col("forward") + F.col("share") + zero("rare_share")).alias("score"))
+        F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens",
+        (F.col("n_known") + zero("rare_known")).alias("n_known"), F.lit(n_all).cast("bigint").alias("train_tokens"),
+        (F.col("base") + zero("rare_base")).alias("base_score"),
+        (F.col("forward") + F.col("share") + zero("rare_share")).alias("score"))
 
 
 def expected_counts(training: DataFrame, model: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -132,7 +132,8 @@ def distances(m: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def search(
-    vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", is_query=None, k: int = 10, sample_rows: int = 16_384,
+    vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", is_query=None, k: int = 10,
+    sample_rows: int = 16_384,
     leaf_rows: int = 256, recall: float = 0.96, calibration_queries: int = 96, branching: int = 8,
 ) -> DataFrame:
     """The ``k`` nearest other rows of each query row: (query_id, rank, vec_id, score), score being the Euclidean distance in double precision.
@@ -152,8 +153,10 @@ def search(
     spark = vectors.sparkSession
     is_query = F.col(f"`{id_col}`") % 100 == 0 if is_query is None else is_query
     v = F.col(f"`{vector_col}`")
-    fine = F.coalesce(v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = vectors.where(fine & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), v.cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    fine = F.coalesce(v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+        & F.exists(v, lambda x: x != 0), F.lit(False))
+    rows = vectors.where(fine & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("bigint")
+        .alias("id"), v.cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     length = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if length is None:
@@ -180,9 +183,14 @@ def search(
             d = distances(m, q)
             best = np.lexsort((ids, d))[: 2 * k]
             out.extend((n, int(ids[b]), float(d[b]), int(leaf[b])) for b in best if ids[b] != cid[n])
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)] if out else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.int64())], names=["n", "id", "d", "leaf"])
-
-    ranked = arrow_map(index, truth, "n bigint, id bigint, d double, leaf bigint").withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy("d", "id")))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*out, strict=True),
+                (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)] if out
+                else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.int64())],
+                names=["n", "id", "d", "leaf"])
+
+    ranked = arrow_map(index, truth, "n bigint, id bigint, d double, leaf bigint").withColumn("r",
+        F.row_number().over(Window.partitionBy("n").orderBy("d", "id")))
     needed = []
     orders: dict[int, dict[int, int]] = {}
     for r in ranked.where(F.col("r") <= k).collect():  # at most calibration_queries * k rows
@@ -214,15 +222,22 @@ def search(
                 row.append(k)
                 groups.append(g)
                 leaves.append(seen[of[seen] == g])
-        return pa.RecordBatch.from_arrays([pa.array([ids[k] for k in row], pa.int64()), vectors_.take(pa.array(row, pa.int32())), pa.array(groups, pa.int64()), pa.array(leaves, pa.list_(pa.int64()))], names=["id", "v", "g", "leaves"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([ids[k] for k in row], pa.int64()), vectors_.take(pa.array(row, pa.int32())),
+                pa.array(groups, pa.int64()), pa.array(leaves, pa.list_(pa.int64()))], names=["id", "v", "g", "leaves"])
 
-    visiting = materialize(arrow_map(index.where("q"), plan, "id bigint, v array<double>, g bigint, leaves array<bigint>"), "tree-visits")
+    visiting = materialize(arrow_map(index.where("q"), plan,
+        "id bigint, v array<double>, g bigint, leaves array<bigint>"), "tree-visits")
     asked = {r.g: r.n for r in visiting.groupBy("g").agg(F.count("*").alias("n")).collect()}  # at most a row a leaf
-    table = [(leaf, int(g), max(1, -(-members_of[g] // BLOCK_ROWS)), max(1, -(-asked[g] // BLOCK_QUERIES))) for leaf, g in enumerate(group.tolist()) if g in asked]
-    blocks = spark.createDataFrame(table, "leaf bigint, g bigint, rb int, qb int") if table else spark.createDataFrame([], "leaf bigint, g bigint, rb int, qb int")
+    table = [(leaf, int(g), max(1, -(-members_of[g] // BLOCK_ROWS)),
+        max(1, -(-asked[g] // BLOCK_QUERIES))) for leaf, g in enumerate(group.tolist()) if g in asked]
+    blocks = spark.createDataFrame(table,
+        "leaf bigint, g bigint, rb int, qb int") if table else spark.createDataFrame([],
+        "leaf bigint, g bigint, rb int, qb int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.col(n)).cast("int")
-    left = visiting.join(F.broadcast(blocks.drop("leaf").distinct()), "g").withColumn("b", mine("qb")).withColumn("a", spread("rb"))
+    left = visiting.join(F.broadcast(blocks.drop("leaf").distinct()), "g").withColumn("b", mine("qb")).withColumn("a",
+        spread("rb"))
     right = index.join(F.broadcast(blocks), "leaf").withColumn("a", mine("rb")).withColumn("b", spread("qb"))
     keys = ["g", "a", "b"]
 
@@ -230,17 +245,21 @@ def search(
         out_q, out_i, out_d = [], [], []
         if queries.num_rows and members.num_rows:
             m, ids, leaf = _matrix(members["v"]), members["id"].to_numpy(), members["leaf"].to_numpy()
-            for own, q, seen in zip(queries["id"].to_pylist(), _matrix(queries["v"]), queries["leaves"].to_pylist(), strict=True):
+            for own, q, seen in zip(queries["id"].to_pylist(), _matrix(queries["v"]), queries["leaves"].to_pylist(),
+                strict=True):
                 near = np.flatnonzero(np.isin(leaf, seen))
                 i, d = _top(ids[near], distances(m[near], q), k, own)
                 out_q.append(np.full(len(i), own))
                 out_i.append(i)
                 out_d.append(d)
         flat = lambda parts, t: pa.array(np.concatenate(parts) if parts else np.empty(0), t)
-        return pa.table({"query_id": flat(out_q, pa.int64()), "vec_id": flat(out_i, pa.int64()), "score": flat(out_d, pa.float64())})
+        return pa.table({"query_id": flat(out_q, pa.int64()), "vec_id": flat(out_i, pa.int64()),
+            "score": flat(out_d, pa.float64())})
 
     ship(spark)
-    found = left.select(*keys, "id", "v", "leaves").groupBy(*keys).cogroup(right.select(*keys, "id", "v", "leaf").groupBy(*keys)).applyInArrow(compare, "query_id bigint, vec_id bigint, score double")
+    found = left.select(*keys, "id", "v",
+        "leaves").groupBy(*keys).cogroup(right.select(*keys, "id", "v", "leaf").groupBy(*keys)).applyInArrow(compare,
+        "query_id bigint, vec_id bigint, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

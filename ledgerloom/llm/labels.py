@@ -13,7 +13,8 @@ def crc_of_id(col: str) -> Column:
     return F.crc32(F.col(f"`{col}`").cast("string").cast("binary"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, id_col: str, text_col: str, limit: int, where: Column | None = None) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, id_col: str, text_col: str, limit: int,
+    where: Column | None = None) -> DataFrame:
     """(__id, __text, label) of at most ``limit`` labelled documents, chosen by a hash of the id.
 
     The sample's size is bounded by ``limit``, so it is broadcast to the documents. Rows without id, label or document take no
@@ -22,7 +23,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, id_col: s
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     if where is not None:
         known = known.where(where)
-    known = known.groupBy(F.col("doc_id").cast("bigint").alias("__id")).agg((F.avg(label) >= 0.5).cast("int").alias("label"))
+    known = known.groupBy(F.col("doc_id").cast("bigint").alias("__id")).agg((F.avg(label) >= 0.5).cast("int")
+        .alias("label"))
     chosen = hash_sample(known, limit, known.count(), "__id")
     rows = id_and_text(docs, id_col, text_col).withColumn("__id", F.col("__id").cast("bigint"))
     return rows.join(F.broadcast(chosen), "__id")

@@ -61,14 +61,18 @@ def unit_digests(docs: DataFrame, unit: str, min_words: int, whole_words: int |
         two = np.frombuffer(b"".join(digest), ">i8").astype(np.int64).reshape(-1, 2)
         pick = pa.array(row, pa.int32())
         return pa.RecordBatch.from_arrays(
-            [batch.column("__id").take(pick), batch.column("__key").take(pick), *(pa.array(x, pa.int32()) for x in (place, start, end)), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(units).take(pick)],
+            [batch.column("__id").take(pick), batch.column("__key").take(pick),
+                *(pa.array(x, pa.int32()) for x in (place, start, end)), pa.array(two[:, 0]), pa.array(two[:, 1]),
+                pa.array(units).take(pick)],
             names=["__id", "__key", "place", "start", "end", "hi", "lo", "units"])
 
-    return arrow_map(docs, fn, f"__id {id_type}, __key bigint, place int, start int, end int, hi bigint, lo bigint, units bigint")
+    return arrow_map(docs, fn,
+        f"__id {id_type}, __key bigint, place int, start int, end int, hi bigint, lo bigint, units bigint")
 
 
 def remove_repeated_units(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = 5, passage_words: int | None = None,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = 5,
+    passage_words: int | None = None,
 ) -> DataFrame:
     """Keep each unit where it first occurs in the corpus and cut it everywhere else.
 
@@ -104,14 +108,16 @@ def remove_repeated_units(
     rows = keyed.select("__id", "__key", F.col(f"`{text_col}`").alias("__text"))
     units = materialize(unit_digests(rows, unit, min_words, passage_words), "units")
     place = F.struct("__id", "__key", "place")
-    repeated = units.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select("hi", "lo", "first")
+    repeated = units.groupBy("hi", "lo").agg(F.min(place).alias("first"),
+        F.count("*").alias("times")).where("times > 1").select("hi", "lo", "first")
     repeated = materialize(repeated, "repeated")  # a plain scan below the join lets a hot digest's partition be split
     span = F.when(F.col("first").isNotNull() & (place != F.col("first")), F.struct("start", "end"))
     found = (units.join(repeated, ["hi", "lo"], "left").groupBy("__id", "__key")
              .agg(F.max("units").alias("__units"), F.array_sort(F.collect_set(span)).alias("__spans")))
 
     both = keyed.join(found, ["__id", "__key"], "left")
-    both = both.withColumns({"__spans": F.coalesce("__spans", F.array().cast("array<struct<start:int,end:int>>")), "n_units": F.coalesce("__units", F.lit(0).cast("bigint"))}).drop("__units")
+    both = both.withColumns({"__spans": F.coalesce("__spans", F.array().cast("array<struct<start:int,end:int>>")),
+        "n_units": F.coalesce("__units", F.lit(0).cast("bigint"))}).drop("__units")
     if passage_words is not None:
         both = materialize(both, "lines")
         discard(units)
@@ -125,5 +131,7 @@ def remove_repeated_units(
     pieces = F.zip_with(starts, ends, lambda a, b: F.substring(text, a + 1, b - a))
     joined = F.array_join(pieces, "")
     at_end = F.element_at(F.col("__spans"), -1)["end"] == F.length(text)
-    shorter = F.when(F.size("__spans") == 0, text).otherwise(F.when(at_end, F.regexp_replace(joined, r"\n\z", "")).otherwise(joined))
-    return both.withColumns({text_col: shorter, "n_removed": F.size("__spans").cast("bigint"), "removed": F.col("__spans")}).drop("__spans")
+    shorter = F.when(F.size("__spans") == 0,
+        text).otherwise(F.when(at_end, F.regexp_replace(joined, r"\n\z", "")).otherwise(joined))
+    return both.withColumns({text_col: shorter, "n_removed": F.size("__spans").cast("bigint"),
+        "removed": F.col("__spans")}).drop("__spans")

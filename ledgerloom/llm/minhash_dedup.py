@@ -44,9 +44,11 @@ def signatures(docs: DataFrame, words: int, hasher: MinHasher) -> DataFrame:
                 minima[k] = hasher.minima(got)
         keys = hasher.band_keys(minima)
         sig = hasher.signature(minima)
-        bands = pa.ListArray.from_arrays(np.arange(0, n * hasher.bands + 1, hasher.bands, dtype=np.int32), pa.array(keys.ravel()))
+        bands = pa.ListArray.from_arrays(np.arange(0, n * hasher.bands + 1, hasher.bands, dtype=np.int32),
+            pa.array(keys.ravel()))
         return pa.RecordBatch.from_arrays(
-            [batch.column("__id"), pa.array(sizes), pa.array(digests, pa.binary()), bands, pa.array([x.tobytes() for x in sig], pa.binary())],
+            [batch.column("__id"), pa.array(sizes), pa.array(digests, pa.binary()), bands,
+                pa.array([x.tobytes() for x in sig], pa.binary())],
             names=["__id", "n", "digest", "bands", "sig"])
 
     return arrow_map(docs, fn, "__id bigint, n bigint, digest binary, bands array<bigint>, sig binary")
@@ -76,7 +78,8 @@ def _similar(pairs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
     joined = pairs.join(left, "u").join(right, "v").select("u", "v", "sig_u", "sig_v")
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sig_u", "sig_v"))
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16)
+            .reshape(batch.num_rows, -1) for c in ("sig_u", "sig_v"))
         return batch.select(["u", "v"]).filter(pa.array((a == b).mean(axis=1) >= percent / 100 - SLACK))
 
     return arrow_map(joined, fn, "u bigint, v bigint")
@@ -107,7 +110,8 @@ def _open_pairs(group: pa.Table, percent: int) -> np.ndarray:
     ids, roots, home, away = (group[c].to_numpy(zero_copy_only=False) for c in ("__id", "root", "is_home", "is_away"))
     h, a = np.flatnonzero(home), np.flatnonzero(away)
     main, band = group["main"][0].as_py(), group["band"][0].as_py()
-    open_ = (roots[h][:, None] != roots[a][None, :]) & ((roots[h] == main)[:, None] | (ids[h][:, None] < ids[a][None, :]))
+    open_ = (roots[h][:, None] != roots[a][None, :]) & ((roots[h] == main)[:, None]
+        | (ids[h][:, None] < ids[a][None, :]))
     keys = np.array(group["bands"].to_pylist(), np.int64)
     for k in range(band):
         open_ &= keys[h, k][:, None] != keys[a, k][None, :]
@@ -121,7 +125,8 @@ def _open_pairs(group: pa.Table, percent: int) -> np.ndarray:
     return full
 
 
-def _explore(members: DataFrame, mixed: DataFrame, base: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _explore(members: DataFrame, mixed: DataFrame, base: DataFrame, texts: DataFrame, words: int,
+    percent: int) -> DataFrame:
     """Links inside buckets that still hold several components, by blocks of members.
 
     ``members``: (bucket, band, __id, root); ``mixed``: (bucket, main, n_home, n_away). Only members outside of a bucket's most
@@ -139,10 +144,14 @@ def _explore(members: DataFrame, mixed: DataFrame, base: DataFrame, texts: DataF
     every = members.join(mixed, "bucket").withColumn("sought", F.col("root") != F.col("main"))
     blocks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
     mine = lambda n, seed: F.pmod(F.xxhash64("__id", F.lit(seed)), F.col(n)).cast("int")
-    small, large = every.where("n_home = 1"), every.where("n_home > 1")  # in one block a member meets all others as it is
+    small, large = every.where("n_home = 1"), every.where(
+        "n_home > 1")  # in one block a member meets all others as it is
     single = small.withColumns({"home": F.lit(0), "away": F.lit(0), "is_home": F.lit(True), "is_away": F.col("sought")})
-    homes = large.withColumns({"home": mine("n_home", 1), "is_home": F.lit(True), "is_away": F.lit(False)}).withColumn("away", blocks("n_away"))
-    aways = large.where("sought").withColumns({"away": mine("n_away", 2), "is_home": F.lit(False), "is_away": F.lit(True)}).withColumn("home", blocks("n_home"))
+    homes = large.withColumns({"home": mine("n_home", 1), "is_home": F.lit(True), "is_away": F.lit(False)}).withColumn(
+        "away", blocks("n_away"))
+    aways = large.where("sought").withColumns(
+        {"away": mine("n_away", 2), "is_home": F.lit(False), "is_away": F.lit(True)}).withColumn("home",
+        blocks("n_home"))
     placed = single.select(names).union(homes.select(names)).union(aways.select(names))
     prints = base.select("__id", "sig", "bands")
 
@@ -174,7 +183,8 @@ def _explore(members: DataFrame, mixed: DataFrame, base: DataFrame, texts: DataF
                 good = 100 * both[i, j] >= percent * (n[i] + n[j] - both[i, j])
                 found = zip(xs[good].tolist(), ys[good].tolist(), strict=True)
             else:
-                found = ((x, y) for x, y in zip(*(z.tolist() for z in np.nonzero(open_)), strict=True) if _linked(sets[x], sets[y], percent))
+                found = ((x, y) for x, y in zip(*(z.tolist() for z in np.nonzero(open_)), strict=True)
+                    if _linked(sets[x], sets[y], percent))
             parent = {r: r for r in roots}
 
             def find(x: int) -> int:
@@ -187,15 +197,19 @@ def _explore(members: DataFrame, mixed: DataFrame, base: DataFrame, texts: DataF
                 if a != b:
                     parent[max(a, b)] = min(a, b)
                     out.append((ids[y], ids[x]))
-        return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
+        return pa.table({"u": pa.array([u for u, _ in out], pa.int64()),
+            "v": pa.array([v for _, v in out], pa.int64())})
 
     ship(members.sparkSession)
-    some = materialize(placed.join(prints, "__id").groupBy("bucket", "home", "away").applyInArrow(hopeful, f"{kinds}, part bigint"), "hopeful")
-    return some.join(prints, "__id").join(texts, "__id").groupBy("bucket", "home", "away", "part").applyInArrow(linked, "u bigint, v bigint")
+    some = materialize(placed.join(prints, "__id").groupBy("bucket", "home", "away")
+        .applyInArrow(hopeful, f"{kinds}, part bigint"), "hopeful")
+    return some.join(prints, "__id").join(texts, "__id").groupBy("bucket", "home", "away",
+        "part").applyInArrow(linked, "u bigint, v bigint")
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, seed: int = 7,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80,
+    bands: int = 32, rows: int = 4, seed: int = 7,
 ) -> DataFrame:
     """Group documents whose sets of word shingles have a Jaccard similarity of ``percent`` or more.
 
@@ -226,7 +240,8 @@ def near_duplicates(
     rows_in = id_and_text(docs, id_col, text_col).withColumn("__id", F.col("__id").cast("bigint"))
     base = materialize(signatures(rows_in, shingle_words, hasher), "minhash")
     known = base.where("n > 0 and __id is not null")
-    classes = materialize(known.groupBy("digest").agg(F.min("__id").alias("rep"), F.count("*").alias("members")), "classes")
+    classes = materialize(known.groupBy("digest").agg(F.min("__id").alias("rep"), F.count("*").alias("members")),
+        "classes")
     reps = known.join(classes.select("digest", "rep"), "digest").where("__id = rep")
 
     buckets = reps.select("__id", F.posexplode("bands").alias("band", "bucket")).distinct()
@@ -252,7 +267,8 @@ def near_duplicates(
         r = roots.select(F.col("node").alias(col), F.col("root").alias("__r"))
         return df.join(r, col, "left").withColumn(name, F.coalesce("__r", col)).drop("__r")
 
-    rest = shared.where("__id <> head").select(F.col("__id").alias("u"), F.col("head").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
+    rest = shared.where("__id <> head").select(F.col("__id").alias("u"),
+        F.col("head").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
     rest = materialize(rooted(rooted(rest, "u", "ru"), "v", "rv").where("ru <> rv").select("u", "v"), "rest")
     if rest.head(1):
         roots = settle(_confirm(_similar(rest, base, percent), texts, shingle_words, percent))
@@ -260,14 +276,18 @@ def near_duplicates(
     # every head was paired with its whole bucket, so only pairs without it are left to examine
     others = rooted(shared.where("size > 2 and __id <> head").select("bucket", "band", "__id"), "__id", "root")
     sizes = others.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("size")).where("size > most.n")
+    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"),
+        F.sum("n").alias("size")).where("size > most.n")
     in_blocks = lambda n: F.ceil(n / BLOCK_MEMBERS).cast("bigint")
-    mixed = materialize(sizes.select("bucket", F.col("most.root").alias("main"), in_blocks(F.col("size")).alias("n_home"),
+    mixed = materialize(sizes.select("bucket", F.col("most.root").alias("main"),
+        in_blocks(F.col("size")).alias("n_home"),
                                      in_blocks(F.col("size") - F.col("most.n")).alias("n_away")), "mixed")
     if mixed.head(1):
         roots = settle(_explore(others, mixed, base, texts, shingle_words, percent))
 
     discard(texts)
-    out = (base.join(classes.select("digest", "rep"), "digest", "left").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-           .select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("__id").isNotNull(), F.coalesce("root", "rep", "__id")).alias("component_id")))
+    out = (base.join(classes.select("digest", "rep"), "digest", "left")
+        .join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
+           .select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"),
+               F.when(F.col("__id").isNotNull(), F.coalesce("root", "rep", "__id")).alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col(f"`{id_col}`") == F.col("component_id"), F.lit(True)))

@@ -98,7 +98,8 @@ def best_cuts(points: list[int], penalties: list[int], limit: int, per_sequence:
 
 
 def pack(
-    ids: np.ndarray, ends: np.ndarray, sentence: np.ndarray, *, limit: int, sentence_penalty: int, hard_penalty: int, per_sequence: int, hard_step: int,
+    ids: np.ndarray, ends: np.ndarray, sentence: np.ndarray, *, limit: int, sentence_penalty: int, hard_penalty: int,
+    per_sequence: int, hard_step: int,
 ) -> list[tuple[int, int, int, int, int]]:
     """Pack one run of documents. ``ends``: where each ends in ``ids``; ``sentence``: which tokens end a sentence.
 
@@ -125,11 +126,13 @@ def pack(
     doc = np.searchsorted(ends, first, side="right")
     seq = np.searchsorted(cuts, first, side="right") - 1
     doc_start = np.concatenate([[0], ends])[doc]
-    return list(zip(doc.tolist(), (first - doc_start).tolist(), (last - first).tolist(), seq.tolist(), (first - np.asarray(cuts)[seq]).tolist(), strict=True))
+    return list(zip(doc.tolist(), (first - doc_start).tolist(), (last - first).tolist(), seq.tolist(),
+        (first - np.asarray(cuts)[seq]).tolist(), strict=True))
 
 
 def pack_documents(
-    docs: DataFrame, *, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, end_id: int = 0,
+    docs: DataFrame, *, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024,
+    end_id: int = 0,
     sentence_penalty: int = 2, hard_penalty: int = 24, per_sequence: int = 8, hard_step: int = 64,
 ) -> DataFrame:
     """Pack every document's token ids, plus ``end_id``, into sequences of at most ``limit`` ids.
@@ -161,14 +164,17 @@ def pack_documents(
             ids = np.concatenate(parts)
             sizes = np.array([len(p) for p in parts])
             ends = np.cumsum(sizes)
-            pieces = pack(ids, ends, tok.ends[ids], limit=limit, sentence_penalty=sentence_penalty, hard_penalty=hard_penalty, per_sequence=per_sequence, hard_step=hard_step)
+            pieces = pack(ids, ends, tok.ends[ids], limit=limit, sentence_penalty=sentence_penalty,
+                hard_penalty=hard_penalty, per_sequence=per_sequence, hard_step=hard_step)
             raw, begin = ids.astype("<u4").tobytes(), ends - sizes
             doc = np.array([p[0] for p in pieces])
             cols = [np.array([p[k] for p in pieces], np.int64) for k in (1, 2, 3, 4)]
             first = begin[doc] + cols[0]
             crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(first.tolist(), cols[1].tolist(), strict=True)]
             out = pa.RecordBatch.from_arrays(
-                [pa.array([names[d] for d in doc], pa.int64()), pa.array(cols[0]), pa.array(cols[1]), pa.array(crc, pa.int64()), pa.array(sizes[doc].astype(np.int64)), pa.array(cols[2] + base), pa.array(cols[3])],
+                [pa.array([names[d] for d in doc], pa.int64()), pa.array(cols[0]), pa.array(cols[1]),
+                    pa.array(crc, pa.int64()), pa.array(sizes[doc].astype(np.int64)), pa.array(cols[2] + base),
+                    pa.array(cols[3])],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
             base += int(cols[2][-1]) + 1
             names.clear()

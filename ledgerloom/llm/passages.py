@@ -24,7 +24,8 @@ def run_hashes(h: np.ndarray, size: int) -> np.ndarray:
     out, power, width, have = None, h, 1, 0
     while True:
         if size & width:
-            out = power if out is None else mix(out[: len(h) - have - width + 1]) * _STEP + power[have : len(h) - width + 1]
+            out = power if out is None else mix(out[: len(h) - have - width + 1]) * _STEP + power[
+                have : len(h) - width + 1]
             have += width
         if have == size:
             return out
@@ -123,13 +124,15 @@ def sieve(hashes: DataFrame, column: Column) -> DataFrame:
 
 
 def _bit(column: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftrightunsigned(column, 20), F.lit(64)).cast("int"))
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"),
+        F.pmod(F.shiftrightunsigned(column, 20), F.lit(64)).cast("int"))
 
 
 def sifted(df: DataFrame, column: Column, bits: DataFrame) -> DataFrame:
     """``df`` with ``__maybe``: false where the sieve shows that ``column`` is not among its hashes."""
     both = df.withColumn("slot", F.pmod(column, F.lit(SIEVE))).join(F.broadcast(bits), "slot", "left")
-    return both.withColumn("__maybe", F.coalesce(F.col("bits").bitwiseAND(_bit(column)) != 0, F.lit(False))).drop("slot", "bits")
+    return both.withColumn("__maybe",
+        F.coalesce(F.col("bits").bitwiseAND(_bit(column)) != 0, F.lit(False))).drop("slot", "bits")
 
 
 def add_repeated_passages(rows: DataFrame, text_col: str, words: int) -> DataFrame:
@@ -148,7 +151,8 @@ def add_repeated_passages(rows: DataFrame, text_col: str, words: int) -> DataFra
 
     def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, value = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-        for k, (t, spans) in enumerate(zip(batch.column("__text").to_pylist(), batch.column("__spans").to_pylist(), strict=True)):
+        for k, (t, spans) in enumerate(
+            zip(batch.column("__text").to_pylist(), batch.column("__spans").to_pylist(), strict=True)):
             if t and not any(s["start"] == 0 and s["end"] == len(t) for s in spans or ()):
                 h = hashes_of(t)
                 if len(h) >= words:
@@ -156,12 +160,16 @@ def add_repeated_passages(rows: DataFrame, text_col: str, words: int) -> DataFra
                     row.append(np.full(len(v), k))
                     value.append(v)
         pick = pa.array(np.concatenate(row))
-        return pa.RecordBatch.from_arrays([batch.column("__id").take(pick), batch.column("__key").take(pick), pa.array(np.concatenate(value).view(np.int64))], names=["__id", "__key", "print"])
+        return pa.RecordBatch.from_arrays(
+            [batch.column("__id").take(pick), batch.column("__key").take(pick),
+                pa.array(np.concatenate(value).view(np.int64))], names=["__id", "__key", "print"])
 
     found = materialize(arrow_map(text, prints, f"__id {id_type}, __key bigint, print bigint"), "prints")
-    twice = materialize(found.groupBy("print").agg(F.count("*").alias("times")).where("times > 1").select("print"), "repeated-prints")
+    twice = materialize(found.groupBy("print").agg(F.count("*").alias("times")).where("times > 1").select("print"),
+        "repeated-prints")
     near = sifted(found, F.col("print"), sieve(twice, F.col("print"))).where("__maybe").drop("__maybe")
-    marks = materialize(near.join(twice, "print").groupBy("__id", "__key").agg(F.collect_set("print").alias("__prints")), "marks")
+    marks = materialize(near.join(twice, "print").groupBy("__id", "__key")
+        .agg(F.collect_set("print").alias("__prints")), "marks")
 
     discard(found)
     discard(twice)
@@ -178,18 +186,25 @@ def add_repeated_passages(rows: DataFrame, text_col: str, words: int) -> DataFra
             wanted = np.isin(smallest_prints(h, words), np.array(marked, np.int64).view(np.uint64))
             at = np.flatnonzero(wanted & open_windows(t, spans, len(wanted), words))
             row.append(np.full(len(at), k))
-            for part, x in zip(parts, (at, *(mix(run_hashes(x, words))[at].view(np.int64) for x in (h, mix(h + _STEP)))), strict=True):
+            for part, x in zip(parts,
+                (at, *(mix(run_hashes(x, words))[at].view(np.int64) for x in (h, mix(h + _STEP)))), strict=True):
                 part.append(x)
         pick = pa.array(np.concatenate(row))
         place, hi, lo = (np.concatenate(x) for x in parts)
-        return pa.RecordBatch.from_arrays([batch.column("__id").take(pick), batch.column("__key").take(pick), pa.array(place, pa.int32()), pa.array(hi), pa.array(lo)], names=["__id", "__key", "place", "hi", "lo"])
-
-    asked = some.where("__prints is not null").select("__id", "__key", F.col(f"`{text_col}`").alias("__text"), "__spans", "__prints")
-    every = materialize(arrow_map(asked, runs, f"__id {id_type}, __key bigint, place int, hi bigint, lo bigint"), "windows")
+        return pa.RecordBatch.from_arrays(
+            [batch.column("__id").take(pick), batch.column("__key").take(pick), pa.array(place, pa.int32()),
+                pa.array(hi), pa.array(lo)], names=["__id", "__key", "place", "hi", "lo"])
+
+    asked = some.where("__prints is not null").select("__id", "__key", F.col(f"`{text_col}`").alias("__text"),
+        "__spans", "__prints")
+    every = materialize(arrow_map(asked, runs, f"__id {id_type}, __key bigint, place int, hi bigint, lo bigint"),
+        "windows")
     place = F.struct("__id", "__key", "place")
-    first = every.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select("hi", "lo", "first")
+    first = every.groupBy("hi", "lo").agg(F.min(place).alias("first"),
+        F.count("*").alias("times")).where("times > 1").select("hi", "lo", "first")
     first = materialize(first, "repeated-windows")
-    later = every.join(first, ["hi", "lo"]).where(place != F.col("first")).groupBy("__id", "__key").agg(F.collect_set("place").alias("__places"))
+    later = every.join(first, ["hi", "lo"]).where(place != F.col("first")).groupBy("__id",
+        "__key").agg(F.collect_set("place").alias("__places"))
     both = some.drop("__prints").join(later, ["__id", "__key"], "left")
 
     names = rows.columns

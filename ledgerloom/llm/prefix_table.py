@@ -37,7 +37,8 @@ class PrefixTableCodec:
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         n = model.get_piece_size()
         self.pieces = [model.id_to_piece(i).replace(SPACE, " ") for i in range(n)]
-        special = [model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i) for i in range(n)]
+        special = [model.is_byte(i) or model.is_control(i) or model.is_unknown(i)
+            or model.is_unused(i) for i in range(n)]
         self.byte_of = {i: int(self.pieces[i][3:5], 16) for i in range(n) if model.is_byte(i)}
         self.byte_id = {b: i for i, b in self.byte_of.items()}
         self.silent = {i for i in range(n) if model.is_control(i)}
@@ -171,7 +172,8 @@ class PrefixTableCodec:
         """Number of ids, SHA-256 of the ids and of the text decoded from them."""
         listed, decoded = self._listed_and_decoded(text)
         sha = hashlib.sha256
-        return listed.count(",") + 1 if listed else 0, sha(listed.encode()).hexdigest(), sha(decoded.encode()).hexdigest()
+        return listed.count(",") + 1 if listed else 0, sha(listed.encode()).hexdigest(), sha(
+            decoded.encode()).hexdigest()
 
 
 @functools.lru_cache(maxsize=2)
@@ -181,7 +183,8 @@ def codec(model_path: str) -> PrefixTableCodec:
 
 
 def encode_decode(
-    docs: DataFrame, *, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, keep_text: bool = False,
+    docs: DataFrame, *, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False,
+    keep_text: bool = False,
 ) -> DataFrame:
     """Encode every whole text and decode the ids again.
 
@@ -198,7 +201,8 @@ def encode_decode(
         c = codec(model_path)
         texts = [t or "" for t in batch.column("__text").to_pylist()]
         rows = [c.digest(t) for t in texts]
-        columns = [batch.column("__id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
+        columns = [batch.column("__id"), pa.array([r[0] for r in rows], pa.int64()),
+            pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if keep_ids or keep_text:
             ids = [c.encode(t) for t in texts]

@@ -74,7 +74,8 @@ class Features:
                     u, c = np.unique(part, return_counts=True)
                     ids.append(u)
                     weights.append((0.5 / len(part)) * c)
-        return (np.concatenate(ids), np.concatenate(weights).astype(np.float32)) if ids else (np.empty(0, np.int32), np.empty(0, np.float32))
+        return (np.concatenate(ids), np.concatenate(weights).astype(np.float32)) if ids else (np.empty(0, np.int32),
+            np.empty(0, np.float32))
 
 
 @dataclass
@@ -87,7 +88,8 @@ class SubwordClassifier:
     bias: np.ndarray
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, features: Features, *, dim: int = 8, epochs: int = 12, rate: float = 4.0, seed: int = 11) -> SubwordClassifier:
+    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, features: Features, *, dim: int = 8,
+        epochs: int = 12, rate: float = 4.0, seed: int = 11) -> SubwordClassifier:
         """Stochastic gradient descent with a rate that falls linearly, one document at a time."""
         rng = np.random.default_rng(seed)
         vectors = rng.uniform(-1 / dim, 1 / dim, (features.size, dim)).astype(np.float32)
@@ -117,23 +119,27 @@ class SubwordClassifier:
         return self.vectors @ (self.output[:, 1] - self.output[:, 0]), float(self.bias[1] - self.bias[0])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, *, id_col: str, text_col: str, limit: int, where=None, features: Features = Features()) -> SubwordClassifier:  # noqa: B008
+def train(docs: DataFrame, labels: DataFrame, label: str, *, id_col: str, text_col: str, limit: int, where=None,
+    features: Features = Features()) -> SubwordClassifier:  # noqa: B008
     """Fit on at most ``limit`` labelled documents; their sparse features are made on the executors."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [features.sparse(t) for t in utf8_bytes(batch.column("__text"))]
         return pa.RecordBatch.from_arrays(
-            [batch.column("__id"), batch.column("label"), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))],
+            [batch.column("__id"), batch.column("label"), pa.array([r[0] for r in rows], pa.list_(pa.int32())),
+                pa.array([r[1] for r in rows], pa.list_(pa.float32()))],
             names=["__id", "label", "ids", "weights"])
 
     sample = labelled_sample(docs, labels, label, id_col=id_col, text_col=text_col, limit=limit, where=where)
-    got = arrow_map(sample, fn, "__id bigint, label int, ids array<int>, weights array<float>").toArrow().sort_by("__id")
+    got = arrow_map(sample, fn,
+        "__id bigint, label int, ids array<int>, weights array<float>").toArrow().sort_by("__id")
     rows = [(a.values.to_numpy(), b.values.to_numpy()) for a, b in zip(got["ids"], got["weights"], strict=True)]
     return SubwordClassifier.fit(rows, got["label"].to_numpy().astype(int), features)
 
 
 def score_quality(
-    docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", limit: int = 4000, where=None, threshold: float = 0.7,
+    docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col: str = "doc_id", text_col: str = "text",
+    limit: int = 4000, where=None, threshold: float = 0.7,
     keep_columns: bool = False,
 ) -> DataFrame:
     """Per row: ``id_col``, ``score`` (probability of label 1, double) and ``predicted`` (1 from ``threshold`` on);
@@ -162,4 +168,5 @@ def score_quality(
         score = 1 / (1 + np.exp(-z))
         return [pa.array(score), pa.array((score >= threshold).astype(np.int32))]
 
-    return arrow_score(docs, fn, [("score", "double"), ("predicted", "int")], id_col=id_col, text_col=text_col, keep_columns=keep_columns)
+    return arrow_score(docs, fn, [("score", "double"), ("predicted", "int")], id_col=id_col, text_col=text_col,
+        keep_columns=keep_columns)

@@ -27,7 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and passages of over 50 words stay where they first occur in ``documents``."""
-    return remove_repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=51, passage_words=51)
+    return remove_repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=51,
+        passage_words=51)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +54,8 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.adaptive_rules(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "kept")
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.shipping import ship
 from ledgerloom.functions.storage import discard, materialize, shared_dir
 
-__all__ = ["arrow_map", "arrow_score", "discard", "hash_sample", "id_and_text", "materialize", "shared_dir", "ship", "utf8_bytes"]
+__all__ = ["arrow_map", "arrow_score", "discard", "hash_sample", "id_and_text", "materialize", "shared_dir", "ship",
+    "utf8_bytes"]
 #: Rows, and bytes as far as rows are no longer, that a function sees at once.
 SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
 
@@ -48,19 +49,22 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
 
 
 def arrow_score(
-    docs: DataFrame, fn: Callable[[list[bytes | None]], list[pa.Array]], fields: list[tuple[str, str]], *, id_col: str, text_col: str, keep_columns: bool,
+    docs: DataFrame, fn: Callable[[list[bytes | None]], list[pa.Array]], fields: list[tuple[str, str]], *,
+    id_col: str, text_col: str, keep_columns: bool,
 ) -> DataFrame:
     """Columns ``fields`` (name, type) that ``fn`` makes of a batch's texts, beside the id or, on demand, beside all
     columns of ``docs``, of which those named like a result are replaced. One pass, no shuffle."""
     names = [n for n, _ in fields]
-    base = docs.drop(*(n for n in names if n not in (id_col, text_col))) if keep_columns else docs.select(id_col, text_col)
+    base = docs.drop(*(n for n in names if n not in (id_col, text_col))) if keep_columns else docs.select(id_col,
+        text_col)
     columns = base.columns if keep_columns else [id_col]
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = fn(utf8_bytes(batch.column(text_col)))
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made], names=[*columns, *names])
 
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name in columns), *(f"`{n}` {t}" for n, t in fields)])
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name in columns),
+        *(f"`{n}` {t}" for n, t in fields)])
     return arrow_map(base, one, kinds)
 
 

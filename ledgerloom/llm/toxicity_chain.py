@@ -96,7 +96,8 @@ def kinds_of(rows: list[np.ndarray], y: np.ndarray, width: int, kinds: int, roun
     for _ in range(rounds):
         kind = (x @ centres.T).argmax(axis=1)
         sums = np.stack([x[kind == k].sum(axis=0) for k in range(len(centres))])
-        moved = np.where(sums.any(axis=1, keepdims=True), sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12), centres)
+        moved = np.where(sums.any(axis=1, keepdims=True),
+            sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12), centres)
         if np.allclose(moved, centres):
             break
         centres = moved
@@ -113,7 +114,8 @@ class LinearModel:
         self.width, self.chosen, self.weights, self.chain, self.bias = width, chosen, weights, chain, bias
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, width: int, *, most: int = 256, least_g: float = 12.0, ridge: float = 0.3, steps: int = 25) -> LinearModel:
+    def fit(cls, rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, width: int, *, most: int = 256,
+        least_g: float = 12.0, ridge: float = 0.3, steps: int = 25) -> LinearModel:
         """Features are ranked by their likelihood-ratio statistic on these rows alone; weights come from Newton steps on the ridge-penalised likelihood."""
         n1 = int(y.sum())
         n0 = len(y) - n1
@@ -191,12 +193,14 @@ class ClassifierChain:
         return p
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str, id_col: str, text_col: str, limit: int, where=None, kinds: int = KINDS, features: Presence = Presence()) -> ClassifierChain:  # noqa: B008
+def train(docs: DataFrame, labels: DataFrame, *, label: str, id_col: str, text_col: str, limit: int, where=None,
+    kinds: int = KINDS, features: Presence = Presence()) -> ClassifierChain:  # noqa: B008
     """Fit the chain on at most ``limit`` labelled documents, whose features are made on the executors."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = pa.array([features.of(t) for t in utf8_bytes(batch.column("__text"))], pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("label"), ids], names=["__id", "label", "ids"])
+        return pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("label"), ids],
+            names=["__id", "label", "ids"])
 
     sample = labelled_sample(docs, labels, label, id_col=id_col, text_col=text_col, limit=limit, where=where)
     got = arrow_map(sample, fn, "__id bigint, label int, ids array<int>").toArrow().sort_by("__id")
@@ -208,7 +212,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str, id_col: str, text_c
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", limit: int = 6000, where=None,
+    docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
+    limit: int = 6000, where=None,
     threshold: float = 0.3, kinds: int = KINDS, keep_columns: bool = False,
 ) -> DataFrame:
     """Per row: ``id_col``, a probability ``p_kind_<k>`` for each kind of toxic text and ``p_toxic``, ``score`` (the last one),
@@ -224,13 +229,16 @@ def score_toxicity(
     kinds of training rows is constant; other columns are ignored; no rows give no rows.
     """
     features = Presence()
-    chain = train(docs, labels, label=label, id_col=id_col, text_col=text_col, limit=limit, where=where, kinds=kinds, features=features)
+    chain = train(docs, labels, label=label, id_col=id_col, text_col=text_col, limit=limit, where=where, kinds=kinds,
+        features=features)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def fn(texts: list[bytes | None]) -> list[pa.Array]:
         p = shared.value.predict([features.of(t) for t in texts])
         hit = p[:, -1] >= threshold
-        return [*(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1]), pa.array(hit.astype(np.int32)), pa.array(~hit)]
+        return [*(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1]), pa.array(hit.astype(np.int32)),
+            pa.array(~hit)]
 
-    fields = [*((f"p_kind_{k + 1}", "double") for k in range(kinds)), ("p_toxic", "double"), ("score", "double"), ("predicted", "int"), ("kept", "boolean")]
+    fields = [*((f"p_kind_{k + 1}", "double") for k in range(kinds)), ("p_toxic", "double"), ("score", "double"),
+        ("predicted", "int"), ("kept", "boolean")]
     return arrow_score(docs, fn, fields, id_col=id_col, text_col=text_col, keep_columns=keep_columns)

@@ -132,7 +132,10 @@ def wordpiece_counts(docs: DataFrame, *, vocabulary: str, id_col: str = "doc_id"
         c = counter(vocabulary)
         rows = [c.of_text(t or "") for t in batch.column("__text").to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [batch.column("__id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["doc_id", "n_words", "n_tokens"])
+            [batch.column("__id"), pa.array([r[0] for r in rows], pa.int64()),
+                pa.array([r[1] for r in rows], pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
     rows = id_and_text(docs, id_col, text_col)
-    return arrow_map(rows, fn, f"doc_id {rows.schema['__id'].dataType.simpleString()}, n_words bigint, n_tokens bigint").withColumnRenamed("doc_id", id_col)
+    return arrow_map(rows, fn,
+        f"doc_id {rows.schema['__id'].dataType.simpleString()}, n_words bigint, n_tokens bigint").withColumnRenamed(
+        "doc_id", id_col)
