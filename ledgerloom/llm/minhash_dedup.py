@@ -142,17 +142,17 @@ def _explore(members: DataFrame, mixed: DataFrame, base: DataFrame, texts: DataF
     kinds = "bucket bigint, home int, away int, band int, main bigint, __id bigint, root bigint, is_home boolean, is_away boolean"
     names = [x.split()[0] for x in kinds.split(", ")]
     every = members.join(mixed, "bucket").withColumn("sought", F.col("root") != F.col("main"))
-    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
     mine = lambda n, seed: F.pmod(F.xxhash64("__id", F.lit(seed)), F.col(n)).cast("int")
-    small, large = every.where("n_home = 1"), every.where(
-        "n_home > 1")  # in one block a member meets all others as it is
-    single = small.withColumns({"home": F.lit(0), "away": F.lit(0), "is_home": F.lit(True), "is_away": F.col("sought")})
-    homes = large.withColumns({"home": mine("n_home", 1), "is_home": F.lit(True), "is_away": F.lit(False)}).withColumn(
-        "away", blocks("n_away"))
-    aways = large.where("sought").withColumns(
-        {"away": mine("n_away", 2), "is_home": F.lit(False), "is_away": F.lit(True)}).withColumn("home",
-        blocks("n_home"))
-    placed = single.select(names).union(homes.select(names)).union(aways.select(names))
+    numbers = lambda n: F.sequence(F.lit(0), F.col(n).cast("int") - 1)
+    place = lambda home, away, is_home, is_away: F.struct(
+        home.alias("home"), away.alias("away"), is_home.alias("is_home"), is_away.alias("is_away"))
+    yes, no, first = F.lit(True), F.lit(False), F.lit(0)
+    homes = F.transform(numbers("n_away"), lambda away: place(mine("n_home", 1), away, yes, no))
+    aways = F.transform(numbers("n_home"), lambda home: place(home, mine("n_away", 2), no, yes))
+    both = F.when(F.col("sought"), F.concat(homes, aways)).otherwise(homes)
+    # in a bucket of one block a member meets all others as it is
+    both = F.when(F.col("n_home") == 1, F.array(place(first, first, yes, F.col("sought")))).otherwise(both)
+    placed = every.withColumn("p", F.explode(both)).select(*names[:1], "p.home", "p.away", *names[3:7], "p.is_home", "p.is_away")
     prints = base.select("__id", "sig", "bands")
 
     def hopeful(group: pa.Table) -> pa.Table:
@@ -274,7 +274,8 @@ def near_duplicates(
         roots = settle(_confirm(_similar(rest, base, percent), texts, shingle_words, percent))
 
     # every head was paired with its whole bucket, so only pairs without it are left to examine
-    others = rooted(shared.where("size > 2 and __id <> head").select("bucket", "band", "__id"), "__id", "root")
+    others = shared.where("size > 2 and __id <> head").select("bucket", "band", "__id")
+    others = materialize(rooted(others, "__id", "root"), "memberships")
     sizes = others.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"),
         F.sum("n").alias("size")).where("size > most.n")
