@@ -120,7 +120,7 @@ def spans_of(text: str, places: list[int], words: int, spans: list[dict] | None)
 
 def sieve(hashes: DataFrame, column: Column) -> DataFrame:
     """(slot, bits): a bit set for each hash, at most ``SIEVE`` rows. It only keeps rows out of a join that they cannot meet in."""
-    return hashes.groupBy(F.pmod(column, F.lit(SIEVE)).alias("slot")).agg(F.bit_or(_bit(column)).alias("bits"))
+    return hashes.groupBy(F.pmod(column, F.lit(SIEVE)).alias("__slot")).agg(F.bit_or(_bit(column)).alias("__bits"))
 
 
 def _bit(column: Column) -> Column:
@@ -130,9 +130,9 @@ def _bit(column: Column) -> Column:
 
 def sifted(df: DataFrame, column: Column, bits: DataFrame) -> DataFrame:
     """``df`` with ``__maybe``: false where the sieve shows that ``column`` is not among its hashes."""
-    both = df.withColumn("slot", F.pmod(column, F.lit(SIEVE))).join(F.broadcast(bits), "slot", "left")
+    both = df.withColumn("__slot", F.pmod(column, F.lit(SIEVE))).join(F.broadcast(bits), "__slot", "left")
     return both.withColumn("__maybe",
-        F.coalesce(F.col("bits").bitwiseAND(_bit(column)) != 0, F.lit(False))).drop("slot", "bits")
+        F.coalesce(F.col("__bits").bitwiseAND(_bit(column)) != 0, F.lit(False))).drop("__slot", "__bits")
 
 
 def add_repeated_passages(rows: DataFrame, text_col: str, words: int) -> DataFrame:

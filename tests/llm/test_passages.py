@@ -106,6 +106,8 @@ def test_very_long_texts_and_string_ids(spark):
 def test_no_rows_and_one_id(spark):
     text = " ".join(f"w{i}" for i in range(80))
     df = spark.createDataFrame([(1, "a " + text), (1, "a " + text), (None, "b " + text + " c")], "doc_id long, text string")
+    df = df.withColumns({"slot": F.lit("mine"), "bits": F.lit("mine"), "print": F.lit("mine")})
+    assert all((r.slot, r.bits, r.print) == ("mine", "mine", "mine") for r in remove_repeated_units(df, passage_words=WORDS).collect())
     assert sorted(r.text for r in remove_repeated_units(df, passage_words=WORDS).collect()) == ["a " + text, "a " + text, "b c"]
     assert remove_repeated_units(df.limit(0), passage_words=WORDS).count() == 0
 
