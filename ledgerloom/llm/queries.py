@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import adaptive_rules as rules
+from ledgerloom.llm import spelling
+from ledgerloom.llm.alignment import align_tokenizers
 from ledgerloom.llm.hmm_model import train_and_score
 from ledgerloom.llm.kmeans_tree import search
 from ledgerloom.llm.labels import crc_of_id
@@ -75,6 +77,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece_counts(table(spark, sf_dir, "documents"), vocabulary=public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), byte_vocabulary=public_tokenizers.path("byte_bpe_50k.json"),
+        piece_model=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -86,9 +97,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_hmm_scores": op9_hmm_scores,
     "op10_token_counts": op10_token_counts,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": rules.ORACLE_SQL,
+    "op12_spelling_variants": spelling.ORACLE_SQL,
 }
