@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus-scale components and their queries.
+"""Training-data operators: thirteen corpus-scale components and their queries.
 
 Nothing else in the library imports this subpackage.
 """

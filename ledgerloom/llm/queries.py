@@ -19,6 +19,7 @@ from ledgerloom.llm.minhash_dedup import near_duplicates
 from ledgerloom.llm.packing import pack_documents
 from ledgerloom.llm.prefix_table import encode_decode
 from ledgerloom.llm.quality_model import score_quality
+from ledgerloom.llm.suffix_dedup import remove_repeated_strings
 from ledgerloom.llm.toxicity_chain import score_toxicity
 from ledgerloom.llm.wordpiece_counts import wordpiece_counts
 
@@ -86,6 +87,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of ``documents`` without the strings of 200 bytes that occur twice."""
+    out = remove_repeated_strings(table(spark, sf_dir, "documents"), width=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -99,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
