@@ -92,19 +92,19 @@ class Aligner:
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         self.cells, self.widths = _digits(max(len(self.bytes_a), len(self.bytes_b)))
 
-    def ids(self, text: str | None) -> tuple[list[int], list[int]]:
+    def ids(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of both sides, none where a side does not spell a space and the text."""
+        none = np.empty(0, np.int32)
         if not text:
-            return [], []
+            return none, none
         want = b" " + text.encode()
         a, b = self.byte.encode_ordinary(" " + text), self.piece.encode(text)
         same = b"".join(map(self.bytes_a.__getitem__, a)) == want and b"".join(map(self.bytes_b.__getitem__, b)) == want
-        return (a, b) if same else ([], [])
+        return (np.array(a, np.int32), np.array(b, np.int32)) if same else (none, none)
 
     def align(self, texts: list[str | None]) -> Alignment:
         both = [self.ids(t) for t in texts]
-        side = lambda k: [np.array(x[k], np.int64) for x in both]
-        return Alignment(side(0), side(1), self.size_a, self.size_b, self.cells, self.widths)
+        return Alignment([a for a, _ in both], [b for _, b in both], self.size_a, self.size_b, self.cells, self.widths)
 
 
 @functools.lru_cache(maxsize=2)
