@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.quantiles import exact_quantiles
 from ledgerloom.functions.text import contains_any
 
 INCOME = "income"
@@ -98,12 +99,12 @@ def drift(monthly: DataFrame, threshold_pct: float = 30.0, window: int = 3) -> D
 def anomalies(tx: DataFrame, multiplier: float = 1.5, digits: int = 2) -> DataFrame:
     """Transactions beyond the upper quartile by more than ``multiplier`` interquartile ranges of their category (four rows at least).
 
-    The bounds have a row per category; the planner broadcasts them when they are small.
+    Quartiles are exact, found by refined histograms, so a category of any size is never one task's. The bounds have a row per
+    category; the planner broadcasts them when they are small.
     """
-    rows = tx.where((F.col("category") != INCOME) & F.col("category").isNotNull()).withColumn("a",
-        F.abs("amount").cast("double"))
-    q = rows.groupBy("category").agg(F.count("*").alias("n"),
-        F.expr("percentile(a, array(0.25, 0.75))").alias("q")).where("n >= 4")
+    rows = tx.where((F.col("category") != INCOME) & F.col("category").isNotNull()).withColumn("size", F.abs("amount"))
+    q = exact_quantiles(rows, "category", "size", [0.25, 0.75], least=4)
+    rows = rows.withColumn("a", F.col("size").cast("double"))
     q = q.select("category", F.col("q")[1].alias("q3"),
         (F.col("q")[1] - F.col("q")[0]).alias("iqr")).withColumn("bound", F.col("q3") + multiplier * F.col("iqr"))
     rows = rows.join(q, "category").where("a > bound")
