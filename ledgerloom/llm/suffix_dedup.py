@@ -266,12 +266,12 @@ def remove_repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").alias("__id"), text.alias("__text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
     long = rows.where(F.octet_length("__text") >= width).select("k1", "k2", "__text")
-    ranges = repeated_ranges(long, width).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "windows")).alias("__ranges"))
+    # copies of a text have the same runs, of which one each is collected
+    ranges = repeated_ranges(long, width).distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "windows")).alias("__ranges"))
     ranges = materialize(ranges, "ranges")
     name = F.xxhash64("k1", "k2")
     split = sifted(rows, name, sieve(ranges, name))
-    both = split.where("__maybe").drop("__maybe").join(ranges, ["k1", "k2"], "left").select("__id", "__text", "__ranges")
-    both = both.union(split.where("not __maybe").select("__id", "__text", F.lit(None)))
+    both = split.where("__maybe").join(ranges, ["k1", "k2"], "left").select("__id", "__text", "__ranges")
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         size, gone, removed, kept = [], [], [], []
@@ -294,4 +294,7 @@ def remove_repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col
 
     kind = rows.schema["__id"].dataType.simpleString()
     out = arrow_map(both, fn, f"__id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, removed array<struct<start:int,end:int>>, kept binary")
+    none, size = F.lit(0).cast("bigint"), F.coalesce(F.octet_length("__text"), F.lit(0)).cast("bigint")
+    spans = F.array().cast("array<struct<start:int,end:int>>")
+    out = out.union(split.where("not __maybe").select("__id", size, none, none, spans, F.coalesce(F.col("__text"), F.lit("")).cast("binary")))
     return out.withColumnRenamed("__id", id_col)
