@@ -119,9 +119,9 @@ def forms(name: str) -> list[str]:
 
 
 def pair_grams(text: str) -> list[str]:
-    """Neighbouring characters of a text with an end mark on both sides; a repeated pair has its number behind it, so that none is equal."""
+    """Neighbouring characters of a text with a space on both sides, so that the order of words does not matter; a repeated pair has its number behind it, so that none is equal."""
     seen: dict[str, int] = {}
-    marked, out = f"\0{text}\0", []
+    marked, out = f" {text} ", []
     for k in range(len(text) + 1):
         g = marked[k : k + 2]
         seen[g] = seen.get(g, 0) + 1

@@ -203,32 +203,69 @@ def pattern_counts(df: DataFrame, patterns: tuple[str, ...] = PATTERNS, column:
     return counts.select(F.explode(each).alias("x")).select("x.*")
 
 
+def _all_pairs(distinct: DataFrame) -> DataFrame:
+    """(early, late): all pairs of names. Names are dealt over blocks of some 1,000, and each pair of blocks is a join key of its own."""
+    n = distinct.count() // 1000 + 1
+    own = distinct.select("name", F.pmod(F.xxhash64("name"), F.lit(n)).cast("int").alias("block"))
+    side = lambda lesser, greater: F.struct(lesser.alias("i"), greater.alias("j"))
+    other = F.sequence(F.lit(0), F.lit(n - 1))
+    low = own.select(F.col("name").alias("early"), F.explode(F.transform(other, lambda k: side(F.col("block"), k))).alias("key"))
+    high = own.select(F.col("name").alias("late"), F.explode(F.transform(other, lambda k: side(k, F.col("block")))).alias("key"))
+    return low.join(high, "key").where("early < late").select("early", "late")
+
+
+def _word_candidates(distinct: DataFrame, threshold: float) -> DataFrame:
+    """(early, late): pairs whose shared words alone make one of the names similar to them.
+
+    With lengths m of a name's joined words and c of the shared ones, 2 c / (c + m) is ``threshold`` or more only if c is at least
+    threshold / (2 - threshold) of m; a name all of whose words are shared is the extreme case. So a name looks for others by its rarest words
+    only, up to the first before which more than the rest of m has gone by. A word of very many names is thus a name's key only where
+    nothing rarer stands beside it, and what met is kept only if enough is shared.
+    """
+    least = threshold / (2 - threshold)
+    sets = materialize(distinct.select("name", name_words(F.lower("name")).alias("words")), "name-words")
+    long = lambda words: F.aggregate(words, F.lit(-1), lambda n, w: n + F.length(w) + 1)
+    sets = sets.withColumn("size", long(F.col("words")))
+    each = sets.select("name", "words", "size", F.explode("words").alias("word"))
+    ranked = each.join(each.groupBy("word").agg(F.count("*").alias("n")), "word")
+    before = Window.partitionBy("name").orderBy("n", "word").rowsBetween(Window.unboundedPreceding, -1)  # the words of one name
+    probes = ranked.withColumn("passed", F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)))
+    probes = probes.where(F.col("passed") <= F.col("size") * (1 - least) + 1e-9).select("word", F.col("name").alias("a"), F.col("words").alias("a_words"), "size")
+    met = probes.join(each.select("word", F.col("name").alias("b"), F.col("words").alias("b_words")), "word").where("a <> b")
+    met = met.where(long(F.array_intersect("a_words", "b_words")) >= F.col("size") * least - 1e-9)
+    return met.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late"))
+
+
 def _similar_candidates(distinct: DataFrame, threshold: float) -> DataFrame:
     """(early, late): all pairs of names that may be similar at ``threshold``, and few others.
 
-    Pairs that share a word meet by it. Without one, a pair is similar only if the indel similarity of one of its forms (plain,
-    sorted words, sorted distinct words) is ``threshold`` or more. With lengths m and n and d <= (1 - threshold)(m + n) characters
+    Either the words that a pair shares suffice (``_word_candidates``), or the indel similarity of one of its forms (plain, sorted words, distinct
+    words in some order) is ``threshold`` or more. With lengths m and n and d <= (1 - threshold)(m + n) characters
     that are not common, the texts share (m + n - d) / 2 + 1 - d pairs of neighbouring characters at least, end marks included, and
-    the shorter has threshold / (2 - threshold) of the longer's length. So each text is found by its rarest pairs, as many as leave
-    fewer than that number. Under a threshold of 2/3 no shared pair is certain and all names are compared.
+    the shorter has threshold / (2 - threshold) of the longer's length. The order of words does not change a text's pairs, as an end mark is a
+    space. So each text is found by its rarest pairs, as many as leave fewer than that number, and kept if it shares so many. Two
+    letters tell short names poorly apart: how many meet depends on how rare their rarest pairs are. Under a threshold of 2/3 no shared pair is
+    certain and all names are compared, block by block.
     """
-    below = lambda f: f.alias("a").join(f.alias("b"), F.expr("a.key = b.key and a.name < b.name"))
-    pick = (F.col("a.name").alias("early"), F.col("b.name").alias("late"))
     if threshold < 2 / 3:
-        return below(distinct.select("name", F.lit(0).alias("key"))).select(*pick)
-    words = below(distinct.select("name", F.explode(name_words(F.lower("name"))).alias("key"))).select(*pick)
+        return _all_pairs(distinct)
     each = distinct.select("name", F.explode(name_grams(F.lower("name"))).alias("x")).select("name", "x.form",
         "x.size", F.explode("x.grams").alias("gram"))
     each = materialize(each, "grams")
     ranked = each.join(each.groupBy("form", "gram").agg(F.count("*").alias("n")), ["form", "gram"])
-    texts = ranked.groupBy("name", "form",
-        "size").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("grams"))
+    texts = materialize(ranked.groupBy("name", "form",
+        "size").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("grams")), "gram-sets")
     shared = F.ceil(F.col("size") * (2 / (2 - threshold) * (1.5 * threshold - 1)) + (1 - 1e-9))
     rare = F.slice("grams", F.lit(1), F.greatest(F.col("size") + 2 - shared, F.lit(1)).cast("int"))
-    keyed = texts.select("name", "size", F.explode(rare).alias("x"), "form").select("name", "size",
+    keyed = texts.select("name", "size", "grams.gram", F.explode(rare).alias("x"), "form").select("name", "size", "gram",
         F.struct("form", "x.gram").alias("key"))
+    met = keyed.alias("a").join(keyed.alias("b"), F.expr("a.key = b.key and a.name < b.name"))
     alike = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * (threshold / (2 - threshold)) - 1e-9
-    return words.union(below(keyed).where(alike).select(*pick)).distinct()
+    total = F.col("a.size") + F.col("b.size")
+    apart = F.floor(total * (1 - threshold) + 1e-9)
+    common = F.size(F.array_intersect("a.gram", "b.gram"))
+    met = met.where(alike).where(common >= (total - apart) / 2 + 1 - apart).select(F.col("a.name").alias("early"), F.col("b.name").alias("late"))
+    return _word_candidates(distinct, threshold).union(met).distinct()
 
 
 def cluster_merchants(names: DataFrame, threshold: float = 0.80, column: str = "merchant_normalized") -> DataFrame:

@@ -80,6 +80,29 @@ def test_clusters_without_a_shared_word_or_start(spark, threshold):
     assert threshold != 0.8 or got["starbucks"] == got["sarbucks"]
 
 
+@pytest.mark.parametrize("threshold", [0.7, 0.8, 0.9])
+def test_candidates_hold_all_similar_pairs(spark, threshold):
+    rng = random.Random(12)
+    words = ["shop", "store", "al", "bo", "market", "blue", "bluee", "bottle", "botle", "cafe", "x", "supercenter", "é"]
+    names = sorted({" ".join(rng.choice(words) + rng.choice(["", "", "s"]) for _ in range(rng.randint(1, 5))) for _ in range(250)})
+    found = {(r.early, r.late) for r in e._similar_candidates(spark.createDataFrame([(n,) for n in names], "name string"), threshold).collect()}
+    want = {(a, b) for k, a in enumerate(names) for b in names[k + 1 :] if max(indel(a, b), token_sort(a, b), token_set(a, b)) >= threshold}
+    assert want <= found and len(want) > 50
+
+
+def test_a_word_of_all_names_is_no_key(spark):
+    """One word in every name: the pairs that are compared grow with the names, not with their square."""
+    rng = random.Random(3)
+    own = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    names = [f"shop {own()} {own()}" for _ in range(2000)] + ["shop", "shop inc"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    met = {(r.early, r.late) for r in e._word_candidates(df.limit(2000), 0.8).collect()}
+    assert len(met) == 0
+    # a name of that word alone is similar to all others, and nothing else meets by it
+    met = {(r.early, r.late) for r in e._similar_candidates(df, 0.8).collect()}
+    assert 2001 <= len(met) < 2100
+
+
 def test_recurrence(spark):
     day = dt.date(2026, 1, 1)
     rows = [("m", day + dt.timedelta(30 * k)) for k in range(4)] + [("b", day + dt.timedelta(14 * k)) for k in range(3)] + [("two", day), ("two", day + dt.timedelta(30))]
