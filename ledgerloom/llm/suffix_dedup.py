@@ -104,59 +104,86 @@ def excerpts(docs: DataFrame, width: int) -> DataFrame:
     return arrow_map(docs, fn, "k1 bigint, k2 bigint, print bigint, digest bigint, start int, windows int, anchor int")
 
 
-def repeated_windows(pieces: list[bytes], anchors: list[int], windows: list[int], width: int, order) -> tuple[np.ndarray, np.ndarray]:
-    """(flags, again): per window of all excerpts whether its equal starts elsewhere in them, and whether it is such an equal but not the first in order.
+class Compared:
+    """Windows of excerpts, and which of them are equal.
 
-    An excerpt is written as big-endian numbers of ``SYMBOL`` bytes on a grid through its anchor. Equal windows lie on the grid alike:
-    some bytes, then whole symbols, then some bytes that together make a symbol. ``order`` sorts the suffixes of the symbols;
-    neighbours that agree in the whole symbols form a class, in which windows are told apart by the bytes at both ends.
+    ``repeated`` tells per window whether its equal starts elsewhere in the excerpts, ``again`` whether it is such an equal but not the
+    first in order. An excerpt is written as big-endian numbers of ``SYMBOL`` bytes on a grid through its anchor. Equal windows lie on the
+    grid alike: ``before`` bytes, then whole symbols from place ``grid`` on, then the rest of one more symbol. ``order`` sorts the suffixes of the
+    symbols; neighbours that agree in the whole symbols form a class, in which windows are told apart by the bytes at both ends.
     """
-    inner = width // SYMBOL - 1
-    lead = [-a % SYMBOL for a in anchors]
-    padded = [b"\0" * x + p + b"\0" * (-(x + len(p)) % SYMBOL) for x, p in zip(lead, pieces, strict=True)]
-    size = np.array([len(p) // SYMBOL + 1 for p in padded], np.int64)  # and a mark at the end
-    numbers = np.zeros(int(size.sum()) + 1, np.uint64)
-    inside = np.ones(len(numbers), bool)
-    ends = np.cumsum(size)
-    inside[ends - 1] = inside[-1] = False
-    numbers[inside] = np.frombuffer(b"".join(padded), ">u8")
-    symbols = np.ones(len(numbers), np.int64)
-    symbols[inside] = np.unique(numbers[inside], return_inverse=True)[1] + 2
-    symbols[-1] = 0
-    # windows: their excerpt, their place on the grid (the first whole symbol) and how many bytes stand before it
-    many = np.array(windows, np.int64)
-    base = np.cumsum(many) - many
-    owner = np.repeat(np.arange(len(pieces)), many)
-    byte = np.array(lead)[owner] + np.arange(len(owner)) - base[owner]
-    grid = (ends - size)[owner] + -(-byte // SYMBOL)
-    before = -byte % SYMBOL
-    used = np.zeros(len(numbers), bool)
-    used[grid] = True
-    ranked = np.array(order(symbols.tolist()), np.int64)
-    ranked = ranked[used[ranked]]
-    left, right = ranked[:-1], ranked[1:]
-    same = np.arange(len(left))
-    for k in range(inner):
-        same = same[symbols[left[same] + k] == symbols[right[same] + k]]
-    joined = np.zeros(len(ranked), bool)
-    joined[same + 1] = True
-    kind = np.empty(len(numbers), np.int64)
-    kind[ranked] = np.cumsum(~joined)
-    shared = np.bincount(kind[ranked], minlength=len(ranked) + 1) > 1
-    flags, again = np.zeros(len(owner), bool), np.zeros(len(owner), bool)
-    open_ = np.flatnonzero(shared[kind[grid]])
-    for r in range(SYMBOL):
-        some = open_[before[open_] == r]
-        at, bits = grid[some], np.uint64(8 * r)
-        rest = numbers[at + inner] >> bits
-        if r:
-            rest = rest | numbers[at - 1] << np.uint64(64 - 8 * r)
-        sort = np.lexsort((rest, kind[at]))
-        some, rest, of = some[sort], rest[sort], kind[at][sort]
-        equal = np.flatnonzero((rest[1:] == rest[:-1]) & (of[1:] == of[:-1]))
-        flags[some[equal]] = flags[some[equal + 1]] = True
-        again[some[equal + 1]] = True
-    return flags, again
+
+    def __init__(self, pieces: list[bytes], anchors: list[int], windows: list[int], width: int, order):
+        self.inner = inner = width // SYMBOL - 1
+        lead = np.array([-a % SYMBOL for a in anchors], np.int64)
+        padded = [b"\0" * x + p + b"\0" * (-(x + len(p)) % SYMBOL) for x, p in zip(lead.tolist(), pieces, strict=True)]
+        size = np.array([len(p) // SYMBOL + 1 for p in padded], np.int64)  # and a mark at the end
+        numbers = np.zeros(int(size.sum()) + 1, np.uint64)
+        inside = np.ones(len(numbers), bool)
+        ends = np.cumsum(size)
+        inside[ends - 1] = inside[-1] = False
+        numbers[inside] = np.frombuffer(b"".join(padded), ">u8")
+        symbols = np.ones(len(numbers), np.int64)
+        symbols[inside] = np.unique(numbers[inside], return_inverse=True)[1] + 2
+        symbols[-1] = 0
+        many = np.array(windows, np.int64)
+        base = np.cumsum(many) - many
+        self.owner = owner = np.repeat(np.arange(len(pieces)), many)
+        byte = lead[owner] + np.arange(len(owner)) - base[owner]
+        self.numbers, self.first_place = numbers, ends - size
+        self.grid, self.before = self.first_place[owner] - (-byte // SYMBOL), -byte % SYMBOL
+        #: where in its excerpt a window with no bytes before the grid would start
+        self.origin = SYMBOL * -(-byte // SYMBOL) - lead[owner]
+        kind = self._classes(symbols, np.array(order(symbols.tolist()), np.int64))
+        self.repeated, self.again = np.zeros(len(owner), bool), np.zeros(len(owner), bool)
+        self._tell_apart(kind)
+
+    def _classes(self, symbols: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+        """Of each place where windows have their first whole symbol a number that equal whole symbols share."""
+        used = np.zeros(len(symbols), bool)
+        used[self.grid] = True
+        ranked = ranked[used[ranked]]
+        left, right = ranked[:-1], ranked[1:]
+        same = np.arange(len(left))
+        for k in range(self.inner):
+            same = same[symbols[left[same] + k] == symbols[right[same] + k]]
+        joined = np.zeros(len(ranked), bool)
+        joined[same + 1] = True
+        kind = np.empty(len(symbols), np.int64)
+        kind[ranked] = np.cumsum(~joined)
+        self.shared = np.bincount(kind[ranked], minlength=len(ranked) + 1) > 1
+        return kind
+
+    def _tell_apart(self, kind: np.ndarray) -> None:
+        open_ = np.flatnonzero(self.shared[kind[self.grid]])
+        for r in range(SYMBOL):
+            some = open_[self.before[open_] == r]
+            at, bits = self.grid[some], np.uint64(8 * r)
+            rest = self.numbers[at + self.inner] >> bits
+            if r:
+                rest = rest | self.numbers[at - 1] << np.uint64(64 - 8 * r)
+            sort = np.lexsort((rest, kind[at]))
+            some, rest, of = some[sort], rest[sort], kind[at][sort]
+            equal = np.flatnonzero((rest[1:] == rest[:-1]) & (of[1:] == of[:-1]))
+            self.repeated[some[equal]] = self.repeated[some[equal + 1]] = True
+            self.again[some[equal + 1]] = True
+
+    def open_places(self, dealt: np.ndarray, once: np.ndarray) -> Iterator[tuple]:
+        """(excerpt, origin, digest, left, right, here, single) of each place of ``dealt`` excerpts: its whole symbols' digest, the numbers at both ends, and as bits
+        by ``before`` which windows other blocks may hold and which of them have no equal yet."""
+        some = np.flatnonzero(dealt[self.owner] & ~self.again)
+        if not len(some):
+            return
+        first = np.flatnonzero(np.concatenate([[True], np.diff(self.grid[some]) != 0]))
+        bit = np.int64(1) << self.before[some]
+        here = np.bitwise_or.reduceat(bit, first)
+        single = np.bitwise_or.reduceat(np.where(once[self.owner[some]] & ~self.repeated[some], bit, 0), first)
+        text, signed = self.numbers.astype(">u8").tobytes(), self.numbers.view(np.int64)
+        some = some[first]
+        at = self.grid[some]
+        left = np.where(at > 0, signed[at - 1], 0)
+        for o, g, s, x, y, h, n in zip(self.owner[some].tolist(), at.tolist(), self.origin[some].tolist(), left.tolist(), signed[at + self.inner].tolist(), here.tolist(), single.tolist(), strict=True):
+            yield o, s, xxh3_128_digest(text[SYMBOL * g : SYMBOL * (g + self.inner)]), x, y, h, n
 
 
 def _runs(flags: np.ndarray, windows: list[int]) -> tuple[list[int], list[int], list[int]]:
@@ -171,29 +198,41 @@ def _runs(flags: np.ndarray, windows: list[int]) -> tuple[list[int], list[int],
 
 
 def _compare(width: int):
-    """A block's excerpts: rows of kind 0 are runs of windows that are repeated, rows of kind 1 windows that other blocks may hold."""
+    """A block's excerpts: rows of kind 0 are runs of windows that are repeated, rows of kind 1 places whose windows other blocks may hold."""
 
     def fn(table: pa.Table) -> pa.Table:
         from ledgerloom.llm.suffix_order import suffix_order
 
         rows = {c: table.column(c).to_pylist() for c in ("piece", "anchor", "windows", "once", "dealt", "start", "k1", "k2")}
-        flags, again = repeated_windows(rows["piece"], rows["anchor"], rows["windows"], width, suffix_order)
-        owner, first, number = _runs(flags, rows["windows"])
-        out: list[tuple] = [(0, rows["k1"][o], rows["k2"][o], rows["start"][o] + f, n, None, None, None) for o, f, n in zip(owner, first, number, strict=True) if rows["once"][o]]
-        ends = np.cumsum(rows["windows"]).tolist()
-        for o in np.flatnonzero(rows["dealt"]).tolist():
-            piece, at = rows["piece"][o], ends[o] - rows["windows"][o]
-            for k in np.flatnonzero(~again[at : ends[o]]).tolist():
-                d = xxh3_128_digest(piece[k : k + width])
-                out.append((1, rows["k1"][o], rows["k2"][o], rows["start"][o] + k, 1, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True),
-                    bool(rows["once"][o] and not flags[at + k])))
+        found = Compared(rows["piece"], rows["anchor"], rows["windows"], width, suffix_order)
+        once, dealt = np.array(rows["once"], bool), np.array(rows["dealt"], bool)
+        out: list[tuple] = [(0, rows["k1"][o], rows["k2"][o], rows["start"][o] + f, n, *[None] * 6)
+            for o, f, n in zip(*_runs(found.repeated, rows["windows"]), strict=True) if once[o]]
+        for o, s, d, left, right, here, single in found.open_places(dealt, once):
+            hi, lo = (int.from_bytes(d[k : k + 8], "big", signed=True) for k in (0, 8))
+            out.append((1, rows["k1"][o], rows["k2"][o], rows["start"][o] + s, 1, hi, lo, left, right, here, single))
         return pa.Table.from_pylist([dict(zip(SCHEMA.names, r, strict=True)) for r in out], SCHEMA)
 
     return fn
 
 
 SCHEMA = pa.schema([("kind", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()),
-    ("single", pa.bool_())])
+    ("left", pa.int64()), ("right", pa.int64()), ("here", pa.int32()), ("single", pa.int32())])
+
+
+def _across(places: DataFrame) -> DataFrame:
+    """(k1, k2, start, windows): single windows of one block whose equal is in another, from rows of kind 1."""
+    met = places.groupBy("hi", "lo").agg(F.count("*").alias("times")).where("times > 1").select("hi", "lo")
+    near = places.join(materialize(met, "met-places"), ["hi", "lo"])
+    r = F.col("r")
+    shift = lambda name, x, by: F.call_function(name, x, by.cast("int"))
+    has = lambda bits: shift("shiftright", bits, r).bitwiseAND(1) == 1
+    rest = F.when(r == 0, F.col("right")).otherwise(shift("shiftleft", F.col("left"), 64 - 8 * r).bitwiseOR(shift("shiftrightunsigned", F.col("right"), 8 * r)))
+    each = near.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(SYMBOL - 1)))).where(has(F.col("here")))
+    each = each.select("hi", "lo", "r", rest.alias("rest"), "k1", "k2", (F.col("start") - r).alias("start"), "windows", has(F.col("single")).alias("single"))
+    keys = ["hi", "lo", "r", "rest"]
+    twice = each.groupBy(*keys).agg(F.count("*").alias("times")).where("times > 1").select(*keys)
+    return each.where("single").join(materialize(twice, "met-windows"), keys).select("k1", "k2", "start", "windows")
 
 
 def _cut_out(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
@@ -237,11 +276,10 @@ def repeated_ranges(docs: DataFrame, width: int) -> DataFrame:
     shares = F.ceil(c("kinds") / SHARE)
     salt = F.when(shares > 1, F.pmod(F.xxhash64("digest"), shares)).otherwise(F.lit(0))
     dealt = asked.withColumns({"once": c("times") == 1, "dealt": shares > 1, "block": F.pmod(F.xxhash64("print", salt), F.lit(blocks))})
-    names = ", ".join(f"{f.name} {t}" for f, t in zip(SCHEMA, ("int", "bigint", "bigint", "int", "int", "bigint", "bigint", "boolean"), strict=True))
+    names = ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'bigint'}" for f in SCHEMA)
     found = materialize(_cut_out(docs, dealt, width).groupBy("block").applyInArrow(_compare(width), names), "compared")
-    met = found.where("kind = 1").groupBy("hi", "lo").agg(F.count("*").alias("times")).where("times > 1").select("hi", "lo")
-    across = found.where("kind = 1 and single").join(materialize(met, "met-windows"), ["hi", "lo"])
-    return whole.union(found.where("kind = 0").select("k1", "k2", "start", "windows")).union(across.select("k1", "k2", "start", "windows"))
+    runs = found.where("kind = 0").select("k1", "k2", "start", "windows")
+    return whole.union(runs).union(_across(found.where("kind = 1")))
 
 
 def remove_repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 200) -> DataFrame:
@@ -254,7 +292,8 @@ def remove_repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col
     Equal strings share the print that anchors them, so they meet as excerpts of one anchor. Excerpts that are equal as a whole are
     counted and go no further than one of them; of anchors with different excerpts, one of each kind is cut out and sorted,
     block by block, by the suffix order of its symbols. An anchor with very many kinds is dealt over several blocks;
-    strings that such a block leaves single meet those of the other blocks by their digests, as do one of each that it finds repeated. No
+    strings that such a block leaves single meet those of the other blocks, as do one of each that it finds repeated: first by a digest of
+    the whole symbols that eight neighbouring strings share, then, where two blocks have that, one by one. No
     step holds more than a block of excerpts, no pairs are formed, and nothing but a number of rows reaches the driver.
 
     Defined cases: null and empty texts have 0 bytes and lose nothing, and so do texts shorter than ``width``; null ids stay; repeated rows are

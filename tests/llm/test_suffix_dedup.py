@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import suffix_dedup
 from ledgerloom.llm.queries import op13_suffix_dedup
-from ledgerloom.llm.suffix_dedup import excerpts_of, remove_repeated_strings, repeated_windows
+from ledgerloom.llm.suffix_dedup import Compared, excerpts_of, remove_repeated_strings
 from ledgerloom.llm.suffix_order import suffix_order
 from tests.llm.test_dedup import DOCS
 
@@ -103,11 +103,11 @@ def test_kernel_and_excerpts():
     owner, start, windows, anchor, _, _ = (x.tolist() for x in excerpts_of(texts, 64))
     assert sorted((o, s + k) for o, s, w in zip(owner, start, windows, strict=True) for k in range(w)) == [(o, k) for o, t in enumerate(texts) for k in range(len(t) - 63)]
     pieces = [texts[o][s : s + w + 63] for o, s, w in zip(owner, start, windows, strict=True)]
-    flags, again = repeated_windows(pieces, anchor, windows, 64, suffix_order)
+    found = Compared(pieces, anchor, windows, 64, suffix_order)
     strings = [p[k : k + 64] for p, w in zip(pieces, windows, strict=True) for k in range(w)]
     times = Counter(strings)
-    assert flags.tolist() == [times[s] > 1 for s in strings]
-    assert (~again).sum() == len(times)
+    assert found.repeated.tolist() == [times[s] > 1 for s in strings]
+    assert (~found.again).sum() == len(times)
 
 
 def test_documents_match_brute_force(spark):
