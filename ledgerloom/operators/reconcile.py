@@ -1,7 +1,8 @@
 """Reconciliation of transactions and documents: candidates by buckets, three tiers, one-to-one assignment, mismatches.
 
-A transaction and a document can only match within five days and within 5 or 5 % of the amount, so candidates
-meet by an equality of (day bucket, amount bucket): no pair outside of those bounds is formed. Candidates carry ids and numbers;
+Rows that agree in day, amount, merchant and trust are one class: whatever a tier says of one, it says of all. Classes, not rows, meet
+and are scored; members come in where a result lists them. Two classes can only match within five days and within 5 or 5 % of the amount, so
+they meet by an equality of (day bucket, amount bucket): no pair outside of those bounds is formed. Pairs carry numbers;
 names stand in a table of distinct merchants, and each pair of names that some candidate needs is compared once.
 """
 
@@ -9,9 +10,10 @@ from __future__ import annotations
 
 import math
 import re
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.storage import discard, materialize
@@ -89,35 +91,61 @@ def merchant_names(*sides: DataFrame) -> DataFrame:
     return materialize(forms.withColumn("x3", expand_abbreviation(F.col("m3"))), "names")
 
 
-def _prepared(df: DataFrame, names: DataFrame, side: str) -> DataFrame:
-    """id, ord, amount (size), day and number of the merchant of either side; rows without an amount or a date have no candidates."""
+@dataclass(frozen=True)
+class Side:
+    """One side's classes (class, amount, day, name, trust, first, first_id, n) and their members (class, id, ord), tables in the shared folder."""
+
+    classes: DataFrame
+    members: DataFrame
+
+
+def classes_of(df: DataFrame, names: DataFrame) -> Side:
+    """Rows of equal amount (its size), day, merchant and, where there is one, trust as a class; rows without an amount or a date are in none."""
     c = F.col
-    keep = [F.coalesce(c("trust_score"), F.lit(1.0)).alias("trust")] if side == "d" else []
+    trust = F.coalesce(c("trust_score"), F.lit(1.0)) if "trust_score" in df.columns else F.lit(1.0)
     rows = df.select(
-        c("id").alias(f"{side}_id"), c("ord").alias(f"{side}_ord"),
-        F.abs(parse_amount(c("amount"))).alias(f"{side}_amount"),
-        parse_date(c("date")).alias(f"{side}_date"), F.coalesce("merchant", F.lit("")).alias("merchant"), *keep)
-    rows = rows.where(f"{side}_amount is not null and {side}_date is not null")
-    rows = rows.join(names.select("merchant", c("name").alias(f"{side}_name")), "merchant").drop("merchant")
-    day = F.floor(F.datediff(f"{side}_date", F.lit("1970-01-01").cast("date")) / 6).cast("int")
-    return rows.withColumns({"db": day, "ab": F.floor(_amount_place(c(f"{side}_amount").cast("double"))).cast("int")})
+        "id", "ord", F.abs(parse_amount(c("amount"))).alias("amount"), parse_date(c("date")).cast("date").alias("day"),
+        F.coalesce("merchant", F.lit("")).alias("merchant"), trust.alias("trust"))
+    rows = rows.where("amount is not null and day is not null").join(names.select("merchant", "name"), "merchant").drop("merchant")
+    key = ["amount", "day", "name", "trust"]
+    classes = rows.groupBy(*key).agg(F.min("ord").alias("first"), F.min_by("id", "ord").alias("first_id"), F.count("*").alias("n"))
+    classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    return Side(classes, materialize(rows.join(classes.select(*key, "class"), key).select("class", "id", "ord"), "members"))
 
 
-def candidates(tx: DataFrame, docs: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """Pairs within five days and within 5 or 5 % of the amount: ids, numbers, and numbers of both merchants in ``names``.
+def class_candidates(tx: Side, docs: Side) -> DataFrame:
+    """Pairs of classes within five days and within 5 or 5 % of the amount, with their numbers and the numbers of both merchants."""
+    c = F.col
+
+    def placed(side: Side, p: str) -> DataFrame:
+        kept = [c(x).alias(f"{p}_{x}") for x in ("class", "amount", "day", "name")] + [c("trust")] * (p == "d") + [c("first").alias("d_first")] * (p == "d")
+        day = F.floor(F.datediff("day", F.lit("1970-01-01").cast("date")) / 6).cast("int")
+        return side.classes.select(*kept, day.alias("db"), F.floor(_amount_place(c("amount").cast("double"))).cast("int").alias("ab"))
 
-    ``tx`` and ``docs``: id, ord, amount, date, merchant; docs also trust_score.
-    """
-    names = merchant_names(tx, docs) if names is None else names
     near = lambda n: F.explode(F.sequence(F.col(n) - 1, F.col(n) + 1)).alias(n)
-    left = _prepared(tx, names, "t")
+    left = placed(tx, "t")
     left = left.select(*[x for x in left.columns if x not in ("db", "ab")], near("db"), "ab")
     left = left.select(*[x for x in left.columns if x != "ab"], near("ab"))
-    pairs = left.join(_prepared(docs, names, "d"), ["db", "ab"]).drop("db", "ab")
+    pairs = left.join(placed(docs, "d"), ["db", "ab"]).drop("db", "ab")
     diff = F.abs(F.col("t_amount") - F.col("d_amount"))
     pct = F.coalesce(F.try_divide(diff.cast("double"), F.greatest("t_amount", "d_amount").cast("double")), F.lit(0.0))
-    numbers = {"diff": diff.cast("double"), "pct": pct, "days": day_gap(F.col("t_date"), F.col("d_date"))}
-    return pairs.withColumns(numbers).where("days <= 5 and (diff <= 5 or pct <= 0.05)").drop("t_date", "d_date")
+    numbers = {"diff": diff.cast("double"), "pct": pct, "days": day_gap(F.col("t_day"), F.col("d_day"))}
+    return pairs.withColumns(numbers).where("days <= 5 and (diff <= 5 or pct <= 0.05)").drop("t_day", "d_day")
+
+
+def _members(side: DataFrame, p: str) -> DataFrame:
+    return side.select(*(F.col(x).alias(f"{p}_{x}") for x in ("class", "id", "ord")))
+
+
+def candidates(tx: DataFrame, docs: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Pairs of rows within five days and within 5 or 5 % of the amount: ids and numbers.
+
+    ``tx`` and ``docs``: id, ord, amount, date, merchant; docs also trust_score.
+    """
+    names = merchant_names(tx, docs) if names is None else names
+    left, right = classes_of(tx, names), classes_of(docs, names)
+    pairs = class_candidates(left, right).join(_members(left.members, "t"), "t_class").join(_members(right.members, "d"), "d_class")
+    return pairs.drop("t_class", "d_class", "d_first")
 
 
 def exact_gate() -> Column:
@@ -136,7 +164,7 @@ def _match(tier: str, string, amount, date, status, reason, discrepancy) -> Colu
         match_confidence(string, amount, date, F.col("trust")).alias("confidence"), F.lit(tier).alias("match_type"),
         status.alias("status"), reason.cast("string").alias("reason"), string.alias("string_similarity"),
         amount.cast("double").alias("amount_match"), date.cast("double").alias("date_proximity"),
-        discrepancy.cast("double").alias("amount_discrepancy"))
+        F.col("trust").alias("document_trust"), discrepancy.cast("double").alias("amount_discrepancy"))
 
 
 def fuzzy_amount(diff: Column, pct: Column, either_zero: Column) -> Column:
@@ -205,73 +233,120 @@ def name_scores(pairs: DataFrame, names: DataFrame) -> DataFrame:
     return materialize(scored.select("t_name", "d_name", "s.*", "digits", "spelled"), "name-scores")
 
 
-def tiers(tx: DataFrame, docs: DataFrame, cosine: Column | None = None) -> DataFrame:
-    """Candidates that amount and date allow in some tier, with a struct (or null) of each tier.
+@dataclass(frozen=True)
+class Scored:
+    """Pairs of classes with a struct (or null) of each tier, and both sides."""
+
+    pairs: DataFrame
+    tx: Side
+    docs: Side
+
+    @staticmethod
+    def of_rows(df: DataFrame) -> Scored:
+        """Scored pairs of rows (t_id, t_ord, d_id, d_ord, days, a column per tier), each row as a class of its own."""
+
+        def side(p: str) -> Side:
+            rows = df.select(F.col(f"{p}_ord").alias("class"), F.col(f"{p}_id").alias("id"), F.col(f"{p}_ord").alias("ord")).distinct()
+            return Side(rows.select("class", F.col("ord").alias("first"), F.col("id").alias("first_id"), F.lit(1).alias("n")), rows)
+
+        pairs = df.withColumns({"t_class": F.col("t_ord"), "d_class": F.col("d_ord"), "d_first": F.col("d_ord")})
+        return Scored(pairs.drop("t_id", "t_ord", "d_id", "d_ord"), side("t"), side("d"))
+
+
+def tiers(tx: DataFrame, docs: DataFrame, cosine: Column | None = None) -> Scored:
+    """Pairs of classes that amount and date allow in some tier, with what each tier says of them.
 
     Similarities run on the distinct pairs of names alone, in one Python step; the rest are columns.
     """
     names = merchant_names(tx, docs)
-    pairs = candidates(tx, docs, names).where(exact_gate() | _fuzzy_parts()[2] | _semantic_parts()[2])
+    left, right = classes_of(tx, names), classes_of(docs, names)
+    pairs = class_candidates(left, right).where(exact_gate() | _fuzzy_parts()[2] | _semantic_parts()[2])
     pairs = materialize(pairs, "candidates")
     scored = pairs.join(name_scores(pairs, names), ["t_name", "d_name"])
-    return scored.withColumn("exact", exact_tier()).withColumn("fuzzy", fuzzy_tier()).withColumn("semantic",
+    scored = scored.withColumn("exact", exact_tier()).withColumn("fuzzy", fuzzy_tier()).withColumn("semantic",
         semantic_tier(cosine=cosine))
+    return Scored(scored, left, right)
+
 
+def _matched(pairs: DataFrame, match: Column) -> DataFrame:
+    return pairs.withColumn("m", match).where("m is not null").select("t_class", "d_class", "d_first", "days", "m.*")
 
-def _flat(pairs: DataFrame, match: Column) -> DataFrame:
-    return pairs.withColumn("m", match).where("m is not null").select("t_id", "t_ord", "d_id", "d_ord", "days", "m.*")
 
+def _expanded(s: Scored, matched: DataFrame) -> DataFrame:
+    """Matched classes as the pairs of their members."""
+    rows = matched.join(_members(s.tx.members, "t"), "t_class").join(_members(s.docs.members, "d"), "d_class")
+    return rows.select("t_id", "t_ord", "d_id", "d_ord", *(x for x in matched.columns if x not in ("t_class", "d_class", "d_first")))
 
-def cascade(scored: DataFrame, n_tiers: int = 3) -> DataFrame:
+
+def cascade(s: Scored, n_tiers: int = 3) -> DataFrame:
     """Each pair's first tier that matches, of the first two or all three."""
-    return _flat(scored, F.coalesce(*(F.col(x) for x in ("exact", "fuzzy", "semantic")[:n_tiers])))
+    return _expanded(s, _matched(s.pairs, F.coalesce(*(F.col(x) for x in ("exact", "fuzzy", "semantic")[:n_tiers]))))
 
 
-def tier_matches(scored: DataFrame, tier: str) -> DataFrame:
-    return _flat(scored, F.col(tier))
+def tier_matches(s: Scored, tier: str) -> DataFrame:
+    return _expanded(s, _matched(s.pairs, F.col(tier)))
 
 
-def edges(scored: DataFrame, least: float = 0.0) -> DataFrame:
-    """Each pair at its best tier, the earlier one at equal confidence, from ``least`` on."""
+def edges(pairs: DataFrame, least: float = 0.0) -> DataFrame:
+    """Each pair of classes at its best tier, the earlier one at equal confidence, from ``least`` on."""
     ranked = F.array_max(F.array(
         *(F.struct(F.col(n)["confidence"].alias("c"), F.lit(-k).alias("k"),
             F.col(n).alias("m")) for k, n in enumerate(("exact", "fuzzy", "semantic")))))
-    return _flat(scored, let(ranked, lambda r: F.when(r["c"].isNotNull(), r["m"]))).where(F.col("confidence") >= least)
+    return _matched(pairs, let(ranked, lambda r: F.when(r["c"].isNotNull(), r["m"]))).where(F.col("confidence") >= least)
+
 
+def best_match(s: Scored) -> DataFrame:
+    """Each transaction's best document; ties go to the earlier document.
 
-def best_match(scored: DataFrame) -> DataFrame:
-    """Each transaction's best document; ties go to the earlier document."""
-    e = edges(scored)
-    return e.groupBy("t_id").agg(
-        F.min_by(F.struct(*[x for x in e.columns if x != "t_id"]), F.struct(-F.col("confidence"), F.col("d_ord")))
-        .alias("m")).select("t_id", "m.*")
+    The members of a class have the same best document, the first of its class.
+    """
+    e = edges(s.pairs)
+    kept = [x for x in e.columns if x != "t_class"]
+    best = e.groupBy("t_class").agg(F.min_by(F.struct(*kept), F.struct(-F.col("confidence"), F.col("d_first"))).alias("m")).select("t_class", "m.*")
+    first = s.docs.classes.select(F.col("class").alias("d_class"), F.col("first_id").alias("d_id"))
+    rows = best.join(first, "d_class").join(_members(s.tx.members, "t"), "t_class")
+    return rows.select("t_id", "t_ord", "d_id", F.col("d_first").alias("d_ord"), *(x for x in kept if x not in ("d_class", "d_first")))
 
 
-def assign(scored: DataFrame, least: float = 0.6) -> DataFrame:
+def assign(scored: Scored | DataFrame, least: float = 0.6) -> DataFrame:
     """One-to-one matches: in order, each transaction takes its best remaining document of confidence ``least`` or more.
 
-    That is the only stable matching in which all documents prefer earlier transactions, so it is found in rounds: every
-    transaction proposes to its best document, every document keeps the earliest, and those it strikes propose to
-    their best document that no earlier transaction holds, until none is struck. A round writes who holds what; of the
-    pairs it reads those of the struck transactions.
+    That is the only stable matching in which all documents prefer earlier transactions, so it is found in rounds of proposals. All
+    transactions of a class have the same list of documents: by confidence, then by order. In a round, a class's
+    transactions without a document, in order, are dealt the first documents of that list that are free or whose holder is later than the
+    first of them: the second one would be refused what the first one asks for, and so on. Every document keeps the earliest; who is refused asks
+    again, until none is left that has a document to ask for. A list is read as far as a class has transactions to deal, and no pair of a transaction
+    and a document is formed but a proposal.
     """
-    pool = materialize(edges(scored, least), "edges")
-    wish = pool.select("t_ord", "d_ord", F.struct((-F.col("confidence")).alias("c"), "d_ord").alias("wish"))
-    best = lambda df: df.groupBy("t_ord").agg(F.min("wish").alias("wish")).select("t_ord", "wish.d_ord")
-    asked, held = best(wish), None
+    s = scored if isinstance(scored, Scored) else Scored.of_rows(scored)
+    pool = materialize(edges(s.pairs, least), "edges")
+    wish = pool.select("t_class", "d_class", (-F.col("confidence")).alias("c"))
+    docs, tx = s.docs.members.select(F.col("class").alias("d_class"), F.col("ord").alias("d_ord")), _members(s.tx.members, "t")
+    open_ = materialize(tx.join(wish.select("t_class").distinct(), "t_class", "left_semi").select("t_class", "t_ord"), "open")
+    held = None
+    in_order = Window.partitionBy("t_class").orderBy("t_ord")
+    listed = Window.partitionBy("t_class").orderBy("c", "d_ord")
     while True:
-        offers = asked if held is None else held.union(asked)
-        last = held
-        offers = materialize(offers, "offers")
-        held = materialize(offers.groupBy("d_ord").agg(F.min("t_ord").alias("t_ord")).select("t_ord", "d_ord"), "held")
-        struck = materialize(offers.join(held, ["t_ord", "d_ord"], "left_anti").select("t_ord"), "struck")
-        if last is not None:
-            discard(last)
-        discard(offers)
-        if not struck.head(1):
-            return pool.join(held, ["t_ord", "d_ord"])
-        open_ = wish.join(struck, "t_ord").join(held.select("d_ord", F.col("t_ord").alias("holder")), "d_ord", "left")
-        asked = best(open_.where("holder is null or t_ord < holder"))
+        batch = open_.groupBy("t_class").agg(F.count("*").alias("k"), F.min("t_ord").alias("first"))
+        lists = batch.join(wish, "t_class").join(docs, "d_class").select("t_class", "k", "first", "c", "d_ord")
+        if held is not None:
+            lists = lists.join(held.select("d_ord", F.col("t_ord").alias("holder")), "d_ord", "left").where("holder is null or holder > first")
+        alone = lists.where("k = 1").groupBy("t_class").agg(F.min(F.struct("c", "d_ord"))["d_ord"].alias("d_ord"))
+        alone = alone.join(batch.select("t_class", F.col("first").alias("t_ord")), "t_class").select("t_ord", "d_ord")
+        several = lists.where("k > 1").withColumn("r", F.row_number().over(listed)).where("r <= k").select("t_class", "r", "d_ord")
+        dealt = open_.join(batch.where("k > 1").select("t_class"), "t_class").withColumn("r", F.row_number().over(in_order))
+        asked = alone.union(dealt.join(several, ["t_class", "r"]).select("t_ord", "d_ord"))
+        offers = materialize(asked if held is None else held.union(asked), "offers")
+        last, held = held, materialize(offers.groupBy("d_ord").agg(F.min("t_ord").alias("t_ord")).select("t_ord", "d_ord"), "held")
+        refused = offers.join(held, ["t_ord", "d_ord"], "left_anti").select("t_ord")
+        done, open_ = open_, materialize(tx.join(refused, "t_ord").select("t_class", "t_ord"), "open")
+        for table in (offers, done, *([last] if last is not None else [])):
+            discard(table)
+        if not open_.head(1):
+            break
+    discard(open_)
+    sides = held.join(tx, "t_ord").join(_members(s.docs.members, "d"), "d_ord")
+    return sides.join(pool.drop("d_first"), ["t_class", "d_class"]).drop("t_class", "d_class")
 
 
 def tier_stats(matches: DataFrame, processed: Column) -> DataFrame:
@@ -387,7 +462,7 @@ def evidence_chains(matches: DataFrame) -> DataFrame:
     return matches.select(
         F.substring(F.sha2(F.concat_ws(":", "t_id", "d_id"), 256), 1, 16).alias("match_id"),
         F.col("t_id").alias("transaction_id"), F.col("d_id").alias("document_id"), "confidence",
-        F.struct("string_similarity", "amount_match", "date_proximity").alias("components"),
+        F.struct("string_similarity", "amount_match", "date_proximity", "document_trust").alias("components"),
         F.array(F.concat(F.lit("reconcile_"), F.lower("match_type"))).alias("stages"))
 
 

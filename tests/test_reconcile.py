@@ -80,6 +80,41 @@ def test_assignment_is_the_sequential_one(spark):
     assert got == sequential([(t, d, c) for (t, d), c in edges])
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_repeated_values_meet_as_classes(spark, seed):
+    """Many rows of few amounts, days, names and trusts: the sequential pass over all pairs of rows, from pairs of classes alone."""
+    rng = random.Random(seed)
+    names = ["Coffee Shop", "Coffee Shop Downtown", "Alpha"]
+    day = lambda: f"2026-03-{rng.choice([10, 11, 12, 14]):02}"
+    left = tx(spark, *((f"t{k}", rng.choice(["50.00", "50.20", "54.00"]), day(), rng.choice(names)) for k in range(260)))
+    right = docs(spark, *((f"d{k}", rng.choice(["50.00", "52.00"]), day(), rng.choice(names), rng.choice([0.7, 0.9])) for k in range(200)))
+    scored = r.tiers(left, right)
+    assert scored.tx.members.count() == 260 and scored.tx.classes.count() <= 36 and scored.pairs.count() <= 36 * 48
+    rows = r._expanded(scored, r.edges(scored.pairs, 0.6))
+    pairs = [(x.t_ord, x.d_ord, x.confidence) for x in rows.collect()]
+    assert len(pairs) > 5000
+    got = {x.t_ord: x for x in r.assign(scored).collect()}
+    want = sequential(pairs)
+    assert {t: x.d_ord for t, x in got.items()} == want and len(want) > 100
+    sure = {(t, d): c for t, d, c in pairs}
+    assert all(x.confidence == sure[t, x.d_ord] and x.t_id == f"t{t}" and x.d_id == f"d{x.d_ord}" for t, x in got.items())
+    best = {x.t_ord: (x.d_ord, x.d_id) for x in r.best_match(scored).collect()}
+    every = [(x.t_ord, x.d_ord, x.confidence) for x in r._expanded(scored, r.edges(scored.pairs)).collect()]
+    first = {}
+    for t, d, c in every:
+        first[t] = min(first.get(t, (0, 0)), (-c, d))
+    assert best == {t: (d, f"d{d}") for t, (_, d) in first.items()}
+
+
+def test_one_class_on_either_side(spark):
+    """All rows alike: a round or two deals them out, each transaction the document of its rank."""
+    left = tx(spark, *((f"t{k}", "9.99", "2026-03-10", "Music") for k in range(300)))
+    right = docs(spark, *((f"d{k}", "9.99", "2026-03-10", "Music", 0.9) for k in range(250)))
+    scored = r.tiers(left, right)
+    assert scored.pairs.count() == 1
+    assert {x.t_ord: x.d_ord for x in r.assign(scored).collect()} == {k: k for k in range(250)}
+
+
 def test_names_are_compared_once(spark, monkeypatch):
     """300 pairs of 3 by 2 distinct names, compared in one Python step over the distinct pairs that a gate admits."""
     left = tx(spark, *((f"t{k}", "50.00", "2026-03-10", ["Alpha Shop", "Beta Cafe", "Gamma"][k % 3]) for k in range(30)))
