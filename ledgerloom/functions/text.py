@@ -21,6 +21,20 @@ def title(x: Column) -> Column:
     return F.array_join(F.transform(runs, lambda r: F.initcap(F.lower(r))), "")
 
 
+def round_binary(x: Column, digits: int) -> Column:
+    """``x`` to so many decimal places by its exact binary value, ties to even, as printing does: 3.55 is a little less and gives 3.5.
+
+    The value is split in two parts whose products with the power of ten are exact, for sizes under 1e13.
+    """
+    k = float(10**digits)
+    size = F.abs(x)
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    low = F.floor(size * k).cast("double")
+    beyond = (high * k - (low + 0.5)) + (size - high) * k
+    up = F.when(beyond == 0, F.pmod(low, F.lit(2.0)) == 1).otherwise(beyond > 0)
+    return F.when(size < 1e13, F.signum(x) * (low + F.when(up, 1.0).otherwise(0.0)) / k).otherwise(F.bround(x, digits))
+
+
 def alnum_id(x: Column) -> Column:
     """Lower-case letters and digits only."""
     return F.regexp_replace(F.lower(x), "[^a-z0-9]", "")

@@ -69,7 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "J24_evidence_chains": lambda s, d: r.evidence_chains(_best(s, d)).select("match_id", "transaction_id", "document_id", F.bround("confidence", 4).alias("confidence"), F.array_join("stages", ",").alias("stages")),
     "S6_load_transactions": lambda s, d: r.load_transactions(transactions(s, d)).select("id", "amount", "date", "merchant", "category"),
     "K7_recon_kpis": lambda s, d: dashboard.recon_kpis(_best(s, d), _total(s, d)).withColumn("match_rate", F.bround("match_rate", 6)),
-    "B17_explain_match": lambda s, d: _best(s, d).select("t_id", explain.explain_match(c("t_id"), c("d_id"), c("match_type"), c("confidence")).alias("prompt")),
+    "B17_explain_match": lambda s, d: (lambda m: m.select("t_id", explain.explain_match(m).alias("prompt")))(_best(s, d)),
 }
 
 
@@ -132,12 +132,12 @@ todo as (select distinct t1 as a, d1 as b from cand union select distinct tx, dx
 {_LCS},
 sc as (select cand.*, e.ratio as s1, f.ratio as s2, g.ratio as s3, case when diff <= 5 or pct <= 0.01 then 1 - least(pct / 0.01, 1.0) * 0.3 else 0.0 end as fa, case when pct <= 0.05 then 1 - pct / 0.05 * 0.4 else 0.0 end as sa
   from cand join lcs e on e.a = t1 and e.b = d1 join {_PAIR_SET} f on f.a = t2 and f.b = d2 join lcs g on g.a = tx and g.b = dx),
-m as (select t_id, t_ord, d_id, d_ord, days, 0 as k, 'EXACT' as match_type, 'SUPPORTED' as status, null as reason, 0.4 * s1 + 0.3 + 0.2 + 0.1 * trust as confidence, null::double as amount_discrepancy from sc where cents <= 0.01 and days <= 1 and s1 >= 0.9
+m as (select t_id, t_ord, d_id, d_ord, days, 0 as k, 'EXACT' as match_type, 'SUPPORTED' as status, null as reason, 0.4 * s1 + 0.3 + 0.2 + 0.1 * trust as confidence, null::double as amount_discrepancy, s1 as ss, 1.0::double as am, 1.0::double as dp, trust from sc where cents <= 0.01 and days <= 1 and s1 >= 0.9
   union all select t_id, t_ord, d_id, d_ord, days, 1, 'FUZZY', case when fa = 1 then 'SUPPORTED' else 'PARTIAL' end, case when diff <= 0.01 then null when diff <= 5 and pct > 0.01 then 'tip_adjustment' when pct <= 0.01 then 'currency_or_fee' end,
-    0.4 * s2 + 0.3 * fa + 0.2 * (1 - days * 0.1) + 0.1 * trust, case when fa < 1 then round_even(diff, 2) end from sc where fa >= 0.7 and days <= 3 and s2 >= 0.85
+    0.4 * s2 + 0.3 * fa + 0.2 * (1 - days * 0.1) + 0.1 * trust, case when fa < 1 then round_even(diff, 2) end, s2, fa, (1 - days * 0.1)::double, trust from sc where fa >= 0.7 and days <= 3 and s2 >= 0.85
   union all select t_id, t_ord, d_id, d_ord, days, 2, 'SEMANTIC', case when sa >= 0.9 then 'SUPPORTED' else 'PARTIAL' end,
     case when regexp_matches(t3 || d3, '\\d') then 'ocr_correction' when tx <> t3 or dx <> d3 then 'abbreviation' when s3 >= 0.75 then 'rapidfuzz_fallback' else 'semantic_similarity' end,
-    0.4 * s3 + 0.3 * sa + 0.2 * (1 - days * 0.08) + 0.1 * trust, case when sa < 1 then round_even(diff, 2) end from sc where sa >= 0.6 and 1 - days * 0.08 >= 0.6 and s3 >= 0.65),
+    0.4 * s3 + 0.3 * sa + 0.2 * (1 - days * 0.08) + 0.1 * trust, case when sa < 1 then round_even(diff, 2) end, s3, sa, (1 - days * 0.08)::double, trust from sc where sa >= 0.6 and 1 - days * 0.08 >= 0.6 and s3 >= 0.65),
 cas as (select * from m qualify row_number() over (partition by t_id, d_id order by k) = 1),
 best as (select * from m qualify row_number() over (partition by t_id order by confidence desc, d_ord, k) = 1)"""
 _OUT = "select t_id, d_id, match_type, status, reason, round_even(confidence, 4) as confidence, amount_discrepancy from"
@@ -186,7 +186,9 @@ ORACLE_SQL: dict[str, str] = {
         select *, round_even(supported / (supported + unsupported)::double, 6) as match_rate, round_even(supported / (supported + unsupported)::double, 6) as transaction_coverage, round_even(supported / (supported + unreconciled)::double, 6) as document_coverage from n""",
     "J24_evidence_chains": f"{_SCORED} select substr(sha256(t_id || ':' || d_id), 1, 16) as match_id, t_id as transaction_id, d_id as document_id, round_even(confidence, 4) as confidence, 'reconcile_' || lower(match_type) as stages from best",
     "S6_load_transactions": f"with tx as ({TRANSACTIONS}) select transaction_id as id, cast(abs(amount) as varchar) as amount, cast(date as varchar) as date, merchant_raw as merchant, category from tx",
-    "B17_explain_match": f"{_SCORED} select t_id, 'Explain why transaction ' || t_id || ' matches document ' || d_id || ': ' || lower(match_type) || ' match, confidence ' || format('{{:.2f}}', confidence) || '.' as prompt from best",
+    "B17_explain_match": f"""{_SCORED} select t_id, 'Bank transaction ' || t_id || ' matched document ' || d_id || ' using ' || match_type || ' matching (' || format('{{:.0f}}', confidence * 100) || '% confidence). Scores: merchant '
+        || format('{{:.0f}}', ss * 100) || '%, amount ' || format('{{:.0f}}', am * 100) || '%, date ' || format('{{:.0f}}', dp * 100) || '%, document trust ' || format('{{:.0f}}', cast(trust as double) * 100)
+        || '%. Explain in one sentence for a non-technical user.' as prompt from best""",
     "K7_recon_kpis": f"""{_SCORED} select count(*) filter (match_type = 'EXACT') as exact, count(*) filter (match_type = 'FUZZY') as fuzzy, count(*) filter (match_type = 'SEMANTIC') as semantic, count(*) as matched,
         round_even(count(*) / (select count(*) from t0)::double, 6) as match_rate from best""",
 }

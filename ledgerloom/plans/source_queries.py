@@ -82,7 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "S8b_summary": lambda s, d: _files(s, d).select("path", f.document_summary(c("path"), c("extension"), c("size"), c("width"), c("height"), F.lit(1), c("error").isNull()).alias("summary")),
     "S9_counts_by_type": lambda s, d: f.counts_by_type(_files(s, d)),
     "S10_generate": lambda s, d: f.generate_transactions(s).groupBy("category", "pattern_tag").agg(F.count("*").alias("n")),
-    "B16_explain_events": lambda s, d: explain.explain_events(_events(s, d)).select("event_type", "category", "month", "goal_name", "transaction_id", "headline", "body", "evidence", "confidence_text", "action"),
+    "B16_explain_events": lambda s, d: explain.explain_events(_events(s, d)).select("event_type", "category", "month", "goal_name", "transaction_id", "headline", "body", "request", "evidence", "confidence_text", "action"),
     "W1_windowed_spending": lambda s, d: live.spending(_parquet_events(s, d)).withColumn("total", F.bround("total", 2)),
     "W2_sessions": lambda s, d: live.sessions(_parquet_events(s, d)),
 }
@@ -94,11 +94,12 @@ def _filled(template: str) -> str:
     """SQL of a text template."""
     parts, at = [], 0
     for m in explain._FIELD.finditer(template):
-        name, titled, comma, digits = m.groups()
+        name, titled, comma, digits, _ = m.groups()
         parts.append("'" + template[at : m.start()].replace("'", "''") + "'")
         at = m.end()
         if digits is not None:
-            value = {"abs_change": "abs(coalesce(change_pct, 0.0))", "target_rate_pct": "coalesce(target_rate_pct, 20.0)"}.get(name, f"coalesce({name}, 0.0)")
+            value = {"target_rate_pct": "coalesce(target_rate_pct, 20.0)"} | {k: f"abs(coalesce({v}, 0.0))" for k, v in explain.SIZES.items()}
+            value = value.get(name, f"coalesce({name}, 0.0)")
             parts.append(f"format('{{:{comma}.{digits}f}}', cast({value} as double))")
         else:
             value = _CATEGORY if name == "category" else f"coalesce({name}, '{explain.DEFAULTS[name]}')"
@@ -110,7 +111,7 @@ def _explained() -> str:
     pick = lambda part, other: "case kind " + " ".join(f"when '{k}' then {_filled(getattr(t, part))}" for k, t in explain.TEXTS.items() if getattr(t, part)) + f" else {other} end"
     return f"""{_EVENTS}, k as (select *, case when type <> 'goal_status' then type when goal_name like '%savings_rate%' then case when status = 'on_track' then 'savings_met' else 'savings_missed' end
         when status = 'exceeded' then 'budget_exceeded' when pct_used > 80 then 'budget_almost_full' else 'budget_on_track' end as kind from ev)
-        select event_type, category, month, goal_name, transaction_id, {pick("headline", "null")} as headline, {pick("body", f"'{explain.NO_MODEL}'")} as body, {pick("evidence", "null")} as evidence,
+        select event_type, category, month, goal_name, transaction_id, {pick("headline", "null")} as headline, {pick("body", f"'{explain.NO_MODEL}'")} as body, {pick("request", "null")} as request, {pick("evidence", "null")} as evidence,
         {pick("action", "null")} as action, format('{{:.0f}}', confidence * 100) || '%' as confidence_text from k"""
 
 
