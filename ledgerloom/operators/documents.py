@@ -314,6 +314,15 @@ def receipt_record() -> Column:
         "extraction_confidence")
 
 
+def found_once(facts: DataFrame, tag: str, *columns: str) -> DataFrame:
+    """``facts`` as a table in the shared folder, or ``columns`` of them.
+
+    What is decided from facts would else be evaluated together with their patterns: a filter on a total repeats its search, and
+    the code of all patterns with their uses outgrows what the JVM compiles.
+    """
+    return materialize(facts.select(*columns) if columns else facts, tag)
+
+
 def receipt_facts(docs: DataFrame, text: str = "raw_text") -> DataFrame:
     t = F.col("__t")
     rows = docs.withColumn("__t", receipt_normalize(F.coalesce(F.col(text), F.lit(""))))
@@ -523,20 +532,21 @@ def process_documents(docs: DataFrame) -> DataFrame:
     """Transactions of typed documents (document_id, doc_type, raw_text, ocr_confidence): one for a receipt or an invoice that has a total and a date, one for each row of a statement."""
     ocr = lambda default: F.when(F.coalesce("ocr_confidence", F.lit(0.0)) <= 0,
         default).otherwise(F.col("ocr_confidence"))
-    receipts = receipt_facts(docs.where("doc_type = 'receipt'")).where(
+    base = ("document_id", "doc_type", "ocr_confidence", "extraction_confidence")
+    receipts = found_once(receipt_facts(docs.where("doc_type = 'receipt'")), "receipts", *base, "merchant", "items", "date", "total_amount").where(
         "total_amount is not null and total_amount <> 0 and date is not null").select(
         "document_id", "doc_type", "merchant",
         F.array_join(F.transform(F.slice("items", 1, 3), lambda x: x["name"]), ", ").alias("description"), "date",
         F.col("total_amount").alias("amount"),
         trust.composite_confidence(ocr(0.95), F.col("extraction_confidence"), F.lit(0.92)).alias("evidence"))
-    rows = statement_facts(docs.where("doc_type = 'statement'")).select("document_id", "doc_type",
+    rows = found_once(statement_facts(docs.where("doc_type = 'statement'")), "statements", *base, "transactions").select("document_id", "doc_type",
         trust.composite_confidence(ocr(0.93), F.col("extraction_confidence"), F.lit(0.90)).alias("evidence"),
         F.explode("transactions").alias("t"))
     statements = rows.select("document_id", "doc_type",
         F.array_join(F.slice(F.split("t.description", " "), 1, 2), " ").alias("merchant"),
         F.col("t.description").alias("description"), F.col("t.date").alias("date"), F.col("t.amount").alias("amount"),
         "evidence")
-    invoices = invoice_facts(docs.where("doc_type = 'invoice'")).where(
+    invoices = found_once(invoice_facts(docs.where("doc_type = 'invoice'")), "invoices", *base, "vendor", "line_items", "invoice_date", "total_due").where(
         "total_due is not null and total_due <> 0 and invoice_date is not null").select(
         "document_id", "doc_type", F.col("vendor").alias("merchant"),
         F.array_join(F.transform(F.slice("line_items", 1, 3), lambda x: x["description"]), ", ").alias("description"),
@@ -631,11 +641,11 @@ def enhanced(docs: DataFrame, today: Column) -> DataFrame:
         return made(facts.where(c(amount).isNotNull() & c(date).isNotNull()), c(merchant), F.lit(None).cast("string"),
             c(date), c(amount), fact, value, c("partial"))
 
-    receipts = scored(receipt_facts(of("receipt")), filled("merchant", "date", "total_amount"), c("date"),
+    receipts = scored(found_once(receipt_facts(of("receipt")), "receipts"), filled("merchant", "date", "total_amount"), c("date"),
         c("total_amount"), c("subtotal"), c("tax"))
-    invoices = scored(invoice_facts(of("invoice")), filled("vendor", "invoice_date", "total_due"), c("invoice_date"),
+    invoices = scored(found_once(invoice_facts(of("invoice")), "invoices"), filled("vendor", "invoice_date", "total_due"), c("invoice_date"),
         c("total_due"), c("subtotal"), c("tax"), True)
-    statements = scored(statement_facts(of("statement")),
+    statements = scored(found_once(statement_facts(of("statement")), "statements"),
         [*filled("account_holder", "statement_period"), F.size("transactions") > 0], F.lit(None).cast("string"),
         nothing, nothing, nothing)
     lines = statements.withColumn("t", F.explode("transactions"))
