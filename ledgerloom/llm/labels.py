@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.runtime import hash_sample, id_and_text
+from ledgerloom.llm.runtime import discard, hash_sample, id_and_text, materialize
+
+#: Features of all training rows that the driver takes at most; a text of some 3,000 characters has about 700.
+FEATURES = 20_000_000
 
 
 def crc_of_id(col: str) -> Column:
@@ -28,3 +32,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, id_col: s
     chosen = hash_sample(known, limit, known.count(), "__id")
     rows = id_and_text(docs, id_col, text_col).withColumn("__id", F.col("__id").cast("bigint"))
     return rows.join(F.broadcast(chosen), "__id")
+
+
+def fetch_features(made: DataFrame, most: int = FEATURES) -> pa.Table:
+    """Training rows (__id, label, ids, ...) in order of ``__id``, with at most ``most`` features (entries of ``ids``) in all.
+
+    Where the sample has more, rows with the most features are left out, ties by id: a few very long texts make way, and what reaches the
+    driver is bounded in bytes as well as in rows.
+    """
+    table = materialize(made, "training-features")
+    sizes = sorted((r.n, r["__id"]) for r in table.select("__id", F.size("ids").alias("n")).collect())
+    total, kept = 0, []
+    for n, i in sizes:
+        total += n
+        if total > most:
+            break
+        kept.append(i)
+    rows = table if len(kept) == len(sizes) else table.where(F.col("__id").isin(kept))
+    got = rows.toArrow().sort_by("__id")
+    discard(table)
+    return got

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ledgerloom.llm.hashing import mix, word_hashes
-from ledgerloom.llm.labels import labelled_sample
+from ledgerloom.llm.labels import fetch_features, labelled_sample
 from ledgerloom.llm.runtime import arrow_map, arrow_score, utf8_bytes
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -121,7 +121,7 @@ class SubwordClassifier:
 
 def train(docs: DataFrame, labels: DataFrame, label: str, *, id_col: str, text_col: str, limit: int, where=None,
     features: Features = Features()) -> SubwordClassifier:  # noqa: B008
-    """Fit on at most ``limit`` labelled documents; their sparse features are made on the executors."""
+    """Fit on at most ``limit`` labelled documents; their sparse features, bounded in number, are made on the executors."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [features.sparse(t) for t in utf8_bytes(batch.column("__text"))]
@@ -131,8 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, *, id_col: str, text_c
             names=["__id", "label", "ids", "weights"])
 
     sample = labelled_sample(docs, labels, label, id_col=id_col, text_col=text_col, limit=limit, where=where)
-    got = arrow_map(sample, fn,
-        "__id bigint, label int, ids array<int>, weights array<float>").toArrow().sort_by("__id")
+    got = fetch_features(arrow_map(sample, fn, "__id bigint, label int, ids array<int>, weights array<float>"))
     rows = [(a.values.to_numpy(), b.values.to_numpy()) for a, b in zip(got["ids"], got["weights"], strict=True)]
     return SubwordClassifier.fit(rows, got["label"].to_numpy().astype(int), features)
 
@@ -149,7 +148,7 @@ def score_quality(
     the id; it is a fixed 2**18 buckets, whatever the corpus. Every whole text is then scored in one pass without a shuffle.
     Only the text enters a score.
 
-    Defined cases: null and empty texts score the bias alone; a null id stays
+    Defined cases: null and empty texts score the bias alone; very long texts are read whole; a score equal to ``threshold`` counts as 1; a null id stays
     null; repeated rows score alike; without usable labels every score is 0.5;
     other columns are ignored; no rows give no rows.
     """

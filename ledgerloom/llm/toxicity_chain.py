@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ledgerloom.llm.hashing import mix, word_hashes
-from ledgerloom.llm.labels import labelled_sample
+from ledgerloom.llm.labels import fetch_features, labelled_sample
 from ledgerloom.llm.runtime import arrow_map, arrow_score, utf8_bytes
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -67,43 +67,69 @@ def informative(owner: np.ndarray, ids: np.ndarray, y: np.ndarray, width: int, m
     return np.sort(chosen[g[chosen] >= least_g])
 
 
-def kinds_of(rows: list[np.ndarray], y: np.ndarray, width: int, kinds: int, rounds: int = 20) -> np.ndarray:
-    """The kind of each row that ``y`` marks, -1 for others: spherical k-means over the buckets that tell the labels apart and
-    are commoner in marked rows, whatever the language. Centres start farthest first; larger kinds have smaller numbers."""
-    out = np.full(len(y), -1)
-    marked = np.flatnonzero(y == 1)
-    if not len(marked) or len(marked) == len(y):
-        out[marked] = 0
-        return out
-    owner, ids = _pairs(rows)
-    chosen = informative(owner, ids, y, width, 256, 12.0)
-    share = lambda k: np.bincount(ids[y[owner] == k], minlength=width)[chosen] / max((y == k).sum(), 1)
-    chosen = chosen[share(1) > share(0)]
-    place = np.full(width, -1)
-    place[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(rows), len(chosen)))
-    hit = place[ids] >= 0
-    x[owner[hit], place[ids[hit]]] = 1
-    x = x[marked]
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    centres = x[[int(np.argmax(x @ x.mean(axis=0)))]] if len(chosen) else np.zeros((1, 0))
-    while len(centres) < kinds:
+def _spherical(x: np.ndarray, parts: int, rounds: int = 20) -> np.ndarray:
+    """The part of each row of ``x`` (unit length or zero) by k-means on directions; centres start farthest first."""
+    centres = x[[int(np.argmax(x @ x.mean(axis=0)))]]
+    while len(centres) < parts:
         nearest = (x @ centres.T).max(axis=1)
         far = int(np.argmin(np.where(x.any(axis=1), nearest, 2.0)))
         if nearest[far] > 1 - 1e-9:
             break
         centres = np.vstack([centres, x[far]])
     for _ in range(rounds):
-        kind = (x @ centres.T).argmax(axis=1)
-        sums = np.stack([x[kind == k].sum(axis=0) for k in range(len(centres))])
+        part = (x @ centres.T).argmax(axis=1)
+        sums = np.stack([x[part == k].sum(axis=0) for k in range(len(centres))])
         moved = np.where(sums.any(axis=1, keepdims=True),
             sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12), centres)
         if np.allclose(moved, centres):
             break
         centres = moved
-    kind = (x @ centres.T).argmax(axis=1)
-    rank = np.argsort(np.argsort(-np.bincount(kind, minlength=len(centres)), kind="stable"), kind="stable")
-    out[marked] = rank[kind]
+    return (x @ centres.T).argmax(axis=1)
+
+
+def manners_of(rows: list[np.ndarray], width: int, parts: int = 6, common: int = 128) -> np.ndarray:
+    """Groups of rows that share their commonest buckets, and so by and large a language."""
+    owner, ids = _pairs(rows)
+    top = np.argsort(-np.bincount(ids, minlength=width), kind="stable")[:common]
+    place = np.full(width, -1)
+    place[top] = np.arange(common)
+    x = np.zeros((len(rows), common))
+    hit = place[ids] >= 0
+    x[owner[hit], place[ids[hit]]] = 1
+    return _spherical(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), parts)
+
+
+def _standing(values: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The share of its group that stands below each value, equal ones in order."""
+    out = np.zeros(len(values))
+    for k in np.unique(group):
+        own = np.flatnonzero(group == k)
+        out[own[np.argsort(values[own], kind="stable")]] = (np.arange(len(own)) + 0.5) / len(own)
+    return out
+
+
+def kinds_of(rows: list[np.ndarray], y: np.ndarray, width: int, kinds: int) -> np.ndarray:
+    """The kind of each row that ``y`` marks, -1 for others: how long it is and how densely it shows what tells the labels apart.
+
+    Both are taken relative to the marked rows of the row's own group (``manners_of``), so a kind is no language. There are two degrees
+    of density and half as many of length as there are ``kinds``: an even number is a shorter or longer text with passing marks, an odd one a text
+    full of them.
+    """
+    out = np.full(len(y), -1)
+    marked = np.flatnonzero(y == 1)
+    if not len(marked) or len(marked) == len(y):
+        out[marked] = 0
+        return out
+    owner, ids = _pairs(rows)
+    chosen = informative(owner, ids, y, width, 256, 12.0)
+    share = lambda k: np.bincount(ids[y[owner] == k], minlength=width)[chosen] / max((y == k).sum(), 1)
+    telling = np.zeros(width, bool)
+    telling[chosen[share(1) > share(0)]] = True
+    group = manners_of(rows, width)[marked]
+    size = np.array([len(rows[k]) for k in marked], float)
+    dense = np.array([telling[rows[k]].sum() for k in marked]) / np.maximum(size, 1)
+    lengths = (_standing(size, group) * max(kinds // 2, 1)).astype(int)
+    out[marked] = np.minimum(2 * lengths + (_standing(dense, group) > 0.5), kinds - 1)
     return out
 
 
@@ -195,15 +221,15 @@ class ClassifierChain:
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str, id_col: str, text_col: str, limit: int, where=None,
     kinds: int = KINDS, features: Presence = Presence()) -> ClassifierChain:  # noqa: B008
-    """Fit the chain on at most ``limit`` labelled documents, whose features are made on the executors."""
+    """Fit the chain on at most ``limit`` labelled documents, whose features, bounded in number, are made on the executors."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = pa.array([features.of(t) for t in utf8_bytes(batch.column("__text"))], pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("label"), ids],
+        found = [features.of(t) for t in utf8_bytes(batch.column("__text"))]
+        return pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("label"), pa.array(found, pa.list_(pa.int32()))],
             names=["__id", "label", "ids"])
 
     sample = labelled_sample(docs, labels, label, id_col=id_col, text_col=text_col, limit=limit, where=where)
-    got = arrow_map(sample, fn, "__id bigint, label int, ids array<int>").toArrow().sort_by("__id")
+    got = fetch_features(arrow_map(sample, fn, "__id bigint, label int, ids array<int>"))
     rows, y = [x.values.to_numpy() for x in got["ids"]], got["label"].to_numpy().astype(np.int64)
     width = 1 << features.bits
     kind = kinds_of(rows, y, width, kinds) if rows else np.empty(0, np.int64)
@@ -219,13 +245,14 @@ def score_toxicity(
     """Per row: ``id_col``, a probability ``p_kind_<k>`` for each kind of toxic text and ``p_toxic``, ``score`` (the last one),
     ``predicted`` (1 if it reaches ``threshold``) and ``kept`` (the opposite); with ``keep_columns`` beside all columns of ``docs``.
 
-    The labels have one bit, so the finer categories come from the data: the toxic training texts fall into ``kinds`` kinds by
-    k-means of their telling features, in any language. The chain predicts kind after kind and then toxicity.
+    The labels have one bit, so the finer categories come from the data: the toxic training texts fall into ``kinds`` kinds by their
+    length and by how densely they show what is telling, both relative to texts of their own language group (``kinds_of``). The chain
+    predicts kind after kind and then toxicity.
     It is fitted on at most ``limit`` rows of ``labels`` (doc_id, ``label``), chosen by a hash of the id; its tables have a
     fixed 2**20 buckets. Every whole text is then scored in one pass, without a shuffle. Only the text enters a score.
 
-    Defined cases: null and empty texts have no features and score the bias; a
-    null id stays null; repeated rows score alike; a category without both
+    Defined cases: null and empty texts have no features and score the bias; very long texts are read whole, their features being at most the
+    buckets; equal scores are treated alike (a score equal to ``threshold`` is toxic); a null id stays null; repeated rows score alike; a category without both
     kinds of training rows is constant; other columns are ignored; no rows give no rows.
     """
     features = Presence()

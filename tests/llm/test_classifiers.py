@@ -7,11 +7,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.labels import crc_of_id
+from ledgerloom.llm.labels import crc_of_id, fetch_features
 from ledgerloom.llm.queries import op3_quality_classifier
 from ledgerloom.llm.quality_model import Features, SubwordClassifier, score_quality
 from ledgerloom.llm.toxicity_chain import ClassifierChain, Presence, kinds_of, score_toxicity
@@ -222,24 +223,71 @@ def test_chain_by_plain_loops():
     assert [len(m.chain) for m in chain.models] == [0, 1, 2] and all(abs(x) > 0.1 for x in chain.models[2].chain)
 
 
-def test_kinds_of_toxic_texts_come_from_the_data():
+def test_kinds_are_degrees_within_a_group():
     f = Presence(bits=16)
     rng = random.Random(2)
-    plain = [f"w{k}" for k in range(50)]
-    texts, y, true = [], [], []
-    for k in range(200):
-        kind = k % 4
-        bad = {1: ["idiot", "moron"], 2: ["trottel", "depp"]}.get(kind, [])
-        texts.append(" ".join(rng.sample(plain, 12) + bad).encode())
-        y.append(int(kind in (1, 2)))
-        true.append(kind if kind in (1, 2) else -1)
-    rows = [f.of(t) for t in texts]
-    got = kinds_of(rows, np.array(y), 1 << 16, 4)
-    assert len({(a, b) for a, b in zip(true, got.tolist(), strict=True)}) == 3 and set(got[np.array(y) == 0]) == {-1}
+    words = {lang: [f"{lang}{k}" for k in range(50)] for lang in ("one", "two")}
+    bad = {"one": ["idiot", "moron", "scum", "loser"], "two": ["trottel", "depp", "idiotisch", "dumm"]}
+    texts, y, lang, form = [], [], [], []
+    for k in range(400):
+        own, toxic, long, full = ("one", "two")[k % 2], k % 4 < 2, k % 8 < 4, k % 16 < 8
+        texts.append(" ".join(rng.sample(words[own], 40 if long else 12) + rng.sample(bad[own], (4 if full else 1) if toxic else 0)).encode())
+        y.append(int(toxic))
+        lang.append(own)
+        form.append((long, full))
+    got = kinds_of([f.of(t) for t in texts], np.array(y), 1 << 16, 4)
+    assert set(got[np.array(y) == 0]) == {-1} and set(got[np.array(y) == 1]) == {0, 1, 2, 3}
+    for own in words:  # a language's toxic texts are of all kinds
+        kinds = [g for g, w, t in zip(got.tolist(), lang, y, strict=True) if w == own and t]
+        assert np.bincount(kinds, minlength=4).max() <= 0.6 * len(kinds)
+    full = [x[1] for g, x in zip(got.tolist(), form, strict=True) if g in (1, 3)]
+    assert sum(full) > 0.6 * len(full)
+    rows = [f.of(t) for t in texts[:200]]
     assert kinds_of(rows, np.zeros(200, int), 1 << 16, 4).tolist() == [-1] * 200
     assert kinds_of(rows, np.ones(200, int), 1 << 16, 4).tolist() == [0] * 200
 
 
+def test_kinds_are_no_languages_and_the_chain_helps():
+    """On the larger documents, every third one held out: no kind has over 90 % of a language's toxic texts, and the chain lowers the last link's log loss."""
+    docs = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text", "lang"]).to_pandas()
+    known = docs.merge(pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pandas(), on="doc_id").sort_values("doc_id")
+    f = Presence()
+    rows, y, lang = [f.of((t or "").encode()) for t in known.text], known.toxic.to_numpy().astype(int), known.lang.to_numpy()
+    held = np.arange(len(y)) % 3 == 2
+    seen, width = [r for r, h in zip(rows, held, strict=True) if not h], 1 << f.bits
+    kind = kinds_of(seen, y[~held], width, 4)
+    for own in set(lang):
+        of = kind[(lang[~held] == own) & (kind >= 0)]
+        assert len(of) < 10 or np.bincount(of).max() <= 0.9 * len(of)
+
+    def loss(targets):
+        p = np.clip(ClassifierChain.fit(seen, targets, width).predict([r for r, h in zip(rows, held, strict=True) if h])[:, -1], 1e-6, 1 - 1e-6)
+        return -np.mean(np.where(y[held] == 1, np.log(p), np.log(1 - p)))
+
+    chained = loss(np.column_stack([*((kind == k).astype(int) for k in range(4)), y[~held]]))
+    assert chained < loss(y[~held][:, None])
+
+
+def test_training_features_are_bounded(spark):
+    made = spark.createDataFrame([(k, k % 2, list(range(10 if k % 5 else 1000))) for k in range(50)], "__id long, label int, ids array<int>")
+    assert fetch_features(made).num_rows == 50
+    few = fetch_features(made, most=500)
+    assert few["__id"].to_pylist() == [k for k in range(50) if k % 5]
+
+
+@pytest.mark.parametrize("score", [lambda d, t: score_quality(d, t), lambda d, t: score_toxicity(d, t)])
+def test_very_long_texts(spark, score):
+    """A text of two million characters is read to its end."""
+    rng = random.Random(6)
+    good, bad = [f"g{k}" for k in range(40)], [f"b{k}" for k in range(40)]
+    rows = [(k, " ".join(rng.choices(bad if k % 2 else good, k=30))) for k in range(200)]
+    filler = " ".join(f"x{rng.randrange(300)}" for _ in range(400_000))
+    docs = spark.createDataFrame([*rows, (900, filler + " " + " ".join(bad * 3000)), (901, filler + " " + " ".join(good * 3000)), (902, filler)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(200)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in score(docs, labels).collect()}
+    assert got[900] > got[902] > got[901]
+
+
 @pytest.mark.parametrize("score", [lambda d, t: score_quality(d, t), lambda d, t: score_toxicity(d, t)])
 def test_odd_rows(spark, score):
     rows = [(1, None), (2, ""), (3, " \n"), (None, "a b"), (4, "a b"), (4, "a b"), (5, "x" * 50_000), (6, "é ü !!")]
