@@ -13,6 +13,7 @@ from ledgerloom.operators import explain, reconcile
 from ledgerloom.plans.behavior_queries import _EVENTS, _events
 from ledgerloom.plans.enrich_queries import _title
 from ledgerloom.sources import files as f
+from ledgerloom.sources.headers import with_headers
 from ledgerloom.sources.tables import TRANSACTIONS, transactions
 from ledgerloom.streaming import live
 
@@ -34,6 +35,31 @@ def _files(s, d) -> DataFrame:
     return f.with_file_errors(rows)
 
 
+def _little(x, size: int):
+    """The hexadecimal digits of a number, lowest byte first."""
+    digits = F.lpad(F.hex(x), 2 * size, "0")
+    return F.concat(*(F.substring(digits, 2 * k - 1, 2) for k in range(size, 0, -1)))
+
+
+def _contents(s, d) -> DataFrame:
+    """A file of each kind for each order, as bytes with sizes from its key; every eleventh is cut off after ten bytes."""
+    o = s.read.parquet(f"{d}/orders.parquet").select(c("o_orderkey").cast("bigint").alias("k"))
+    o = o.withColumns({"w": 100 + c("k") % 1000, "h": 150 + c("k") % 700, "kind": F.element_at(F.array(*map(F.lit, ("png", "jpg", "bmp", "tiff", "pdf", "txt"))), (c("k") % 6 + 1).cast("int"))})
+    big = lambda x, n: F.lpad(F.hex(x), 2 * n, "0")
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(c("w"), 4), big(c("h"), 4), F.lit("08"), F.when(c("k") % 4 == 0, "06").otherwise("02"), F.lit("000000"))
+    jpg = F.concat(F.lit("FFD8FFE00010"), F.lit("00" * 14), F.lit("FFDB0004AAAAFFC2001108"), big(c("h"), 2), big(c("w"), 2), F.lit("03"))
+    bmp = F.concat(F.lit("424D" + "00" * 16), _little(c("w"), 4), F.when(c("k") % 4 == 2, _little(4294967296 - c("h"), 4)).otherwise(_little(c("h"), 4)), F.lit("01001800"))
+    entry = lambda tag, kind, value: F.concat(F.lit(tag), F.lit(kind), F.lit("01000000"), value)
+    page = lambda after: F.concat(F.lit("0300"), entry("0001", "0300", F.concat(_little(c("w"), 2), F.lit("0000"))), entry("0101", "0400", _little(c("h"), 4)), entry("0601", "0300", F.lit("02000000")), F.lit(after))
+    tiff = F.concat(F.lit("49492A0008000000"), page("32000000"), page("00000000"))
+    pdf = F.hex(F.concat(F.lit("%PDF-1.4 1 0 obj << /Type /Pages >> 2 0 obj << /Type /Page /MediaBox [0 0 "), c("w").cast("string"), F.lit(" "), c("h").cast("string"), F.lit("] >> 3 0 obj << /Type/Page >>")))
+    hexes = F.lit("00")
+    for name, x in (("png", png), ("jpg", jpg), ("bmp", bmp), ("tiff", tiff), ("pdf", pdf)):
+        hexes = F.when(c("kind") == name, x).otherwise(hexes)
+    content = F.unhex(F.when(c("k") % 11 == 0, F.substring(hexes, 1, 20)).otherwise(hexes))
+    return f.with_file_errors(o.select(F.concat(F.lit("/in/"), c("k").cast("string"), F.lit("."), "kind").alias("path"), content.alias("content")).withColumn("size", F.octet_length("content")))
+
+
 def _parquet_events(s, d) -> DataFrame:
     return s.read.parquet(f"{d}/events.parquet")
 
@@ -79,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "S4_report": lambda s, d: f.as_report(_events(s, d).groupBy("event_type").agg(F.count("*").alias("n")), "events"),
     "S5_normalize_upload": lambda s, d: f.normalize_upload(_upload(s, d)).select("transaction_id", c("date").cast("string").alias("date"), "amount", "merchant_raw", "category"),
     "S7_S8_files": lambda s, d: f.valid_documents(_files(s, d)).select("path", "extension"),
+    "S7_S8_headers": lambda s, d: with_headers(_contents(s, d)).select("path", "size", "width", "height", "stored_mode", "mode", "pages", "error"),
     "S8b_summary": lambda s, d: _files(s, d).select("path", f.document_summary(c("path"), c("extension"), c("size"), c("width"), c("height"), F.lit(1), c("error").isNull()).alias("summary")),
     "S9_counts_by_type": lambda s, d: f.counts_by_type(_files(s, d)),
     "S10_generate": lambda s, d: f.generate_transactions(s).groupBy("category", "pattern_tag").agg(F.count("*").alias("n")),
@@ -128,6 +155,13 @@ ORACLE_SQL: dict[str, str] = {
     "S4_report": f"""{_EVENTS} select '{{"events":[' || string_agg('{{"event_type":"' || event_type || '","n":' || n || '}}', ',' order by event_type) || ']}}' as json from (select event_type, count(*) as n from ev group by 1)""",
     "S5_normalize_upload": f"with tx as ({TRANSACTIONS}) select transaction_id, cast(date as varchar) as date, cast(amount as double) as amount, merchant_raw, 'uncategorized' as category from tx",
     "S7_S8_files": f"{_FILES} select path, extension from e where error is null and width >= 200 and height >= 200 and mode in ('RGB', 'L')",
+    "S7_S8_headers": """with o as (select o_orderkey as k, 100 + o_orderkey % 1000 as w, 150 + o_orderkey % 700 as h, ['png', 'jpg', 'bmp', 'tiff', 'pdf', 'txt'][o_orderkey % 6 + 1] as kind from orders),
+        f as (select *, k % 11 <> 0 and kind <> 'txt' as good, case kind when 'png' then 29 when 'jpg' then 36 - 0 when 'bmp' then 30 when 'tiff' then 92 when 'txt' then 1
+            else length('%PDF-1.4 1 0 obj << /Type /Pages >> 2 0 obj << /Type /Page /MediaBox [0 0 ' || w || ' ' || h || '] >> 3 0 obj << /Type/Page >>') end as full_size from o)
+        select '/in/' || k || '.' || kind as path, case when k % 11 = 0 then least(10, full_size) else full_size end::int as size, case when good then case when kind = 'pdf' then ceil(w * 200 / 72.0) else w end end::int as width,
+          case when good then case when kind = 'pdf' then ceil(h * 200 / 72.0) else h end end::int as height, case when good then case when kind = 'png' and k % 4 = 0 then 'RGBA' else 'RGB' end end as stored_mode,
+          case when good then 'RGB' end as mode, case when good then case when kind in ('tiff', 'pdf') then 2 else 1 end end::int as pages,
+          case when kind = 'txt' then 'unsupported format: txt' when not good then 'load error: no ' || kind || ' header' end as error from f""",
     "S8b_summary": f"{_FILES} select path, 'File: ' || path || chr(10) || 'Format: ' || extension || chr(10) || 'Size: ' || size || ' bytes' || chr(10) || 'Dimensions: ' || width || 'x' || height || chr(10) || 'Pages: 1' || chr(10) || 'Valid: ' || (error is null) as summary from e",
     "S9_counts_by_type": f"{_FILES} select extension, count(*) as files, count(*) filter (error is null) as loaded from e group by 1",
     "B16_explain_events": _explained(),

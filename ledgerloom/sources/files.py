@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ledgerloom.sources.headers import with_headers
+
 RAW_SCHEMA = "transaction_id string, date date, amount double, merchant_raw string, description string, category_hint string"
 #: Which column an uploaded one becomes, by the first of these that its name contains.
 UPLOAD_RULES = (("date", ("date",)), ("amount", ("amount", "debit", "credit")),
@@ -85,6 +87,11 @@ def read_documents(spark: SparkSession, folder: str, pattern: str = "*") -> Data
     return with_file_errors(files.withColumnRenamed("length", "size"))
 
 
+def load_documents(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """Document files with size, width, height, mode and pages from their own bytes, or an ``error``; see ``headers.with_headers``. Files without a byte are not listed."""
+    return with_headers(read_documents(spark, folder, pattern))
+
+
 def with_file_errors(files: DataFrame) -> DataFrame:
     """``files`` (path, size) with ``extension`` and ``error``: an unknown type or over 10 MB."""
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
