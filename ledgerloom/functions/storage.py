@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: By application, the tables that ``materialize`` has written and that are still there.
+_WRITTEN: dict[str, set[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a local folder only where that is unset and one process does all the work."""
@@ -25,13 +28,29 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back; the files survive the loss of an executor."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, set()).add(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete every table of this session that ``materialize`` has written and nobody discarded; returns how many.
+
+    A lazy result reads such tables, so this is called once results are written: after a job's last one, or between jobs of a long session.
+    """
+    paths = list(_WRITTEN.get(spark.sparkContext.applicationId, ()))
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    _WRITTEN.get(spark.sparkContext.applicationId, set()).discard(folder)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a ``materialize``d frame that is no longer read."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        own = next((p for p in _WRITTEN.get(df.sparkSession.sparkContext.applicationId, ()) if folder.endswith(p.partition("://")[2] or p)), folder)
+        _delete(df.sparkSession, own)
