@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.storage import shared_dir
-from ledgerloom.operators import explain, reconcile
+from ledgerloom.operators import documents, explain, reconcile
 from ledgerloom.plans.behavior_queries import _EVENTS, _events
 from ledgerloom.plans.enrich_queries import _title
 from ledgerloom.sources import files as f
@@ -96,19 +96,31 @@ def _folder(s, d) -> DataFrame:
     return f.read_documents(s, d, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "extension", "error").where("name rlike '^[a-z]+[.]parquet$'")
 
 
+def _size(s, d, table: str) -> int:
+    return s.read.parquet(f"{d}/{table}.parquet").count()
+
+
+def _generated(s, d) -> DataFrame:
+    """Generated documents, three for each customer, and of how many the extraction gives back the true amount."""
+    docs = f.generate_documents(s, _size(s, d, "customer"))
+    facts = {"receipt": (documents.receipt_facts, "total_amount"), "statement": (documents.statement_facts, "ending_balance"), "invoice": (documents.invoice_facts, "total_due")}
+    parts = [read(docs.where(c("doc_type") == kind).select("document_id", "doc_type", "raw_text", c("amount").alias("truth"))).select("doc_type", "truth", c(found).alias("found")) for kind, (read, found) in facts.items()]
+    return parts[0].union(parts[1]).union(parts[2]).groupBy("doc_type").agg(F.count("*").alias("n"), F.count_if(F.abs(c("found") - c("truth")) < 0.005).alias("right"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "S1_S2_csv": lambda s, d: _csv(s, d).withColumn("date", c("date").cast("string")),
     "S3_goals": _goals_file,
     "E3_json": _json,
     "S7_read_documents": _folder,
-    "S10_documents": lambda s, d: f.generate_documents(s, 300).groupBy("doc_type").agg(F.count("*").alias("n")),
+    "S10_documents": _generated,
     "S4_report": lambda s, d: f.as_report(_events(s, d).groupBy("event_type").agg(F.count("*").alias("n")), "events"),
     "S5_normalize_upload": lambda s, d: f.normalize_upload(_upload(s, d)).select("transaction_id", c("date").cast("string").alias("date"), "amount", "merchant_raw", "category"),
     "S7_S8_files": lambda s, d: f.valid_documents(_files(s, d)).select("path", "extension"),
     "S7_S8_headers": lambda s, d: with_headers(_contents(s, d)).select("path", "size", "width", "height", "stored_mode", "mode", "pages", "error"),
     "S8b_summary": lambda s, d: _files(s, d).select("path", f.document_summary(c("path"), c("extension"), c("size"), c("width"), c("height"), F.lit(1), c("error").isNull()).alias("summary")),
     "S9_counts_by_type": lambda s, d: f.counts_by_type(_files(s, d)),
-    "S10_generate": lambda s, d: f.generate_transactions(s).groupBy("category", "pattern_tag").agg(F.count("*").alias("n")),
+    "S10_generate": lambda s, d: f.generate_transactions(s, per_month=_size(s, d, "customer")).groupBy("category", "pattern_tag").agg(F.count("*").alias("n")),
     "B16_explain_events": lambda s, d: explain.explain_events(_events(s, d)).select("event_type", "category", "month", "goal_name", "transaction_id", "headline", "body", "request", "evidence", "confidence_text", "action"),
     "W1_windowed_spending": lambda s, d: live.spending(_parquet_events(s, d)).withColumn("total", F.bround("total", 2)),
     "W2_sessions": lambda s, d: live.sessions(_parquet_events(s, d)),
@@ -151,7 +163,12 @@ ORACLE_SQL: dict[str, str] = {
     "S3_goals": """select lower(c_mktsegment) || '_budget' as goal_name, count(*)::double as "limit", null::double as target from customer group by 1 union all select 'savings_rate', null, 0.25""",
     "E3_json": f"{_EVENTS} select event_type, severity, count(*) as n from ev group by 1, 2",
     "S7_read_documents": "select unnest(['" + "', '".join(f"{t}.parquet" for t in TABLES) + "']) as name, 'parquet' as extension, 'unsupported format: parquet' as error",
-    "S10_documents": "select unnest(['receipt', 'statement', 'invoice']) as doc_type, 300::bigint as n",
+    "S10_documents": """select unnest(['receipt', 'statement', 'invoice']) as doc_type, count(*) as n, count(*) as "right" from customer""",
+    "S10_generate": """with p as (select count(*) as n from customer), i as (select id, id // n as m, id % n as i, n from (select n, unnest(range(6 * n)) as id from p)),
+        k as (select *, case when i < 2 then 'income' else ['dining', 'groceries', 'shopping', 'transportation', 'utilities'][i % 5 + 1] end as category from i),
+        r as (select id, m, i, category from k union all select id + 6 * n, m, i, category from k where m = 4 and (i // 5) % 2 = case category when 'dining' then 0 when 'shopping' then 1 end)
+        select category, case when id % 89 = 50 and category <> 'income' then 'anomaly' when category = 'dining' and m = 3 then 'dining_spike' when category = 'groceries' and m >= 3 then 'grocery_drift'
+          when m = 4 then 'savings_drop' else 'baseline' end as pattern_tag, count(*) as n from r where not (category = 'income' and m = 4 and i = 1) group by 1, 2""",
     "S4_report": f"""{_EVENTS} select '{{"events":[' || string_agg('{{"event_type":"' || event_type || '","n":' || n || '}}', ',' order by event_type) || ']}}' as json from (select event_type, count(*) as n from ev group by 1)""",
     "S5_normalize_upload": f"with tx as ({TRANSACTIONS}) select transaction_id, cast(date as varchar) as date, cast(amount as double) as amount, merchant_raw, 'uncategorized' as category from tx",
     "S7_S8_files": f"{_FILES} select path, extension from e where error is null and width >= 200 and height >= 200 and mode in ('RGB', 'L')",
