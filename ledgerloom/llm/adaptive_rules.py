@@ -140,7 +140,7 @@ def adaptive_rules(
     left to the planner, which broadcasts them only when they are measured to be small.
 
     Defined cases: a null text has no words, fails the base rules and counts zero
-    everywhere; null language or source is the empty string; a null id stays null; repeated rows are
+    everywhere; very long texts are measured whole; a measure equal to its fence keeps the document; null language or source is the empty string; a null id stays null; repeated rows are
     judged alike; other columns are ignored; no rows give no rows.
     """
     n, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))

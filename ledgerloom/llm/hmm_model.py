@@ -216,7 +216,7 @@ def train_and_score(
     A word that is no symbol itself has the probability of its class given the state times its share of the class's
     add-one counts, where one share is left for words never seen. So each state's distribution adds up to 1.
 
-    Defined cases: null and empty texts are one end token; a null id is not held out and stays null; repeated rows count each; without
+    Defined cases: null and empty texts are one end token; very long texts are scored whole; a null id is not held out and stays null; repeated rows count each; without
     training rows all tokens are unknown; other columns are ignored; no rows give no rows.
     """
     spark = docs.sparkSession

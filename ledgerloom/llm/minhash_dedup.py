@@ -232,7 +232,7 @@ def near_duplicates(
     signatures, if nothing else links its ends.
 
     Defined cases: null and word-less texts have an empty set, ``n_shingles`` 0,
-    and link with nothing; fewer words than a shingle make the whole sequence one shingle; a null id
+    and link with nothing; very long texts enter with their full sets; a similarity of exactly ``percent`` links; fewer words than a shingle make the whole sequence one shingle; a null id
     links with nothing and is kept (``component_id`` null); rows that share an
     id are one node; other columns are ignored; an empty table gives no rows.
     """

@@ -147,7 +147,8 @@ def pack_documents(
     them against padding. Sequence ids are the partition's number times 2**33 plus a
     count. A lost task packs the same rows in the same order again.
 
-    Defined cases: null and empty texts are one piece with the end id alone; a
+    Defined cases: null and empty texts are one piece with the end id alone; very long texts are cut like others, run by run; of cuts of equal
+    cost the one with the shortest last window counts, and a padded window before one without padding; a
     null id stays null and packs like any other; repeated rows are packed each, as separate documents; other
     columns are ignored; no rows give no rows.
     """

@@ -193,7 +193,7 @@ def encode_decode(
     (array<int>) and ``decoded`` (string). There is one output row per input row and no shuffle.
 
     Defined cases: null and empty texts have no ids and decode to the empty
-    text; a null id stays null; repeated rows are encoded alike; other columns
+    text; very long texts are encoded whole, chunk by chunk; a null id stays null; repeated rows are encoded alike; other columns
     are ignored; an empty table gives no rows. Memory is bounded by one Arrow batch and two bounded memos.
     """
 

@@ -180,3 +180,13 @@ def test_a_large_bucket_is_not_multiplied(spark, monkeypatch):
     links = minhash_dedup._explore(members, mixed, base, texts, 5, 80).collect()
     assert {(max(r.u, r.v), min(r.u, r.v) % 1000) for r in links} == {(n - 1, 0)}
     assert len(fetched) == 1 and fetched[0][1] <= 2 * n // 1000  # 50 members and, in their blocks, the odd one
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    """Two texts of 150,000 words that differ at their ends only, and one that shares half of them."""
+    words = [f"w{k * k % 1_000_003}" for k in range(150_000)]
+    texts = [" ".join(words), " ".join([*words[:140_000], *(f"x{k}" for k in range(10_000))]), " ".join([*words[:75_000], *(f"y{k}" for k in range(75_000))])]
+    sets = [{tuple(t.split()[k : k + 2]) for k in range(149_999)} for t in texts]
+    assert 100 * len(sets[0] & sets[1]) >= 80 * len(sets[0] | sets[1]) and 100 * len(sets[0] & sets[2]) < 80 * len(sets[0] | sets[2])
+    got = {r.doc_id: r for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shingle_words=2, percent=80).collect()}
+    assert [got[k].component_id for k in range(3)] == [0, 0, 2] and [got[k].n_shingles for k in range(3)] == [len(s) for s in sets]

@@ -49,3 +49,12 @@ def test_operator_odd_rows(spark):
     assert encode_decode(df.limit(0), model_path=PATH).count() == 0
     with pytest.raises(Exception, match="missing"):
         encode_decode(df, model_path=PATH, text_col="missing")
+
+
+def test_operator_on_a_very_long_text(spark):
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choice("aeinthso") for _ in range(rng.randrange(1, 12))) for _ in range(300_000))
+    row = encode_decode(spark.createDataFrame([(1, text)], "doc_id long, text string"), model_path=PATH).first()
+    ids = LIB.encode(text)
+    assert row.n_tokens == len(ids) and row.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    assert row.decoded_sha256 == hashlib.sha256(LIB.decode(ids).encode()).hexdigest()
