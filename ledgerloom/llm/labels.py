@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,14 +35,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, id_col: s
     return rows.join(F.broadcast(chosen), "__id")
 
 
-def fetch_features(made: DataFrame, most: int = FEATURES) -> pa.Table:
-    """Training rows (__id, label, ids, ...) in order of ``__id``, with at most ``most`` features (entries of ``ids``) in all.
+def fetch_features(made: DataFrame, most: int = FEATURES) -> tuple[pa.Table, list[int]]:
+    """Training rows (__id, label, ids, ...) with at most ``most`` features (entries of ``ids``) in all, and their numbers in order of ``__id``.
 
     Where the sample has more, rows with the most features are left out, ties by id: a few very long texts make way, and what reaches the
     driver is bounded in bytes as well as in rows.
     """
     table = materialize(made, "training-features")
-    sizes = sorted((r.n, r["__id"]) for r in table.select("__id", F.size("ids").alias("n")).collect())
+    sizes = table.select(F.size("ids").alias("n"), "__id").toArrow()
+    sizes = sorted(zip(sizes["n"].to_pylist(), sizes["__id"].to_pylist(), strict=True))
     total, kept = 0, []
     for n, i in sizes:
         total += n
@@ -49,6 +51,6 @@ def fetch_features(made: DataFrame, most: int = FEATURES) -> pa.Table:
             break
         kept.append(i)
     rows = table if len(kept) == len(sizes) else table.where(F.col("__id").isin(kept))
-    got = rows.toArrow().sort_by("__id")
+    got = rows.toArrow()  # not sorted itself, which would be a second copy
     discard(table)
-    return got
+    return got, np.argsort(got["__id"].to_numpy(), kind="stable").tolist()

@@ -131,9 +131,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, *, id_col: str, text_c
             names=["__id", "label", "ids", "weights"])
 
     sample = labelled_sample(docs, labels, label, id_col=id_col, text_col=text_col, limit=limit, where=where)
-    got = fetch_features(arrow_map(sample, fn, "__id bigint, label int, ids array<int>, weights array<float>"))
-    rows = [(a.values.to_numpy(), b.values.to_numpy()) for a, b in zip(got["ids"], got["weights"], strict=True)]
-    return SubwordClassifier.fit(rows, got["label"].to_numpy().astype(int), features)
+    got, order = fetch_features(arrow_map(sample, fn, "__id bigint, label int, ids array<int>, weights array<float>"))
+    rows = [(got["ids"][k].values.to_numpy(), got["weights"][k].values.to_numpy()) for k in order]
+    return SubwordClassifier.fit(rows, got["label"].to_numpy().astype(int)[order], features)
 
 
 def score_quality(

@@ -48,7 +48,7 @@ class Presence:
 
 
 def _pairs(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
+    return np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows]), np.concatenate(rows)
 
 
 def informative(owner: np.ndarray, ids: np.ndarray, y: np.ndarray, width: int, most: int, least_g: float) -> np.ndarray:
@@ -87,13 +87,12 @@ def _spherical(x: np.ndarray, parts: int, rounds: int = 20) -> np.ndarray:
     return (x @ centres.T).argmax(axis=1)
 
 
-def manners_of(rows: list[np.ndarray], width: int, parts: int = 6, common: int = 128) -> np.ndarray:
-    """Groups of rows that share their commonest buckets, and so by and large a language."""
-    owner, ids = _pairs(rows)
+def manners_of(owner: np.ndarray, ids: np.ndarray, n: int, width: int, parts: int = 6, common: int = 128) -> np.ndarray:
+    """Groups of ``n`` rows that share their commonest buckets, and so by and large a language."""
     top = np.argsort(-np.bincount(ids, minlength=width), kind="stable")[:common]
     place = np.full(width, -1)
     place[top] = np.arange(common)
-    x = np.zeros((len(rows), common))
+    x = np.zeros((n, common))
     hit = place[ids] >= 0
     x[owner[hit], place[ids[hit]]] = 1
     return _spherical(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), parts)
@@ -125,7 +124,7 @@ def kinds_of(rows: list[np.ndarray], y: np.ndarray, width: int, kinds: int) -> n
     share = lambda k: np.bincount(ids[y[owner] == k], minlength=width)[chosen] / max((y == k).sum(), 1)
     telling = np.zeros(width, bool)
     telling[chosen[share(1) > share(0)]] = True
-    group = manners_of(rows, width)[marked]
+    group = manners_of(owner, ids, len(rows), width)[marked]
     size = np.array([len(rows[k]) for k in marked], float)
     dense = np.array([telling[rows[k]].sum() for k in marked]) / np.maximum(size, 1)
     lengths = (_standing(size, group) * max(kinds // 2, 1)).astype(int)
@@ -229,8 +228,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str, id_col: str, text_c
             names=["__id", "label", "ids"])
 
     sample = labelled_sample(docs, labels, label, id_col=id_col, text_col=text_col, limit=limit, where=where)
-    got = fetch_features(arrow_map(sample, fn, "__id bigint, label int, ids array<int>"))
-    rows, y = [x.values.to_numpy() for x in got["ids"]], got["label"].to_numpy().astype(np.int64)
+    got, order = fetch_features(arrow_map(sample, fn, "__id bigint, label int, ids array<int>"))
+    rows, y = [got["ids"][k].values.to_numpy() for k in order], got["label"].to_numpy().astype(np.int64)[order]
     width = 1 << features.bits
     kind = kinds_of(rows, y, width, kinds) if rows else np.empty(0, np.int64)
     targets = np.column_stack([*((kind == k).astype(np.int64) for k in range(kinds)), y])

@@ -270,9 +270,10 @@ def test_kinds_are_no_languages_and_the_chain_helps():
 
 def test_training_features_are_bounded(spark):
     made = spark.createDataFrame([(k, k % 2, list(range(10 if k % 5 else 1000))) for k in range(50)], "__id long, label int, ids array<int>")
-    assert fetch_features(made).num_rows == 50
-    few = fetch_features(made, most=500)
-    assert few["__id"].to_pylist() == [k for k in range(50) if k % 5]
+    every, order = fetch_features(made)
+    assert [every["__id"].to_pylist()[k] for k in order] == list(range(50))
+    few, order = fetch_features(made, most=500)
+    assert [few["__id"].to_pylist()[k] for k in order] == [k for k in range(50) if k % 5]
 
 
 @pytest.mark.parametrize("score", [lambda d, t: score_quality(d, t), lambda d, t: score_toxicity(d, t)])
