@@ -80,7 +80,7 @@ def test_assignment_is_the_sequential_one(spark):
     assert got == sequential([(t, d, c) for (t, d), c in edges])
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_repeated_values_meet_as_classes(spark, seed):
     """Many rows of few amounts, days, names and trusts: the sequential pass over all pairs of rows, from pairs of classes alone."""
     rng = random.Random(seed)
