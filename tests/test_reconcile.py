@@ -143,3 +143,27 @@ def test_parsing(spark):
     df = spark.createDataFrame([("$1,234.50", "2026-03-15T10:30:00"), ("EUR 5", "3/15/2026"), ("x", "25/12/2026"), (None, "never")], "a string, d string")
     got = [(None if x[0] is None else float(x[0]), str(x[1].date()) if x[1] else None) for x in df.select(r.parse_amount(F.col("a")), r.parse_date(F.col("d"))).collect()]
     assert got == [(1234.5, "2026-03-15"), (5.0, "2026-03-15"), (None, "2026-12-25"), (None, None)]
+
+
+def test_pairs_are_not_written(spark, monkeypatch):
+    """3,600 pairs of 60 classes a side: no table is larger than a side; counts by class and listed pairs are those of the cascade."""
+    left = tx(spark, *((f"t{k}", f"{50 + k / 100:.2f}", "2026-03-10", "Alpha Shop") for k in range(60)))
+    right = docs(spark, *((f"d{k}", f"{50 + k / 100:.2f}", "2026-03-10", "Alpha Shop", 0.9) for k in range(60)))
+    seen = []
+    monkeypatch.setattr(r, "materialize", lambda df, tag, real=r.materialize: seen.append(real(df, tag)) or seen[-1])
+    scored = r.tiers(left, right)
+    assert {x.t_id: x.d_id for x in r.best_match(scored).collect()} == {f"t{k}": f"d{max(k - 1, 0)}" for k in range(60)}  # a cent is exact, and the earlier document counts
+    assert max(df.count() for df in seen) == 60
+    names = ("exact", "fuzzy", "semantic")
+    pairs = {(x.t_id, x.d_id, x.match_type, x.confidence) for x in r.cascade(scored).collect()}
+    assert len(pairs) == 3600 and pairs == {(x.t_id, x.d_id, x.match_type, x.confidence) for x in r.listed_matches(r.listed_tiers(left, right), *names).collect()}
+    assert r.class_matches(r.tiers(left, right.drop("trust_score")), *names).agg(F.sum("n")).first()[0] == 3600
+
+
+def test_lists_go_on_in_parts(spark):
+    """Fourteen transactions that all want the same documents first: the last one gets what no first part of a list has."""
+    left = tx(spark, *((f"t{k}", f"{50 + k / 100:.2f}", "2026-03-10", "Alpha Shop") for k in range(14)))
+    right = docs(spark, *((f"d{k}", "50.00", "2026-03-10", "Alpha Shop", 1.0 - k / 14) for k in range(14)))
+    scored = r.tiers(left, right)
+    want = sequential([(x.t_ord, x.d_ord, x.confidence) for x in r._expanded(scored, r.edges(scored.pairs, 0.6)).collect()])
+    assert len(want) == 14 and {x.t_ord: x.d_ord for x in r.assign(scored).collect()} == want
