@@ -92,8 +92,10 @@ def _json(s, d) -> DataFrame:
 
 
 def _folder(s, d) -> DataFrame:
-    """The files of the tables' own folder, without reading their content."""
-    return f.read_documents(s, d, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "extension", "error").where("name rlike '^[a-z]+[.]parquet$'")
+    """The tables in their own folder, without reading their content: a file each, or a folder of part files, which is one table."""
+    top = str(d).rstrip("/").rpartition("/")[2]
+    name = F.regexp_extract("path", rf"/\Q{top}\E/([a-z]+[.]parquet)(/.*)?$", 1)
+    return f.read_documents(s, d, "*.parquet").select(name.alias("name"), "extension", "error").where("name <> ''").distinct()
 
 
 def _size(s, d, table: str) -> int:

@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import documents as o
+from ledgerloom.plans import source_queries
 from ledgerloom.sources import files as f
 from ledgerloom.streaming import live
 
@@ -84,3 +85,13 @@ def test_streams(spark, tmp_path):
     first = run(live.first_documents(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "docs")), "x", "ts"), "docs_out", spark, "append")
     assert first.count() == 2
     assert live.sessions(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_a_folder_of_part_files_is_one_table(spark, tmp_path):
+    df = spark.range(10)
+    df.coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
+    df.repartition(3).write.parquet(str(tmp_path / "two.parquet"))
+    df.toPandas().to_parquet(tmp_path / "three.parquet")
+    df.toPandas().to_parquet(tmp_path / "other-1.parquet")
+    got = sorted(tuple(x) for x in source_queries.QUERIES["S7_read_documents"](spark, str(tmp_path)).collect())
+    assert got == [(f"{n}.parquet", "parquet", "unsupported format: parquet") for n in ("one", "three", "two")]
