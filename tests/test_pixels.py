@@ -1,6 +1,7 @@
 """Image measures against loops over pixels."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import pixels as px
@@ -59,3 +60,21 @@ def test_turned_by_loops_and_deskew(spark):
     got = {r.k: (r.a, r.level) for r in df.withColumn("level", px.deskew("d", F.lit(160), F.lit(120), "a")).collect()}
     level = np.frombuffer(got[1][1], np.uint8).reshape(120, 160)
     assert abs(px.skew_of(level)) <= 0.5 and got[2] == (None, None) and got[3][0] is None and bytes(got[3][1]) == b"x"
+
+
+def test_many_images_are_measured_at_once(monkeypatch):
+    """300 images of three sizes among rows that are none: a few steps in all, and each row's figures are its own."""
+    rng = np.random.default_rng(3)
+    sizes = [(1, 6), (7, 5), (20, 20)]
+    images = [rng.integers(0, 256 if k % 2 else 40, sizes[k % 3]).astype(np.uint8) for k in range(300)]
+    rows = [(i.tobytes(), i.shape[1], i.shape[0]) for i in images] + [(None, 1, 1), (b"", 0, 0), (b"abc", 2, 2)]
+    calls = []
+    monkeypatch.setattr(px, "measure_same", lambda raw, real=px.measure_same: calls.append(len(raw)) or real(raw))
+    got = px.measure.func(*(pd.Series(list(x)) for x in zip(*rows, strict=True)))
+    assert calls == [100, 100, 100] and got.iloc[300:].isna().all(axis=None)
+    for g, r in zip(images, got.iloc[:300].itertuples(), strict=True):
+        f = g.astype(float)
+        flat = f[px.gradient(f) < 50]
+        want = float(np.median(np.abs(flat - np.median(flat)))) if len(flat) else 0.0
+        assert (r.laplacian_variance, r.flat_pixels, r.flat_deviation) == (px.laplacian(f).var(), len(flat), want)
+        assert r.black_share == (g <= 4).mean() and r.high == np.sort(g.ravel())[int(np.floor(0.975 * g.size + 1e-9))]
