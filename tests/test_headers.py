@@ -69,3 +69,14 @@ def test_against_an_image_library(spark, tmp_path):
         (tmp_path / name).write_bytes(out.getvalue())
     got = {r.path.rpartition("/")[2]: (r.width, r.height, r.stored_mode) for r in f.load_documents(spark, str(tmp_path)).collect()}
     assert got == {"a.png": (321, 234, "RGBA"), "b.jpg": (321, 234, "L"), "c.bmp": (321, 234, "RGB"), "d.tiff": (321, 234, "RGB")}
+
+
+def test_files_are_read_once_in_one_function(spark):
+    """Walks over a file's bytes are no interpreted expressions, and filters on what was found do not read it again."""
+    from ledgerloom.sources import headers as h
+
+    assert all(h.header_of(name.rpartition(".")[2].lower(), data) == want for name, (data, want) in FILES.items())
+    assert h.header_of("txt", b"text") == h.header_of("png", None) == (None,) * 4
+    rows = spark.createDataFrame([("a.png", "png", None, 33, bytearray(png(640, 480)))], "path string, extension string, error string, size int, content binary")
+    plan = f.valid_documents(h.with_headers(rows)).select("path", "width")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "lambdafunction" not in plan
