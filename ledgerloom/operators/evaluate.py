@@ -28,3 +28,10 @@ def error_slices(df: DataFrame) -> dict[str, DataFrame]:
     """Rows of high and of low confidence, and transfers."""
     return {"high": df.where("confidence_level = 'high'"), "low": df.where("confidence_level = 'low'"),
         "transfer": df.where("category = 'transfer'")}
+
+
+def in_slices(df: DataFrame) -> DataFrame:
+    """The rows of all of ``error_slices`` with the name of the ``slice``, once for each that they are in: one pass over ``df``, not one a slice."""
+    level, category = F.col("confidence_level"), F.col("category")
+    slices = F.array(F.when(level == "high", "high"), F.when(level == "low", "low"), F.when(category == "transfer", "transfer"))
+    return df.withColumn("slice", F.explode(F.array_compact(slices)))

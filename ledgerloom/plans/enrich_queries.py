@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,11 +48,6 @@ def _monthly_by_customer(s, d) -> DataFrame:
         (c("k") * 10 + c("i")).alias("transaction_id"), c("k").cast("string").alias("canonical_id"), F.date_add(F.lit("2024-01-01").cast("date"), (c("i") * c("step")).cast("int")).alias("date"))
 
 
-def _slices(parts: dict[str, DataFrame]) -> DataFrame:
-    rows = [df.select(F.lit(k).alias("slice"), "transaction_id", "category", "confidence") for k, df in parts.items()]
-    return reduce(DataFrame.union, rows)
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "A1_clean_merchant": lambda s, d: transactions(s, d).select("transaction_id", e.clean_merchant(c("merchant_raw")).alias("merchant_clean")),
     "A1b_clean_first": lambda s, d: transactions(s, d).select("transaction_id", e.clean_merchant(c("merchant_raw"), "first").alias("merchant_clean")),
@@ -83,7 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "A17_process": lambda s, d: e.process(transactions(s, d)).select("transaction_id", "merchant_canonical", "category", "status", "fingerprint", "transaction_type"),
     "E1_baseline_report": lambda s, d: v.baseline_report(_report_input(s, d)),
     "E1_low_categories": lambda s, d: v.low_confidence_categories(_report_input(s, d)),
-    "E2_error_slices": lambda s, d: _slices(v.error_slices(_report_input(s, d))),
+    "E2_error_slices": lambda s, d: v.in_slices(_report_input(s, d)).select("slice", "transaction_id", "category", "confidence"),
 }
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import indel, name_similarity, title, token_set, token_sort
 from ledgerloom.operators import enrich as e
+from ledgerloom.operators import evaluate
+from ledgerloom.plans import enrich_queries
 
 
 @pytest.mark.parametrize(("raw", "clean"), [
@@ -118,3 +120,14 @@ def test_similarities(spark):
     assert token_set("coffee shop downtown", "downtown coffee shop") == 1 and token_set("", "a") == 0
     row = spark.createDataFrame([("a b", "b a"), (None, "x")], "a string, b string").select(name_similarity("a", "b")).collect()
     assert [r[0] for r in row] == [1.0, 0.0]
+
+
+def test_slices_in_one_pass(spark):
+    rows = [("a", "high", "food"), ("b", "low", "transfer"), ("c", "medium", "transfer"), ("d", "medium", "food"), ("e", None, None), ("f", "high", "transfer")]
+    df = spark.createDataFrame(rows, "transaction_id string, confidence_level string, category string")
+    got = evaluate.in_slices(df)
+    want = sorted((k, r.transaction_id) for k, part in evaluate.error_slices(df).items() for r in part.collect())
+    assert sorted((r.slice, r.transaction_id) for r in got.collect()) == want and len(want) == 6
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    plan = enrich_queries.QUERIES["E2_error_slices"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
