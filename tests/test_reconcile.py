@@ -167,3 +167,16 @@ def test_lists_go_on_in_parts(spark):
     scored = r.tiers(left, right)
     want = sequential([(x.t_ord, x.d_ord, x.confidence) for x in r._expanded(scored, r.edges(scored.pairs, 0.6)).collect()])
     assert len(want) == 14 and {x.t_ord: x.d_ord for x in r.assign(scored).collect()} == want
+
+
+def test_few_names_need_no_cells(spark, monkeypatch):
+    """Two names on many days and amounts: all pairs of names are compared without a meeting of cells, and matches are the same with one."""
+    left = tx(spark, *((f"t{k}", f"{50 + k % 7 / 10:.2f}", f"2026-03-{10 + k % 5}", ["Alpha Shop", "Beta Cafe"][k % 2]) for k in range(40)))
+    right = docs(spark, *((f"d{k}", f"{50 + k % 5 / 10:.2f}", f"2026-03-{10 + k % 7}", ["Alpha Shop", "Beta Café"][k % 2], 0.9) for k in range(30)))
+    best = lambda: sorted(map(tuple, r.best_match(r.tiers(left, right)).collect()))
+    few = r.FEW_NAME_PAIRS
+    monkeypatch.setattr(r, "FEW_NAME_PAIRS", 0)
+    by_cells = best()
+    monkeypatch.setattr(r, "FEW_NAME_PAIRS", few)
+    monkeypatch.setattr(r, "_met_names", lambda *_: pytest.fail("cells met"))
+    assert best() == by_cells and len(by_cells) == 40
