@@ -180,3 +180,16 @@ def test_few_names_need_no_cells(spark, monkeypatch):
     monkeypatch.setattr(r, "FEW_NAME_PAIRS", few)
     monkeypatch.setattr(r, "_met_names", lambda *_: pytest.fail("cells met"))
     assert best() == by_cells and len(by_cells) == 40
+
+
+def test_mismatches_write_no_more_than_they_read(spark, monkeypatch):
+    from ledgerloom.plans import reconcile_queries as q
+
+    left, right = tx(spark, *((f"t{k}", "9.99", "2026-03-10", "Music") for k in range(20))), docs(spark, ("d0", "9.99", "2026-03-10", "Music", 0.9), ("d1", "70.00", "2026-03-10", "Music", 0.9))
+    seen = []
+    monkeypatch.setattr(q, "recon_inputs", lambda s, d: (left, right))
+    monkeypatch.setattr(q, "materialize", lambda df, tag, real=q.materialize: seen.append(real(df, tag)) or seen[-1])
+    lost, alone, _ = q._open(spark, "")
+    assert [df.columns for df in seen] == [["t_id", "d_id", "confidence"]] and seen[0].count() == 20
+    assert lost.count() == 0 and [x.id for x in alone.collect()] == ["d1"]
+    assert "HashAggregate(keys=[id" in alone._jdf.queryExecution().executedPlan().toString()  # a document that many transactions take is shuffled once
