@@ -250,6 +250,8 @@ ITEM_FORMS = (
     (re.compile(r"([^\n$]+?)\s+(\d+)\s*\$?(\d+\.\d{2})", re.I), (2, 1, 3)),
     (re.compile(r"([A-Za-z][^\n$]*?)\s*\$?(\d+\.\d{2})", re.I), (0, 1, 2)),
 )
+#: What every form ends with.
+PRICE = re.compile(r"\d\.\d{2}")
 #: Lines with these words are no items.
 NOT_ITEMS = ("SUBTOTAL", "TOTAL", "TAX", "BALANCE", "AMOUNT DUE")
 
@@ -257,8 +259,8 @@ NOT_ITEMS = ("SUBTOTAL", "TOTAL", "TAX", "BALANCE", "AMOUNT DUE")
 def items_of(text: str | None) -> list[dict]:
     """A receipt's items: on each line the first form that gives a plausible and new one."""
     found, seen = [], set()
-    for line in filter(None, (x.strip() for x in (text or "").split("\n"))):
-        for form, (q, n, p) in ITEM_FORMS:
+    for line in (x.strip() for x in (text or "").split("\n") if PRICE.search(x)):
+        for form, (q, n, p) in ITEM_FORMS if "x" in line or "X" in line else ITEM_FORMS[2:]:  # the first two have an x
             m = form.search(line)
             if not m:
                 continue
@@ -279,6 +281,10 @@ def receipt_items(text: pd.Series) -> pd.Series:
     return text.map(items_of)
 
 
+#: Else a filter on the items, such as an explode brings with it, would run the function once more below it.
+receipt_items = receipt_items.asNondeterministic()
+
+
 #: Ways to pay, the first of which that occurs counts.
 PAYMENT_METHODS = ("CASH", "CREDIT", "DEBIT", "MOBILE PAY", "CHECK", "GIFT CARD")
 
