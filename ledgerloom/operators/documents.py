@@ -129,11 +129,15 @@ def text_structure(text: Column) -> Column:
 
 def type_score(text: Column, words: tuple[str, ...]) -> Column:
     """Three times the share of a type's keywords found, less where they repeat."""
-    low = F.lower(text)
-    hits = sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
-    unique = sum((F.contains(low, F.lit(w)).cast("int") for w in dict.fromkeys(words)), F.lit(0))
-    return let(F.struct(hits.alias("h"), unique.alias("u")),
-        lambda z: z["h"] / float(len(words)) * 3 * (0.5 + 0.5 * F.coalesce(F.try_divide(z["u"], z["h"]), F.lit(0.0))))
+    return let(F.lower(text), lambda low: _type_score(low, words))
+
+
+def _type_score(low: Column, words: tuple[str, ...]) -> Column:
+    once = tuple(dict.fromkeys(words))
+    hits = lambda ws: sum((F.contains(low, F.lit(w)).cast("int") for w in ws), F.lit(0))
+    again = hits([w for k, w in enumerate(words) if w in words[:k]])
+    return let(F.struct(hits(once).alias("u"), again.alias("a")),
+        lambda z: (z["u"] + z["a"]) / float(len(words)) * 3 * (0.5 + 0.5 * F.coalesce(F.try_divide(z["u"], z["u"] + z["a"]), F.lit(0.0))))
 
 
 def table_like(text: Column) -> Column:
@@ -144,13 +148,20 @@ def table_like(text: Column) -> Column:
 
 
 def layout_scores(text: Column, width: Column, height: Column) -> Column:
-    low, ratio, table = F.lower(text), width / height, table_like(text)
-    extra = lambda x: F.when(table, x).otherwise(0.0)
-    return F.struct(
-        F.when(ratio.between(0.5, 0.8) & (height > width), 0.5).otherwise(0.0).alias("receipt"),
-        (F.when(ratio.between(0.7, 1.0) & F.contains(low, F.lit("statement")), 0.8).otherwise(0.0) + extra(0.3))
-        .alias("statement"),
-        (F.when(F.contains(low, F.lit("invoice")), 1.0).otherwise(0.0) + extra(0.4)).alias("invoice"))
+    return let(F.lower(text), lambda low: _layout_scores(text, low, width, height))
+
+
+def _layout_scores(text: Column, low: Column, width: Column, height: Column) -> Column:
+    ratio = width / height
+
+    def scores(table: Column) -> Column:
+        extra = lambda x: F.when(table, x).otherwise(0.0)
+        return F.struct(
+            F.when(ratio.between(0.5, 0.8) & (height > width), 0.5).otherwise(0.0).alias("receipt"),
+            (F.when(ratio.between(0.7, 1.0) & F.contains(low, F.lit("statement")), 0.8).otherwise(0.0) + extra(0.3))
+            .alias("statement"),
+            (F.when(F.contains(low, F.lit("invoice")), 1.0).otherwise(0.0) + extra(0.4)).alias("invoice"))
+    return let(table_like(text), scores)
 
 
 def doc_type(text: Column, width: Column, height: Column) -> Column:
@@ -169,8 +180,10 @@ def doc_type(text: Column, width: Column, height: Column) -> Column:
                 F.bround(conf, 4).alias("confidence"), status.alias("status"), F.bround(margin, 4).alias("margin"))
         return let(ranked, settle)
 
-    scores = F.array(*(type_score(text, words) for words in TYPE_KEYWORDS.values()))
-    return let(F.struct(scores.alias("k"), layout_scores(text, width, height).alias("l")), decide)
+    def scored(low: Column) -> Column:
+        scores = F.array(*(_type_score(low, words) for words in TYPE_KEYWORDS.values()))
+        return let(F.struct(scores.alias("k"), _layout_scores(text, low, width, height).alias("l")), decide)
+    return let(F.lower(text), scored)
 
 
 def routing_decision(kind: Column, confidence: Column) -> Column:
